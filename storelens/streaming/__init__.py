@@ -1,0 +1,7 @@
+"""Streaming.
+
+The reference has no stream, watermark or stateful operator: a refresh is a
+re-run of the batch page on a changed source.  storelens therefore ships no
+streaming operator; the change-detecting publish (``sources.publish``) is
+the refresh path.
+"""
