@@ -64,14 +64,14 @@ def scope_summary(filtered: DataFrame, original: DataFrame, roles: ColumnRoles |
     """KPI-3: rows and distinct categories of the filtered data vs. all data."""
     r = roles_of(filtered, roles, "category")
     c = F.col(r.category)
-    f = filtered.agg(F.count(F.lit(1)).alias("total_records"), F.count_distinct(c).alias("categories"))
-    o = original.agg(F.count_distinct(c).alias("all_categories"))
-    # Both sides are global aggregates: one row each, so the cross join is 1 x 1.
-    return f.crossJoin(o).select(
+    all_categories = original.agg(F.count_distinct(c)).scalar()
+    return filtered.agg(
+        F.count(F.lit(1)).alias("total_records"), F.count_distinct(c).alias("categories")
+    ).select(
         "total_records",
         "categories",
-        "all_categories",
-        (F.col("categories") < F.col("all_categories")).alias("is_subset"),
+        all_categories.alias("all_categories"),
+        (F.col("categories") < all_categories).alias("is_subset"),
     )
 
 
@@ -268,19 +268,17 @@ def peak_time(df: DataFrame, roles: ColumnRoles | None = None) -> DataFrame:
             )
         ).alias("b")
     ).select("b.hour", "b.total_sales", "b.transaction_count", "b.avg_transaction")
-    best_period = daypart_sales(df, roles).agg(
-        F.min(F.struct((-F.col("total_sales")).alias("k"), F.col("time_period"))).alias("p")
+    best_period = (
+        daypart_sales(df, roles)
+        .agg(F.min(F.struct((-F.col("total_sales")).alias("k"), F.col("time_period"))).alias("p"))
+        .select(first_word(F.col("p.time_period")))
+        .scalar()
     )
-    # Both sides are global aggregates (one row each).
-    return (
-        best_hour.crossJoin(best_period)
-        .where(F.col("hour").isNotNull())
-        .select(
-            F.col("hour").alias("best_hour"),
-            F.format_string("%d:00", "hour").alias("best_hour_label"),
-            F.col("total_sales").alias("best_hour_sales"),
-            F.col("transaction_count").alias("peak_hour_transactions"),
-            F.col("avg_transaction").alias("avg_per_transaction"),
-            first_word(F.col("p.time_period")).alias("best_period"),
-        )
+    return best_hour.where(F.col("hour").isNotNull()).select(
+        F.col("hour").alias("best_hour"),
+        F.format_string("%d:00", "hour").alias("best_hour_label"),
+        F.col("total_sales").alias("best_hour_sales"),
+        F.col("transaction_count").alias("peak_hour_transactions"),
+        F.col("avg_transaction").alias("avg_per_transaction"),
+        best_period.alias("best_period"),
     )

@@ -11,12 +11,27 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..functions.exprs import is_benefit
+from ..operators import benefits as ben
 from ..operators import filters as flt
+from ..operators import insights as ins
+from ..operators import products as prd
 from ..operators import rollups as ru
+from ..operators import vendors as ven
+from ..operators import yoy
 from ..sources.star import purchases
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+# Stand-ins on the star-schema fixture (FIXTURES.md §A): the benefit
+# subcategory pattern and the category analysed against it.
+FIXTURE_PATTERN = "brand#25"
+FIXTURE_CATEGORY = "STANDARD"
+FIXTURE_LOCATIONS = ["NATION_3", "NATION_7", "NATION_11"]
+FIXTURE_CATEGORIES = ["STANDARD", "SMALL"]
+FIXTURE_SUBCATEGORIES = ["Brand#1", "Brand#2", "Brand#25"]
+FIXTURE_RANGE = ("1997-01-01", "1998-12-31")
+
 
 def _p(spark: SparkSession, sf_dir: str) -> DataFrame:
     return purchases(spark, sf_dir)
@@ -34,12 +49,82 @@ def _on(fact, op, **kw) -> Query:
     return q
 
 
+def _filtered(fact, flt_fn, op=ru.sales_kpis, **kw) -> Query:
+    def q(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return op(flt_fn(fact(spark, sf_dir), **kw))
+
+    q.__name__ = f"{op.__name__}_after_{flt_fn.__name__}"
+    return q
+
+
+def _default_view(df: DataFrame) -> DataFrame:
+    """The dashboard's opening state: all time (midnight end bound), the
+    first five locations and the first five categories."""
+    v = flt.all_time(df)
+    v = flt.in_locations(v, flt.default_selection(v, "location"))
+    return flt.in_categories(v, flt.default_selection(df, "category"))
+
+
+def _category_scope(df: DataFrame) -> DataFrame:
+    return flt.in_categories(df, flt.default_selection(df, "category"))
+
+
+def _subcategory_filter(df: DataFrame) -> DataFrame:
+    v = flt.in_categories(df, FIXTURE_CATEGORIES)
+    return flt.in_subcategories(v, FIXTURE_SUBCATEGORIES, FIXTURE_CATEGORIES)
+
+
+def _scope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = _p(spark, sf_dir)
+    return ru.scope_summary(_category_scope(p), p)
+
+
+def _selected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ru.selected_categories(_category_scope(_p(spark, sf_dir)))
+
+
+def _benefit_insights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = _p(spark, sf_dir)
+    return ins.benefit_insights(p, original=p, pattern=FIXTURE_PATTERN)
+
+
+def _benefit_status_scoped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """INS-6 on a selection without benefit lines (all but the benefit brand)."""
+    p = _p(spark, sf_dir)
+    scoped = flt.in_categories(p, ["STANDARD", "SMALL"])
+    return ins.benefit_status(scoped.where(~is_benefit("revenue_subcategory", FIXTURE_PATTERN)), p, FIXTURE_PATTERN)
+
+
+B = {"pattern": FIXTURE_PATTERN}
+BC = {"pattern": FIXTURE_PATTERN, "category": FIXTURE_CATEGORY}
+
 QUERIES: dict[str, Query] = {
     # KPIs and extents
     "sales_kpis": _on(_p, ru.sales_kpis),
     "sales_kpis_nulls": _on(_pn, ru.sales_kpis),
     "profit_kpis": _on(_p, ru.profit_kpis),
     "date_extent": _on(_p, flt.date_extent),
+    "scope_summary": _scope,
+    "selected_categories": _selected,
+    # filters and filter options
+    "location_options": _on(_p, flt.filter_options, role="location"),
+    "category_options": _on(_p, flt.filter_options, role="category"),
+    "subcategory_options": _on(_p, flt.filter_options, role="subcategory", within=FIXTURE_CATEGORIES),
+    "default_location_selection": _on(_p, flt.default_selection, role="location"),
+    "default_category_selection": _on(_p, flt.default_selection, role="category"),
+    "date_range_kpis": _filtered(_p, flt.date_range, start=FIXTURE_RANGE[0], end=FIXTURE_RANGE[1]),
+    "date_range_day_kpis": _filtered(
+        _p, flt.date_range, start=FIXTURE_RANGE[0], end=FIXTURE_RANGE[1], end_inclusive="day"
+    ),
+    "all_time_kpis": _filtered(_p, flt.all_time),
+    "last_30_days_kpis": _filtered(_p, flt.last_n_days, n=30),
+    "last_90_days_kpis": _filtered(_p, flt.last_n_days, n=90),
+    "location_filter_kpis": _filtered(_p, flt.in_locations, values=FIXTURE_LOCATIONS),
+    "category_filter_kpis": _filtered(_p, flt.in_categories, values=FIXTURE_CATEGORIES),
+    "subcategory_filter_kpis": _filtered(_p, _subcategory_filter),
+    "default_view_kpis": _filtered(_p, _default_view),
+    "default_view_profit_kpis": _filtered(_p, _default_view, op=ru.profit_kpis),
+    "year_to_date_kpis": _filtered(_p, flt.year_to_date),
     # flat rollups
     "weekly_sales": _on(_p, ru.weekly_sales),
     "weekly_sales_by_location": _on(_p, ru.weekly_sales, by_location=True),
@@ -53,8 +138,51 @@ QUERIES: dict[str, Query] = {
     "subcategory_sales": _on(_p, ru.subcategory_sales),
     "subcategory_sales_top10": _on(_p, ru.subcategory_sales, n=10),
     "subcategory_sales_nulls": _on(_pn, ru.subcategory_sales),
+    "subcategory_sales_ex_benefit": _on(_p, ru.subcategory_sales, exclude_pattern=FIXTURE_PATTERN),
     "hourly_sales": _on(_p, ru.hourly_sales),
     "daypart_sales": _on(_p, ru.daypart_sales),
     "weekday_sales": _on(_p, ru.weekday_sales),
     "peak_time": _on(_p, ru.peak_time),
+    # year to date, pivot, year over year
+    "ytd_metrics": _on(_p, yoy.ytd_metrics),
+    "ytd_changes": _on(_p, yoy.ytd_changes),
+    "quarter_year_pivot_profit": _on(_p, yoy.quarter_year_pivot, value="profit"),
+    "quarter_year_pivot_margin": _on(_p, yoy.quarter_year_pivot, value="profit_margin"),
+    "yoy_quarterly": _on(_p, yoy.yoy_quarterly),
+    "yoy_quarterly_long_profit": _on(_p, yoy.yoy_quarterly_long, metric="profit"),
+    "yoy_quarterly_long_margin": _on(_p, yoy.yoy_quarterly_long, metric="margin"),
+    "profitability_insights": _on(_p, ins.profitability_insights),
+    # member benefits
+    "benefit_ytd": _on(_p, ben.benefit_ytd, **B),
+    "benefit_monthly": _on(_p, ben.benefit_monthly, **B),
+    "benefit_changes": _on(_p, ben.benefit_changes, **B),
+    "benefit_revenue_share": _on(_p, ben.benefit_revenue_share, **B),
+    "benefit_insights": _benefit_insights,
+    "benefit_status_scoped": _benefit_status_scoped,
+    "benefit_penetration": _on(_p, ben.benefit_penetration, **B),
+    "benefit_penetration_nulls": _on(_pn, ben.benefit_penetration, **B),
+    "penetration_changes": _on(_p, ben.penetration_changes, **B),
+    "penetration_insights": _on(_p, ins.penetration_insights, **B),
+    "category_with_benefit": _on(_p, ben.category_with_benefit, **BC),
+    "category_ytd": _on(_p, ben.category_ytd, category=FIXTURE_CATEGORY),
+    "category_benefit_penetration": _on(_p, ben.category_benefit_penetration, **BC),
+    "category_penetration_change": _on(_p, ben.category_penetration_change, **BC),
+    "category_insights": _on(_p, ins.category_insights, **BC),
+    # products
+    "product_stats": _on(_p, prd.product_stats),
+    "product_highlights": _on(_p, prd.product_highlights, **B),
+    "product_highlights_nulls": _on(_pn, prd.product_highlights, **B),
+    "highlight_leaders": _on(_p, prd.highlight_leaders, **B),
+    # vendors
+    "vendor_performance": _on(_p, ven.vendor_performance),
+    "vendor_performance_nulls": _on(_pn, ven.vendor_performance),
+    "vendor_concentration": _on(_p, ven.vendor_concentration),
+    "vendor_concentration_nulls": _on(_pn, ven.vendor_concentration),
+    "top_vendors_by_sales": _on(_p, ven.top_vendors, by="total_sales", n=15),
+    "top_vendors_by_count": _on(_p, ven.top_vendors, by="transaction_count", n=15),
+    "top_vendors_by_profit": _on(_p, ven.top_vendors, by="profit", n=15),
+    "top_vendors_by_margin": _on(_p, ven.top_vendors, by="profit_margin", n=15, min_txns=10),
+    "top_vendors_by_avg": _on(_p, ven.top_vendors, by="avg_transaction", n=15, min_txns=5),
+    "vendor_scatter": _on(_p, ven.top_vendors, by="total_sales", n=20),
+    "vendor_detail": _on(_p, ven.vendor_detail, n=30),
 }
