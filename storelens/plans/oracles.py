@@ -157,3 +157,428 @@ SELECT bh.hour AS best_hour, printf('%d:00', bh.hour) AS best_hour_label, bh.tot
        split_part(bp.time_period, ' ', 1) AS best_period
 FROM bh CROSS JOIN bp""",
 )
+
+
+# ---------------------------------------------------------------------------
+# filters, options and filtered KPIs
+CMEAN = "cast(sum(unit_cost) AS DOUBLE) / nullif(count(unit_cost), 0)"
+ISBEN = "coalesce(contains(lower(revenue_subcategory), 'brand#25'), false)"
+ASOF = "(SELECT max(purchase_date) FROM purchases)"
+YTD = (
+    f"purchase_date IS NOT NULL AND (month(purchase_date) < month({ASOF}) OR "
+    f"(month(purchase_date) = month({ASOF}) AND day(purchase_date) <= day({ASOF})))"
+)
+YEAR = "cast(year(purchase_date) AS INTEGER)"
+
+
+def kpis_where(where: str) -> str:
+    return f"""SELECT {MSUM} AS total_sales, count(*) AS transactions,
+       {MSUM} / nullif(count(*), 0) AS avg_basket
+FROM purchases WHERE {where}"""
+
+
+_FIRST5_CAT = "(SELECT o FROM (SELECT DISTINCT cast(disp_category AS VARCHAR) AS o FROM purchases WHERE disp_category IS NOT NULL) ORDER BY o LIMIT 5)"
+_reg(
+    "scope_summary",
+    f"""SELECT count(*) AS total_records, count(DISTINCT disp_category) AS categories,
+       (SELECT count(DISTINCT disp_category) FROM purchases) AS all_categories,
+       count(DISTINCT disp_category) < (SELECT count(DISTINCT disp_category) FROM purchases) AS is_subset
+FROM purchases WHERE cast(disp_category AS VARCHAR) IN {_FIRST5_CAT}""",
+)
+_reg(
+    "selected_categories",
+    f"""SELECT string_agg(c, ', ' ORDER BY c) AS categories
+FROM (SELECT DISTINCT cast(disp_category AS VARCHAR) AS c FROM purchases
+      WHERE disp_category IS NOT NULL AND cast(disp_category AS VARCHAR) IN {_FIRST5_CAT})""",
+)
+
+
+def options(col: str, where: str = "TRUE", limit: str = "") -> str:
+    return f"""SELECT DISTINCT cast({col} AS VARCHAR) AS option FROM purchases
+WHERE {col} IS NOT NULL AND {where} ORDER BY option {limit}"""
+
+
+_reg("location_options", options("store_location"))
+_reg("category_options", options("disp_category"))
+_reg("subcategory_options", options("revenue_subcategory", "cast(disp_category AS VARCHAR) IN ('STANDARD', 'SMALL')"))
+_reg("default_location_selection", options("store_location", limit="LIMIT 5"))
+_reg("default_category_selection", options("disp_category", limit="LIMIT 5"))
+_reg("date_range_kpis", kpis_where("purchase_date >= TIMESTAMP '1997-01-01' AND purchase_date <= TIMESTAMP '1998-12-31'"))
+_reg("date_range_day_kpis", kpis_where("purchase_date >= TIMESTAMP '1997-01-01' AND purchase_date < TIMESTAMP '1999-01-01'"))
+_ALL_TIME = (
+    "purchase_date >= (SELECT cast(cast(min(purchase_date) AS DATE) AS TIMESTAMP) FROM purchases) "
+    "AND purchase_date <= (SELECT cast(cast(max(purchase_date) AS DATE) AS TIMESTAMP) FROM purchases)"
+)
+_reg("all_time_kpis", kpis_where(_ALL_TIME))
+for _n in (30, 90):
+    _reg(
+        f"last_{_n}_days_kpis",
+        kpis_where(
+            f"purchase_date >= (SELECT cast(cast(max(purchase_date) AS DATE) AS TIMESTAMP) - INTERVAL {_n} DAY FROM purchases) "
+            "AND purchase_date <= (SELECT cast(cast(max(purchase_date) AS DATE) AS TIMESTAMP) FROM purchases)"
+        ),
+    )
+_reg("location_filter_kpis", kpis_where("cast(store_location AS VARCHAR) IN ('NATION_3', 'NATION_7', 'NATION_11')"))
+_reg("category_filter_kpis", kpis_where("cast(disp_category AS VARCHAR) IN ('STANDARD', 'SMALL')"))
+_reg(
+    "subcategory_filter_kpis",
+    kpis_where(
+        "cast(disp_category AS VARCHAR) IN ('STANDARD', 'SMALL') "
+        "AND cast(revenue_subcategory AS VARCHAR) IN ('Brand#1', 'Brand#2', 'Brand#25')"
+    ),
+)
+_DEFAULT_VIEW = (
+    f"{_ALL_TIME} AND cast(store_location AS VARCHAR) IN (SELECT o FROM (SELECT DISTINCT cast(store_location AS VARCHAR) AS o "
+    f"FROM purchases WHERE store_location IS NOT NULL AND {_ALL_TIME}) ORDER BY o LIMIT 5) "
+    f"AND cast(disp_category AS VARCHAR) IN {_FIRST5_CAT}"
+)
+_reg("default_view_kpis", kpis_where(_DEFAULT_VIEW))
+_reg(
+    "default_view_profit_kpis",
+    f"""SELECT total_sales, total_cogs, gross_profit,
+       CASE WHEN total_sales > 0 THEN gross_profit / total_sales * 100.0 ELSE 0.0 END AS profit_margin
+FROM (SELECT {MSUM} AS total_sales, {CSUM} AS total_cogs,
+             cast(coalesce(sum({PRICE}), 0) - coalesce(sum(unit_cost), 0) AS DOUBLE) AS gross_profit
+      FROM purchases WHERE {_DEFAULT_VIEW})""",
+)
+_reg("year_to_date_kpis", kpis_where(YTD))
+_reg(
+    "subcategory_sales_ex_benefit",
+    f"""SELECT revenue_subcategory, {MSUM} AS total_sales, count({PRICE}) AS transaction_count,
+       {MSUM} / nullif(cast(count({PRICE}) AS DOUBLE), 0) AS average_transaction
+FROM purchases WHERE revenue_subcategory IS NOT NULL AND NOT {ISBEN} GROUP BY 1""",
+)
+
+# ---------------------------------------------------------------------------
+# YTD / YoY
+
+
+def chg(cur: str, prev: str) -> str:
+    return f"(CASE WHEN cast({prev} AS DOUBLE) = 0 THEN NULL ELSE cast({cur} AS DOUBLE) / cast({prev} AS DOUBLE) END - 1.0) * 100.0"
+
+
+def latest_two(table: str) -> str:
+    """Join the latest (c) and previous (p) year rows of ``table``."""
+    return f"""(SELECT max(year) AS cur_year, min(year) AS prev_year, count(*) AS n
+       FROM (SELECT year FROM {table} ORDER BY year DESC LIMIT 2)) two
+JOIN {table} c ON c.year = two.cur_year JOIN {table} p ON p.year = two.prev_year
+WHERE two.n = 2"""
+
+
+YTD_METRICS = f"""SELECT year, total_revenue, avg_sale_price, transaction_count, total_cost, avg_unit_cost,
+       total_revenue - total_cost AS total_profit,
+       {pct('total_revenue - total_cost', 'total_revenue', 2)} AS profit_margin,
+       round_even((total_revenue - total_cost) / nullif(cast(transaction_count AS DOUBLE), 0), 2) AS avg_profit_per_sale
+FROM (SELECT {YEAR} AS year, round_even({MSUM}, 2) AS total_revenue, round_even({MEAN}, 2) AS avg_sale_price,
+             count({PRICE}) AS transaction_count, round_even({CSUM}, 2) AS total_cost,
+             round_even({CMEAN}, 2) AS avg_unit_cost
+      FROM purchases WHERE {YTD} GROUP BY 1)"""
+_reg("ytd_metrics", YTD_METRICS)
+
+YTD_CHANGES = f"""WITH ym AS ({YTD_METRICS})
+SELECT two.prev_year, two.cur_year,
+       {chg('c.total_revenue', 'p.total_revenue')} AS revenue_change,
+       {chg('c.total_cost', 'p.total_cost')} AS cost_change,
+       {chg('c.avg_sale_price', 'p.avg_sale_price')} AS avg_price_change,
+       {chg('c.avg_unit_cost', 'p.avg_unit_cost')} AS avg_cost_change,
+       {chg('c.transaction_count', 'p.transaction_count')} AS transaction_change
+FROM {latest_two('ym')}"""
+_reg("ytd_changes", YTD_CHANGES)
+
+QUARTERLY = f"""SELECT year, quarter, year_quarter, cast(rev AS DOUBLE) AS revenue, cast(cst AS DOUBLE) AS cost,
+       cast(rev - cst AS DOUBLE) AS profit, {pct('rev - cst', 'rev', 2)} AS profit_margin
+FROM (SELECT cast(year(purchase_date) AS INTEGER) AS year, cast(quarter(purchase_date) AS INTEGER) AS quarter,
+             printf('%d Q%d', year(purchase_date), quarter(purchase_date)) AS year_quarter,
+             coalesce(sum({PRICE}), 0) AS rev, coalesce(sum(unit_cost), 0) AS cst
+      FROM purchases WHERE purchase_date IS NOT NULL GROUP BY 1, 2, 3)"""
+
+for _v, _name in (("profit", "quarter_year_pivot_profit"), ("profit_margin", "quarter_year_pivot_margin")):
+    _reg(
+        _name,
+        f"""WITH q AS ({QUARTERLY})
+SELECT quarter, coalesce(COLUMNS(* EXCLUDE (quarter)), 0.0)
+FROM (PIVOT (SELECT quarter, year, {_v} FROM q) ON year USING first({_v}) GROUP BY quarter)""",
+    )
+
+YOY_QUARTERLY = f"""WITH q AS (SELECT *, revenue = 0 AND profit <> 0 AS inf_margin FROM ({QUARTERLY})),
+yrs AS (SELECT max(year) AS cur_year, min(year) AS prev_year, count(*) AS n
+        FROM (SELECT DISTINCT year FROM q ORDER BY year DESC LIMIT 2)),
+per AS (SELECT quarter,
+               max(CASE WHEN year = prev_year THEN profit END) AS p_profit,
+               max(CASE WHEN year = cur_year THEN profit END) AS c_profit,
+               max(CASE WHEN year = prev_year THEN profit_margin END) AS p_margin,
+               max(CASE WHEN year = cur_year THEN profit_margin END) AS c_margin,
+               coalesce(bool_or(CASE WHEN year = prev_year THEN inf_margin END), false) AS p_inf,
+               coalesce(bool_or(CASE WHEN year = cur_year THEN inf_margin END), false) AS c_inf
+        FROM q CROSS JOIN yrs GROUP BY quarter),
+quarters AS (SELECT cast(unnest([1, 2, 3, 4]) AS INTEGER) AS quarter),
+t AS (SELECT 'Q' || cast(quarters.quarter AS VARCHAR) AS quarter, yrs.prev_year, yrs.cur_year,
+             coalesce(p_profit, 0.0) AS prev_profit, coalesce(c_profit, 0.0) AS cur_profit,
+             coalesce(p_margin, 0.0) AS prev_margin, coalesce(c_margin, 0.0) AS cur_margin,
+             coalesce(p_inf, false) OR coalesce(c_inf, false) AS inf
+      FROM quarters CROSS JOIN yrs LEFT JOIN per ON per.quarter = quarters.quarter WHERE yrs.n = 2)
+SELECT quarter, prev_year, cur_year, prev_profit, cur_profit, prev_margin, cur_margin,
+       cur_profit - prev_profit AS profit_change,
+       coalesce(round_even({chg('cur_profit', 'prev_profit')}, 1), 0.0) AS profit_change_pct,
+       CASE WHEN inf THEN 0.0 ELSE cur_margin - prev_margin END AS margin_change
+FROM t"""
+_reg("yoy_quarterly", YOY_QUARTERLY)
+for _m in ("profit", "margin"):
+    _reg(
+        f"yoy_quarterly_long_{_m}",
+        f"""WITH y AS ({YOY_QUARTERLY.replace('WITH q AS', 'WITH q0 AS', 0)})
+SELECT quarter, cast(prev_year AS VARCHAR) AS year, prev_{_m} AS value FROM y
+UNION ALL SELECT quarter, cast(cur_year AS VARCHAR) AS year, cur_{_m} AS value FROM y""",
+    )
+
+
+def rules_sql(section: str, src: str, rules: list[tuple[str, str, str, str, str]], fallback=None) -> str:
+    """UNION ALL of one SELECT per rule over the one-row ``src``."""
+    parts = [
+        f"SELECT '{section}' AS section, '{code}' AS code, '{sev}' AS severity, '{msg}' AS message, "
+        f"cast({val} AS DOUBLE) AS value FROM {src} WHERE coalesce({cond}, false)"
+        for cond, code, sev, msg, val in rules
+    ]
+    if fallback is not None:
+        code, sev, msg = fallback
+        none = " OR ".join(f"coalesce({r[0]}, false)" for r in rules)
+        parts.append(
+            f"SELECT '{section}', '{code}', '{sev}', '{msg}', cast(NULL AS DOUBLE) FROM {src} WHERE NOT ({none})"
+        )
+    return "\nUNION ALL ".join(parts)
+
+
+_reg(
+    "profitability_insights",
+    f"""WITH ch AS ({YTD_CHANGES.replace('WITH ym AS', 'WITH ym0 AS', 0)})
+"""
+    + rules_sql(
+        "profitability",
+        "ch",
+        [
+            ("avg_cost_change > avg_price_change + 2.0", "cost_inflation", "alert",
+             "Unit costs rose faster than selling prices", "avg_cost_change - avg_price_change"),
+            ("transaction_change < -5.0", "volume_decline", "alert",
+             "Transaction count dropped significantly", "transaction_change"),
+            ("avg_price_change < -2.0", "price_pressure", "alert", "Average selling prices declined", "avg_price_change"),
+            ("cost_change > revenue_change + 5.0", "cost_structure", "alert",
+             "Total costs grew much faster than revenue", "cost_change - revenue_change"),
+        ],
+        ("no_red_flags", "ok", "Changes appear proportional"),
+    ),
+)
+
+# ---------------------------------------------------------------------------
+# member benefits
+BEN_YTD = f"""SELECT year, tbv AS total_bennies_value, bennies_count, avg_bennie_value,
+       tbc AS total_bennies_cost, tbv - tbc AS bennies_profit_impact
+FROM (SELECT {YEAR} AS year, round_even({MSUM}, 2) AS tbv, count({PRICE}) AS bennies_count,
+             round_even({MEAN}, 2) AS avg_bennie_value, round_even({CSUM}, 2) AS tbc
+      FROM purchases WHERE {YTD} AND {ISBEN} GROUP BY 1)"""
+_reg("benefit_ytd", BEN_YTD)
+_reg(
+    "benefit_monthly",
+    f"""SELECT {YEAR} AS year, cast(month(purchase_date) AS INTEGER) AS month,
+       strftime(purchase_date, '%Y-%m') AS year_month, {MSUM} AS bennies_value
+FROM purchases WHERE purchase_date IS NOT NULL AND {ISBEN} GROUP BY 1, 2, 3""",
+)
+BEN_CHANGES = f"""WITH b AS ({BEN_YTD})
+SELECT two.prev_year, two.cur_year,
+       c.total_bennies_value - p.total_bennies_value AS value_change,
+       c.bennies_count - p.bennies_count AS count_change,
+       c.bennies_profit_impact - p.bennies_profit_impact AS profit_impact_change,
+       abs(c.total_bennies_value - p.total_bennies_value) AS abs_value_change,
+       CASE WHEN c.total_bennies_value - p.total_bennies_value < 0 THEN 'more' ELSE 'less' END AS direction
+FROM {latest_two('b')}"""
+_reg("benefit_changes", BEN_CHANGES)
+BEN_SHARE = f"""WITH b AS ({BEN_YTD}), ym AS ({YTD_METRICS}),
+two AS (SELECT max(year) AS cur_year, min(year) AS prev_year, count(*) AS n FROM (SELECT year FROM b ORDER BY year DESC LIMIT 2)),
+s AS (SELECT two.prev_year, two.cur_year, coalesce(yp.total_revenue, 0.0) AS total_revenue_previous,
+             coalesce(yc.total_revenue, 0.0) AS total_revenue_current,
+             bp.total_bennies_value AS pv, bc.total_bennies_value AS cv
+      FROM two JOIN b bc ON bc.year = two.cur_year JOIN b bp ON bp.year = two.prev_year
+      LEFT JOIN ym yc ON yc.year = two.cur_year LEFT JOIN ym yp ON yp.year = two.prev_year
+      WHERE two.n = 2)
+SELECT prev_year, cur_year, total_revenue_previous, total_revenue_current,
+       CASE WHEN total_revenue_previous > 0 THEN pv / total_revenue_previous * 100.0 ELSE 0.0 END AS share_previous,
+       cv / total_revenue_current * 100.0 AS share_current
+FROM s WHERE total_revenue_current > 0"""
+_reg("benefit_revenue_share", BEN_SHARE)
+_reg(
+    "benefit_insights",
+    f"""WITH ch AS ({BEN_CHANGES.replace('WITH b AS', 'WITH b0 AS', 0)}
+               ),
+sh AS ({BEN_SHARE}),
+x AS (SELECT * FROM ch WHERE cur_year IN (SELECT cur_year FROM sh))
+"""
+    + rules_sql(
+        "benefits",
+        "x",
+        [
+            ("value_change < -1000.0", "increased_usage", "alert", "More benefit value redeemed", "abs(value_change)"),
+            ("value_change > 1000.0", "decreased_usage", "positive", "Less benefit value redeemed", "value_change"),
+            ("count_change > 100", "more_members", "info", "More benefit redemptions", "count_change"),
+            ("count_change < -100", "fewer_members", "info", "Fewer benefit redemptions", "abs(count_change)"),
+        ],
+    )
+    + f"""
+UNION ALL SELECT 'benefits', 'no_benefit_data', 'info', 'No benefit lines in the current data', cast(NULL AS DOUBLE)
+FROM (SELECT count(*) AS n FROM purchases WHERE {ISBEN}) WHERE n = 0""",
+)
+_reg(
+    "benefit_status_scoped",
+    f"""WITH s AS (SELECT * FROM purchases WHERE cast(disp_category AS VARCHAR) IN ('STANDARD', 'SMALL') AND NOT {ISBEN}),
+st AS (SELECT (SELECT count(*) FROM s WHERE {ISBEN}) AS n,
+              (SELECT count(DISTINCT disp_category) FROM s) < (SELECT count(DISTINCT disp_category) FROM purchases) AS subset,
+              (SELECT coalesce(max(CASE WHEN cast(disp_category AS VARCHAR) = 'Food' THEN 1 ELSE 0 END), 0) FROM s) AS has_focus,
+              (SELECT coalesce(max(CASE WHEN cast(disp_category AS VARCHAR) = 'ProShop' THEN 1 ELSE 0 END), 0) FROM s) AS has_home)
+SELECT 'benefits' AS section,
+       CASE WHEN subset AND has_focus = 1 AND has_home = 0 THEN 'benefit_home_category_missing' ELSE 'no_benefit_data' END AS code,
+       'info' AS severity,
+       CASE WHEN subset AND has_focus = 1 AND has_home = 0 THEN 'Benefit lines exist only in ProShop; it is not selected'
+            ELSE 'No benefit lines in the current data' END AS message,
+       cast(NULL AS DOUBLE) AS value
+FROM st WHERE n = 0""",
+)
+PEN = f"""SELECT {YEAR} AS year, count(DISTINCT invoice_id) AS total_invoices,
+       count(DISTINCT CASE WHEN {ISBEN} THEN invoice_id END) AS bennies_invoices,
+       CASE WHEN count(DISTINCT invoice_id) > 0
+            THEN cast(count(DISTINCT CASE WHEN {ISBEN} THEN invoice_id END) AS DOUBLE) / count(DISTINCT invoice_id) * 100.0
+            ELSE 0.0 END AS penetration_rate
+FROM purchases WHERE {YTD} GROUP BY 1"""
+_reg("benefit_penetration", PEN)
+_reg("benefit_penetration_nulls", PEN, nulls=True)
+PEN_CHANGES = f"""WITH pe AS ({PEN})
+SELECT two.prev_year, two.cur_year, c.penetration_rate AS current_rate, p.penetration_rate AS previous_rate,
+       c.penetration_rate - p.penetration_rate AS rate_change, c.bennies_invoices AS current_bennies_invoices,
+       c.bennies_invoices - p.bennies_invoices AS invoices_change
+FROM {latest_two('pe')}"""
+_reg("penetration_changes", PEN_CHANGES)
+_reg(
+    "penetration_insights",
+    f"""WITH ch0 AS ({PEN_CHANGES}), bc AS ({BEN_CHANGES}),
+ch AS (SELECT *, (SELECT value_change FROM bc) AS value_change FROM ch0)
+"""
+    + rules_sql(
+        "penetration",
+        "ch",
+        [
+            ("rate_change > 2.0", "higher_engagement", "info", "More transactions used benefits", "rate_change"),
+            ("rate_change < -2.0", "lower_engagement", "info", "Fewer transactions used benefits", "abs(rate_change)"),
+            ("current_rate > 15.0", "high_penetration", "positive", "High share of transactions use benefits", "current_rate"),
+            ("current_rate < 5.0", "low_penetration", "warning", "Low share of transactions use benefits", "current_rate"),
+            ("rate_change > 2.0 AND value_change < -1000.0", "double_impact", "alert",
+             "More customers use benefits and redeem more value", "rate_change"),
+        ],
+    ),
+)
+CAT_LINES = f"{YTD} AND disp_category = 'STANDARD'"
+BEN_INV = f"(SELECT invoice_id FROM purchases WHERE {ISBEN} AND invoice_id IS NOT NULL)"
+_reg(
+    "category_with_benefit",
+    f"""SELECT {YEAR} AS year, round_even({MSUM}, 2) AS food_value_with_bennies, count({PRICE}) AS food_items_count,
+       round_even({MEAN}, 2) AS avg_food_item_value, count(DISTINCT invoice_id) AS food_invoices_with_bennies
+FROM purchases WHERE {CAT_LINES} AND invoice_id IN {BEN_INV} GROUP BY 1""",
+)
+_reg(
+    "category_ytd",
+    f"""SELECT {YEAR} AS year, count(DISTINCT invoice_id) AS total_food_invoices, {MSUM} AS total_food_sales
+FROM purchases WHERE {CAT_LINES} GROUP BY 1""",
+)
+CAT_PEN = f"""SELECT {YEAR} AS year, count(DISTINCT invoice_id) AS total_food_invoices,
+       count(DISTINCT CASE WHEN invoice_id IN {BEN_INV} THEN invoice_id END) AS food_invoices_with_bennies,
+       CASE WHEN count(DISTINCT invoice_id) > 0
+            THEN cast(count(DISTINCT CASE WHEN invoice_id IN {BEN_INV} THEN invoice_id END) AS DOUBLE) / count(DISTINCT invoice_id) * 100.0
+            ELSE 0.0 END AS food_penetration
+FROM purchases WHERE {CAT_LINES} GROUP BY 1
+HAVING count(DISTINCT CASE WHEN invoice_id IN {BEN_INV} THEN invoice_id END) > 0"""
+_reg("category_benefit_penetration", CAT_PEN)
+CAT_PEN_CHANGE = f"""WITH cp AS ({CAT_PEN})
+SELECT two.prev_year, two.cur_year, c.food_penetration AS current_rate, p.food_penetration AS previous_rate,
+       c.food_penetration - p.food_penetration AS penetration_change
+FROM {latest_two('cp')}"""
+_reg("category_penetration_change", CAT_PEN_CHANGE)
+_reg(
+    "category_insights",
+    f"""WITH ch AS ({CAT_PEN_CHANGE})
+"""
+    + rules_sql(
+        "category",
+        "ch",
+        [
+            ("penetration_change > 1.0", "more_category_customers", "info",
+             "More category customers use benefits", "penetration_change"),
+            ("penetration_change < -1.0", "fewer_category_customers", "info",
+             "Fewer category customers use benefits", "abs(penetration_change)"),
+            ("current_rate > 10.0", "good_category_adoption", "positive", "Good benefit adoption in the category", "current_rate"),
+            ("current_rate < 5.0", "low_category_adoption", "warning", "Low benefit adoption in the category", "current_rate"),
+        ],
+    ),
+)
+
+# ---------------------------------------------------------------------------
+# products
+PRODUCT_STATS = f"""SELECT revenue_subcategory, product_name, round_even(coalesce(sum(quantity), 0.0), 2) AS total_quantity,
+       round_even({MSUM}, 2) AS total_sales, round_even({MEAN}, 2) AS avg_price,
+       count(DISTINCT invoice_id) AS unique_transactions
+FROM purchases WHERE revenue_subcategory IS NOT NULL AND product_name IS NOT NULL GROUP BY 1, 2"""
+_reg("product_stats", PRODUCT_STATS)
+HIGHLIGHTS = f"""WITH top AS (SELECT revenue_subcategory AS category, {MSUM} AS category_sales FROM purchases
+             WHERE revenue_subcategory IS NOT NULL AND NOT {ISBEN}
+             GROUP BY 1 ORDER BY category_sales DESC NULLS LAST, category LIMIT 10),
+ranked AS (SELECT *, cast(row_number() OVER (ORDER BY category_sales DESC, category) AS INTEGER) AS rank FROM top),
+ps AS ({PRODUCT_STATS}),
+best AS (SELECT *, row_number() OVER (PARTITION BY revenue_subcategory ORDER BY total_quantity DESC, product_name) AS rn
+         FROM ps WHERE revenue_subcategory IN (SELECT category FROM top))
+SELECT r.rank, r.category, b.product_name AS product, cast(trunc(b.total_quantity) AS BIGINT) AS qty_sold,
+       b.total_sales, '$' || format('{{:,.0f}}', b.total_sales) AS total_sales_text,
+       b.avg_price, printf('$%.2f', b.avg_price) AS avg_price_text, b.unique_transactions AS transactions,
+       r.category_sales, '$' || format('{{:,.0f}}', r.category_sales) AS category_sales_text
+FROM ranked r JOIN best b ON b.revenue_subcategory = r.category AND b.rn = 1"""
+_reg("product_highlights", HIGHLIGHTS)
+_reg("product_highlights_nulls", HIGHLIGHTS, nulls=True)
+_reg(
+    "highlight_leaders",
+    f"""WITH h AS ({HIGHLIGHTS.replace('WITH top AS', 'WITH top AS', 1)})
+(SELECT 'best_seller' AS leader, category, product, cast(qty_sold AS DOUBLE) AS value FROM h ORDER BY qty_sold DESC, rank LIMIT 1)
+UNION ALL (SELECT 'top_revenue', category, product, round_even(total_sales, 0) FROM h ORDER BY round_even(total_sales, 0) DESC, rank LIMIT 1)
+UNION ALL (SELECT 'most_popular', category, product, cast(transactions AS DOUBLE) FROM h ORDER BY transactions DESC, rank LIMIT 1)""",
+)
+
+# ---------------------------------------------------------------------------
+# vendors
+VENDORS = f"""SELECT vendor_name, total_sales, transaction_count, avg_transaction, total_cost, profit,
+       {pct('profit', 'total_sales', 1)} AS profit_margin
+FROM (SELECT vendor_name, {MSUM} AS total_sales, count({PRICE}) AS transaction_count, {MEAN} AS avg_transaction,
+             {CSUM} AS total_cost, cast(coalesce(sum({PRICE}), 0) - coalesce(sum(unit_cost), 0) AS DOUBLE) AS profit
+      FROM purchases WHERE vendor_name IS NOT NULL GROUP BY 1)"""
+_reg("vendor_performance", VENDORS)
+_reg("vendor_performance_nulls", VENDORS, nulls=True)
+CONC = f"""WITH pv AS (SELECT vendor_name, coalesce(sum({PRICE}), 0) AS s FROM purchases WHERE vendor_name IS NOT NULL GROUP BY 1),
+top AS (SELECT * FROM pv ORDER BY s DESC, vendor_name LIMIT 1),
+t5 AS (SELECT cast(coalesce(sum(s), 0) AS DOUBLE) AS t FROM (SELECT s FROM pv ORDER BY s DESC, vendor_name LIMIT 5)),
+tot AS (SELECT {MSUM} AS total FROM purchases)
+SELECT (SELECT count(*) FROM pv) AS total_vendors,
+       CASE WHEN length(top.vendor_name) > 15 THEN substr(top.vendor_name, 1, 15) || '...' ELSE top.vendor_name END AS top_vendor,
+       cast(top.s AS DOUBLE) AS top_vendor_sales, t5.t AS top5_sales,
+       CASE WHEN tot.total > 0 THEN t5.t / tot.total * 100.0 ELSE 0.0 END AS top5_share
+FROM top, t5, tot"""
+_reg("vendor_concentration", CONC)
+_reg("vendor_concentration_nulls", CONC, nulls=True)
+
+
+def top_vendors_sql(by: str, n: int, min_txns: int = 0, cols: str = "*") -> str:
+    return f"""WITH v AS ({VENDORS})
+SELECT {cols} FROM v WHERE transaction_count >= {min_txns} ORDER BY {by} DESC NULLS LAST, vendor_name LIMIT {n}"""
+
+
+_reg("top_vendors_by_sales", top_vendors_sql("total_sales", 15))
+_reg("top_vendors_by_count", top_vendors_sql("transaction_count", 15))
+_reg("top_vendors_by_profit", top_vendors_sql("profit", 15))
+_reg("top_vendors_by_margin", top_vendors_sql("profit_margin", 15, 10))
+_reg("top_vendors_by_avg", top_vendors_sql("avg_transaction", 15, 5))
+_reg("vendor_scatter", top_vendors_sql("total_sales", 20))
+_reg(
+    "vendor_detail",
+    top_vendors_sql("total_sales", 30, cols="vendor_name, total_sales, transaction_count, avg_transaction, profit, profit_margin"),
+)
