@@ -19,7 +19,9 @@ from ..operators import products as prd
 from ..operators import rollups as ru
 from ..operators import vendors as ven
 from ..operators import yoy
-from ..sources.star import purchases
+from ..functions import constants as K
+from ..sources import clean, publish
+from ..sources.star import checkins, purchases
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -95,10 +97,36 @@ def _benefit_status_scoped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ins.benefit_status(scoped.where(~is_benefit("revenue_subcategory", FIXTURE_PATTERN)), p, FIXTURE_PATTERN)
 
 
+def _text_purchases(df: DataFrame) -> DataFrame:
+    """The fact as an exported sheet would hold it: padded names, dates and
+    prices as text (cost too, which the name rule must leave alone)."""
+    from pyspark.sql import functions as F
+
+    return df.select(
+        F.date_format("purchase_date", "yyyy-MM-dd HH:mm:ss").alias(" purchase_date "),
+        F.col(K.INVOICE).alias(f"{K.INVOICE} "),
+        F.concat(F.lit(" "), F.col(K.PRICE).cast("string"), F.lit(" ")).alias(K.PRICE),
+        F.col(K.COST).cast("string").alias(K.COST),
+    )
+
+
+def _preprocess_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clean.preprocess(_text_purchases(_p(spark, sf_dir)))
+
+
+def _checkins_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clean.preprocess(checkins(spark, sf_dir))
+
+
 B = {"pattern": FIXTURE_PATTERN}
 BC = {"pattern": FIXTURE_PATTERN, "category": FIXTURE_CATEGORY}
 
 QUERIES: dict[str, Query] = {
+    # sources, cleaning, sinks
+    "preprocess_roundtrip": _preprocess_roundtrip,
+    "checkins_clean": _checkins_clean,
+    "sample_rows": _on(_p, publish.sample_rows, n=100),
+    "fingerprint": _on(_p, publish.fingerprint),
     # KPIs and extents
     "sales_kpis": _on(_p, ru.sales_kpis),
     "sales_kpis_nulls": _on(_pn, ru.sales_kpis),

@@ -582,3 +582,18 @@ _reg(
     "vendor_detail",
     top_vendors_sql("total_sales", 30, cols="vendor_name, total_sales, transaction_count, avg_transaction, profit, profit_margin"),
 )
+
+# ---------------------------------------------------------------------------
+# sources, cleaning, sinks
+_reg(
+    "preprocess_roundtrip",
+    f"""SELECT purchase_date, invoice_id, cast({PRICE} AS DOUBLE) AS {PRICE}, cast(unit_cost AS VARCHAR) AS unit_cost
+FROM purchases""",
+)
+ORACLES["checkins_clean"] = "SELECT * FROM events"
+_reg(
+    "sample_rows",
+    """SELECT * FROM purchases ORDER BY purchase_date NULLS FIRST, invoice_id NULLS FIRST, store_location NULLS FIRST,
+disp_category NULLS FIRST, revenue_subcategory NULLS FIRST, product_name NULLS FIRST, vendor_name NULLS FIRST,
+quantity NULLS FIRST, purchase_price_w_discount NULLS FIRST, unit_cost NULLS FIRST LIMIT 100""",
+)

@@ -1,5 +1,24 @@
 """Sources (star-schema fixture, table readers, cleaning) and sinks."""
 
+from .clean import clean_columns, coerce_dates, coerce_numbers, preprocess
+from .publish import fingerprint, latest_version, multiset_equal, publish_if_changed, sample_rows
+from .readers import list_tables, read_sales, resolve_source, select_table
 from .star import checkins, purchases
 
-__all__ = ["checkins", "purchases"]
+__all__ = [
+    "checkins",
+    "clean_columns",
+    "coerce_dates",
+    "coerce_numbers",
+    "fingerprint",
+    "latest_version",
+    "list_tables",
+    "multiset_equal",
+    "preprocess",
+    "publish_if_changed",
+    "purchases",
+    "read_sales",
+    "resolve_source",
+    "sample_rows",
+    "select_table",
+]
