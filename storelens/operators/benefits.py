@@ -28,12 +28,12 @@ from ..functions.exprs import (
     ytd_mask,
 )
 from ..functions.roles import ColumnRoles, roles_of
-from .filters import as_of_date
+from .filters import as_of_column
 from .yoy import latest_two_years, ytd_metrics
 
 
 def _as_of(df: DataFrame, r: ColumnRoles, as_of):
-    return as_of if as_of is not None else as_of_date(df, r)
+    return as_of_column(df, as_of, r)
 
 
 def _ytd(df: DataFrame, r: ColumnRoles, as_of) -> DataFrame:

@@ -168,8 +168,16 @@ def as_of_date(df: DataFrame, roles: ColumnRoles | None = None) -> Column:
     return df.select(F.max(r.date).alias("as_of")).scalar()
 
 
+def as_of_column(df: DataFrame, as_of=None, roles: ColumnRoles | None = None) -> Column:
+    """``as_of`` as a column: the latest date when None, a literal for a
+    date/datetime/text value, unchanged when already a Column."""
+    r = roles_of(df, roles, "date")
+    if as_of is None:
+        return as_of_date(df, r)
+    return as_of if isinstance(as_of, Column) else _ts_literal(df, r.date, as_of)
+
+
 def year_to_date(df: DataFrame, as_of=None, roles: ColumnRoles | None = None) -> DataFrame:
     """FLT-8: same month/day window as ``as_of`` (default: latest date) in every year."""
     r = roles_of(df, roles, "date")
-    a = as_of_date(df, r) if as_of is None else (as_of if isinstance(as_of, Column) else _ts_literal(df, r.date, as_of))
-    return df.where(ytd_mask(r.date, a))
+    return df.where(ytd_mask(r.date, as_of_column(df, as_of, r)))

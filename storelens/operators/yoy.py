@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import half_even, mean, money_sum, pct_change, percent
 from ..functions.roles import ColumnRoles, roles_of
-from .filters import as_of_date, year_to_date
+from .filters import as_of_column, year_to_date
 from .rollups import quarterly_profit
 
 
@@ -35,7 +35,7 @@ def ytd_metrics(df: DataFrame, as_of=None, roles: ColumnRoles | None = None) ->
     count, cost, average cost (rounded to 2 first), then profit, margin (2)
     and profit per sale (2) from the rounded values."""
     r = roles_of(df, roles, "date", "price", "cost")
-    ytd = year_to_date(df.where(F.col(r.date).isNotNull()), as_of if as_of is not None else as_of_date(df, r), r)
+    ytd = year_to_date(df.where(F.col(r.date).isNotNull()), as_of_column(df, as_of, r), r)
     return (
         ytd.groupBy(F.year(r.date).alias("year"))
         .agg(
