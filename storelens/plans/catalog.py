@@ -21,7 +21,7 @@ from ..operators import vendors as ven
 from ..operators import yoy
 from ..functions import constants as K
 from ..sources import clean, publish
-from ..sources.star import checkins, purchases
+from ..sources.star import checkins, fact
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -36,11 +36,11 @@ FIXTURE_RANGE = ("1997-01-01", "1998-12-31")
 
 
 def _p(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return purchases(spark, sf_dir)
+    return fact(spark, sf_dir)
 
 
 def _pn(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return purchases(spark, sf_dir, nulls=True)
+    return fact(spark, sf_dir, nulls=True)
 
 
 def _on(fact, op, **kw) -> Query:
