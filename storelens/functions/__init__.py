@@ -10,6 +10,7 @@ from .exprs import (
     mean,
     money_sum,
     money_text,
+    month_day_key,
     parse_money,
     pct_change,
     percent,
@@ -37,6 +38,7 @@ __all__ = [
     "mean",
     "money_sum",
     "money_text",
+    "month_day_key",
     "parse_money",
     "pct_change",
     "percent",

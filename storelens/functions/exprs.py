@@ -113,7 +113,16 @@ def first_word(c: str | Column) -> Column:
     return F.split(col(c), " ").getItem(0)
 
 
-def ytd_mask(date: str | Column, as_of: str | Column) -> Column:
-    """Same month/day window as ``as_of`` in every year (leap day safe)."""
-    d, a = col(date), col(as_of)
-    return (F.month(d) < F.month(a)) | ((F.month(d) == F.month(a)) & (F.dayofmonth(d) <= F.dayofmonth(a)))
+def month_day_key(c: str | Column) -> Column:
+    """``month * 100 + day``: orders dates by their place in the calendar year."""
+    return F.month(col(c)) * 100 + F.dayofmonth(col(c))
+
+
+def ytd_mask(date: str | Column, as_of_key: str | Column) -> Column:
+    """Same month/day window as the as-of date in every year (leap day safe).
+
+    ``month < M or (month = M and day <= D)`` is ``month*100+day <= M*100+D``
+    (days are < 100), so the as-of date is referenced once: one scalar
+    subquery, one extra scan, whatever the caller passes.
+    """
+    return month_day_key(date) <= col(as_of_key)

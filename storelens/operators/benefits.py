@@ -28,16 +28,12 @@ from ..functions.exprs import (
     ytd_mask,
 )
 from ..functions.roles import ColumnRoles, roles_of
-from .filters import as_of_column
-from .yoy import latest_two_years, ytd_metrics
-
-
-def _as_of(df: DataFrame, r: ColumnRoles, as_of):
-    return as_of_column(df, as_of, r)
+from .filters import as_of_key
+from .yoy import latest_two_years
 
 
 def _ytd(df: DataFrame, r: ColumnRoles, as_of) -> DataFrame:
-    return df.where(F.col(r.date).isNotNull() & ytd_mask(r.date, _as_of(df, r, as_of)))
+    return df.where(F.col(r.date).isNotNull() & ytd_mask(r.date, as_of_key(df, as_of, r)))
 
 
 def benefit_lines(df: DataFrame, pattern: str = K.BENEFIT_PATTERN, roles: ColumnRoles | None = None) -> DataFrame:
@@ -45,25 +41,44 @@ def benefit_lines(df: DataFrame, pattern: str = K.BENEFIT_PATTERN, roles: Column
     return df.where(is_benefit(r.subcategory, pattern))
 
 
-def benefit_ytd(
+def benefit_year_summary(
     df: DataFrame, pattern: str = K.BENEFIT_PATTERN, as_of=None, roles: ColumnRoles | None = None
 ) -> DataFrame:
-    """BEN-1: benefit value, count, mean, cost (rounded 2) and profit impact per year, YTD."""
+    """Per year, over the YTD rows, in one aggregation: total revenue (rounded
+    2, as YTD-1) and the benefit lines' value, count, mean, cost (rounded 2)
+    and profit impact; ``benefit_lines`` counts them (0 = no benefit year)."""
     r = roles_of(df, roles, "date", "subcategory", "price")
-    rows = _ytd(df, r, as_of).where(is_benefit(r.subcategory, pattern))
-    cost = half_even(money_sum(r.cost), 2) if r.cost else F.lit(0.0)
+    b = is_benefit(r.subcategory, pattern)
+    value = F.when(b, F.col(r.price))
+    cost = half_even(money_sum(F.when(b, F.col(r.cost))), 2) if r.cost else F.lit(0.0)
     return (
-        rows.groupBy(F.year(r.date).alias("year"))
+        _ytd(df, r, as_of)
+        .groupBy(F.year(r.date).alias("year"))
         .agg(
-            half_even(money_sum(r.price), 2).alias("total_bennies_value"),
-            F.count(r.price).alias("bennies_count"),
-            half_even(mean(r.price), 2).alias("avg_bennie_value"),
+            half_even(money_sum(r.price), 2).alias("total_revenue"),
+            F.count(F.when(b, F.lit(1))).alias("benefit_lines"),
+            half_even(money_sum(value), 2).alias("total_bennies_value"),
+            F.count(value).alias("bennies_count"),
+            half_even(mean(value), 2).alias("avg_bennie_value"),
             cost.alias("total_bennies_cost"),
         )
         .withColumn("bennies_profit_impact", F.col("total_bennies_value") - F.col("total_bennies_cost"))
     )
 
 
+def benefit_ytd(
+    df: DataFrame, pattern: str = K.BENEFIT_PATTERN, as_of=None, roles: ColumnRoles | None = None
+) -> DataFrame:
+    """BEN-1: benefit value, count, mean, cost (rounded 2) and profit impact
+    per year, YTD (years with at least one benefit line)."""
+    return (
+        benefit_year_summary(df, pattern, as_of, roles)
+        .where(F.col("benefit_lines") > 0)
+        .select("year", "total_bennies_value", "bennies_count", "avg_bennie_value", "total_bennies_cost",
+                "bennies_profit_impact")
+    )
+
+
 def benefit_monthly(df: DataFrame, pattern: str = K.BENEFIT_PATTERN, roles: ColumnRoles | None = None) -> DataFrame:
     """BEN-2: benefit value per month over all dates."""
     r = roles_of(df, roles, "date", "subcategory", "price")
@@ -75,23 +90,22 @@ def benefit_monthly(df: DataFrame, pattern: str = K.BENEFIT_PATTERN, roles: Colu
     )
 
 
-def benefit_changes(
-    df: DataFrame, pattern: str = K.BENEFIT_PATTERN, as_of=None, roles: ColumnRoles | None = None
-) -> DataFrame:
-    """YOY-5: change of benefit value, count and profit impact, latest vs. previous year.
-
-    ``direction`` is 'more' redeemed when the value fell (redemptions are
-    negative amounts), else 'less'.
-    """
-    two = latest_two_years(
-        benefit_ytd(df, pattern, as_of, roles), ["total_bennies_value", "bennies_count", "bennies_profit_impact"]
+def _benefit_two_years(df: DataFrame, pattern: str, as_of, roles) -> DataFrame:
+    """Latest and previous benefit year of the YTD summary, one row."""
+    years = benefit_year_summary(df, pattern, as_of, roles).where(F.col("benefit_lines") > 0)
+    return latest_two_years(
+        years, ["total_bennies_value", "bennies_count", "bennies_profit_impact", "total_revenue"]
     )
+
+
+def _changes(two: DataFrame) -> DataFrame:
     return two.select(
         "prev_year",
         "cur_year",
         (F.col("cur_total_bennies_value") - F.col("prev_total_bennies_value")).alias("value_change"),
         (F.col("cur_bennies_count") - F.col("prev_bennies_count")).alias("count_change"),
         (F.col("cur_bennies_profit_impact") - F.col("prev_bennies_profit_impact")).alias("profit_impact_change"),
+        F.col("cur_total_revenue"),
     ).select(
         "*",
         F.abs("value_change").alias("abs_value_change"),
@@ -99,36 +113,41 @@ def benefit_changes(
     )
 
 
+def benefit_changes(
+    df: DataFrame, pattern: str = K.BENEFIT_PATTERN, as_of=None, roles: ColumnRoles | None = None
+) -> DataFrame:
+    """YOY-5: change of benefit value, count and profit impact, latest vs. previous year.
+
+    ``direction`` is 'more' redeemed when the value fell (redemptions are
+    negative amounts), else 'less'.
+    """
+    return _changes(_benefit_two_years(df, pattern, as_of, roles)).drop("cur_total_revenue")
+
+
+def benefit_changes_with_revenue(
+    df: DataFrame, pattern: str = K.BENEFIT_PATTERN, as_of=None, roles: ColumnRoles | None = None
+) -> DataFrame:
+    """YOY-5 plus the latest year's YTD revenue (the rules' precondition)."""
+    return _changes(_benefit_two_years(df, pattern, as_of, roles))
+
+
 def benefit_revenue_share(
     df: DataFrame, pattern: str = K.BENEFIT_PATTERN, as_of=None, roles: ColumnRoles | None = None
 ) -> DataFrame:
     """YOY-6: benefit value as % of YTD revenue for the two latest benefit years.
 
     Produced only when the latest year's revenue is > 0; the previous share
-    is 0 when that year's revenue is not > 0.
+    is 0 when that year's revenue is not > 0.  Revenue and benefit value come
+    from the same one-pass summary.
     """
-    r = roles_of(df, roles, "date", "subcategory", "price", "cost")
-    a = _as_of(df, r, as_of)
-    two = latest_two_years(benefit_ytd(df, pattern, a, r), ["total_bennies_value"])
-    rev = ytd_metrics(df, a, r).select("year", "total_revenue")
-    cur = rev.select(F.col("year").alias("cur_year"), F.col("total_revenue").alias("cur_rev"))
-    prev = rev.select(F.col("year").alias("prev_year"), F.col("total_revenue").alias("prev_rev"))
-    j = two.join(cur, "cur_year", "left").join(prev, "prev_year", "left")
-    j = j.select(
-        "prev_year",
-        "cur_year",
-        F.coalesce("prev_rev", F.lit(0.0)).alias("total_revenue_previous"),
-        F.coalesce("cur_rev", F.lit(0.0)).alias("total_revenue_current"),
-        "prev_total_bennies_value",
-        "cur_total_bennies_value",
-    ).where(F.col("total_revenue_current") > 0)
-    return j.select(
+    two = _benefit_two_years(df, pattern, as_of, roles).where(F.col("cur_total_revenue") > 0)
+    return two.select(
         "prev_year",
         "cur_year",
-        "total_revenue_previous",
-        "total_revenue_current",
-        percent_or_zero("prev_total_bennies_value", "total_revenue_previous").alias("share_previous"),
-        (ratio("cur_total_bennies_value", "total_revenue_current") * 100.0).alias("share_current"),
+        F.col("prev_total_revenue").alias("total_revenue_previous"),
+        F.col("cur_total_revenue").alias("total_revenue_current"),
+        percent_or_zero("prev_total_bennies_value", "prev_total_revenue").alias("share_previous"),
+        (ratio("cur_total_bennies_value", "cur_total_revenue") * 100.0).alias("share_current"),
     )
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
-from ..functions.exprs import ytd_mask
+from ..functions.exprs import month_day_key, ytd_mask
 from ..functions.roles import ColumnRoles, roles_of
 
 # A user-given membership list longer than this is joined (broadcast semi
@@ -71,19 +71,24 @@ def date_range(
         raise ValueError("end_inclusive must be 'midnight' or 'day'")
     r = roles_of(df, roles, "date")
     d = F.col(r.date)
-    lo = _ts_literal(df, r.date, start) if start is not None else _day_bound(df, r.date, F.min)
+    # Midnight of the first day is <= every date, so the default start bound
+    # only removes nulls and needs no scan.
+    lo = (d >= _ts_literal(df, r.date, start)) if start is not None else d.isNotNull()
     hi = _ts_literal(df, r.date, end) if end is not None else _day_bound(df, r.date, F.max)
     if end_inclusive == "day":
-        return df.where((d >= lo) & (d < hi + F.expr("INTERVAL 1 DAY")))
-    return df.where((d >= lo) & (d <= hi))
+        return df.where(lo & (d < hi + F.expr("INTERVAL 1 DAY")))
+    return df.where(lo & (d <= hi))
 
 
 def last_n_days(df: DataFrame, n: int, roles: ColumnRoles | None = None) -> DataFrame:
     """FLT-2: the ``n`` days before the last day present (midnight bounds)."""
     r = roles_of(df, roles, "date")
-    d = F.col(r.date)
     hi = _day_bound(df, r.date, F.max)
-    return df.where((d >= hi - F.make_dt_interval(days=F.lit(n))) & (d <= hi))
+    # 0 <= hi - d <= n days  <=>  |2 (hi - d) - n days| <= n days  (in
+    # microseconds): the bound subquery is referenced once, so it runs once.
+    span = n * 86_400_000_000
+    behind = F.timestamp_diff("MICROSECOND", F.col(r.date), hi)
+    return df.where(F.abs(behind * 2 - F.lit(span)) <= F.lit(span))
 
 
 def all_time(df: DataFrame, roles: ColumnRoles | None = None) -> DataFrame:
@@ -168,16 +173,20 @@ def as_of_date(df: DataFrame, roles: ColumnRoles | None = None) -> Column:
     return df.select(F.max(r.date).alias("as_of")).scalar()
 
 
-def as_of_column(df: DataFrame, as_of=None, roles: ColumnRoles | None = None) -> Column:
-    """``as_of`` as a column: the latest date when None, a literal for a
-    date/datetime/text value, unchanged when already a Column."""
+def as_of_key(df: DataFrame, as_of=None, roles: ColumnRoles | None = None) -> Column:
+    """The as-of date's ``month*100+day`` key (see :func:`ytd_mask`).
+
+    None: one scalar subquery over ``df``'s latest date; a date, datetime or
+    text: a literal; a Column: that column's key.  Use the result once.
+    """
     r = roles_of(df, roles, "date")
     if as_of is None:
-        return as_of_date(df, r)
-    return as_of if isinstance(as_of, Column) else _ts_literal(df, r.date, as_of)
+        return df.select(month_day_key(F.max(r.date))).scalar()
+    a = as_of if isinstance(as_of, Column) else _ts_literal(df, r.date, as_of)
+    return month_day_key(a)
 
 
 def year_to_date(df: DataFrame, as_of=None, roles: ColumnRoles | None = None) -> DataFrame:
     """FLT-8: same month/day window as ``as_of`` (default: latest date) in every year."""
     r = roles_of(df, roles, "date")
-    return df.where(ytd_mask(r.date, as_of_column(df, as_of, r)))
+    return df.where(ytd_mask(r.date, as_of_key(df, as_of, r)))

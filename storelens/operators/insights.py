@@ -14,11 +14,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
+from ..functions.exprs import is_benefit
 from ..functions.roles import ColumnRoles, roles_of
 from .benefits import (
     benefit_changes,
-    benefit_lines,
-    benefit_revenue_share,
+    benefit_changes_with_revenue,
     category_penetration_change,
     penetration_changes,
 )
@@ -93,10 +93,7 @@ def benefit_insights(
     revenue is > 0; with no benefit line at all, one status row explains it
     (naming the benefit's home category when the selection lacks it)."""
     r = roles_of(df, roles, "date", "subcategory", "price")
-    ch = benefit_changes(df, pattern, as_of, r)
-    share = benefit_revenue_share(df, pattern, as_of, r) if r.cost else None
-    if share is not None:
-        ch = ch.join(share.select("cur_year"), "cur_year", "left_semi")
+    ch = benefit_changes_with_revenue(df, pattern, as_of, r).where(F.col("cur_total_revenue") > 0)
     c = F.col
     rules = [
         Rule(c("value_change") < -value_threshold, "increased_usage", "alert",
@@ -118,31 +115,29 @@ def benefit_status(
 ) -> DataFrame:
     """INS-6: one row when the input has no benefit line, else none."""
     r = roles_of(df, roles, "subcategory")
-    n = benefit_lines(df, pattern, r).agg(F.count(F.lit(1)).alias("n"))
+    aggs = [F.count(F.when(is_benefit(r.subcategory, pattern), F.lit(1))).alias("n")]
     rules = [
         Rule(c_eq0(), "no_benefit_data", "info", "No benefit lines in the current data", F.lit(None)),
     ]
-    if original is not None and r.category:
+    with_scope = original is not None and r.category is not None
+    if with_scope:
         cat = F.col(r.category).cast("string")
-        chosen = df.agg(
+        aggs += [
             F.count_distinct(cat).alias("k"),
-            F.max((cat == F.lit(K.FOCUS_CATEGORY)).cast("int")).alias("has_focus"),
-            F.max((cat == F.lit(K.BENEFIT_HOME_CATEGORY)).cast("int")).alias("has_home"),
-        )
+            F.coalesce(F.max((cat == F.lit(K.FOCUS_CATEGORY)).cast("int")), F.lit(0)).alias("has_focus"),
+            F.coalesce(F.max((cat == F.lit(K.BENEFIT_HOME_CATEGORY)).cast("int")), F.lit(0)).alias("has_home"),
+        ]
+    one = df.agg(*aggs)  # one pass over the input for every flag
+    if with_scope:
         k_all = original.agg(F.count_distinct(cat)).scalar()
-        n = n.select(
-            "n",
-            (chosen.select("k").scalar() < k_all).alias("subset"),
-            F.coalesce(chosen.select("has_focus").scalar(), F.lit(0)).alias("has_focus"),
-            F.coalesce(chosen.select("has_home").scalar(), F.lit(0)).alias("has_home"),
-        )
+        one = one.withColumn("subset", F.col("k") < k_all)
         hint = c_eq0() & F.col("subset") & (F.col("has_focus") == 1) & (F.col("has_home") == 0)
         rules = [
             Rule(hint, "benefit_home_category_missing", "info",
                  f"Benefit lines exist only in {K.BENEFIT_HOME_CATEGORY}; it is not selected", F.lit(None)),
             Rule(c_eq0() & ~hint, "no_benefit_data", "info", "No benefit lines in the current data", F.lit(None)),
         ]
-    return apply_rules(n, "benefits", rules)
+    return apply_rules(one, "benefits", rules)
 
 
 def c_eq0() -> Column:

@@ -32,6 +32,13 @@ def _desc_then(key: str, by: str):
     return [F.desc_nulls_last(by), F.asc(key)]
 
 
+def _sorted_few(df: DataFrame, *order) -> DataFrame:
+    """Sort a result whose row count is bounded by the calendar (24 hours,
+    7 weekdays, 4 day-parts) inside one partition: no range exchange and no
+    sampling job.  Open-ended keys (vendors, products) use a global sort."""
+    return df.coalesce(1).sortWithinPartitions(*order)
+
+
 def sales_kpis(df: DataFrame, roles: ColumnRoles | None = None) -> DataFrame:
     """KPI-1: total sales, transactions (rows), average basket."""
     r = roles_of(df, roles)
@@ -210,9 +217,7 @@ def _with_hour(df: DataFrame, r: ColumnRoles) -> DataFrame:
     return df.where(F.col(r.date).isNotNull()).withColumn("hour", F.hour(r.date))
 
 
-def hourly_sales(df: DataFrame, roles: ColumnRoles | None = None) -> DataFrame:
-    """HR-1: sales, count and mean per hour, with day-part and ``HH:00`` labels."""
-    r = roles_of(df, roles, "date", "price")
+def _hourly(df: DataFrame, r: ColumnRoles) -> DataFrame:
     return (
         _with_hour(df, r)
         .groupBy("hour")
@@ -221,33 +226,40 @@ def hourly_sales(df: DataFrame, roles: ColumnRoles | None = None) -> DataFrame:
             F.count(r.price).alias("transaction_count"),
             mean(r.price).alias("avg_transaction"),
         )
-        .withColumn("time_period", daypart("hour"))
-        .withColumn("hour_display", hour_label("hour"))
-        .orderBy("hour")
     )
 
 
-def daypart_sales(df: DataFrame, roles: ColumnRoles | None = None) -> DataFrame:
-    """HR-2: sales and count per day-part, by sales."""
-    r = roles_of(df, roles, "date", "price")
+def _dayparts(df: DataFrame, r: ColumnRoles) -> DataFrame:
     return (
         _with_hour(df, r)
         .groupBy(daypart("hour").alias("time_period"))
         .agg(money_sum(r.price).alias("total_sales"), F.count(r.price).alias("transaction_count"))
-        .orderBy(*_desc_then("time_period", "total_sales"))
     )
 
 
+def hourly_sales(df: DataFrame, roles: ColumnRoles | None = None) -> DataFrame:
+    """HR-1: sales, count and mean per hour, with day-part and ``HH:00`` labels."""
+    r = roles_of(df, roles, "date", "price")
+    out = _hourly(df, r).withColumn("time_period", daypart("hour")).withColumn("hour_display", hour_label("hour"))
+    return _sorted_few(out, "hour")
+
+
+def daypart_sales(df: DataFrame, roles: ColumnRoles | None = None) -> DataFrame:
+    """HR-2: sales and count per day-part, by sales."""
+    r = roles_of(df, roles, "date", "price")
+    return _sorted_few(_dayparts(df, r), *_desc_then("time_period", "total_sales"))
+
+
 def weekday_sales(df: DataFrame, roles: ColumnRoles | None = None) -> DataFrame:
     """DOW-1: sales and count per weekday, Monday (0) first."""
     r = roles_of(df, roles, "date", "price")
     d = F.col(r.date)
-    return (
+    out = (
         df.where(d.isNotNull())
         .groupBy(F.date_format(d, "EEEE").alias("day_of_week"), F.weekday(d).alias("day_num"))
         .agg(money_sum(r.price).alias("total_sales"), F.count(r.price).alias("transaction_count"))
-        .orderBy("day_num")
     )
+    return _sorted_few(out, "day_num")
 
 
 def peak_time(df: DataFrame, roles: ColumnRoles | None = None) -> DataFrame:
@@ -256,8 +268,8 @@ def peak_time(df: DataFrame, roles: ColumnRoles | None = None) -> DataFrame:
     Arg-max over the (at most 24 / 4 row) rollups with ``min(struct)``: a
     plain aggregate, no sort of the data.  No rows when there is no data.
     """
-    hours = hourly_sales(df, roles)
-    best_hour = hours.agg(
+    r = roles_of(df, roles, "date", "price")
+    best_hour = _hourly(df, r).agg(
         F.min(
             F.struct(
                 (-F.col("total_sales")).alias("k"),
@@ -269,7 +281,7 @@ def peak_time(df: DataFrame, roles: ColumnRoles | None = None) -> DataFrame:
         ).alias("b")
     ).select("b.hour", "b.total_sales", "b.transaction_count", "b.avg_transaction")
     best_period = (
-        daypart_sales(df, roles)
+        _dayparts(df, r)
         .agg(F.min(F.struct((-F.col("total_sales")).alias("k"), F.col("time_period"))).alias("p"))
         .select(first_word(F.col("p.time_period")))
         .scalar()

@@ -8,12 +8,12 @@ The two latest years are found with a top-2 sort of those aggregated rows
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import half_even, mean, money_sum, pct_change, percent
 from ..functions.roles import ColumnRoles, roles_of
-from .filters import as_of_column, year_to_date
+from .filters import year_to_date
 from .rollups import quarterly_profit
 
 
@@ -35,7 +35,7 @@ def ytd_metrics(df: DataFrame, as_of=None, roles: ColumnRoles | None = None) ->
     count, cost, average cost (rounded to 2 first), then profit, margin (2)
     and profit per sale (2) from the rounded values."""
     r = roles_of(df, roles, "date", "price", "cost")
-    ytd = year_to_date(df.where(F.col(r.date).isNotNull()), as_of_column(df, as_of, r), r)
+    ytd = year_to_date(df.where(F.col(r.date).isNotNull()), as_of, r)
     return (
         ytd.groupBy(F.year(r.date).alias("year"))
         .agg(
@@ -91,38 +91,36 @@ def yoy_quarterly(df: DataFrame, roles: ColumnRoles | None = None) -> DataFrame:
     0.  A margin cell over zero revenue is 0; if it stood for +/-inf (profit
     not 0) the margin change is 0 too, as in the reference.
     """
-    q = quarterly_profit(df, roles).withColumn(
-        "inf_margin", (F.col("revenue") == 0) & (F.col("profit") != 0)
+    q = quarterly_profit(df, roles).withColumn("inf_margin", (F.col("revenue") == 0) & (F.col("profit") != 0))
+    # q holds one row per (year, quarter): an unpartitioned window over it is
+    # bounded by the calendar, not by the data.
+    top = q.withColumn("yr", F.dense_rank().over(Window.orderBy(F.desc("year")))).where(F.col("yr") <= 2)
+
+    def pick(rank: int, c: str):
+        return F.max(F.when(F.col("yr") == rank, F.col(c)))
+
+    per_q = top.groupBy("quarter").agg(
+        pick(2, "profit").alias("p_profit"),
+        pick(1, "profit").alias("c_profit"),
+        pick(2, "profit_margin").alias("p_margin"),
+        pick(1, "profit_margin").alias("c_margin"),
+        F.coalesce(pick(2, "inf_margin"), F.lit(False)).alias("p_inf"),
+        F.coalesce(pick(1, "inf_margin"), F.lit(False)).alias("c_inf"),
     )
-    years = latest_two_years(q.select("year").distinct(), [])
-    cur_y = years.select("cur_year").scalar()
-    prev_y = years.select("prev_year").scalar()
-
-    def pick(year, c):
-        return F.max(F.when(F.col("year") == year, F.col(c)))
-
-    per_q = q.groupBy("quarter").agg(
-        pick(prev_y, "profit").alias("p_profit"),
-        pick(cur_y, "profit").alias("c_profit"),
-        pick(prev_y, "profit_margin").alias("p_margin"),
-        pick(cur_y, "profit_margin").alias("c_margin"),
-        F.coalesce(pick(prev_y, "inf_margin"), F.lit(False)).alias("p_inf"),
-        F.coalesce(pick(cur_y, "inf_margin"), F.lit(False)).alias("c_inf"),
+    grid = (
+        top.agg(F.max("year").alias("cur_year"), F.min("year").alias("prev_year"))
+        .where(F.col("cur_year") != F.col("prev_year"))
+        .select("prev_year", "cur_year", F.explode(F.array(*[F.lit(i) for i in (1, 2, 3, 4)])).alias("quarter"))
     )
-    quarters = df.sparkSession.range(1, 5).select(F.col("id").cast("int").alias("quarter"))
-    t = (
-        quarters.join(per_q, "quarter", "left")
-        .select(
-            F.concat(F.lit("Q"), F.col("quarter").cast("string")).alias("quarter"),
-            prev_y.alias("prev_year"),
-            cur_y.alias("cur_year"),
-            F.coalesce("p_profit", F.lit(0.0)).alias("prev_profit"),
-            F.coalesce("c_profit", F.lit(0.0)).alias("cur_profit"),
-            F.coalesce("p_margin", F.lit(0.0)).alias("prev_margin"),
-            F.coalesce("c_margin", F.lit(0.0)).alias("cur_margin"),
-            (F.coalesce("p_inf", F.lit(False)) | F.coalesce("c_inf", F.lit(False))).alias("_inf"),
-        )
-        .where(F.col("cur_year").isNotNull())
+    t = grid.join(per_q, "quarter", "left").select(
+        F.concat(F.lit("Q"), F.col("quarter").cast("string")).alias("quarter"),
+        "prev_year",
+        "cur_year",
+        F.coalesce("p_profit", F.lit(0.0)).alias("prev_profit"),
+        F.coalesce("c_profit", F.lit(0.0)).alias("cur_profit"),
+        F.coalesce("p_margin", F.lit(0.0)).alias("prev_margin"),
+        F.coalesce("c_margin", F.lit(0.0)).alias("cur_margin"),
+        (F.coalesce("p_inf", F.lit(False)) | F.coalesce("c_inf", F.lit(False))).alias("_inf"),
     )
     return t.select(
         "quarter",

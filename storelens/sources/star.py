@@ -115,6 +115,11 @@ def _input_key(spark: SparkSession, sf_dir: str) -> str:
     return h.hexdigest()[:20]
 
 
+# Opened fact tables per (session, table path): the path embeds the input
+# identity, so an entry can never describe stale data.
+_OPENED: dict[tuple[int, str], DataFrame] = {}
+
+
 def purchases_table(spark: SparkSession, sf_dir: str, nulls: bool = False) -> DataFrame:
     """The purchases fact, written once per input snapshot to the shared
     folder and read back (see module doc).  Requires ``spark.checkpoint.dir``."""
@@ -122,16 +127,18 @@ def purchases_table(spark: SparkSession, sf_dir: str, nulls: bool = False) -> Da
 
     base = shared_dir(spark).rstrip("/")
     target = f"{base}/storelens/purchases/{_input_key(spark, sf_dir)}"
-    jvm = spark.sparkContext._jvm
-    marker = jvm.org.apache.hadoop.fs.Path(f"{target}/_SUCCESS")
-    if not marker.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(marker):
-        (
-            purchases(spark, sf_dir)
-            .sortWithinPartitions("purchase_date")
-            .write.mode("overwrite")
-            .parquet(target)
-        )
-    fact = spark.read.parquet(target)
+    fact = _OPENED.get((id(spark), target))
+    if fact is None:
+        jvm = spark.sparkContext._jvm
+        marker = jvm.org.apache.hadoop.fs.Path(f"{target}/_SUCCESS")
+        if not marker.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(marker):
+            (
+                purchases(spark, sf_dir)
+                .sortWithinPartitions("purchase_date")
+                .write.mode("overwrite")
+                .parquet(target)
+            )
+        fact = _OPENED[(id(spark), target)] = spark.read.parquet(target)
     return with_null_keys(fact) if nulls else fact
 
 
