@@ -190,3 +190,15 @@ def year_to_date(df: DataFrame, as_of=None, roles: ColumnRoles | None = None) ->
     """FLT-8: same month/day window as ``as_of`` (default: latest date) in every year."""
     r = roles_of(df, roles, "date")
     return df.where(ytd_mask(r.date, as_of_key(df, as_of, r)))
+
+
+def ytd_window(df: DataFrame, roles: ColumnRoles | None = None) -> DataFrame:
+    """FLT-8 / PRJ-25: the as-of date of the YTD comparison, its calendar day
+    and its ``'%B %d'`` label (e.g. ``August 01``); one row."""
+    r = roles_of(df, roles, "date")
+    return df.agg(F.max(r.date).alias("as_of")).select(
+        "as_of",
+        F.to_date("as_of").alias("as_of_day"),
+        F.date_format("as_of", "MMMM dd").alias("as_of_label"),
+        month_day_key("as_of").alias("month_day"),
+    )

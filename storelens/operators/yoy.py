@@ -146,3 +146,24 @@ def yoy_quarterly_long(df: DataFrame, metric: str = "profit", roles: ColumnRoles
         F.struct(F.col("cur_year").cast("string").alias("year"), F.col(f"cur_{metric}").alias("value")),
     )
     return w.select("quarter", F.inline(pairs))
+
+
+def yoy_readiness(df: DataFrame, roles: ColumnRoles | None = None) -> DataFrame:
+    """INS-7: whether the year-over-year sections have enough data: at least
+    two months with revenue > 0 and at least two years.  One row; the YoY
+    operators themselves return zero rows below their own thresholds."""
+    r = roles_of(df, roles, "date", "price")
+    d = F.col(r.date)
+    months = (
+        df.where(d.isNotNull())
+        .groupBy(F.year(d).alias("year"), F.month(d).alias("month"))
+        .agg(F.coalesce(F.sum(r.price), F.lit(0)).alias("rev"))
+    )
+    return months.agg(
+        F.count(F.when(F.col("rev") > 0, F.lit(1))).alias("months_with_revenue"),
+        F.count_distinct("year").alias("years"),
+    ).select(
+        "months_with_revenue",
+        "years",
+        ((F.col("months_with_revenue") >= 2) & (F.col("years") >= 2)).alias("ready"),
+    )

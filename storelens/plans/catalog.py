@@ -21,6 +21,7 @@ from ..operators import vendors as ven
 from ..operators import yoy
 from ..functions import constants as K
 from ..sources import clean, publish
+from . import dashboard
 from ..sources.star import checkins, fact
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -62,9 +63,7 @@ def _filtered(fact, flt_fn, op=ru.sales_kpis, **kw) -> Query:
 def _default_view(df: DataFrame) -> DataFrame:
     """The dashboard's opening state: all time (midnight end bound), the
     first five locations and the first five categories."""
-    v = flt.all_time(df)
-    v = flt.in_locations(v, flt.default_selection(v, "location"))
-    return flt.in_categories(v, flt.default_selection(df, "category"))
+    return dashboard.apply(df, dashboard.FilterState())
 
 
 def _category_scope(df: DataFrame) -> DataFrame:
@@ -153,6 +152,8 @@ QUERIES: dict[str, Query] = {
     "default_view_kpis": _filtered(_p, _default_view),
     "default_view_profit_kpis": _filtered(_p, _default_view, op=ru.profit_kpis),
     "year_to_date_kpis": _filtered(_p, flt.year_to_date),
+    "ytd_window": _on(_p, flt.ytd_window),
+    "yoy_readiness": _on(_p, yoy.yoy_readiness),
     # flat rollups
     "weekly_sales": _on(_p, ru.weekly_sales),
     "weekly_sales_by_location": _on(_p, ru.weekly_sales, by_location=True),

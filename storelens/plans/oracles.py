@@ -597,3 +597,17 @@ _reg(
 disp_category NULLS FIRST, revenue_subcategory NULLS FIRST, product_name NULLS FIRST, vendor_name NULLS FIRST,
 quantity NULLS FIRST, purchase_price_w_discount NULLS FIRST, unit_cost NULLS FIRST LIMIT 100""",
 )
+_reg(
+    "ytd_window",
+    """SELECT max(purchase_date) AS as_of, cast(max(purchase_date) AS DATE) AS as_of_day,
+       strftime(max(purchase_date), '%B %d') AS as_of_label,
+       cast(month(max(purchase_date)) * 100 + day(max(purchase_date)) AS INTEGER) AS month_day
+FROM purchases""",
+)
+_reg(
+    "yoy_readiness",
+    f"""SELECT months_with_revenue, years, months_with_revenue >= 2 AND years >= 2 AS ready
+FROM (SELECT count(*) FILTER (WHERE rev > 0) AS months_with_revenue, count(DISTINCT year) AS years
+      FROM (SELECT year(purchase_date) AS year, month(purchase_date) AS month, coalesce(sum({PRICE}), 0) AS rev
+            FROM purchases WHERE purchase_date IS NOT NULL GROUP BY 1, 2))""",
+)
