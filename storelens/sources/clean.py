@@ -33,9 +33,17 @@ def clean_columns(df: DataFrame) -> DataFrame:
 
 
 def parse_timestamp(c: Column, formats: Sequence[str] = K.DATE_FORMATS) -> Column:
-    """Text -> timestamp_ntz using the first format that matches; else null."""
+    """Text -> timestamp_ntz using the first format that matches; else null.
+
+    ``try_to_timestamp`` only tests whether a format matches; the value is
+    parsed straight to ``timestamp_ntz`` (wall-clock time, like pandas'
+    naive datetimes), so neither the session time zone nor a DST gap can
+    shift it.
+    """
     s = F.trim(c)
-    return F.coalesce(*[F.try_to_timestamp(s, F.lit(f)) for f in formats]).cast("timestamp_ntz")
+    return F.coalesce(
+        *[F.when(F.try_to_timestamp(s, F.lit(f)).isNotNull(), F.to_timestamp_ntz(s, F.lit(f))) for f in formats]
+    )
 
 
 def parse_number(c: Column) -> Column:

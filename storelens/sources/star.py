@@ -93,6 +93,8 @@ def with_null_keys(df: DataFrame) -> DataFrame:
 
 
 MATERIALIZE_CONF = "storelens.purchases.materialize"
+# Caps file size (~1-2 GB of these rows) however large a write partition is.
+MAX_RECORDS_PER_FILE = 20_000_000
 _INPUTS = ("lineitem", "orders", "customer", "nation", "part", "supplier")
 
 
@@ -136,6 +138,7 @@ def purchases_table(spark: SparkSession, sf_dir: str, nulls: bool = False) -> Da
                 purchases(spark, sf_dir)
                 .sortWithinPartitions("purchase_date")
                 .write.mode("overwrite")
+                .option("maxRecordsPerFile", MAX_RECORDS_PER_FILE)
                 .parquet(target)
             )
         fact = _OPENED[(id(spark), target)] = spark.read.parquet(target)

@@ -53,3 +53,13 @@ def test_parse_money_inverse(spark):
     got = df.select(money_text("x", 0).alias("t")).select("t", parse_money("t").alias("v")).collect()
     assert [(r["t"], r["v"]) for r in got] == [("$1,234", 1234.0), ("$-20", -20.0), ("$0", 0.0)]
     assert df.select(F.lit(1)).count() == 3
+
+
+def test_text_dates_ignore_session_zone(spark):
+    """A wall-clock time inside a DST gap keeps its value (no zone involved)."""
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        df = spark.createDataFrame([("2024-03-10 02:30:00",)], "order_date string")
+        assert clean.preprocess(df).first()[0] == dt.datetime(2024, 3, 10, 2, 30)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
