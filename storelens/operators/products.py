@@ -17,15 +17,29 @@ from ..functions.roles import ColumnRoles, roles_of
 from .rollups import subcategory_sales
 
 
-def product_stats(df: DataFrame, roles: ColumnRoles | None = None) -> DataFrame:
+def product_stats(df: DataFrame, roles: ColumnRoles | None = None, approx: bool = False) -> DataFrame:
     """PRD-2: per (subcategory, product): quantity, sales, mean price (rounded 2)
     and distinct invoices.
 
     Two levels: one row per (subcategory, product, invoice) first, then per
     product; the distinct count becomes a plain count of invoice groups.
+    ``approx=True``: one level with a HyperLogLog invoice count instead.
     """
     r = roles_of(df, roles, "subcategory", "product", "quantity", "price", "invoice")
     sub, prod = r.subcategory, r.product
+    if approx:
+        return (
+            df.where(F.col(sub).isNotNull() & F.col(prod).isNotNull())
+            .groupBy(sub, prod)
+            .agg(
+                half_even(F.coalesce(F.sum(r.quantity), F.lit(0.0)), 2).alias("total_quantity"),
+                half_even(F.coalesce(F.sum(r.price), F.lit(0)).cast("double"), 2).alias("total_sales"),
+                half_even(F.try_divide(F.sum(r.price).cast("double"), F.count(r.price).cast("double")), 2).alias(
+                    "avg_price"
+                ),
+                F.approx_count_distinct(r.invoice).alias("unique_transactions"),
+            )
+        )
     per_invoice = (
         df.where(F.col(sub).isNotNull() & F.col(prod).isNotNull())
         .groupBy(sub, prod, F.col(r.invoice).alias("inv"))

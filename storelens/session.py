@@ -47,7 +47,12 @@ def shared_dir(spark: SparkSession, fallback: str | None = None) -> str:
     Only when the session has none (local tests) is ``fallback`` installed
     as the checkpoint dir; it is never a machine-local default on a cluster.
     """
-    d = spark.conf.get("spark.checkpoint.dir", None)
+    sc = spark.sparkContext
+    d = (
+        spark.conf.get("spark.checkpoint.dir", None)
+        or sc.getConf().get("spark.checkpoint.dir", None)
+        or sc.getCheckpointDir()
+    )
     if not d:
         if fallback is None:
             raise RuntimeError("spark.checkpoint.dir is not set and no fallback was given")

@@ -59,3 +59,15 @@ def test_category_penetration_consistent(p):
     for y, r in pen.items():
         assert r["food_invoices_with_bennies"] == withb[y]["food_invoices_with_bennies"]
         assert r["total_food_invoices"] == tot[y]["total_food_invoices"]
+
+
+def test_approx_modes_close_to_exact(p):
+    from storelens.operators import products as prd
+
+    exact = {r["year"]: r for r in ben.benefit_penetration(p, PAT).collect()}
+    approx = {r["year"]: r for r in ben.benefit_penetration(p, PAT, approx=True).collect()}
+    assert set(exact) == set(approx)
+    for y in exact:
+        assert abs(approx[y]["total_invoices"] - exact[y]["total_invoices"]) <= 0.05 * exact[y]["total_invoices"] + 1
+    e = prd.product_stats(p).count()
+    assert prd.product_stats(p, approx=True).count() == e
