@@ -55,6 +55,13 @@ def product_stats(df: DataFrame, roles: ColumnRoles | None = None, approx: bool
 
 def product_highlights(
     df: DataFrame, n: int = 10, pattern: str = K.BENEFIT_PATTERN, roles: ColumnRoles | None = None
+) -> DataFrame:
+    """TOP-9, ordered by rank (at most ``n`` rows, sorted in one partition)."""
+    return _highlights(df, n, pattern, roles).coalesce(1).sortWithinPartitions("rank")
+
+
+def _highlights(
+    df: DataFrame, n: int = 10, pattern: str = K.BENEFIT_PATTERN, roles: ColumnRoles | None = None
 ) -> DataFrame:
     """TOP-9: best product (by quantity; lower name on ties) of each of the
     ``n`` best-selling subcategories (benefit lines excluded from the
@@ -102,7 +109,6 @@ def product_highlights(
             F.col("category_sales"),
             money_text("category_sales", 0).alias("category_sales_text"),
         )
-        .orderBy("rank")
     )
 
 
@@ -111,7 +117,7 @@ def highlight_leaders(
 ) -> DataFrame:
     """TOP-10: best seller (quantity), top revenue (sales rounded to dollars)
     and most transactions among the highlights; the earlier row wins ties."""
-    h = product_highlights(df, n, pattern, roles)
+    h = _highlights(df, n, pattern, roles)
 
     def arg_max(metric):
         return F.min(F.struct((-metric).alias("k"), F.col("rank"), F.col("category"), F.col("product"), metric.alias("v")))
