@@ -269,28 +269,24 @@ def peak_time(df: DataFrame, roles: ColumnRoles | None = None) -> DataFrame:
     plain aggregate, no sort of the data.  No rows when there is no data.
     """
     r = roles_of(df, roles, "date", "price")
-    best_hour = _hourly(df, r).agg(
-        F.min(
-            F.struct(
-                (-F.col("total_sales")).alias("k"),
-                F.col("hour"),
-                F.col("total_sales"),
-                F.col("transaction_count"),
-                F.col("avg_transaction"),
-            )
-        ).alias("b")
-    ).select("b.hour", "b.total_sales", "b.transaction_count", "b.avg_transaction")
+    # One scan: exact (decimal) sums per hour; the day-part sums are sums of
+    # those, so both arg-maxes compare the same exact values.
+    hours = _with_hour(df, r).groupBy("hour").agg(
+        F.coalesce(F.sum(r.price), F.lit(0)).alias("s"), F.count(r.price).alias("n")
+    )
     best_period = (
-        _dayparts(df, r)
-        .agg(F.min(F.struct((-F.col("total_sales")).alias("k"), F.col("time_period"))).alias("p"))
+        hours.groupBy(daypart("hour").alias("time_period"))
+        .agg(F.sum("s").alias("s"))
+        .agg(F.min(F.struct((-F.col("s")).alias("k"), F.col("time_period"))).alias("p"))
         .select(first_word(F.col("p.time_period")))
         .scalar()
     )
-    return best_hour.where(F.col("hour").isNotNull()).select(
-        F.col("hour").alias("best_hour"),
-        F.format_string("%d:00", "hour").alias("best_hour_label"),
-        F.col("total_sales").alias("best_hour_sales"),
-        F.col("transaction_count").alias("peak_hour_transactions"),
-        F.col("avg_transaction").alias("avg_per_transaction"),
+    best = hours.agg(F.min(F.struct((-F.col("s")).alias("k"), "hour", "s", "n")).alias("b"))
+    return best.where(F.col("b.hour").isNotNull()).select(
+        F.col("b.hour").alias("best_hour"),
+        F.format_string("%d:00", "b.hour").alias("best_hour_label"),
+        F.col("b.s").cast("double").alias("best_hour_sales"),
+        F.col("b.n").alias("peak_hour_transactions"),
+        F.try_divide(F.col("b.s").cast("double"), F.col("b.n").cast("double")).alias("avg_per_transaction"),
         best_period.alias("best_period"),
     )

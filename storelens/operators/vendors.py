@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.exprs import mean, money_sum, percent, percent_or_zero, truncate_label
+from ..functions.exprs import mean, percent, percent_or_zero, truncate_label
 from ..functions.roles import ColumnRoles, roles_of
 
 RANK_KEYS = ("total_sales", "transaction_count", "avg_transaction", "profit", "profit_margin")
@@ -72,21 +72,29 @@ def vendor_concentration(df: DataFrame, k: int = 5, roles: ColumnRoles | None =
     """
     r = roles_of(df, roles, "vendor", "price")
     v = r.vendor
-    per_vendor = (
-        df.where(F.col(v).isNotNull()).groupBy(v).agg(F.coalesce(F.sum(r.price), F.lit(0)).alias("s"))
+    # One aggregation serves everything: the null-vendor group only feeds
+    # the all-sales denominator.
+    per_vendor = df.groupBy(v).agg(F.coalesce(F.sum(r.price), F.lit(0)).alias("s"))
+    named = F.col(v).isNotNull()
+    top_k = (
+        per_vendor.where(named)
+        .orderBy(F.desc("s"), F.asc(v))
+        .limit(k)
+        .agg(F.coalesce(F.sum("s"), F.lit(0)).cast("double").alias("t"))
+        .select("t")
+        .scalar()
     )
-    top_k = per_vendor.orderBy(F.desc("s"), F.asc(v)).limit(k).agg(F.coalesce(F.sum("s"), F.lit(0)).alias("t"))
-    total = df.agg(money_sum(r.price).alias("total"))
     one = per_vendor.agg(
-        F.count(F.lit(1)).alias("total_vendors"),
-        F.min(F.struct((-F.col("s")).alias("k"), F.col(v).alias("name"), F.col("s").alias("s"))).alias("top"),
+        F.count(F.when(named, F.lit(1))).alias("total_vendors"),
+        F.min(F.when(named, F.struct((-F.col("s")).alias("k"), F.col(v).alias("name"), F.col("s").alias("s")))).alias(
+            "top"
+        ),
+        F.coalesce(F.sum("s"), F.lit(0)).cast("double").alias("all_sales"),
     )
-    top5 = top_k.select(F.col("t").cast("double")).scalar()
-    all_sales = total.select("total").scalar()
-    return one.select(
+    return one.withColumn("top5_sales", top_k).select(
         "total_vendors",
         truncate_label(F.col("top.name")).alias("top_vendor"),
         F.col("top.s").cast("double").alias("top_vendor_sales"),
-        F.coalesce(top5, F.lit(0.0)).alias("top5_sales"),
-        percent_or_zero(F.coalesce(top5, F.lit(0.0)), all_sales).alias("top5_share"),
+        F.coalesce("top5_sales", F.lit(0.0)).alias("top5_sales"),
+        percent_or_zero(F.coalesce("top5_sales", F.lit(0.0)), "all_sales").alias("top5_share"),
     )
