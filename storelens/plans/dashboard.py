@@ -11,10 +11,11 @@ Nothing runs until a section's result is used.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass, field, replace
 from typing import Literal
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 
 from ..functions import constants as K
 from ..functions.roles import ColumnRoles, resolve_roles
@@ -35,6 +36,36 @@ class FilterState:
     categories: tuple[str, ...] | None = None
     subcategories: tuple[str, ...] = field(default_factory=tuple)
 
+    def resolved(self, df: DataFrame, roles: ColumnRoles | None = None) -> "FilterState":
+        """The same state with every data-dependent part turned into values,
+        as the reference's sidebar shows them: the date bounds (one row) and
+        the default selections (at most ``DEFAULT_SELECTION_SIZE`` options
+        each).  Bounded driver reads; afterwards every filter is a literal
+        that Catalyst pushes into the scan, so each section re-plans nothing."""
+        r = roles or resolve_roles(df.schema)
+        st = self
+        dated = df
+        if r.date and st.start is None and st.end is None:
+            ext = filters.date_extent(df, r).first()
+            if ext is not None and ext["max_day"] is not None:
+                hi = ext["max_day"]
+                lo = {"all": ext["min_day"], "last_30": hi - _days(30), "last_90": hi - _days(90)}[st.preset]
+                st = replace(st, start=lo, end=hi)
+            dated = filters.date_range(df, st.start, st.end, end_inclusive=st.end_inclusive, roles=r)
+        if r.location and st.locations is None:
+            opts = filters.default_selection(dated, "location", roles=r).collect()
+            st = replace(st, locations=tuple(o[0] for o in opts))
+        if r.category and st.categories is None:
+            opts = filters.default_selection(df, "category", roles=r).collect()
+            st = replace(st, categories=tuple(o[0] for o in opts))
+        return st
+
+
+def _days(n: int):
+    import datetime as _dt
+
+    return _dt.timedelta(days=n)
+
 
 def apply(df: DataFrame, state: FilterState = FilterState(), roles: ColumnRoles | None = None) -> DataFrame:
     r = roles or resolve_roles(df.schema)
@@ -68,15 +99,23 @@ class Dashboard:
         state: FilterState = FilterState(),
         pattern: str = K.BENEFIT_PATTERN,
         category: str = K.FOCUS_CATEGORY,
+        resolve: bool = True,
     ):
+        """``resolve=True`` (the default) reads the filter defaults and the
+        YTD as-of date once (a few values); ``False`` keeps everything lazy,
+        at the price of re-deriving them inside every section's plan."""
         self.original = df
         self.roles = resolve_roles(df.schema)
-        self.df = apply(df, state, self.roles)
+        self.state = state.resolved(df, self.roles) if resolve else state
+        self.df = apply(df, self.state, self.roles)
         self.pattern = pattern
         self.category = category
+        self.as_of = None
+        if resolve and self.roles.date:
+            self.as_of = self.df.agg({self.roles.date: "max"}).first()[0]
 
     def sections(self) -> dict[str, DataFrame]:
-        d, p, c = self.df, self.pattern, self.category
+        d, p, c, a = self.df, self.pattern, self.category, self.as_of
         return {
             "kpis": rollups.sales_kpis(d),
             "profit_kpis": rollups.profit_kpis(d),
@@ -89,19 +128,19 @@ class Dashboard:
             "quarterly_profit": rollups.quarterly_profit(d),
             "yoy_quarterly": yoy.yoy_quarterly(d),
             "ytd_window": filters.ytd_window(d),
-            "ytd_metrics": yoy.ytd_metrics(d),
-            "ytd_changes": yoy.ytd_changes(d),
-            "profitability_insights": insights.profitability_insights(d),
-            "benefit_ytd": benefits.benefit_ytd(d, p),
-            "benefit_changes": benefits.benefit_changes(d, p),
-            "benefit_revenue_share": benefits.benefit_revenue_share(d, p),
-            "benefit_insights": insights.benefit_insights(d, self.original, p),
+            "ytd_metrics": yoy.ytd_metrics(d, a),
+            "ytd_changes": yoy.ytd_changes(d, a),
+            "profitability_insights": insights.profitability_insights(d, a),
+            "benefit_ytd": benefits.benefit_ytd(d, p, a),
+            "benefit_changes": benefits.benefit_changes(d, p, a),
+            "benefit_revenue_share": benefits.benefit_revenue_share(d, p, a),
+            "benefit_insights": insights.benefit_insights(d, self.original, p, a),
             "benefit_monthly": benefits.benefit_monthly(d, p),
-            "benefit_penetration": benefits.benefit_penetration(d, p),
-            "penetration_insights": insights.penetration_insights(d, p),
-            "category_with_benefit": benefits.category_with_benefit(d, c, p),
-            "category_benefit_penetration": benefits.category_benefit_penetration(d, c, p),
-            "category_insights": insights.category_insights(d, c, p),
+            "benefit_penetration": benefits.benefit_penetration(d, p, a),
+            "penetration_insights": insights.penetration_insights(d, p, a),
+            "category_with_benefit": benefits.category_with_benefit(d, c, p, a),
+            "category_benefit_penetration": benefits.category_benefit_penetration(d, c, p, a),
+            "category_insights": insights.category_insights(d, c, p, a),
             "product_highlights": products.product_highlights(d, 10, p),
             "highlight_leaders": products.highlight_leaders(d, 10, p),
             "hourly_sales": rollups.hourly_sales(d),
@@ -112,3 +151,13 @@ class Dashboard:
             "vendor_concentration": vendors.vendor_concentration(d),
             "subcategory_sales": rollups.subcategory_sales(d),
         }
+
+    def collect_all(self, max_workers: int = 8, names: list[str] | None = None) -> dict[str, list[Row]]:
+        """Run the sections concurrently (one Spark job set per thread) and
+        return their rows.  Every section is an aggregate or a top-k, so
+        each result is small; the fact itself never reaches the driver."""
+        sections = self.sections()
+        chosen = names or list(sections)
+        with ThreadPoolExecutor(max_workers=max_workers) as pool:
+            futures = {n: pool.submit(sections[n].collect) for n in chosen}
+            return {n: f.result() for n, f in futures.items()}
