@@ -38,3 +38,15 @@ def test_cached_roundtrip(spark):
     p = cached(purchases(spark, SF_SMALL))
     assert p.count() == p.count()
     release(p)
+
+
+def test_resolved_state_equals_lazy_state(spark):
+    from storelens.sources import publish
+
+    p = purchases(spark, SF_SMALL)
+    for state in (dashboard.FilterState(), dashboard.FilterState(preset="last_90", categories=("SMALL",))):
+        eager = dashboard.Dashboard(p, state, pattern="brand#25", category="STANDARD", resolve=True).sections()
+        lazy = dashboard.Dashboard(p, state, pattern="brand#25", category="STANDARD", resolve=False).sections()
+        for name in ("kpis", "ytd_metrics", "benefit_penetration", "category_with_benefit", "yoy_quarterly",
+                     "vendor_concentration", "weekly_sales"):
+            assert publish.multiset_equal(eager[name], lazy[name]), (state, name)
