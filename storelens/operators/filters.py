@@ -43,7 +43,10 @@ def date_extent(df: DataFrame, roles: ColumnRoles | None = None) -> DataFrame:
     r = roles_of(df, roles, "date")
     d = F.col(r.date)
     return df.agg(F.min(d).alias("min_date"), F.max(d).alias("max_date")).select(
-        "min_date", "max_date", F.to_date("min_date").alias("min_day"), F.to_date("max_date").alias("max_day")
+        "min_date",
+        "max_date",
+        F.to_date("min_date").cast("timestamp_ntz").alias("min_day"),
+        F.to_date("max_date").cast("timestamp_ntz").alias("max_day"),
     )
 
 
@@ -198,7 +201,7 @@ def ytd_window(df: DataFrame, roles: ColumnRoles | None = None) -> DataFrame:
     r = roles_of(df, roles, "date")
     return df.agg(F.max(r.date).alias("as_of")).select(
         "as_of",
-        F.to_date("as_of").alias("as_of_day"),
+        F.to_date("as_of").cast("timestamp_ntz").alias("as_of_day"),
         F.date_format("as_of", "MMMM dd").alias("as_of_label"),
         month_day_key("as_of").alias("month_day"),
     )

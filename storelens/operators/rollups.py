@@ -102,13 +102,15 @@ def weekly_sales(df: DataFrame, by_location: bool = False, roles: ColumnRoles |
     """
     r = roles_of(df, roles, "date", "price", *(("location",) if by_location else ()))
     base = df.where(F.col(r.date).isNotNull())
+    # Labels are midnight timestamps, like pandas' weekly Grouper.
+    wk = week_ending(r.date).cast("timestamp_ntz").alias("week_ending")
     if by_location:
         return (
             base.where(F.col(r.location).isNotNull())
-            .groupBy(week_ending(r.date).alias("week_ending"), F.col(r.location))
+            .groupBy(wk, F.col(r.location))
             .agg(money_sum(r.price).alias("sales"))
         )
-    weekly = base.groupBy(week_ending(r.date).alias("week_ending")).agg(money_sum(r.price).alias("sales"))
+    weekly = base.groupBy(wk).agg(money_sum(r.price).alias("sales"))
     calendar = weekly.agg(F.min("week_ending").alias("lo"), F.max("week_ending").alias("hi")).select(
         F.explode(F.sequence("lo", "hi", F.expr("INTERVAL 7 DAYS"))).alias("week_ending")
     )

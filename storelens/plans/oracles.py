@@ -31,7 +31,7 @@ PRICE = "purchase_price_w_discount"
 MSUM = f"cast(coalesce(sum({PRICE}), 0) AS DOUBLE)"
 CSUM = "cast(coalesce(sum(unit_cost), 0) AS DOUBLE)"
 MEAN = f"cast(sum({PRICE}) AS DOUBLE) / nullif(count({PRICE}), 0)"
-WEEK = "cast(purchase_date AS DATE) + cast(7 - isodow(purchase_date) AS INTEGER)"
+WEEK = "cast(cast(purchase_date AS DATE) + cast(7 - isodow(purchase_date) AS INTEGER) AS TIMESTAMP)"
 HOUR = "cast(hour(purchase_date) AS INTEGER)"
 DAYPART = (
     "CASE WHEN {h} >= 5 AND {h} < 12 THEN 'Morning (5AM-12PM)' "
@@ -71,7 +71,7 @@ FROM (SELECT {MSUM} AS total_sales, {CSUM} AS total_cogs,
 _reg(
     "date_extent",
     """SELECT min(purchase_date) AS min_date, max(purchase_date) AS max_date,
-       cast(min(purchase_date) AS DATE) AS min_day, cast(max(purchase_date) AS DATE) AS max_day
+       cast(cast(min(purchase_date) AS DATE) AS TIMESTAMP) AS min_day, cast(cast(max(purchase_date) AS DATE) AS TIMESTAMP) AS max_day
 FROM purchases""",
 )
 
@@ -79,7 +79,7 @@ _reg(
     "weekly_sales",
     f"""WITH w AS (SELECT {WEEK} AS week_ending, {MSUM} AS sales
            FROM purchases WHERE purchase_date IS NOT NULL GROUP BY 1),
-cal AS (SELECT cast(unnest(generate_series(min(week_ending), max(week_ending), INTERVAL 7 DAY)) AS DATE) AS week_ending FROM w)
+cal AS (SELECT cast(unnest(generate_series(min(week_ending), max(week_ending), INTERVAL 7 DAY)) AS TIMESTAMP) AS week_ending FROM w)
 SELECT cal.week_ending, coalesce(w.sales, 0.0) AS sales FROM cal LEFT JOIN w USING (week_ending)""",
 )
 
@@ -599,7 +599,7 @@ quantity NULLS FIRST, purchase_price_w_discount NULLS FIRST, unit_cost NULLS FIR
 )
 _reg(
     "ytd_window",
-    """SELECT max(purchase_date) AS as_of, cast(max(purchase_date) AS DATE) AS as_of_day,
+    """SELECT max(purchase_date) AS as_of, cast(cast(max(purchase_date) AS DATE) AS TIMESTAMP) AS as_of_day,
        strftime(max(purchase_date), '%B %d') AS as_of_label,
        cast(month(max(purchase_date)) * 100 + day(max(purchase_date)) AS INTEGER) AS month_day
 FROM purchases""",

@@ -42,7 +42,7 @@ def test_week_label(spark):
               {"purchase_date": "2024-01-07 15:00:00", "purchase_price_w_discount": 2},
               {"purchase_date": "2024-01-08 00:00:00", "purchase_price_w_discount": 4})
     got = {r["week_ending"]: r["sales"] for r in ru.weekly_sales(df).collect()}
-    assert got == {dt.date(2024, 1, 7): 3.0, dt.date(2024, 1, 14): 4.0}
+    assert got == {dt.datetime(2024, 1, 7): 3.0, dt.datetime(2024, 1, 14): 4.0}
 
 
 def test_gap_weeks(spark):
@@ -50,8 +50,8 @@ def test_gap_weeks(spark):
               {"purchase_date": "2024-01-10 10:00:00", "purchase_price_w_discount": 4},
               {"purchase_date": "2024-01-25 10:00:00", "purchase_price_w_discount": 5})
     combined = {r["week_ending"]: r["sales"] for r in ru.weekly_sales(df).collect()}
-    assert combined == {dt.date(2024, 1, 7): 6.0, dt.date(2024, 1, 14): 4.0, dt.date(2024, 1, 21): 0.0,
-                        dt.date(2024, 1, 28): 5.0}
+    assert combined == {dt.datetime(2024, 1, 7): 6.0, dt.datetime(2024, 1, 14): 4.0, dt.datetime(2024, 1, 21): 0.0,
+                        dt.datetime(2024, 1, 28): 5.0}
     by_loc = ru.weekly_sales(df, by_location=True).collect()
     assert len(by_loc) == 3
 
