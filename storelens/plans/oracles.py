@@ -593,7 +593,9 @@ FROM purchases""",
 ORACLES["checkins_clean"] = "SELECT * FROM events"
 _reg(
     "sample_rows",
-    """SELECT * FROM purchases ORDER BY purchase_date NULLS FIRST, invoice_id NULLS FIRST, store_location NULLS FIRST,
+    """SELECT * REPLACE (cast(purchase_price_w_discount AS DOUBLE) AS purchase_price_w_discount,
+                   cast(unit_cost AS DOUBLE) AS unit_cost)
+FROM purchases ORDER BY purchase_date NULLS FIRST, invoice_id NULLS FIRST, store_location NULLS FIRST,
 disp_category NULLS FIRST, revenue_subcategory NULLS FIRST, product_name NULLS FIRST, vendor_name NULLS FIRST,
 quantity NULLS FIRST, purchase_price_w_discount NULLS FIRST, unit_cost NULLS FIRST LIMIT 100""",
 )

@@ -89,9 +89,24 @@ def publish_if_changed(
     return True
 
 
-def sample_rows(df: DataFrame, n: int = 100, order_by: list[str] | None = None) -> DataFrame:
+def sample_rows(
+    df: DataFrame, n: int = 100, order_by: list[str] | None = None, decimals_as_double: bool = True
+) -> DataFrame:
     """SNK-2: a deterministic preview of ``n`` rows (ordered by ``order_by``,
-    default all columns); text columns stay text.  A top-k sort: each task
+    default all columns); text columns stay text and, as in the reference's
+    float columns, decimals are shown as doubles.  A top-k sort: each task
     keeps its first ``n`` rows, only those reach the final merge."""
+    from pyspark.sql import types as T
+
     keys = order_by or df.columns
-    return df.orderBy(*[F.asc_nulls_first(f"`{k}`") for k in keys]).limit(n)
+    top = df.orderBy(*[F.asc_nulls_first(f"`{k}`") for k in keys]).limit(n)
+    if not decimals_as_double:
+        return top
+    return top.select(
+        *[
+            (F.col(f"`{f.name}`").cast("double") if isinstance(f.dataType, T.DecimalType) else F.col(f"`{f.name}`")).alias(
+                f.name
+            )
+            for f in top.schema.fields
+        ]
+    )

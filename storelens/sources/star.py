@@ -98,9 +98,23 @@ MAX_RECORDS_PER_FILE = 20_000_000
 _INPUTS = ("lineitem", "orders", "customer", "nation", "part", "supplier")
 
 
-def _input_key(spark: SparkSession, sf_dir: str) -> str:
+# Input identities already computed in this session: the listing behind one
+# can be slow on an object store, so it runs once per session and source
+# (``refresh=True`` re-checks).
+_KEYS: dict[tuple[int, str], str] = {}
+
+
+def _input_key(spark: SparkSession, sf_dir: str, refresh: bool = False) -> str:
     """Identity of the input tables: path, length and modification time of
     every input file (driver-side listing only), hashed."""
+    memo = (id(spark), sf_dir)
+    if not refresh and memo in _KEYS:
+        return _KEYS[memo]
+    _KEYS[memo] = key = _list_key(spark, sf_dir)
+    return key
+
+
+def _list_key(spark: SparkSession, sf_dir: str) -> str:
     import hashlib
 
     sc = spark.sparkContext
@@ -122,13 +136,14 @@ def _input_key(spark: SparkSession, sf_dir: str) -> str:
 _OPENED: dict[tuple[int, str], DataFrame] = {}
 
 
-def purchases_table(spark: SparkSession, sf_dir: str, nulls: bool = False) -> DataFrame:
+def purchases_table(spark: SparkSession, sf_dir: str, nulls: bool = False, refresh: bool = False) -> DataFrame:
     """The purchases fact, written once per input snapshot to the shared
-    folder and read back (see module doc).  Requires ``spark.checkpoint.dir``."""
+    folder and read back (see module doc).  Requires ``spark.checkpoint.dir``.
+    ``refresh=True`` re-lists the inputs to pick up changed tables."""
     from ..session import shared_dir
 
     base = shared_dir(spark).rstrip("/")
-    target = f"{base}/storelens/purchases/{_input_key(spark, sf_dir)}"
+    target = f"{base}/storelens/purchases/{_input_key(spark, sf_dir, refresh)}"
     fact = _OPENED.get((id(spark), target))
     if fact is None:
         jvm = spark.sparkContext._jvm
