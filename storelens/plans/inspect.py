@@ -41,8 +41,12 @@ def read_schemas(df: DataFrame) -> list[str]:
 
 
 def assert_jvm_only(df: DataFrame) -> None:
-    """No Python UDF and no cartesian product anywhere in the plan."""
+    """No Python UDF, no cartesian product and no nested-loop join anywhere in the plan."""
     ops = set(operators(df))
-    bad = {o for o in ops if "Python" in o or "ArrowEval" in o or o == "CartesianProduct"}
+    bad = {
+        o
+        for o in ops
+        if "Python" in o or "ArrowEval" in o or o in ("CartesianProduct", "BroadcastNestedLoopJoin")
+    }
     if bad:
         raise AssertionError(f"plan uses {sorted(bad)}")

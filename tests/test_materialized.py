@@ -39,3 +39,22 @@ def test_date_filter_pushed_on_table(spark):
     t = flt.date_range(purchases_table(spark, SF_SMALL), "1998-01-01", "1998-03-31")
     assert "purchase_date" in " ".join(inspect.pushed_filters(t))
     assert t.where(F.col("purchase_date") > F.lit("1998-03-31").cast("timestamp_ntz")).count() == 0
+
+
+def test_changed_input_gets_a_new_table(spark, scratch):
+    from storelens.sources import star
+
+    src = f"{scratch}/tables"
+    for name in star._INPUTS:
+        spark.read.parquet(f"{SF_SMALL}/{name}.parquet").write.parquet(f"{src}/{name}.parquet")
+    k1 = star._input_key(spark, src, refresh=True)
+    assert star._input_key(spark, src) == k1  # memoized
+    n1 = purchases_table(spark, src).count()
+    # rewrite one input with a row fewer
+    orders = spark.read.parquet(f"{src}/orders.parquet")
+    first = orders.orderBy("o_orderkey").limit(1)
+    orders.exceptAll(first).write.mode("overwrite").parquet(f"{scratch}/orders_tmp")
+    spark.read.parquet(f"{scratch}/orders_tmp").write.mode("overwrite").parquet(f"{src}/orders.parquet")
+    k2 = star._input_key(spark, src, refresh=True)
+    assert k2 != k1
+    assert purchases_table(spark, src).count() < n1
