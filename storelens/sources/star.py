@@ -101,16 +101,17 @@ _INPUTS = ("lineitem", "orders", "customer", "nation", "part", "supplier")
 # Input identities already computed in this session: the listing behind one
 # can be slow on an object store, so it runs once per session and source
 # (``refresh=True`` re-checks).
-_KEYS: dict[tuple[int, str], str] = {}
+_KEYS: dict[str, tuple[SparkSession, str]] = {}
 
 
 def _input_key(spark: SparkSession, sf_dir: str, refresh: bool = False) -> str:
     """Identity of the input tables: path, length and modification time of
     every input file (driver-side listing only), hashed."""
-    memo = (id(spark), sf_dir)
-    if not refresh and memo in _KEYS:
-        return _KEYS[memo]
-    _KEYS[memo] = key = _list_key(spark, sf_dir)
+    hit = _KEYS.get(sf_dir)
+    if not refresh and hit is not None and hit[0] is spark:
+        return hit[1]
+    key = _list_key(spark, sf_dir)
+    _KEYS[sf_dir] = (spark, key)
     return key
 
 
@@ -131,9 +132,9 @@ def _list_key(spark: SparkSession, sf_dir: str) -> str:
     return hashlib.sha256(f"{sf_dir}|{tuple(row)}".encode()).hexdigest()[:20]
 
 
-# Opened fact tables per (session, table path): the path embeds the input
-# identity, so an entry can never describe stale data.
-_OPENED: dict[tuple[int, str], DataFrame] = {}
+# Opened fact tables per table path (checked against the calling session):
+# the path embeds the input identity, so an entry never describes stale data.
+_OPENED: dict[str, DataFrame] = {}
 
 
 def purchases_table(spark: SparkSession, sf_dir: str, nulls: bool = False, refresh: bool = False) -> DataFrame:
@@ -144,8 +145,8 @@ def purchases_table(spark: SparkSession, sf_dir: str, nulls: bool = False, refre
 
     base = shared_dir(spark).rstrip("/")
     target = f"{base}/storelens/purchases/{_input_key(spark, sf_dir, refresh)}"
-    fact = _OPENED.get((id(spark), target))
-    if fact is None:
+    fact = _OPENED.get(target)
+    if fact is None or fact.sparkSession is not spark:
         jvm = spark.sparkContext._jvm
         marker = jvm.org.apache.hadoop.fs.Path(f"{target}/_SUCCESS")
         if not marker.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(marker):
@@ -156,7 +157,7 @@ def purchases_table(spark: SparkSession, sf_dir: str, nulls: bool = False, refre
                 .option("maxRecordsPerFile", MAX_RECORDS_PER_FILE)
                 .parquet(target)
             )
-        fact = _OPENED[(id(spark), target)] = spark.read.parquet(target)
+        fact = _OPENED[target] = spark.read.parquet(target)
     return with_null_keys(fact) if nulls else fact
 
 
