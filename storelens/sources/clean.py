@@ -1,9 +1,10 @@
 """Cleaning of a raw purchases / check-ins table (PRE-1..5).
 
 One projection: trimmed column names, text date columns parsed to
-``timestamp_ntz`` (bad text -> null) and text price/amount columns cast to
-double (bad text -> null).  Everything is a built-in expression, evaluated
-on the executors during the scan.
+``timestamp_ntz`` (bad text -> null), text price/amount columns cast to
+double (bad text -> null), and NaN in floating columns turned into null
+(pandas skips NaN in sums and means; Spark would propagate it).  Everything
+is a built-in expression, evaluated on the executors during the scan.
 """
 
 from __future__ import annotations
@@ -51,6 +52,10 @@ def parse_number(c: Column) -> Column:
     return F.trim(c).try_cast("double")
 
 
+def nan_to_null(c: Column) -> Column:
+    return F.when(F.isnan(c), F.lit(None)).otherwise(c)
+
+
 def _is_date_name(name: str) -> bool:
     return K.DATE_WORD in name.lower()
 
@@ -74,6 +79,8 @@ def preprocess(df: DataFrame, formats: Sequence[str] = K.DATE_FORMATS) -> DataFr
             c = parse_timestamp(c, formats)
         elif is_text and _is_number_name(new):
             c = parse_number(c)
+        elif isinstance(field.dataType, (T.DoubleType, T.FloatType)):
+            c = nan_to_null(c)
         cols.append(c.alias(new))
     return df.select(*cols)
 

@@ -63,3 +63,12 @@ def test_text_dates_ignore_session_zone(spark):
         assert clean.preprocess(df).first()[0] == dt.datetime(2024, 3, 10, 2, 30)
     finally:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def test_nan_becomes_null(spark):
+    from storelens.operators import rollups as ru
+
+    df = spark.createDataFrame([(1.0,), (float("nan"),), (None,)], "purchase_price_w_discount double")
+    out = clean.preprocess(df)
+    assert [r[0] for r in out.collect()] == [1.0, None, None]
+    assert ru.sales_kpis(out).first()["total_sales"] == 1.0
