@@ -17,6 +17,7 @@ from ..functions.exprs import (
     daypart,
     first_word,
     hour_label,
+    is_benefit,
     mean,
     money_sum,
     percent,
@@ -200,8 +201,6 @@ def subcategory_sales(
     roles: ColumnRoles | None = None,
 ) -> DataFrame:
     """CAT-1 / TOP-4 (and PRD-1 with ``exclude_pattern``): sales, count, average per subcategory."""
-    from ..functions.exprs import is_benefit
-
     r = roles_of(df, roles, "subcategory", "price")
     sub = r.subcategory
     src = df if exclude_pattern is None else df.where(~is_benefit(sub, exclude_pattern))
