@@ -26,30 +26,34 @@ def product_stats(df: DataFrame, roles: ColumnRoles | None = None, approx: bool
     ``approx=True``: one level with a HyperLogLog invoice count instead.
     """
     r = roles_of(df, roles, "subcategory", "product", "quantity", "price", "invoice")
+    return _product_stats(df, r, approx=approx)
+
+
+def _product_stats(df: DataFrame, r: ColumnRoles, carry: tuple[str, ...] = (), approx: bool = False) -> DataFrame:
+    """``product_stats`` plus ``carry`` columns that depend on the
+    subcategory alone (kept with ``first``)."""
     sub, prod = r.subcategory, r.product
+    kept = [F.first(c).alias(c) for c in carry]
+    lines = df.where(F.col(sub).isNotNull() & F.col(prod).isNotNull())
     if approx:
-        return (
-            df.where(F.col(sub).isNotNull() & F.col(prod).isNotNull())
-            .groupBy(sub, prod)
-            .agg(
-                half_even(F.coalesce(F.sum(r.quantity), F.lit(0.0)), 2).alias("total_quantity"),
-                half_even(F.coalesce(F.sum(r.price), F.lit(0)).cast("double"), 2).alias("total_sales"),
-                half_even(F.try_divide(F.sum(r.price).cast("double"), F.count(r.price).cast("double")), 2).alias(
-                    "avg_price"
-                ),
-                F.approx_count_distinct(r.invoice).alias("unique_transactions"),
-            )
+        return lines.groupBy(sub, prod).agg(
+            half_even(F.coalesce(F.sum(r.quantity), F.lit(0.0)), 2).alias("total_quantity"),
+            half_even(F.coalesce(F.sum(r.price), F.lit(0)).cast("double"), 2).alias("total_sales"),
+            half_even(F.try_divide(F.sum(r.price).cast("double"), F.count(r.price).cast("double")), 2).alias(
+                "avg_price"
+            ),
+            F.approx_count_distinct(r.invoice).alias("unique_transactions"),
+            *kept,
         )
-    per_invoice = (
-        df.where(F.col(sub).isNotNull() & F.col(prod).isNotNull())
-        .groupBy(sub, prod, F.col(r.invoice).alias("inv"))
-        .agg(F.sum(r.quantity).alias("q"), F.sum(r.price).alias("s"), F.count(r.price).alias("c"))
+    per_invoice = lines.groupBy(sub, prod, F.col(r.invoice).alias("inv")).agg(
+        F.sum(r.quantity).alias("q"), F.sum(r.price).alias("s"), F.count(r.price).alias("c"), *kept
     )
     return per_invoice.groupBy(sub, prod).agg(
         half_even(F.coalesce(F.sum("q"), F.lit(0.0)), 2).alias("total_quantity"),
         half_even(F.coalesce(F.sum("s"), F.lit(0)).cast("double"), 2).alias("total_sales"),
         half_even(F.try_divide(F.sum("s").cast("double"), F.sum("c").cast("double")), 2).alias("avg_price"),
         F.count("inv").alias("unique_transactions"),
+        *kept,
     )
 
 
@@ -69,17 +73,20 @@ def _highlights(
 
     The top-``n`` list has at most ``n`` rows, so it is broadcast to cut the
     fact down to those subcategories before any product is aggregated.
+    A subcategory whose lines all lack a product name yields no row.
     """
     r = roles_of(df, roles, "subcategory", "product", "quantity", "price", "invoice")
     sub = r.subcategory
     top = (
         subcategory_sales(df, n=n, exclude_pattern=pattern, roles=r)
-        .select(F.col(sub).alias("category"), F.col("total_sales").alias("category_sales"))
-        .withColumn("rank", F.row_number().over(Window.orderBy(F.desc("category_sales"), F.asc("category"))))
+        .select(F.col(sub).alias("__cat"), F.col("total_sales").alias("category_sales"))
+        .withColumn("rank", F.row_number().over(Window.orderBy(F.desc("category_sales"), F.asc("__cat"))))
     )
-    lines = df.join(F.broadcast(top.select(F.col("category").alias("__c"))), F.col(sub) == F.col("__c"), "left_semi")
+    # Inner join with the n-row list: keeps only those subcategories' lines
+    # and carries their sales and rank along, so the list is built once.
+    lines = df.join(F.broadcast(top), F.col(sub) == F.col("__cat")).drop("__cat")
     best = (
-        product_stats(lines, r)
+        _product_stats(lines, r, carry=("category_sales", "rank"))
         .groupBy(F.col(sub).alias("category"))
         .agg(
             F.min(
@@ -91,24 +98,23 @@ def _highlights(
                     F.col("avg_price"),
                     F.col("unique_transactions"),
                 )
-            ).alias("b")
+            ).alias("b"),
+            F.first("category_sales").alias("category_sales"),
+            F.first("rank").alias("rank"),
         )
     )
-    return (
-        top.join(F.broadcast(best), "category")
-        .select(
-            "rank",
-            "category",
-            F.col("b.product").alias("product"),
-            F.col("b.total_quantity").cast("bigint").alias("qty_sold"),
-            F.col("b.total_sales").alias("total_sales"),
-            money_text("b.total_sales", 0).alias("total_sales_text"),
-            F.col("b.avg_price").alias("avg_price"),
-            F.format_string("$%.2f", F.col("b.avg_price")).alias("avg_price_text"),
-            F.col("b.unique_transactions").alias("transactions"),
-            F.col("category_sales"),
-            money_text("category_sales", 0).alias("category_sales_text"),
-        )
+    return best.select(
+        "rank",
+        "category",
+        F.col("b.product").alias("product"),
+        F.col("b.total_quantity").cast("bigint").alias("qty_sold"),
+        F.col("b.total_sales").alias("total_sales"),
+        money_text("b.total_sales", 0).alias("total_sales_text"),
+        F.col("b.avg_price").alias("avg_price"),
+        F.format_string("$%.2f", F.col("b.avg_price")).alias("avg_price_text"),
+        F.col("b.unique_transactions").alias("transactions"),
+        F.col("category_sales"),
+        money_text("category_sales", 0).alias("category_sales_text"),
     )
 
 
