@@ -52,3 +52,16 @@ def test_entry_smoke(spark):
 def test_fingerprint_runs(spark):
     r = QUERIES["fingerprint"](spark, SF).first()
     assert r["rows"] == QUERIES["sales_kpis"](spark, SF).first()["transactions"]
+
+
+SPARK_TO_DUCK = {"int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR",
+                 "timestamp_ntz": "TIMESTAMP", "boolean": "BOOLEAN"}
+
+
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_column_types_match_oracle(spark, con, name):
+    spark_types = dict(QUERIES[name](spark, SF).dtypes)
+    rel = con.sql(ORACLES[name])
+    duck_types = dict(zip(rel.columns, [str(t) for t in rel.types]))
+    for col, t in spark_types.items():
+        assert duck_types.get(col) == SPARK_TO_DUCK.get(t, t.upper()), (name, col, t, duck_types.get(col))
