@@ -74,3 +74,22 @@ def test_multiset_equal_counts_duplicates(spark):
     b = spark.createDataFrame([(1,), (2,), (2,)], "x int")
     assert not publish.multiset_equal(a, b)
     assert publish.multiset_equal(a, a.orderBy("x"))
+
+
+def test_unreadable_purchases_falls_back_to_first_table(spark, scratch):
+    _write(purchases(spark, SF_SMALL).limit(3), f"{scratch}/A_first")
+    os.makedirs(f"{scratch}/Purchases", exist_ok=True)
+    with open(f"{scratch}/Purchases/part-00000.parquet", "w") as fh:
+        fh.write("not a parquet file")
+    pur, chk = readers.read_sales(spark, scratch)
+    assert pur.count() == 3
+    assert chk.columns == []
+
+
+def test_publish_partitioned(spark, scratch):
+    target = f"{scratch}/by_year"
+    p = purchases(spark, SF_SMALL).withColumn("year", F.year("purchase_date"))
+    assert publish.publish_if_changed(p, target, partition_by=["year"]) is True
+    back = spark.read.parquet(publish.latest_version(spark, target))
+    assert back.count() == p.count()
+    assert publish.publish_if_changed(back.select(*p.columns), target, partition_by=["year"]) is False
