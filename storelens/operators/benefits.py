@@ -71,11 +71,14 @@ def benefit_ytd(
 ) -> DataFrame:
     """BEN-1: benefit value, count, mean, cost (rounded 2) and profit impact
     per year, YTD (years with at least one benefit line)."""
-    return (
-        benefit_year_summary(df, pattern, as_of, roles)
-        .where(F.col("benefit_lines") > 0)
-        .select("year", "total_bennies_value", "bennies_count", "avg_bennie_value", "total_bennies_cost",
-                "bennies_profit_impact")
+    return benefit_ytd_from(benefit_year_summary(df, pattern, as_of, roles))
+
+
+def benefit_ytd_from(summary: DataFrame) -> DataFrame:
+    """BEN-1 from a benefit year summary."""
+    return summary.where(F.col("benefit_lines") > 0).select(
+        "year", "total_bennies_value", "bennies_count", "avg_bennie_value", "total_bennies_cost",
+        "bennies_profit_impact",
     )
 
 
@@ -91,8 +94,12 @@ def benefit_monthly(df: DataFrame, pattern: str = K.BENEFIT_PATTERN, roles: Colu
 
 
 def _benefit_two_years(df: DataFrame, pattern: str, as_of, roles) -> DataFrame:
+    return _two_from(benefit_year_summary(df, pattern, as_of, roles))
+
+
+def _two_from(summary: DataFrame) -> DataFrame:
     """Latest and previous benefit year of the YTD summary, one row."""
-    years = benefit_year_summary(df, pattern, as_of, roles).where(F.col("benefit_lines") > 0)
+    years = summary.where(F.col("benefit_lines") > 0)
     return latest_two_years(
         years, ["total_bennies_value", "bennies_count", "bennies_profit_impact", "total_revenue"]
     )
@@ -121,14 +128,21 @@ def benefit_changes(
     ``direction`` is 'more' redeemed when the value fell (redemptions are
     negative amounts), else 'less'.
     """
-    return _changes(_benefit_two_years(df, pattern, as_of, roles)).drop("cur_total_revenue")
+    return benefit_changes_from(benefit_year_summary(df, pattern, as_of, roles))
+
+
+def benefit_changes_from(summary: DataFrame, with_revenue: bool = False) -> DataFrame:
+    """YOY-5 from a benefit year summary (optionally with the latest year's
+    YTD revenue, the insight rules' precondition)."""
+    out = _changes(_two_from(summary))
+    return out if with_revenue else out.drop("cur_total_revenue")
 
 
 def benefit_changes_with_revenue(
     df: DataFrame, pattern: str = K.BENEFIT_PATTERN, as_of=None, roles: ColumnRoles | None = None
 ) -> DataFrame:
     """YOY-5 plus the latest year's YTD revenue (the rules' precondition)."""
-    return _changes(_benefit_two_years(df, pattern, as_of, roles))
+    return benefit_changes_from(benefit_year_summary(df, pattern, as_of, roles), with_revenue=True)
 
 
 def benefit_revenue_share(
@@ -140,7 +154,12 @@ def benefit_revenue_share(
     is 0 when that year's revenue is not > 0.  Revenue and benefit value come
     from the same one-pass summary.
     """
-    two = _benefit_two_years(df, pattern, as_of, roles).where(F.col("cur_total_revenue") > 0)
+    return benefit_revenue_share_from(benefit_year_summary(df, pattern, as_of, roles))
+
+
+def benefit_revenue_share_from(summary: DataFrame) -> DataFrame:
+    """YOY-6 from a benefit year summary."""
+    two = _two_from(summary).where(F.col("cur_total_revenue") > 0)
     return two.select(
         "prev_year",
         "cur_year",

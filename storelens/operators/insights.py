@@ -64,7 +64,19 @@ def profitability_insights(
     roles: ColumnRoles | None = None,
 ) -> DataFrame:
     """INS-1: causes of a profitability change (YTD, latest vs. previous year)."""
-    ch = ytd_changes(df, as_of, roles)
+    return profitability_rules(
+        ytd_changes(df, as_of, roles), cost_vs_price_pp, volume_drop_pct, price_drop_pct, cost_vs_revenue_pp
+    )
+
+
+def profitability_rules(
+    ch: DataFrame,
+    cost_vs_price_pp: float = 2.0,
+    volume_drop_pct: float = -5.0,
+    price_drop_pct: float = -2.0,
+    cost_vs_revenue_pp: float = 5.0,
+) -> DataFrame:
+    """INS-1 over an already computed YOY-4 change row."""
     c = F.col
     rules = [
         Rule(c("avg_cost_change") > c("avg_price_change") + cost_vs_price_pp, "cost_inflation", "alert",
@@ -93,7 +105,15 @@ def benefit_insights(
     revenue is > 0; with no benefit line at all, one status row explains it
     (naming the benefit's home category when the selection lacks it)."""
     r = roles_of(df, roles, "date", "subcategory", "price")
-    ch = benefit_changes_with_revenue(df, pattern, as_of, r).where(F.col("cur_total_revenue") > 0)
+    out = benefit_rules(benefit_changes_with_revenue(df, pattern, as_of, r), value_threshold, count_threshold)
+    return out.unionByName(benefit_status(df, original, pattern, r))
+
+
+def benefit_rules(
+    changes_with_revenue: DataFrame, value_threshold: float = 1000.0, count_threshold: float = 100.0
+) -> DataFrame:
+    """INS-2 over a YOY-5 change row that carries ``cur_total_revenue``."""
+    ch = changes_with_revenue.where(F.col("cur_total_revenue") > 0)
     c = F.col
     rules = [
         Rule(c("value_change") < -value_threshold, "increased_usage", "alert",
@@ -105,9 +125,7 @@ def benefit_insights(
         Rule(c("count_change") < -count_threshold, "fewer_members", "info",
              "Fewer benefit redemptions", F.abs(c("count_change"))),
     ]
-    out = apply_rules(ch, "benefits", rules)
-    status = benefit_status(df, original, pattern, r)
-    return out.unionByName(status)
+    return apply_rules(ch, "benefits", rules)
 
 
 def benefit_status(

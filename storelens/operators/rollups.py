@@ -111,7 +111,11 @@ def weekly_sales(df: DataFrame, by_location: bool = False, roles: ColumnRoles |
             .groupBy(wk, F.col(r.location))
             .agg(money_sum(r.price).alias("sales"))
         )
-    weekly = base.groupBy(wk).agg(money_sum(r.price).alias("sales"))
+    return fill_weeks(base.groupBy(wk).agg(money_sum(r.price).alias("sales")))
+
+
+def fill_weeks(weekly: DataFrame) -> DataFrame:
+    """Every week from the first to the last of ``(week_ending, sales)``, 0 where missing."""
     calendar = weekly.agg(F.min("week_ending").alias("lo"), F.max("week_ending").alias("hi")).select(
         F.explode(F.sequence("lo", "hi", F.expr("INTERVAL 7 DAYS"))).alias("week_ending")
     )
@@ -241,7 +245,12 @@ def _dayparts(df: DataFrame, r: ColumnRoles) -> DataFrame:
 def hourly_sales(df: DataFrame, roles: ColumnRoles | None = None) -> DataFrame:
     """HR-1: sales, count and mean per hour, with day-part and ``HH:00`` labels."""
     r = roles_of(df, roles, "date", "price")
-    out = _hourly(df, r).withColumn("time_period", daypart("hour")).withColumn("hour_display", hour_label("hour"))
+    return label_hours(_hourly(df, r))
+
+
+def label_hours(hourly: DataFrame) -> DataFrame:
+    """Day-part and ``HH:00`` labels for ``(hour, ...)`` rows, sorted by hour."""
+    out = hourly.withColumn("time_period", daypart("hour")).withColumn("hour_display", hour_label("hour"))
     return _sorted_few(out, "hour")
 
 
@@ -275,6 +284,11 @@ def peak_time(df: DataFrame, roles: ColumnRoles | None = None) -> DataFrame:
     hours = _with_hour(df, r).groupBy("hour").agg(
         F.coalesce(F.sum(r.price), F.lit(0)).alias("s"), F.count(r.price).alias("n")
     )
+    return peak_from_hours(hours)
+
+
+def peak_from_hours(hours: DataFrame) -> DataFrame:
+    """TOP-11 from ``(hour, s, n)`` rows: exact sales sum and count per hour."""
     best_period = (
         hours.groupBy(daypart("hour").alias("time_period"))
         .agg(F.sum("s").alias("s"))

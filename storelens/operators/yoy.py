@@ -55,8 +55,13 @@ def ytd_metrics(df: DataFrame, as_of=None, roles: ColumnRoles | None = None) ->
 
 def ytd_changes(df: DataFrame, as_of=None, roles: ColumnRoles | None = None) -> DataFrame:
     """YOY-4: % change latest vs. previous year of the YTD metrics."""
+    return ytd_changes_from(ytd_metrics(df, as_of, roles))
+
+
+def ytd_changes_from(metrics: DataFrame) -> DataFrame:
+    """YOY-4 from an already computed YTD-1 table."""
     two = latest_two_years(
-        ytd_metrics(df, as_of, roles),
+        metrics,
         ["total_revenue", "total_cost", "avg_sale_price", "avg_unit_cost", "transaction_count"],
     )
     return two.select(

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..functions.exprs import is_benefit
 from ..operators import benefits as ben
+from ..operators import calendar as cal
 from ..operators import filters as flt
 from ..operators import insights as ins
 from ..operators import products as prd
@@ -117,6 +118,16 @@ def _checkins_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean.preprocess(checkins(spark, sf_dir))
 
 
+def _via_cube(fact_fn, derive, **kw) -> Query:
+    """The same result as the operator, derived from the calendar cube."""
+
+    def q(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return derive(cal.calendar_cube(fact_fn(spark, sf_dir), pattern=FIXTURE_PATTERN), **kw)
+
+    q.__name__ = derive.__name__
+    return q
+
+
 B = {"pattern": FIXTURE_PATTERN}
 BC = {"pattern": FIXTURE_PATTERN, "category": FIXTURE_CATEGORY}
 
@@ -214,4 +225,21 @@ QUERIES: dict[str, Query] = {
     "top_vendors_by_avg": _on(_p, ven.top_vendors, by="avg_transaction", n=15, min_txns=5),
     "vendor_scatter": _on(_p, ven.top_vendors, by="total_sales", n=20),
     "vendor_detail": _on(_p, ven.vendor_detail, n=30),
+    # calendar cube: the date-keyed sections from one (day, hour) aggregate
+    "sales_kpis_via_cube": _via_cube(_p, cal.sales_kpis_from_cube),
+    "sales_kpis_nulls_via_cube": _via_cube(_pn, cal.sales_kpis_from_cube),
+    "profit_kpis_via_cube": _via_cube(_p, cal.profit_kpis_from_cube),
+    "weekly_sales_via_cube": _via_cube(_p, cal.weekly_sales_from_cube),
+    "monthly_profit_via_cube": _via_cube(_p, cal.monthly_profit_from_cube),
+    "monthly_profit_nulls_via_cube": _via_cube(_pn, cal.monthly_profit_from_cube),
+    "quarterly_profit_via_cube": _via_cube(_p, cal.quarterly_profit_from_cube),
+    "hourly_sales_via_cube": _via_cube(_p, cal.hourly_sales_from_cube),
+    "daypart_sales_via_cube": _via_cube(_p, cal.daypart_sales_from_cube),
+    "weekday_sales_via_cube": _via_cube(_p, cal.weekday_sales_from_cube),
+    "peak_time_via_cube": _via_cube(_p, cal.peak_time_from_cube),
+    "ytd_metrics_via_cube": _via_cube(_p, cal.ytd_metrics_from_cube),
+    "ytd_changes_via_cube": _via_cube(_p, cal.ytd_changes_from_cube),
+    "benefit_ytd_via_cube": _via_cube(_p, cal.benefit_ytd_from_cube),
+    "benefit_changes_via_cube": _via_cube(_p, cal.benefit_changes_from_cube),
+    "benefit_revenue_share_via_cube": _via_cube(_p, cal.benefit_revenue_share_from_cube),
 }

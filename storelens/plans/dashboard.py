@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, Row
 from ..functions import constants as K
 from ..functions.roles import ColumnRoles, resolve_roles
 from ..operators import benefits, filters, insights, products, rollups, vendors, yoy
+from ..operators import calendar as cal
 
 Preset = Literal["all", "last_30", "last_90"]
 
@@ -110,31 +111,30 @@ class Dashboard:
         self.df = apply(df, self.state, self.roles)
         self.pattern = pattern
         self.category = category
+        self.resolve = resolve
         self.as_of = None
         if resolve and self.roles.date:
             self.as_of = self.df.agg({self.roles.date: "max"}).first()[0]
+        self._cube: DataFrame | None = None
+
+    def cube(self) -> DataFrame:
+        """The calendar cube of the filtered view, cached: a small table
+        (one row per day and hour) that the date-keyed sections share, so
+        they cost one scan of the fact together.  Cached blocks lost with an
+        executor are recomputed from the lineage."""
+        if self._cube is None:
+            self._cube = cal.calendar_cube(self.df, self.pattern, self.roles).cache()
+        return self._cube
 
     def sections(self) -> dict[str, DataFrame]:
         d, p, c, a = self.df, self.pattern, self.category, self.as_of
-        return {
-            "kpis": rollups.sales_kpis(d),
-            "profit_kpis": rollups.profit_kpis(d),
-            "weekly_sales": rollups.weekly_sales(d),
-            "weekly_sales_by_location": rollups.weekly_sales(d, by_location=True),
+        out = {
             "top_locations": rollups.top_locations(d),
+            "weekly_sales_by_location": rollups.weekly_sales(d, by_location=True),
             "profit_by_subcategory": rollups.profit_by_subcategory(d),
             "scope": rollups.scope_summary(d, self.original),
-            "monthly_profit": rollups.monthly_profit(d),
-            "quarterly_profit": rollups.quarterly_profit(d),
             "yoy_quarterly": yoy.yoy_quarterly(d),
             "ytd_window": filters.ytd_window(d),
-            "ytd_metrics": yoy.ytd_metrics(d, a),
-            "ytd_changes": yoy.ytd_changes(d, a),
-            "profitability_insights": insights.profitability_insights(d, a),
-            "benefit_ytd": benefits.benefit_ytd(d, p, a),
-            "benefit_changes": benefits.benefit_changes(d, p, a),
-            "benefit_revenue_share": benefits.benefit_revenue_share(d, p, a),
-            "benefit_insights": insights.benefit_insights(d, self.original, p, a),
             "benefit_monthly": benefits.benefit_monthly(d, p),
             "benefit_penetration": benefits.benefit_penetration(d, p, a),
             "penetration_insights": insights.penetration_insights(d, p, a),
@@ -143,14 +143,57 @@ class Dashboard:
             "category_insights": insights.category_insights(d, c, p, a),
             "product_highlights": products.product_highlights(d, 10, p),
             "highlight_leaders": products.highlight_leaders(d, 10, p),
-            "hourly_sales": rollups.hourly_sales(d),
-            "daypart_sales": rollups.daypart_sales(d),
-            "peak_time": rollups.peak_time(d),
-            "weekday_sales": rollups.weekday_sales(d),
             "vendor_performance": vendors.vendor_performance(d),
             "vendor_concentration": vendors.vendor_concentration(d),
             "subcategory_sales": rollups.subcategory_sales(d),
         }
+        if self.resolve and self.roles.cost:
+            out.update(self._date_sections_from_cube())
+        else:
+            out.update(
+                {
+                    "kpis": rollups.sales_kpis(d),
+                    "profit_kpis": rollups.profit_kpis(d),
+                    "weekly_sales": rollups.weekly_sales(d),
+                    "monthly_profit": rollups.monthly_profit(d),
+                    "quarterly_profit": rollups.quarterly_profit(d),
+                    "ytd_metrics": yoy.ytd_metrics(d, a),
+                    "ytd_changes": yoy.ytd_changes(d, a),
+                    "profitability_insights": insights.profitability_insights(d, a),
+                    "benefit_ytd": benefits.benefit_ytd(d, p, a),
+                    "benefit_changes": benefits.benefit_changes(d, p, a),
+                    "benefit_revenue_share": benefits.benefit_revenue_share(d, p, a),
+                    "benefit_insights": insights.benefit_insights(d, self.original, p, a),
+                    "hourly_sales": rollups.hourly_sales(d),
+                    "daypart_sales": rollups.daypart_sales(d),
+                    "peak_time": rollups.peak_time(d),
+                    "weekday_sales": rollups.weekday_sales(d),
+                }
+            )
+        return out
+
+    def _date_sections_from_cube(self) -> dict[str, DataFrame]:
+        q, a = self.cube(), self.as_of
+        summary = cal.benefit_year_summary_from_cube(q, a)
+        return {
+            "kpis": cal.sales_kpis_from_cube(q),
+            "profit_kpis": cal.profit_kpis_from_cube(q),
+            "weekly_sales": cal.weekly_sales_from_cube(q),
+            "monthly_profit": cal.monthly_profit_from_cube(q),
+            "quarterly_profit": cal.quarterly_profit_from_cube(q),
+            "ytd_metrics": cal.ytd_metrics_from_cube(q, a),
+            "ytd_changes": cal.ytd_changes_from_cube(q, a),
+            "profitability_insights": insights.profitability_rules(cal.ytd_changes_from_cube(q, a)),
+            "benefit_ytd": benefits.benefit_ytd_from(summary),
+            "benefit_changes": benefits.benefit_changes_from(summary),
+            "benefit_revenue_share": benefits.benefit_revenue_share_from(summary),
+            "benefit_insights": insights.benefit_rules(benefits.benefit_changes_from(summary, with_revenue=True))
+            .unionByName(insights.benefit_status(self.df, self.original, self.pattern, self.roles)),
+            "hourly_sales": cal.hourly_sales_from_cube(q),
+            "daypart_sales": cal.daypart_sales_from_cube(q),
+            "peak_time": cal.peak_time_from_cube(q),
+            "weekday_sales": cal.weekday_sales_from_cube(q),
+        }
 
     def collect_all(self, max_workers: int = 8, names: list[str] | None = None) -> dict[str, list[Row]]:
         """Run the sections concurrently (one Spark job set per thread) and
@@ -158,6 +201,8 @@ class Dashboard:
         each result is small; the fact itself never reaches the driver."""
         sections = self.sections()
         chosen = names or list(sections)
+        if self._cube is not None:
+            self._cube.count()  # build the shared cube once, before the sections race for it
         with ThreadPoolExecutor(max_workers=max_workers) as pool:
             futures = {n: pool.submit(sections[n].collect) for n in chosen}
             return {n: f.result() for n, f in futures.items()}

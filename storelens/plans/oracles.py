@@ -613,3 +613,12 @@ FROM (SELECT count(*) FILTER (WHERE rev > 0) AS months_with_revenue, count(DISTI
       FROM (SELECT year(purchase_date) AS year, month(purchase_date) AS month, coalesce(sum({PRICE}), 0) AS rev
             FROM purchases WHERE purchase_date IS NOT NULL GROUP BY 1, 2))""",
 )
+
+# The calendar-cube derivations must return exactly what the operators return.
+CUBE_TWINS = (
+    "sales_kpis", "sales_kpis_nulls", "profit_kpis", "weekly_sales", "monthly_profit", "monthly_profit_nulls",
+    "quarterly_profit", "hourly_sales", "daypart_sales", "weekday_sales", "peak_time", "ytd_metrics",
+    "ytd_changes", "benefit_ytd", "benefit_changes", "benefit_revenue_share",
+)
+for _name in CUBE_TWINS:
+    ORACLES[_name + "_via_cube"] = ORACLES[_name]

@@ -50,3 +50,19 @@ def test_resolved_state_equals_lazy_state(spark):
         for name in ("kpis", "ytd_metrics", "benefit_penetration", "category_with_benefit", "yoy_quarterly",
                      "vendor_concentration", "weekly_sales"):
             assert publish.multiset_equal(eager[name], lazy[name]), (state, name)
+
+
+def test_cube_sections_equal_operator_sections(spark):
+    from storelens.sources import publish
+
+    p = purchases(spark, SF_SMALL)
+    state = dashboard.FilterState(categories=("STANDARD", "SMALL", "MEDIUM"))
+    cube_board = dashboard.Dashboard(p, state, pattern="brand#25", category="STANDARD", resolve=True)
+    eager = cube_board.sections()
+    plain = dashboard.Dashboard(p, cube_board.state, pattern="brand#25", category="STANDARD", resolve=False)
+    plain.as_of = cube_board.as_of
+    lazy = plain.sections()
+    for name in ("kpis", "profit_kpis", "weekly_sales", "monthly_profit", "quarterly_profit", "ytd_metrics",
+                 "ytd_changes", "profitability_insights", "benefit_ytd", "benefit_changes", "benefit_revenue_share",
+                 "benefit_insights", "hourly_sales", "daypart_sales", "peak_time", "weekday_sales"):
+        assert publish.multiset_equal(eager[name], lazy[name]), name
