@@ -244,18 +244,24 @@ def category_with_benefit(
     per year: value, count, mean (rounded 2) and distinct invoices.
 
     The invoice list comes from all input rows (any date); the YTD cut is
-    applied to the category lines afterwards.  Left-semi join on invoice:
-    only the category lines and the distinct benefit invoices are shuffled.
+    applied to the category lines afterwards.  Left-semi join on invoice
+    between per-(year, invoice) partial sums and the distinct benefit
+    invoices.
     """
     r = roles_of(df, roles, "date", "category", "subcategory", "price", "invoice")
     lines = _ytd(df, r, as_of).where(F.col(r.category) == F.lit(category))
-    inv = benefit_invoices(df, pattern, r)
-    hit = lines.join(inv, F.col(r.invoice) == F.col("__inv"), "left_semi")
-    return hit.groupBy(F.year(r.date).alias("year")).agg(
-        half_even(money_sum(r.price), 2).alias("food_value_with_bennies"),
-        F.count(r.price).alias("food_items_count"),
-        half_even(mean(r.price), 2).alias("avg_food_item_value"),
-        F.count_distinct(r.invoice).alias("food_invoices_with_bennies"),
+    # One row per (year, invoice) before the join: the map-side partial
+    # aggregate collapses an invoice holding a third of all lines, so the
+    # join never sees more than one row per invoice and year.
+    per_invoice = lines.groupBy(F.year(r.date).alias("year"), F.col(r.invoice).alias("inv")).agg(
+        F.sum(r.price).alias("s"), F.count(r.price).alias("c")
+    )
+    hit = per_invoice.join(benefit_invoices(df, pattern, r), F.col("inv") == F.col("__inv"), "left_semi")
+    return hit.groupBy("year").agg(
+        half_even(money_sum("s"), 2).alias("food_value_with_bennies"),
+        F.coalesce(F.sum("c"), F.lit(0)).cast("bigint").alias("food_items_count"),
+        half_even(F.try_divide(F.sum("s").cast("double"), F.sum("c").cast("double")), 2).alias("avg_food_item_value"),
+        F.count("inv").alias("food_invoices_with_bennies"),
     )
 
 
@@ -282,20 +288,20 @@ def category_benefit_penetration(
 ) -> DataFrame:
     """FOOD-3: share of the category's invoices (YTD) that hold a benefit line, %.
 
-    One pass: category lines left-joined with the distinct benefit invoices
-    (the join output is already partitioned by invoice, so the per-invoice
-    aggregation needs no second shuffle).  Rows for the years in which at
-    least one such invoice exists (the years FOOD-1 reports).
+    The distinct (year, invoice) pairs of the category lines are left-joined
+    with the distinct benefit invoices and counted per year.  Rows for the
+    years in which at least one such invoice exists (the years FOOD-1
+    reports).
     """
     r = roles_of(df, roles, "date", "category", "subcategory", "invoice")
     lines = _ytd(df, r, as_of).where(F.col(r.category) == F.lit(category))
-    inv = benefit_invoices(df, pattern, r).withColumn("__hb", F.lit(1))
-    flagged = lines.join(inv, F.col(r.invoice) == F.col("__inv"), "left")
-    per_invoice = flagged.groupBy(F.year(r.date).alias("year"), F.col(r.invoice).alias("inv")).agg(
-        F.max("__hb").alias("hb")
+    # Distinct (year, invoice) first: a hot invoice collapses map-side.
+    invoices = lines.select(F.year(r.date).alias("year"), F.col(r.invoice).alias("inv")).distinct()
+    flagged = invoices.join(
+        benefit_invoices(df, pattern, r).withColumn("hb", F.lit(1)), F.col("inv") == F.col("__inv"), "left"
     )
     return (
-        per_invoice.groupBy("year")
+        flagged.groupBy("year")
         .agg(
             F.count("inv").alias("total_food_invoices"),
             F.coalesce(F.sum(F.when(F.col("inv").isNotNull(), F.col("hb"))), F.lit(0)).cast("bigint").alias(
