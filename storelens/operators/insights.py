@@ -177,7 +177,20 @@ def penetration_insights(
     value change -> rule false)."""
     ch = penetration_changes(df, pattern, as_of, roles)
     vc = benefit_changes(df, pattern, as_of, roles).select("value_change").scalar()
-    ch = ch.withColumn("value_change", vc)
+    return penetration_rules(ch, vc, change_pp, high_rate, low_rate, value_threshold)
+
+
+def penetration_rules(
+    changes: DataFrame,
+    value_change: Column,
+    change_pp: float = 2.0,
+    high_rate: float = 15.0,
+    low_rate: float = 5.0,
+    value_threshold: float = 1000.0,
+) -> DataFrame:
+    """INS-3 / INS-4 over a YOY-7 change row and the YOY-5 value change
+    (a scalar column; null when there is none)."""
+    ch = changes.withColumn("value_change", value_change)
     c = F.col
     rules = [
         Rule(c("rate_change") > change_pp, "higher_engagement", "info",

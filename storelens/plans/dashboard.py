@@ -137,7 +137,6 @@ class Dashboard:
             "ytd_window": filters.ytd_window(d),
             "benefit_monthly": benefits.benefit_monthly(d, p),
             "benefit_penetration": benefits.benefit_penetration(d, p, a),
-            "penetration_insights": insights.penetration_insights(d, p, a),
             "category_with_benefit": benefits.category_with_benefit(d, c, p, a),
             "category_benefit_penetration": benefits.category_benefit_penetration(d, c, p, a),
             "category_insights": insights.category_insights(d, c, p, a),
@@ -164,6 +163,7 @@ class Dashboard:
                     "benefit_changes": benefits.benefit_changes(d, p, a),
                     "benefit_revenue_share": benefits.benefit_revenue_share(d, p, a),
                     "benefit_insights": insights.benefit_insights(d, self.original, p, a),
+                    "penetration_insights": insights.penetration_insights(d, p, a),
                     "hourly_sales": rollups.hourly_sales(d),
                     "daypart_sales": rollups.daypart_sales(d),
                     "peak_time": rollups.peak_time(d),
@@ -189,6 +189,10 @@ class Dashboard:
             "benefit_revenue_share": benefits.benefit_revenue_share_from(summary),
             "benefit_insights": insights.benefit_rules(benefits.benefit_changes_from(summary, with_revenue=True))
             .unionByName(insights.benefit_status(self.df, self.original, self.pattern, self.roles)),
+            "penetration_insights": insights.penetration_rules(
+                benefits.penetration_changes(self.df, self.pattern, a, self.roles),
+                benefits.benefit_changes_from(summary).select("value_change").scalar(),
+            ),
             "hourly_sales": cal.hourly_sales_from_cube(q),
             "daypart_sales": cal.daypart_sales_from_cube(q),
             "peak_time": cal.peak_time_from_cube(q),
