@@ -27,14 +27,19 @@ def build_session(
 ) -> SparkSession:
     """Local/test session. On a cluster, pass ``master=None`` and let
     ``spark-submit`` supply the master and sizing."""
+    from pyspark import SparkConf
+
     b = SparkSession.builder.appName(app_name)
     if master:
         b = b.master(master)
     conf = dict(SESSION_DEFAULTS)
     conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf["spark.driver.memory"] = driver_memory
-    conf.update(extra or {})
+    launched = SparkConf()  # what spark-submit / spark-defaults already set
     for k, v in conf.items():
+        if not launched.contains(k):
+            b = b.config(k, v)
+    for k, v in (extra or {}).items():  # explicit requests always apply
         b = b.config(k, v)
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
