@@ -6,13 +6,17 @@ import os
 
 from pyspark.sql import SparkSession
 
-# Settings every storelens job relies on; a cluster's own values win where
-# they are already set (we only fill in what is missing).
+# Runtime SQL settings every storelens job relies on.  A value the launch
+# configuration already holds (spark-submit --conf, spark-defaults) wins;
+# only missing ones are filled in.
 SESSION_DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
+}
+# Static settings for local and test runs (no web UI, no progress bar).
+LOCAL_STATIC = {
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
 }
@@ -26,22 +30,20 @@ def build_session(
     extra: dict[str, str] | None = None,
 ) -> SparkSession:
     """Local/test session. On a cluster, pass ``master=None`` and let
-    ``spark-submit`` supply the master and sizing."""
-    from pyspark import SparkConf
-
+    ``spark-submit`` supply the master and sizing; ``extra`` always applies."""
     b = SparkSession.builder.appName(app_name)
     if master:
-        b = b.master(master)
-    conf = dict(SESSION_DEFAULTS)
-    conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
-    conf["spark.driver.memory"] = driver_memory
-    launched = SparkConf()  # what spark-submit / spark-defaults already set
-    for k, v in conf.items():
-        if not launched.contains(k):
-            b = b.config(k, v)
-    for k, v in (extra or {}).items():  # explicit requests always apply
+        b = b.master(master).config("spark.driver.memory", driver_memory)
+    for k, v in LOCAL_STATIC.items():
         b = b.config(k, v)
     spark = b.getOrCreate()
+    launched = spark.sparkContext.getConf()
+    wanted = dict(SESSION_DEFAULTS, **{"spark.sql.shuffle.partitions": str(shuffle_partitions)})
+    for k, v in wanted.items():
+        if not launched.contains(k):
+            spark.conf.set(k, v)
+    for k, v in (extra or {}).items():
+        spark.conf.set(k, v)
     spark.sparkContext.setLogLevel("ERROR")
     return spark
 
