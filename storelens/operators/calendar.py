@@ -228,3 +228,19 @@ def benefit_changes_from_cube(cube: DataFrame, as_of=None) -> DataFrame:
 
 def benefit_revenue_share_from_cube(cube: DataFrame, as_of=None) -> DataFrame:
     return ben.benefit_revenue_share_from(benefit_year_summary_from_cube(cube, as_of))
+
+
+def yoy_readiness_from_cube(cube: DataFrame) -> DataFrame:
+    """INS-7 from the cube: months with revenue > 0, years, and whether the
+    year-over-year block has enough data (same as ``yoy.yoy_readiness``)."""
+    months = _dated(cube).groupBy(F.year("day").alias("year"), F.month("day").alias("month")).agg(
+        _zsum("ps").alias("rev")
+    )
+    return months.agg(
+        F.count(F.when(F.col("rev") > 0, F.lit(1))).alias("months_with_revenue"),
+        F.count_distinct("year").alias("years"),
+    ).select(
+        "months_with_revenue",
+        "years",
+        ((F.col("months_with_revenue") >= 2) & (F.col("years") >= 2)).alias("ready"),
+    )

@@ -91,6 +91,16 @@ def apply(df: DataFrame, state: FilterState = FilterState(), roles: ColumnRoles
     return v
 
 
+# Sections the reference shows only when at least two months have revenue
+# (INS-7): the monthly trend and everything year-over-year below it.
+YOY_BLOCK = (
+    "monthly_profit", "yoy_quarterly", "ytd_window", "ytd_metrics", "ytd_changes", "profitability_insights",
+    "benefit_ytd", "benefit_changes", "benefit_revenue_share", "benefit_insights", "benefit_monthly",
+    "benefit_penetration", "penetration_insights", "category_with_benefit", "category_benefit_penetration",
+    "category_insights",
+)
+
+
 class Dashboard:
     """Every section of the page as a lazy DataFrame over one filter state."""
 
@@ -101,6 +111,7 @@ class Dashboard:
         pattern: str = K.BENEFIT_PATTERN,
         category: str = K.FOCUS_CATEGORY,
         resolve: bool = True,
+        gate_yoy: bool = True,
     ):
         """``resolve=True`` (the default) reads the filter defaults and the
         YTD as-of date once (a few values); ``False`` keeps everything lazy,
@@ -116,6 +127,15 @@ class Dashboard:
         if resolve and self.roles.date:
             self.as_of = self.df.agg({self.roles.date: "max"}).first()[0]
         self._cube: DataFrame | None = None
+        self.gate_yoy = gate_yoy and resolve and self.roles.date is not None and self.roles.cost is not None
+        self._ready: bool | None = None
+
+    def yoy_ready(self) -> bool:
+        """INS-7: at least two months with revenue (and two years)."""
+        if self._ready is None:
+            row = cal.yoy_readiness_from_cube(self.cube()).first()
+            self._ready = bool(row is not None and row["months_with_revenue"] >= 2)
+        return self._ready
 
     def cube(self) -> DataFrame:
         """The calendar cube of the filtered view, cached: a small table
@@ -170,6 +190,9 @@ class Dashboard:
                     "weekday_sales": rollups.weekday_sales(d),
                 }
             )
+        if self.gate_yoy and not self.yoy_ready():
+            for name in YOY_BLOCK:
+                out[name] = out[name].limit(0)  # hidden section: same schema, no rows
         return out
 
     def _date_sections_from_cube(self) -> dict[str, DataFrame]:

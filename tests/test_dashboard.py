@@ -67,3 +67,18 @@ def test_cube_sections_equal_operator_sections(spark):
                  "benefit_insights", "penetration_insights", "hourly_sales", "daypart_sales", "peak_time",
                  "weekday_sales"):
         assert publish.multiset_equal(eager[name], lazy[name]), name
+
+
+def test_yoy_block_hidden_with_one_month(spark):
+    from rows import make
+
+    one_month = make(spark, {"purchase_date": "2024-03-05 10:00:00"}, {"purchase_date": "2024-03-20 10:00:00"})
+    board = dashboard.Dashboard(one_month, dashboard.FilterState(locations=(), categories=()))
+    assert board.yoy_ready() is False
+    sections = board.sections()
+    for name in dashboard.YOY_BLOCK:
+        assert sections[name].count() == 0, name
+    # all-time bounds end at midnight of the last day, so its 10:00 line is out (D-2)
+    assert sections["kpis"].first()["transactions"] == 1
+    p = purchases(spark, SF_SMALL)
+    assert dashboard.Dashboard(p, pattern="brand#25", category="STANDARD").yoy_ready() is True
