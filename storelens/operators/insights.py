@@ -219,6 +219,13 @@ def category_insights(
 ) -> DataFrame:
     """INS-5: benefit adoption rules within one category."""
     ch = category_penetration_change(df, category, pattern, as_of, roles)
+    return category_rules(ch, change_pp, good_rate, low_rate)
+
+
+def category_rules(
+    ch: DataFrame, change_pp: float = 1.0, good_rate: float = 10.0, low_rate: float = 5.0
+) -> DataFrame:
+    """INS-5 over a YOY-8 change row."""
     c = F.col
     rules = [
         Rule(c("penetration_change") > change_pp, "more_category_customers", "info",
