@@ -218,6 +218,18 @@ def benefit_year_summary_from_cube(cube: DataFrame, as_of=None) -> DataFrame:
     )
 
 
+def benefit_monthly_from_cube(cube: DataFrame) -> DataFrame:
+    """BEN-2: benefit value per month (all dates), months with benefit lines."""
+    keys = [F.year("day").alias("year"), F.month("day").alias("month"), year_month("day").alias("year_month")]
+    return (
+        _dated(cube)
+        .groupBy(*keys)
+        .agg(_zsum("bl").alias("lines"), _zsum("bs").cast("double").alias("bennies_value"))
+        .where(F.col("lines") > 0)
+        .drop("lines")
+    )
+
+
 def benefit_ytd_from_cube(cube: DataFrame, as_of=None) -> DataFrame:
     return ben.benefit_ytd_from(benefit_year_summary_from_cube(cube, as_of))
 

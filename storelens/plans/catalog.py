@@ -240,6 +240,7 @@ QUERIES: dict[str, Query] = {
     "ytd_metrics_via_cube": _via_cube(_p, cal.ytd_metrics_from_cube),
     "ytd_changes_via_cube": _via_cube(_p, cal.ytd_changes_from_cube),
     "benefit_ytd_via_cube": _via_cube(_p, cal.benefit_ytd_from_cube),
+    "benefit_monthly_via_cube": _via_cube(_p, cal.benefit_monthly_from_cube),
     "benefit_changes_via_cube": _via_cube(_p, cal.benefit_changes_from_cube),
     "benefit_revenue_share_via_cube": _via_cube(_p, cal.benefit_revenue_share_from_cube),
 }

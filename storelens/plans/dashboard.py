@@ -155,7 +155,6 @@ class Dashboard:
             "scope": rollups.scope_summary(d, self.original),
             "yoy_quarterly": yoy.yoy_quarterly(d),
             "ytd_window": filters.ytd_window(d),
-            "benefit_monthly": benefits.benefit_monthly(d, p),
             "benefit_penetration": benefits.benefit_penetration(d, p, a),
             "category_with_benefit": benefits.category_with_benefit(d, c, p, a),
             "category_benefit_penetration": benefits.category_benefit_penetration(d, c, p, a),
@@ -180,6 +179,7 @@ class Dashboard:
                     "ytd_changes": yoy.ytd_changes(d, a),
                     "profitability_insights": insights.profitability_insights(d, a),
                     "benefit_ytd": benefits.benefit_ytd(d, p, a),
+                    "benefit_monthly": benefits.benefit_monthly(d, p),
                     "benefit_changes": benefits.benefit_changes(d, p, a),
                     "benefit_revenue_share": benefits.benefit_revenue_share(d, p, a),
                     "benefit_insights": insights.benefit_insights(d, self.original, p, a),
@@ -208,6 +208,7 @@ class Dashboard:
             "ytd_changes": cal.ytd_changes_from_cube(q, a),
             "profitability_insights": insights.profitability_rules(cal.ytd_changes_from_cube(q, a)),
             "benefit_ytd": benefits.benefit_ytd_from(summary),
+            "benefit_monthly": cal.benefit_monthly_from_cube(q),
             "benefit_changes": benefits.benefit_changes_from(summary),
             "benefit_revenue_share": benefits.benefit_revenue_share_from(summary),
             "benefit_insights": insights.benefit_rules(benefits.benefit_changes_from(summary, with_revenue=True))

@@ -618,7 +618,7 @@ FROM (SELECT count(*) FILTER (WHERE rev > 0) AS months_with_revenue, count(DISTI
 CUBE_TWINS = (
     "sales_kpis", "sales_kpis_nulls", "profit_kpis", "weekly_sales", "monthly_profit", "monthly_profit_nulls",
     "quarterly_profit", "hourly_sales", "daypart_sales", "weekday_sales", "peak_time", "ytd_metrics",
-    "ytd_changes", "benefit_ytd", "benefit_changes", "benefit_revenue_share",
+    "ytd_changes", "benefit_ytd", "benefit_changes", "benefit_revenue_share", "benefit_monthly",
 )
 for _name in CUBE_TWINS:
     ORACLES[_name + "_via_cube"] = ORACLES[_name]

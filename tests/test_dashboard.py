@@ -63,7 +63,8 @@ def test_cube_sections_equal_operator_sections(spark):
     plain.as_of = cube_board.as_of
     lazy = plain.sections()
     for name in ("kpis", "profit_kpis", "weekly_sales", "monthly_profit", "quarterly_profit", "ytd_metrics",
-                 "ytd_changes", "profitability_insights", "benefit_ytd", "benefit_changes", "benefit_revenue_share",
+                 "ytd_changes", "profitability_insights", "benefit_ytd", "benefit_monthly", "benefit_changes",
+                 "benefit_revenue_share",
                  "benefit_insights", "penetration_insights", "hourly_sales", "daypart_sales", "peak_time",
                  "weekday_sales"):
         assert publish.multiset_equal(eager[name], lazy[name]), name
