@@ -1,11 +1,12 @@
 """Sources (star-schema fixture, table readers, cleaning) and sinks."""
 
-from .clean import clean_columns, coerce_dates, coerce_numbers, preprocess
+from .clean import canonical, clean_columns, coerce_dates, coerce_numbers, preprocess
 from .publish import fingerprint, latest_version, multiset_equal, publish_if_changed, sample_rows
 from .readers import list_tables, read_sales, resolve_source, select_table
 from .star import checkins, purchases
 
 __all__ = [
+    "canonical",
     "checkins",
     "clean_columns",
     "coerce_dates",

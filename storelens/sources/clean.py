@@ -103,3 +103,47 @@ def coerce_numbers(df: DataFrame) -> DataFrame:
         for f in df.schema.fields
     ]
     return df.select(*cols)
+
+
+# Canonical types of the role columns: money exact to the cent.
+CANONICAL_TYPES = {
+    "price": "decimal(18,2)",
+    "cost": "decimal(18,2)",
+    "quantity": "double",
+    "category": "string",
+    "subcategory": "string",
+    "product": "string",
+    "vendor": "string",
+    "location": "string",
+}
+
+
+def canonical(df: DataFrame, money: str = "decimal(18,2)", invoice: str | None = "bigint") -> DataFrame:
+    """Cast the role columns to the canonical fact schema, one projection.
+
+    Text that does not parse becomes null (``try_cast``); a date role given
+    as text is parsed like :func:`preprocess`.  ``money`` may be ``double``;
+    ``invoice=None`` leaves the invoice column's type alone.
+    """
+    from ..functions.roles import resolve_roles
+
+    r = resolve_roles(df.schema)
+    target = {getattr(r, role): t for role, t in CANONICAL_TYPES.items() if getattr(r, role)}
+    for role in ("price", "cost"):
+        if getattr(r, role):
+            target[getattr(r, role)] = money
+    if r.invoice and invoice:
+        target[r.invoice] = invoice
+    date_text = next(
+        (f.name for f in df.schema.fields if _is_date_name(f.name) and isinstance(f.dataType, T.StringType)), None
+    )
+    cols = []
+    for f in df.schema.fields:
+        c = F.col(f"`{f.name}`")
+        if f.name == date_text and r.date is None:
+            c = parse_timestamp(c)
+        elif f.name in target and f.dataType.simpleString() != target[f.name]:
+            src = F.trim(c) if isinstance(f.dataType, T.StringType) else c
+            c = src.try_cast(target[f.name])
+        cols.append(c.alias(f.name))
+    return df.select(*cols)

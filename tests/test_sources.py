@@ -93,3 +93,14 @@ def test_publish_partitioned(spark, scratch):
     back = spark.read.parquet(publish.latest_version(spark, target))
     assert back.count() == p.count()
     assert publish.publish_if_changed(back.select(*p.columns), target, partition_by=["year"]) is False
+
+
+def test_csv_export_roundtrip_to_canonical_fact(spark, scratch):
+    from storelens.sources.clean import canonical, preprocess
+
+    p = purchases(spark, SF_SMALL)
+    _write(p.select([F.col(c).cast("string") for c in p.columns]), f"{scratch}/purchases", fmt="csv")
+    pur, _ = readers.read_sales(spark, scratch, fmt="csv")
+    fact = canonical(preprocess(pur))
+    assert fact.schema == p.schema
+    assert publish.multiset_equal(fact, p)
