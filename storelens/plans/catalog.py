@@ -114,6 +114,16 @@ def _preprocess_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean.preprocess(_text_purchases(_p(spark, sf_dir)))
 
 
+def _canonical_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole fact as an all-text export, cleaned and cast back to the
+    canonical role schema: must equal the fact itself."""
+    from pyspark.sql import functions as F
+
+    p = _p(spark, sf_dir)
+    text = p.select([F.col(c).cast("string").alias(c) for c in p.columns])
+    return clean.canonical(clean.preprocess(text))
+
+
 def _checkins_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean.preprocess(checkins(spark, sf_dir))
 
@@ -134,6 +144,7 @@ BC = {"pattern": FIXTURE_PATTERN, "category": FIXTURE_CATEGORY}
 QUERIES: dict[str, Query] = {
     # sources, cleaning, sinks
     "preprocess_roundtrip": _preprocess_roundtrip,
+    "canonical_roundtrip": _canonical_roundtrip,
     "checkins_clean": _checkins_clean,
     "sample_rows": _on(_p, publish.sample_rows, n=100),
     "fingerprint": _on(_p, publish.fingerprint),

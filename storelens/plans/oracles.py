@@ -590,6 +590,7 @@ _reg(
     f"""SELECT purchase_date, invoice_id, cast({PRICE} AS DOUBLE) AS {PRICE}, cast(unit_cost AS VARCHAR) AS unit_cost
 FROM purchases""",
 )
+_reg("canonical_roundtrip", "SELECT * FROM purchases")
 ORACLES["checkins_clean"] = "SELECT * FROM events"
 _reg(
     "sample_rows",
