@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
+from .decontaminate import contamination
 from .repetition import repetition_coverage
+from .secrets_markov import secrets
 from .zdict import compressed_ids
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,9 +30,19 @@ def op3_zstd_dictionary_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compressed_ids(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op9_benchmark_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op10_markov_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op2_repetition_coverage": op2_repetition_coverage,
     "op3_zstd_dictionary_ids": op3_zstd_dictionary_ids,
+    "op9_benchmark_windows": op9_benchmark_windows,
+    "op10_markov_secrets": op10_markov_secrets,
 }
 
 # Words, lines and windows of whole texts; positions count from 1.
@@ -75,7 +87,8 @@ FROM base b JOIN sym USING (doc_id) LEFT JOIN lines USING (doc_id) LEFT JOIN c3
 
 
 def _repetition_sql() -> str:
-    from .repetition import NGRAM_LIMITS
+    from .decontaminate import contamination
+from .repetition import NGRAM_LIMITS
 
     ngrams, limits, columns, joins = "", "", "", ""
     for n, limit in sorted(NGRAM_LIMITS.items()):
@@ -98,4 +111,35 @@ def _repetition_sql() -> str:
     return sql.replace("__COLUMNS__", columns).replace("__JOINS__", joins)
 
 
-ORACLES: dict[str, str] = {"op2_repetition_coverage": _repetition_sql()}
+_DECONTAMINATION_SQL = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents
+), b AS (
+  SELECT coalesce(item_id::VARCHAR, '') AS item,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark
+), g AS (
+  SELECT DISTINCT item, k, ws[p:p + k - 1] AS gram FROM (
+    SELECT item, ws, least(len(ws), 10) AS k, unnest(range(1, len(ws) - least(len(ws), 10) + 2)) AS p FROM b WHERE len(ws) > 0
+  )
+), dw AS (
+  SELECT doc_id, k, p, ws[p:p + k - 1] AS gram FROM (
+    SELECT doc_id, ws, k, unnest(range(1, len(ws) - k + 2)) AS p FROM d, (SELECT DISTINCT k FROM g) WHERE len(ws) >= k
+  )
+), h AS (
+  SELECT doc_id, dw.k, p, item FROM dw JOIN g ON g.k = dw.k AND g.gram = dw.gram
+), n AS (
+  SELECT doc_id, count(DISTINCT p + j) AS n_hit FROM (SELECT doc_id, p, unnest(range(k)) AS j FROM h) GROUP BY doc_id
+), i AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids FROM (SELECT DISTINCT doc_id, item FROM h) GROUP BY doc_id
+)
+SELECT d.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN i ON i.doc_id = d.doc_id
+"""
+
+ORACLES: dict[str, str] = {
+    "op2_repetition_coverage": _repetition_sql(),
+    "op9_benchmark_windows": _DECONTAMINATION_SQL,
+}
