@@ -1,9 +1,12 @@
 """Token ids of whole texts, by the ``tokenizers`` library.
 
-A text is cut where the tokenizer's own rules always cut (between white space
-and what follows it), each distinct piece is encoded once per task, and the
-texts' ids are gathered from those.  The result equals encoding whole texts
-(tests compare both).  Strings of special tokens count as ordinary text.
+A text is cut where the tokenizer's own rules always cut: between white space
+and what follows it, and between ASCII (or Latin-1) letters or digits and ASCII
+punctuation other than the apostrophe.  Each distinct piece is encoded once and
+the texts' ids are gathered from those; pieces are told apart by 64-bit hashes
+of their bytes, a numpy pass over the Arrow buffer.  The result equals encoding
+whole texts (tests compare both).  Strings of special tokens count as ordinary
+text.
 """
 
 from __future__ import annotations
@@ -16,26 +19,29 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import Broadcast
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from .textbatch import SLICE_BYTES
+from .common import ship, written
+from .textbatch import U, Words, slices
 
-# White space as the tokenizers' regular expressions see it (Unicode White_Space).
-_WS = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-#: Word tokenizer: white space is dropped, pieces are what stands between it.
-WORD_PIECES = f"[^{_WS}]+"
-#: Byte-level tokenizer: one space goes with what follows it.
-BYTE_PIECES = f" ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+"
-#: Distinct pieces a task remembers before it starts afresh (bounds its memory).
-REMEMBERED = 400_000
+#: How a tokenizer treats white space: dropped, or a space goes with what follows it.
+WORD_PIECES, BYTE_PIECES = "word", "byte"
+END_ID = 1
+#: Distinct pieces a worker remembers before it starts afresh (bounds its memory).
+REMEMBERED = 1_000_000
+#: White space outside ASCII, which the byte-level rules join with ASCII space.
+_WIDE_SPACE = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
+_ALNUM, _PUNCT = np.zeros(256, bool), np.zeros(256, bool)
+_ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
+_PUNCT[[c for c in range(33, 127) if not _ALNUM[c] and c != 39]] = True
 
 
 @dataclass(frozen=True)
 class Vocabulary:
-    """A tokenizer file's content and its pieces; small and of fixed size, so
-    it is broadcast to the executors."""
+    """A tokenizer file's content and its kind of pieces; small and of fixed
+    size, so it is broadcast to the executors."""
 
     json: str
     pieces: str
@@ -48,74 +54,210 @@ class Vocabulary:
         return spark.sparkContext.broadcast(self)
 
 
+class Places:
+    """Place of each 64-bit key, an open-addressing table in numpy."""
+
+    def __init__(self, bits: int = 21):
+        self._bits = bits
+        self._shift, self._mask = U(64 - bits), (1 << bits) - 1
+        self._key = np.zeros(1 << bits, U)  # 0: free
+        self._value = np.zeros(1 << bits, np.int32)
+        self.size = 0
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Places of the keys, -1 where unknown."""
+        slot = (keys >> self._shift).astype(np.int64)
+        there = self._key[slot]
+        out = np.where(there == keys, self._value[slot], -1)
+        rest = np.flatnonzero((there != keys) & (there != 0))
+        while len(rest):
+            slot[rest] = (slot[rest] + 1) & self._mask
+            there = self._key[slot[rest]]
+            hit = there == keys[rest]
+            out[rest[hit]] = self._value[slot[rest[hit]]]
+            rest = rest[~hit & (there != 0)]
+        return out
+
+    def add(self, keys: np.ndarray) -> None:
+        """Gives distinct new keys the next places, in order."""
+        if 2 * (self.size + len(keys)) > len(self._key):
+            old = np.flatnonzero(self._key)
+            known = self._key[old][np.argsort(self._value[old])]
+            self.__init__(int(2 * (len(known) + len(keys)) + 1).bit_length())
+            self.add(known)
+        value = np.arange(self.size, self.size + len(keys), dtype=np.int32)
+        self.size += len(keys)
+        slot = (keys >> self._shift).astype(np.int64)
+        while len(keys):
+            free = self._key[slot] == 0
+            self._key[slot[free]] = keys[free]  # of several, one stays
+            won = self._key[slot] == keys
+            self._value[slot[won]] = value[won]
+            keys, value, slot = keys[~won], value[~won], (slot[~won] + 1) & self._mask
+
+
 class Encoder:
+    _kept: dict[int, Encoder] = {}
+
+    @classmethod
+    def of(cls, vocabulary: Vocabulary) -> Encoder:
+        """The worker process's encoder, kept from task to task."""
+        key = hash(vocabulary)
+        if key not in cls._kept:
+            cls._kept.clear()
+            cls._kept[key] = cls(vocabulary)
+        return cls._kept[key]
+
     def __init__(self, vocabulary: Vocabulary):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         self._tok = Tokenizer.from_str(vocabulary.json)
-        self._tok.encode_special_tokens = True
-        self._split = re.compile(vocabulary.pieces).findall
+        self._spaced = vocabulary.pieces == BYTE_PIECES
+        self._mark = next(t.content for t in self._tok.get_added_tokens_decoder().values() if t.special)
+        self._mark_id = self._tok.token_to_id(self._mark)
         self.dtype = np.dtype("<u2" if self._tok.get_vocab_size() <= 1 << 16 else "<u4")
         self._forget()
 
     def _forget(self) -> None:
-        self._known: dict[str, int] = {}
-        self._ids = np.zeros(0, np.uint32)
-        self._at = np.zeros(0, np.int64)
-        self._len = np.zeros(0, np.int64)
-
-    def _learn(self, pieces: list[str]) -> None:
-        found = [e.ids for e in self._tok.encode_batch(pieces, add_special_tokens=False)]
-        n = np.fromiter(map(len, found), np.int64, len(found))
-        base = len(self._ids)
-        self._at = np.concatenate((self._at, base + np.concatenate(([0], np.cumsum(n)[:-1]))))
-        self._len = np.concatenate((self._len, n))
-        self._ids = np.concatenate((self._ids, np.fromiter((i for f in found for i in f), np.uint32, int(n.sum()))))
-        k = len(self._known)
-        self._known.update(zip(pieces, range(k, k + len(pieces)), strict=True))
-
-    def pieces(self, texts: list[str | None]) -> tuple[list[list[str]], np.ndarray]:
-        """Pieces of each text, and for all of them in a row their place in the memory."""
-        if len(self._known) > REMEMBERED:
+        self._known = Places()
+        self._ids = np.zeros(1 << 16, self.dtype)
+        self._at = np.zeros(1 << 16, np.int64)
+        self._len = np.zeros(1 << 16, np.int64)
+        self._used = 0
+
+    def _room(self, name: str, need: int) -> np.ndarray:
+        old = getattr(self, name)
+        if need > len(old):
+            new = np.zeros(max(need, 2 * len(old)), old.dtype)
+            new[: len(old)] = old
+            setattr(self, name, new)
+        return getattr(self, name)
+
+    def _learn(self, keys: np.ndarray, pieces: list[bytes]) -> None:
+        """Encodes new pieces, many in one call, a special token between them
+        (no piece holds its string: letters and punctuation are cut apart)."""
+        mark = self._mark.encode()
+        base = self._known.size
+        self._known.add(keys)
+        for lo in range(0, len(keys), 1000):
+            some = pieces[lo : lo + 1000]
+            text = mark.join(some).decode("utf-8", "replace")
+            ids = np.array(self._tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int64)
+            gap = np.flatnonzero(ids == self._mark_id)
+            first, last = np.append(0, gap + 1), np.append(gap, len(ids))
+            k, real = base + lo, ids[ids != self._mark_id]
+            self._room("_at", k + len(some))[k : k + len(some)] = self._used + first - np.arange(len(some))
+            self._room("_len", k + len(some))[k : k + len(some)] = last - first
+            self._room("_ids", self._used + len(real))[self._used : self._used + len(real)] = real
+            self._used += len(real)
+
+    def _bounds(self, w: Words) -> tuple[np.ndarray, np.ndarray]:
+        """Byte ranges of the pieces of a slice of texts, in order."""
+        data, n = w.data, len(w.data)
+        alnum, punct = _ALNUM[data], _PUNCT[data]
+        if n > 1:  # Latin-1 letters: byte C3 and one more, but not the signs C3 97 and C3 B7
+            two = (data[:-1] == 0xC3) & (data[1:] != 0x97) & (data[1:] != 0xB7)
+            alnum[:-1] |= two
+            alnum[1:] |= two
+        cut = np.zeros(n, bool)
+        cut[1:] = (alnum[:-1] & punct[1:]) | (punct[:-1] & alnum[1:])
+        doc_start = w.offsets[:-1][w.offsets[1:] > w.offsets[:-1]]
+        cut[doc_start] = False
+        cut = np.flatnonzero(cut)
+        start = np.sort(np.concatenate((w.start, cut)))
+        end = np.sort(np.concatenate((w.end, cut)))
+        if not self._spaced:
+            return start, end
+        # White space: what stands before a word in its text, and at the end of a text.
+        first_word = np.concatenate(([True], w.doc[1:] != w.doc[:-1])) if len(w.doc) else np.zeros(0, bool)
+        run_at = np.where(first_word, w.offsets[w.doc], np.concatenate(([0], w.end[:-1])) if len(w.end) else 0)
+        run = w.start - run_at
+        some = run > 0
+        joins = some.copy()
+        joins[some] = data[w.start[some] - 1] == 0x20
+        start[np.searchsorted(start, w.start[joins])] -= 1
+        long, lone = run > 1, some & ~joins
+        last = np.concatenate((np.zeros(0, np.int64), w.offsets[:-1]))
+        has = w.count > 0
+        last[has] = w.end[w.first[1:][has] - 1]
+        tail = last < w.offsets[1:]
+        start = np.concatenate((start, run_at[long], w.start[lone] - 1, last[tail]))
+        end = np.concatenate((end, w.start[long] - 1, w.start[lone], w.offsets[1:][tail]))
+        order = np.argsort(start, kind="stable")
+        return start[order], end[order]
+
+    def pieces(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(start, end, place): byte ranges of a slice's pieces and their places in the memory."""
+        if self._known.size > REMEMBERED:
             self._forget()
-        cut = [self._split(t) if t else [] for t in texts]
-        new = list({p: None for c in cut for p in c if p not in self._known})
-        if new:
-            self._learn(new)
-        known = self._known
-        place = np.fromiter((known[p] for c in cut for p in c), np.int64, sum(map(len, cut)))
-        return cut, place
-
-    def encode(self, texts: list[str | None], end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """All ids in a row, and where each text's begin (one more entry than texts)."""
-        cut, place = self.pieces(texts)
-        n = self._len[place]
-        ends = np.cumsum(n)
-        total = int(ends[-1]) if len(ends) else 0
-        ids = self._ids[np.arange(total) + np.repeat(self._at[place] - (ends - n), n)]
-        bound = np.concatenate(([0], np.cumsum([len(c) for c in cut], dtype=np.int64)))
-        at = np.concatenate(([0], ends))[bound]
+        w = Words(data, offsets)
+        start, end = self._bounds(w)
+        key = np.maximum(w.bytes(start, end), U(1))
+        place = self._known.find(key)
+        new = np.flatnonzero(place < 0)
+        if len(new):
+            unique, first, back = np.unique(key[new], return_index=True, return_inverse=True)
+            raw, at, base = data.tobytes(), new[first], self._known.size
+            self._learn(unique, [raw[s:e] for s, e in zip(start[at].tolist(), end[at].tolist(), strict=True)])
+            place[new] = base + back
+        return start, end, place
+
+    def _whole(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Whole texts at once, for texts with white space outside ASCII."""
+        self._tok.encode_special_tokens = True
+        raw = data.tobytes()
+        texts = [raw[a:b].decode("utf-8", "replace") for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+        found = [e.ids for e in self._tok.encode_batch_fast(texts, add_special_tokens=False)]
+        self._tok.encode_special_tokens = False
+        ids = np.concatenate([np.zeros(0, self.dtype), *(np.array(f, self.dtype) for f in found)])
+        return ids, np.concatenate(([0], np.cumsum([len(f) for f in found], dtype=np.int64)))
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of a slice of texts in a row, and where each text's begin (one more entry than texts)."""
+        if self._spaced and _WIDE_SPACE.search(data):
+            ids, at = self._whole(data, offsets)
+        else:
+            start, _, place = self.pieces(data, offsets)
+            n = self._len[place]
+            ends = np.cumsum(n)
+            total = int(ends[-1]) if len(ends) else 0
+            ids = self._ids[np.arange(total) + np.repeat(self._at[place] - (ends - n), n)]
+            at = np.concatenate(([0], ends))[np.searchsorted(start, offsets)]
         if end is not None:
             ids = np.insert(ids, at[1:], end)
             at = at + np.arange(len(at))
         return ids, at
 
-
-def text_runs(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int, list[str | None]]]:
-    """``(from, to, texts)``: runs of rows holding about ``limit`` bytes of text."""
-    col = batch.column(batch.schema.get_field_index(column))
-    size = pc.fill_null(pc.binary_length(col), 0).to_numpy(zero_copy_only=False)
-    ends = np.concatenate(([0], np.cumsum(size, dtype=np.int64)))
-    lo, n = 0, len(col)
-    while lo < n:
-        hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] + limit, side="right")) - 1)
-        yield lo, hi, col.slice(lo, hi - lo).to_pylist()
-        lo = hi
+    def encode_texts(self, texts: list[str | None], end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        parts = [(t or "").encode() for t in texts]
+        offsets = np.concatenate(([0], np.cumsum([len(p) for p in parts], dtype=np.int64)))
+        return self.encode(np.frombuffer(b"".join(parts), np.uint8), offsets, end)
 
 
 def binary_rows(ids: np.ndarray, at: np.ndarray, dtype: np.dtype) -> pa.Array:
     """Each text's ids as little-endian bytes, without a copy per row."""
-    data = np.ascontiguousarray(ids.astype(dtype))
-    off = (at * dtype.itemsize).astype(np.int64)
-    return pa.Array.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer(off), pa.py_buffer(data)])
+    data = np.ascontiguousarray(ids.astype(dtype, copy=False))
+    off = (at * dtype.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer(off), pa.py_buffer(data)])
+
+
+def encoded(docs: DataFrame, vocabulary: Vocabulary, end_id: int = END_ID) -> DataFrame:
+    """doc_id, key (a number per row), ids (little-endian bytes), n_tokens; written once."""
+    ship(docs.sparkSession)
+    shared = vocabulary.broadcast(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = Encoder.of(shared.value)
+        for b in batches:
+            for lo, hi, data, offsets in slices(b, "text"):
+                ids, at = enc.encode(data, offsets, end_id)
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0).slice(lo, hi - lo), b.column(1).slice(lo, hi - lo), binary_rows(ids, at, enc.dtype), pa.array(np.diff(at))],
+                    names=["doc_id", "key", "ids", "n_tokens"],
+                )
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    rows = docs.select("doc_id", F.monotonically_increasing_id().alias("key"), "text")
+    out = rows.mapInArrow(run, f"doc_id {kind}, key bigint, ids binary, n_tokens bigint")
+    return written(out, "encoded", compression="zstd")

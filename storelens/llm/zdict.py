@@ -29,10 +29,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import scratch, ship, written
-from .encode import WORD_PIECES, Encoder, Vocabulary, binary_rows, text_runs
+from .common import scratch, ship
+from .encode import END_ID, WORD_PIECES, Vocabulary, encoded
 
-END_ID = 1
 #: Dictionary training: so many documents, those with the smallest id hash
 #: among the documents of at most SAMPLE_TOKENS ids.  Only the dictionary is
 #: fitted on them; every document is compressed.
@@ -44,27 +43,6 @@ BLOCK_BYTES = 1 << 20
 LEVEL = 3
 
 
-def encoded(docs: DataFrame, vocabulary: Vocabulary, end_id: int = END_ID) -> DataFrame:
-    """doc_id, key (a number per row), ids (little-endian bytes), n_tokens; written once."""
-    ship(docs.sparkSession)
-    shared = vocabulary.broadcast(docs.sparkSession)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = Encoder(shared.value)
-        for b in batches:
-            for lo, hi, texts in text_runs(b, "text"):
-                ids, at = enc.encode(texts, end_id)
-                yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(lo, hi - lo), b.column(1).slice(lo, hi - lo), binary_rows(ids, at, enc.dtype).cast(pa.binary()), pa.array(np.diff(at))],
-                    names=["doc_id", "key", "ids", "n_tokens"],
-                )
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.select("doc_id", F.monotonically_increasing_id().alias("key"), "text")
-    out = rows.mapInArrow(run, f"doc_id {kind}, key bigint, ids binary, n_tokens bigint")
-    return written(out, "encoded", compression="zstd")
-
-
 def train_dictionary(enc: DataFrame) -> bytes:
     """The shared dictionary; too few samples give their own bytes as one."""
     import zstandard
