@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 from .decontaminate import contamination
+from .packing import packed
 from .repetition import repetition_coverage
 from .secrets_markov import secrets
+from .vertical_jaccard import jaccard_components
 from .zdict import compressed_ids
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,6 +32,14 @@ def op3_zstd_dictionary_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compressed_ids(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op7_vertical_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+def op8_nnls_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+
+
 def op9_benchmark_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -41,6 +51,8 @@ def op10_markov_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op2_repetition_coverage": op2_repetition_coverage,
     "op3_zstd_dictionary_ids": op3_zstd_dictionary_ids,
+    "op7_vertical_jaccard": op7_vertical_jaccard,
+    "op8_nnls_packing": op8_nnls_packing,
     "op9_benchmark_windows": op9_benchmark_windows,
     "op10_markov_secrets": op10_markov_secrets,
 }
@@ -138,7 +150,35 @@ SELECT d.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit
 FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN i ON i.doc_id = d.doc_id
 """
 
+# Shingle sets of classes of equal sets, links by counted overlaps, components by label spreading.
+_JACCARD_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x20\x09-\x0D]+') AS ws FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN len(ws) = 0 THEN []
+                      WHEN len(ws) < 4 THEN [ws]
+                      ELSE list_sort(list_distinct(list_transform(range(1, len(ws) - 2), lambda p: ws[p:p + 3]))) END AS g FROM w
+), c AS (
+  SELECT g, min(doc_id) AS id, len(g) AS n FROM s GROUP BY g
+), t AS (
+  SELECT id, n, unnest(g) AS x FROM c WHERE n > 0
+), o AS (
+  SELECT a.id AS a, b.id AS b FROM t a JOIN t b ON a.x = b.x AND a.id < b.id
+  GROUP BY a.id, b.id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))
+), e AS (
+  SELECT a, b FROM o UNION ALL SELECT b, a FROM o
+), r AS (
+  SELECT id, id AS least FROM c UNION SELECT e.b, r.least FROM r JOIN e ON e.a = r.id
+), k AS (
+  SELECT id, min(least) AS component_id FROM r GROUP BY id
+)
+SELECT s.doc_id, len(s.g)::BIGINT AS n_shingles, CASE WHEN len(s.g) = 0 THEN s.doc_id ELSE component_id END AS component_id
+FROM s JOIN c ON c.g = s.g JOIN k ON k.id = c.id
+"""
+
 ORACLES: dict[str, str] = {
     "op2_repetition_coverage": _repetition_sql(),
+    "op7_vertical_jaccard": _JACCARD_SQL,
     "op9_benchmark_windows": _DECONTAMINATION_SQL,
 }
