@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table
 from .decontaminate import contamination
 from .packing import packed
+from .pii_bilstm import personal_data
+from .quality_ri import quality_scores
 from .repetition import repetition_coverage
 from .secrets_markov import secrets
 from .vertical_jaccard import jaccard_components
@@ -32,6 +34,14 @@ def op3_zstd_dictionary_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compressed_ids(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op4_bilstm_crf_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data(table(spark, sf_dir, "documents"))
+
+
+def op5_random_indexing_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_vertical_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
@@ -51,6 +61,8 @@ def op10_markov_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op2_repetition_coverage": op2_repetition_coverage,
     "op3_zstd_dictionary_ids": op3_zstd_dictionary_ids,
+    "op4_bilstm_crf_pii": op4_bilstm_crf_pii,
+    "op5_random_indexing_quality": op5_random_indexing_quality,
     "op7_vertical_jaccard": op7_vertical_jaccard,
     "op8_nnls_packing": op8_nnls_packing,
     "op9_benchmark_windows": op9_benchmark_windows,

@@ -54,6 +54,21 @@ class Vocabulary:
         return spark.sparkContext.broadcast(self)
 
 
+def alnum_cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Byte positions between ASCII (or Latin-1) letters or digits and ASCII
+    punctuation other than the apostrophe, inside texts."""
+    n = len(data)
+    alnum, punct = _ALNUM[data], _PUNCT[data]
+    if n > 1:  # Latin-1 letters: byte C3 and one more, but not the signs C3 97 and C3 B7
+        two = (data[:-1] == 0xC3) & (data[1:] != 0x97) & (data[1:] != 0xB7)
+        alnum[:-1] |= two
+        alnum[1:] |= two
+    cut = np.zeros(n, bool)
+    cut[1:] = (alnum[:-1] & punct[1:]) | (punct[:-1] & alnum[1:])
+    cut[offsets[:-1][offsets[1:] > offsets[:-1]]] = False
+    return np.flatnonzero(cut)
+
+
 class Places:
     """Place of each 64-bit key, an open-addressing table in numpy."""
 
@@ -154,17 +169,7 @@ class Encoder:
 
     def _bounds(self, w: Words) -> tuple[np.ndarray, np.ndarray]:
         """Byte ranges of the pieces of a slice of texts, in order."""
-        data, n = w.data, len(w.data)
-        alnum, punct = _ALNUM[data], _PUNCT[data]
-        if n > 1:  # Latin-1 letters: byte C3 and one more, but not the signs C3 97 and C3 B7
-            two = (data[:-1] == 0xC3) & (data[1:] != 0x97) & (data[1:] != 0xB7)
-            alnum[:-1] |= two
-            alnum[1:] |= two
-        cut = np.zeros(n, bool)
-        cut[1:] = (alnum[:-1] & punct[1:]) | (punct[:-1] & alnum[1:])
-        doc_start = w.offsets[:-1][w.offsets[1:] > w.offsets[:-1]]
-        cut[doc_start] = False
-        cut = np.flatnonzero(cut)
+        data, cut = w.data, alnum_cuts(w.data, w.offsets)
         start = np.sort(np.concatenate((w.start, cut)))
         end = np.sort(np.concatenate((w.end, cut)))
         if not self._spaced:
