@@ -8,12 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 from .decontaminate import contamination
+from .edit_counts import edited_counts
 from .packing import packed
 from .pii_bilstm import personal_data
 from .quality_ri import quality_scores
 from .repetition import repetition_coverage
 from .secrets_markov import secrets
 from .vertical_jaccard import jaccard_components
+from .warc_merkle import archive, aged_replica, audit
 from .zdict import compressed_ids
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,6 +28,11 @@ def tokenizer_path(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
+def op1_warc_merkle_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = archive(table(spark, sf_dir, "pages"))
+    return audit(records, aged_replica(records))
+
+
 def op2_repetition_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition_coverage(table(spark, sf_dir, "documents"))
 
@@ -42,6 +49,10 @@ def op5_random_indexing_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_edit_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edited_counts(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+
+
 def op7_vertical_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
@@ -59,10 +70,12 @@ def op10_markov_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_warc_merkle_audit": op1_warc_merkle_audit,
     "op2_repetition_coverage": op2_repetition_coverage,
     "op3_zstd_dictionary_ids": op3_zstd_dictionary_ids,
     "op4_bilstm_crf_pii": op4_bilstm_crf_pii,
     "op5_random_indexing_quality": op5_random_indexing_quality,
+    "op6_edit_token_counts": op6_edit_token_counts,
     "op7_vertical_jaccard": op7_vertical_jaccard,
     "op8_nnls_packing": op8_nnls_packing,
     "op9_benchmark_windows": op9_benchmark_windows,
@@ -189,7 +202,29 @@ SELECT s.doc_id, len(s.g)::BIGINT AS n_shingles, CASE WHEN len(s.g) = 0 THEN s.d
 FROM s JOIN c ON c.g = s.g JOIN k ON k.id = c.id
 """
 
+# The records and offsets anew, and the damage that the scrub drill does, record by record.
+_MERKLE_SQL = r"""
+WITH r AS (
+  SELECT page_id, page_id // 512 AS file,
+         concat('WARC/1.0', chr(13), chr(10), 'WARC-Type: response', chr(13), chr(10), 'WARC-Target-URI: ', coalesce(url, ''), chr(13), chr(10),
+                'Content-Length: ', strlen(coalesce(html, '')), chr(13), chr(10), chr(13), chr(10), coalesce(html, ''), chr(13), chr(10), chr(13), chr(10)) AS record
+  FROM pages
+), p AS (
+  SELECT *, coalesce(sum(strlen(record)) OVER (PARTITION BY file ORDER BY page_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS pos FROM r
+), q AS (
+  SELECT *, CASE WHEN page_id % 997 = 5 THEN NULL
+                 WHEN page_id % 499 = 7 THEN concat(substr(record, 1, 24), chr(0), substr(record, 26))
+                 WHEN page_id % 1009 = 11 THEN substr(record, 1, length(record) - 3)
+                 ELSE record END AS copy FROM p
+)
+SELECT file::BIGINT AS file, pos AS offset, (pos // 262144)::BIGINT AS range_idx,
+       CASE WHEN copy IS NULL THEN 'missing' ELSE 'changed' END AS kind,
+       strlen(record)::BIGINT AS length, sha256(record) AS sha, strlen(copy)::BIGINT AS replica_length, sha256(copy) AS replica_sha
+FROM q WHERE copy IS DISTINCT FROM record
+"""
+
 ORACLES: dict[str, str] = {
+    "op1_warc_merkle_audit": _MERKLE_SQL,
     "op2_repetition_coverage": _repetition_sql(),
     "op7_vertical_jaccard": _JACCARD_SQL,
     "op9_benchmark_windows": _DECONTAMINATION_SQL,

@@ -208,6 +208,10 @@ class Encoder:
             place[new] = base + back
         return start, end, place
 
+    def lengths(self, place: np.ndarray) -> np.ndarray:
+        """Ids of each piece."""
+        return self._len[place]
+
     def _whole(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Whole texts at once, for texts with white space outside ASCII."""
         self._tok.encode_special_tokens = True
