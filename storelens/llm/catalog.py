@@ -30,7 +30,8 @@ def tokenizer_path(name: str) -> str:
 
 def op1_warc_merkle_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = archive(table(spark, sf_dir, "pages"))
-    return audit(records, aged_replica(records))
+    found = audit(records, aged_replica(records))
+    return found.fillna(0, ["length", "replica_length"]).fillna("", ["sha", "replica_sha"])
 
 
 def op2_repetition_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -219,7 +220,7 @@ WITH r AS (
 )
 SELECT file::BIGINT AS file, pos AS offset, (pos // 262144)::BIGINT AS range_idx,
        CASE WHEN copy IS NULL THEN 'missing' ELSE 'changed' END AS kind,
-       strlen(record)::BIGINT AS length, sha256(record) AS sha, strlen(copy)::BIGINT AS replica_length, sha256(copy) AS replica_sha
+       strlen(record)::BIGINT AS length, sha256(record) AS sha, coalesce(strlen(copy), 0)::BIGINT AS replica_length, coalesce(sha256(copy), '') AS replica_sha
 FROM q WHERE copy IS DISTINCT FROM record
 """
 
