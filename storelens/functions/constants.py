@@ -38,11 +38,13 @@ NIGHT = "Night (9PM-5AM)"
 # Default number of pre-selected filter options.
 DEFAULT_SELECTION_SIZE = 5
 
-# Text date formats tried in order when a string date column is coerced.
+# Text date formats tried in order when a string date column is coerced,
+# after "T" between date and time, a zone suffix and slashes are evened out.
 DATE_FORMATS = (
-    "yyyy-MM-dd HH:mm:ss",
-    "yyyy-MM-dd'T'HH:mm:ss",
-    "yyyy-MM-dd",
-    "MM/dd/yyyy HH:mm:ss",
-    "MM/dd/yyyy",
+    "yyyy-M-d[ H:mm[:ss[.SSSSSSSSS]]]",
+    "M-d-yyyy[ H:mm[:ss[.SSSSSSSSS]]]",
+    "M-d-yyyy h:mm[:ss] a",
 )
+
+# Partition column of the written fact: the first day of the purchase's month.
+MONTH = "purchase_month"

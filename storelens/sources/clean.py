@@ -35,21 +35,26 @@ def clean_columns(df: DataFrame) -> DataFrame:
 
 def parse_timestamp(c: Column, formats: Sequence[str] = K.DATE_FORMATS) -> Column:
     """Text -> timestamp_ntz using the first format that matches; else null.
+    A zone suffix is dropped: the wall-clock time is kept.
 
     ``try_to_timestamp`` only tests whether a format matches; the value is
     parsed straight to ``timestamp_ntz`` (wall-clock time, like pandas'
     naive datetimes), so neither the session time zone nor a DST gap can
     shift it.
     """
-    s = F.trim(c)
+    s = F.regexp_replace(F.trim(c), "^([0-9-/]+)T(?=[0-9])", "$1 ")
+    s = F.regexp_replace(s, "(?<=:[0-9]{2}(?:[.][0-9]{1,9})?) ?(?:Z|[+-][0-9]{2}:?[0-9]{2})$", "")
+    s = F.replace(s, F.lit("/"), F.lit("-"))
     return F.coalesce(
         *[F.when(F.try_to_timestamp(s, F.lit(f)).isNotNull(), F.to_timestamp_ntz(s, F.lit(f))) for f in formats]
     )
 
 
 def parse_number(c: Column) -> Column:
-    """Text -> double; text that is not a plain number (``$3``, ``1,000``) -> null."""
-    return F.trim(c).try_cast("double")
+    """Text -> double; text that is not a plain number (``$3``, ``1,000``,
+    ``nan``, ``Infinity``, ``2d``) -> null."""
+    s = F.trim(c)
+    return F.when(s.rlike(r"^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$"), s.try_cast("double"))
 
 
 def nan_to_null(c: Column) -> Column:
@@ -85,6 +90,28 @@ def preprocess(df: DataFrame, formats: Sequence[str] = K.DATE_FORMATS) -> DataFr
     return df.select(*cols)
 
 
+def parse_losses(df: DataFrame, formats: Sequence[str] = K.DATE_FORMATS) -> DataFrame:
+    """How many non-blank texts each converted column of :func:`preprocess`
+    loses: rows of (column, texts, parsed, lost).  One pass over the input."""
+    stats = []
+    for old, new in _name_changes(df):
+        if not isinstance(df.schema[old].dataType, T.StringType):
+            continue
+        c = F.col(f"`{old}`")
+        if _is_date_name(new):
+            parsed = parse_timestamp(c, formats)
+        elif _is_number_name(new):
+            parsed = parse_number(c)
+        else:
+            continue
+        text = F.count(F.when(F.trim(c) != "", F.lit(1)))
+        stats.append(F.struct(F.lit(new).alias("column"), text.alias("texts"), F.count(parsed).alias("parsed")))
+    if not stats:
+        return df.sparkSession.createDataFrame([], "column string, texts bigint, parsed bigint, lost bigint")
+    one = df.agg(F.array(*stats).alias("s")).select(F.inline("s"))
+    return one.withColumn("lost", F.col("texts") - F.col("parsed"))
+
+
 def coerce_dates(df: DataFrame, formats: Sequence[str] = K.DATE_FORMATS) -> DataFrame:
     """PRE-3 alone."""
     cols = [

@@ -72,3 +72,26 @@ def test_nan_becomes_null(spark):
     out = clean.preprocess(df)
     assert [r[0] for r in out.collect()] == [1.0, None, None]
     assert ru.sales_kpis(out).first()["total_sales"] == 1.0
+
+
+@pytest.mark.parametrize(("text", "want"), [
+    ("3/4/2024", dt.datetime(2024, 3, 4)), ("3/4/2024 9:05", dt.datetime(2024, 3, 4, 9, 5)),
+    ("2024-01-02 03:04:05.123", dt.datetime(2024, 1, 2, 3, 4, 5, 123000)), ("2024-01-02T03:04:05Z", dt.datetime(2024, 1, 2, 3, 4, 5)),
+    ("2024/01/02", dt.datetime(2024, 1, 2)), ("2024-01-02 03:04", dt.datetime(2024, 1, 2, 3, 4)),
+    ("2024-01-02T03:04:05.5+02:00", dt.datetime(2024, 1, 2, 3, 4, 5, 500000)), ("3/4/2024 9:05 PM", dt.datetime(2024, 3, 4, 21, 5)),
+    ("2024-13-01", None), ("2024-02-30", None), ("T", None), ("", None), ("12", None),
+])
+def test_date_forms(spark, text, want):
+    assert clean.preprocess(spark.createDataFrame([(text,)], "order_date string")).first()[0] == want
+
+
+def test_texts_that_are_no_plain_numbers(spark):
+    texts = ["nan", "NaN", "Infinity", "-inf", "2d", "1f", "0x1", "1e", ".", "-.5", "+3", "7.", "1e-2"]
+    out = clean.preprocess(spark.createDataFrame([(t,) for t in texts], "price string")).collect()
+    assert [r[0] for r in out] == [None] * 9 + [-0.5, 3.0, 7.0, 0.01]
+
+
+def test_losses_are_counted(spark):
+    df = spark.createDataFrame([("2024-01-02", "1"), ("x", "nan"), (None, " ")], "d_date string, price string")
+    assert {tuple(r) for r in clean.parse_losses(df).collect()} == {("d_date", 2, 1, 1), ("price", 2, 1, 1)}
+    assert clean.parse_losses(df.select(df.d_date.alias("note"))).count() == 0
