@@ -4,8 +4,9 @@
 it only when it differs" onto rows: the new data is compared with the
 latest published version as a multiset, and written as a new version
 directory only when it changed.  Versions are immutable; readers take the
-newest complete one, so a job lost half-way leaves no partial version
-behind (Spark's commit protocol writes ``_SUCCESS`` last).
+newest complete one (Spark's commit protocol writes ``_SUCCESS`` last).  A job
+lost half-way leaves a folder without that marker; the next version takes a
+higher number.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ import re
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .readers import _FS
 
@@ -39,6 +41,14 @@ def multiset_equal(a: DataFrame, b: DataFrame) -> bool:
     return diff.isEmpty()
 
 
+def diff(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Rows added to and removed from a version: the columns of ``new``, and
+    ``change`` (copies added, or removed if below 0).  One aggregation."""
+    cols = [f"`{c}`" for c in new.columns]
+    tagged = new.withColumn("__w", F.lit(1)).unionByName(old.select(*cols).withColumn("__w", F.lit(-1)))
+    return tagged.groupBy(*cols).agg(F.sum("__w").alias("change")).where(F.col("change") != 0)
+
+
 def versions(spark, target: str) -> list[tuple[int, str]]:
     """Complete versions under ``target`` (those with a ``_SUCCESS`` marker)."""
     fs = _FS(spark, target)
@@ -71,24 +81,47 @@ def publish_if_changed(
     set, a one-pass multiset comparison confirms equality.
     """
     spark = df.sparkSession
+    options = {"header": "true"} if fmt == "csv" else {}
     all_v = versions(spark, target)
     if all_v:
-        old = spark.read.format(fmt).load(all_v[-1][1])
-        same_shape = old.columns == df.columns and [f.dataType for f in old.schema.fields] == [
-            f.dataType for f in df.schema.fields
-        ]
-        if same_shape:
-            f_old, f_new = fingerprint(old).first(), fingerprint(df).first()
-            if tuple(f_old) == tuple(f_new) and (not exact or multiset_equal(old, df)):
-                return False
-    n = all_v[-1][0] + 1 if all_v else 1
-    w = df.write.format(fmt).mode("errorifexists")
+        names = _column_names(spark, all_v[-1][1], fmt, options)
+        if sorted(names) == sorted(df.columns):
+            # Read with the new data's types by name: partition columns come
+            # last in a folder and text formats keep no types.
+            by_name = T.StructType([df.schema[c] for c in names])
+            old = spark.read.format(fmt).options(**options).schema(by_name).load(all_v[-1][1]).select(*[f"`{c}`" for c in df.columns])
+            same_types = fmt in _TEXT_FORMATS or _types(spark.read.format(fmt).load(all_v[-1][1])) == _types(df)
+            if same_types:
+                f_old, f_new = fingerprint(old).first(), fingerprint(df).first()
+                if tuple(f_old) == tuple(f_new) and (not exact or multiset_equal(old, df)):
+                    return False
+    n = max(_version_numbers(spark, target), default=0) + 1
+    w = df.write.format(fmt).options(**options).mode("errorifexists")
     if partition_by:
         w = w.partitionBy(*partition_by)
     w.save(f"{target.rstrip('/')}/version={n:06d}")
     return True
 
 
+_TEXT_FORMATS = ("csv", "json")
+
+
+def _types(df: DataFrame) -> dict[str, str]:
+    """Type by column; partition columns may come back narrower or as text."""
+    return {f.name: f.dataType.simpleString() for f in df.schema.fields if not isinstance(f.dataType, (T.IntegerType, T.StringType))}
+
+
+def _column_names(spark, path: str, fmt: str, options: dict) -> list[str]:
+    return spark.read.format(fmt).options(**options).load(path).columns
+
+
+def _version_numbers(spark, target: str) -> list[int]:
+    """Numbers of all version folders, complete or not."""
+    fs = _FS(spark, target)
+    found = [_VERSION.match(name) for name, _, _ in fs.children()] if fs.exists() else []
+    return [int(m.group(1)) for m in found if m]
+
+
 def sample_rows(
     df: DataFrame, n: int = 100, order_by: list[str] | None = None, decimals_as_double: bool = True
 ) -> DataFrame:
@@ -96,8 +129,6 @@ def sample_rows(
     default all columns); text columns stay text and, as in the reference's
     float columns, decimals are shown as doubles.  A top-k sort: each task
     keeps its first ``n`` rows, only those reach the final merge."""
-    from pyspark.sql import types as T
-
     keys = order_by or df.columns
     top = df.orderBy(*[F.asc_nulls_first(f"`{k}`") for k in keys]).limit(n)
     if not decimals_as_double:

@@ -10,6 +10,7 @@ works; only listings run on the driver, the data is read by the executors.
 from __future__ import annotations
 
 import logging
+import re
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -20,7 +21,9 @@ from ..functions import constants as K
 
 log = logging.getLogger(__name__)
 
-_DATA_MARKERS = ("_SUCCESS", "part-", "_delta_log", "metadata")
+# Names that Spark gives to the files of one table, and to its partition folders.
+_PART_FILE = re.compile(r"^part-\d{5}-[0-9a-f]{8}-")
+_PARTITION = re.compile(r"^[^=]+=.*$")
 
 
 @dataclass(frozen=True)
@@ -57,7 +60,13 @@ def path_exists(spark: SparkSession, path: str) -> bool:
 
 
 def _is_single_table(children: list[tuple[str, str, bool]]) -> bool:
-    return any(name.startswith(m) for name, _, _ in children for m in _DATA_MARKERS)
+    """Whether a folder is itself one table: every data child is a file or a
+    partition folder as Spark names them, and none is named like a sheet."""
+    if any(name == "_delta_log" and is_dir for name, _, is_dir in children):
+        return True
+    data = [(name, is_dir) for name, _, is_dir in children if not name.startswith((".", "_"))]
+    sheet = any(w in name.lower() for name, _ in data for w in (K.PURCHASES_NEEDLE, K.CHECKINS_NEEDLE))
+    return bool(data) and not sheet and all((_PARTITION if is_dir else _PART_FILE).match(name) for name, is_dir in data)
 
 
 def list_tables(spark: SparkSession, source: str, fmt: str = "parquet") -> list[TableRef]:
@@ -116,19 +125,31 @@ def resolve_source(spark: SparkSession, candidates: str | Sequence[str]) -> str:
     raise FileNotFoundError(f"data file not found; looked for: {', '.join(cands)}")
 
 
-def read_sales(
+@dataclass(frozen=True)
+class SalesSource:
+    """What :func:`read_source` read: the frames, the tables they come from
+    (``checkins_table`` is None for the empty frame) and, if the chosen tables
+    could not be read, why the first table was taken instead."""
+
+    purchases: DataFrame
+    checkins: DataFrame
+    purchases_table: str
+    checkins_table: str | None
+    fallback_reason: str | None = None
+
+
+def read_source(
     spark: SparkSession,
     candidates: str | Sequence[str],
     fmt: str = "parquet",
     options: dict | None = None,
-) -> tuple[DataFrame, DataFrame]:
-    """SRC-1..6: ``(purchases, checkins)`` from the first existing source.
+) -> SalesSource:
+    """SRC-1..6: purchases and check-ins from the first existing source.
 
     purchases = first table whose name contains 'purchase', else the first
     table; checkins = first table containing 'checkin', else an empty frame.
-    If the chosen tables cannot be read, the first table is used for
-    purchases and check-ins are empty (logged).  Nothing is scanned here:
-    the frames are lazy.
+    One row of each is read to see that it can be; if not, the first table is
+    used for purchases and check-ins are empty.  The frames are lazy.
     """
     source = resolve_source(spark, candidates)
     tables = list_tables(spark, source, fmt)
@@ -142,10 +163,21 @@ def read_sales(
     try:
         purchases = reader.load(by_name[p_name].path)
         checkins = reader.load(by_name[c_name].path) if c_name else empty_frame(spark)
-        purchases.schema  # resolve now so a broken table falls back here
-        checkins.schema
+        purchases.head()
+        if c_name:
+            checkins.head()
+        return SalesSource(purchases, checkins, p_name, c_name)
     except Exception as e:  # noqa: BLE001 - any read failure takes the fallback path
         log.warning("reading %s failed (%s); falling back to the first table", source, e)
-        purchases = reader.load(tables[0].path)
-        checkins = empty_frame(spark)
-    return purchases, checkins
+        return SalesSource(reader.load(tables[0].path), empty_frame(spark), names[0], None, str(e))
+
+
+def read_sales(
+    spark: SparkSession,
+    candidates: str | Sequence[str],
+    fmt: str = "parquet",
+    options: dict | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """``(purchases, checkins)`` of :func:`read_source`."""
+    s = read_source(spark, candidates, fmt, options)
+    return s.purchases, s.checkins

@@ -104,3 +104,58 @@ def test_csv_export_roundtrip_to_canonical_fact(spark, scratch):
     fact = canonical(preprocess(pur))
     assert fact.schema == p.schema
     assert publish.multiset_equal(fact, p)
+
+
+@pytest.mark.parametrize("other", ["metadata_notes", "part-numbers", "year=notes"])
+def test_sheets_named_like_data(spark, scratch, other):
+    p = purchases(spark, SF_SMALL)
+    _write(p.limit(3).select("invoice_id"), f"{scratch}/{other}.parquet")
+    _write(p.limit(5), f"{scratch}/purchases.parquet")
+    src = readers.read_source(spark, scratch)
+    assert src.purchases.count() == 5 and src.purchases_table == "purchases" and src.fallback_reason is None
+
+
+def test_one_table_folder(spark, scratch):
+    _write(purchases(spark, SF_SMALL).limit(50).repartition(3), f"{scratch}/flat")
+    purchases(spark, SF_SMALL).limit(50).write.partitionBy("store_location").parquet(f"{scratch}/parted")
+    for name in ("flat", "parted"):
+        assert [t.name for t in readers.list_tables(spark, f"{scratch}/{name}")] == [name]
+        assert readers.read_sales(spark, f"{scratch}/{name}")[0].count() == 50
+
+
+def test_fallback_is_reported(spark, scratch):
+    _write(purchases(spark, SF_SMALL).limit(3), f"{scratch}/A_first")
+    os.makedirs(f"{scratch}/Purchases")
+    with open(f"{scratch}/Purchases/part-00000.parquet", "w") as fh:
+        fh.write("not a parquet file")
+    src = readers.read_source(spark, scratch)
+    assert src.purchases_table == "A_first" and src.fallback_reason
+
+
+def test_publish_after_a_lost_job(spark, scratch):
+    target, p = f"{scratch}/published", purchases(spark, SF_SMALL).limit(40)
+    assert publish.publish_if_changed(p, target)
+    os.makedirs(f"{target}/version=000002/_temporary")
+    more = p.unionByName(p.limit(1))
+    assert publish.publish_if_changed(more, target) and not publish.publish_if_changed(more, target)
+    assert [v for v, _ in publish.versions(spark, target)] == [1, 3]
+
+
+def test_publish_csv_only_when_changed(spark, scratch):
+    target, p = f"{scratch}/csv", purchases(spark, SF_SMALL).limit(40)
+    assert publish.publish_if_changed(p, target, fmt="csv")
+    assert not publish.publish_if_changed(p, target, fmt="csv")
+    assert publish.publish_if_changed(p.limit(39), target, fmt="csv")
+
+
+def test_publish_with_a_partition_column_in_front(spark, scratch):
+    target = f"{scratch}/by_year"
+    p = purchases(spark, SF_SMALL).select(F.year("purchase_date").alias("year"), "*")
+    assert publish.publish_if_changed(p, target, partition_by=["year"])
+    assert not publish.publish_if_changed(p, target, partition_by=["year"])
+
+
+def test_diff(spark):
+    a = spark.createDataFrame([(1, "x"), (1, "x"), (2, "y")], "k int, v string")
+    b = spark.createDataFrame([("x", 1), ("z", 3)], "v string, k int")
+    assert {tuple(r) for r in publish.diff(a, b).collect()} == {("x", 1, -1), ("y", 2, -1), ("z", 3, 1)}
