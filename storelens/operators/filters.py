@@ -18,10 +18,6 @@ from ..functions import constants as K
 from ..functions.exprs import month_day_key, ytd_mask
 from ..functions.roles import ColumnRoles, roles_of
 
-# A user-given membership list longer than this is joined (broadcast semi
-# join of a list whose size we know) instead of inlined as an IN list.
-INLINE_LIST_LIMIT = 1000
-
 _ROLE_ATTR = {"location": "location", "category": "category", "subcategory": "subcategory"}
 
 
@@ -76,22 +72,34 @@ def date_range(
     d = F.col(r.date)
     # Midnight of the first day is <= every date, so the default start bound
     # only removes nulls and needs no scan.
-    lo = (d >= _ts_literal(df, r.date, start)) if start is not None else d.isNotNull()
+    first = _ts_literal(df, r.date, start) if start is not None else None
+    lo = (d >= first) if first is not None else d.isNotNull()
     hi = _ts_literal(df, r.date, end) if end is not None else _day_bound(df, r.date, F.max)
+    rows = _months(df, first, hi)
     if end_inclusive == "day":
-        return df.where(lo & (d < hi + F.expr("INTERVAL 1 DAY")))
-    return df.where(lo & (d <= hi))
+        return rows.where(lo & (d < hi + F.expr("INTERVAL 1 DAY")))
+    return rows.where(lo & (d <= hi))
+
+
+def _months(df: DataFrame, lo: Column | None, hi: Column | None) -> DataFrame:
+    """Of a fact written by month, only the folders that a date window touches."""
+    if K.MONTH not in df.columns:
+        return df
+    m = F.col(K.MONTH)
+    if lo is not None:
+        df = df.where(m >= F.trunc(lo.cast("date"), "MM"))
+    return df.where(m <= hi.cast("date")) if hi is not None else df
 
 
 def last_n_days(df: DataFrame, n: int, roles: ColumnRoles | None = None) -> DataFrame:
     """FLT-2: the ``n`` days before the last day present (midnight bounds)."""
     r = roles_of(df, roles, "date")
-    hi = _day_bound(df, r.date, F.max)
-    # 0 <= hi - d <= n days  <=>  |2 (hi - d) - n days| <= n days  (in
-    # microseconds): the bound subquery is referenced once, so it runs once.
-    span = n * 86_400_000_000
-    behind = F.timestamp_diff("MICROSECOND", F.col(r.date), hi)
-    return df.where(F.abs(behind * 2 - F.lit(span)) <= F.lit(span))
+    # One subquery, the lower bound itself: both comparisons keep the plain
+    # column on one side, so they reach the scan.
+    kind, window = _date_type(df, r.date), F.expr(f"INTERVAL {n} DAYS")
+    lo = df.select((F.to_date(F.max(r.date)).cast(kind) - window).cast(kind).alias("b")).scalar()
+    d = F.col(r.date)
+    return _months(df, lo, lo + window).where((d >= lo) & (d <= lo + window))
 
 
 def all_time(df: DataFrame, roles: ColumnRoles | None = None) -> DataFrame:
@@ -102,10 +110,9 @@ def all_time(df: DataFrame, roles: ColumnRoles | None = None) -> DataFrame:
 def in_values(df: DataFrame, column: str, values: Iterable | DataFrame | None) -> DataFrame:
     """Membership on the string form of ``column``; empty selection = no filter.
 
-    ``values`` may be a Python list (inlined up to INLINE_LIST_LIMIT, else a
-    broadcast semi join of a list of known length) or a one-column DataFrame
-    of selected options, which is semi-joined (broadcast only when the caller
-    bounded it, e.g. :func:`default_selection`).
+    ``values`` may be a Python list (an IN list, which reaches the scan) or a
+    one-column DataFrame of selected options, which is semi-joined without a
+    hint: the planner knows a bounded selection's size.
     """
     key = F.col(column).cast("string")
     if values is None:
@@ -116,11 +123,7 @@ def in_values(df: DataFrame, column: str, values: Iterable | DataFrame | None) -
     vals = [str(v) for v in values]
     if not vals:
         return df
-    if len(vals) <= INLINE_LIST_LIMIT:
-        return df.where(key.isin(vals))
-    spark = df.sparkSession
-    opt = spark.createDataFrame([(v,) for v in sorted(set(vals))], "__opt string")
-    return df.join(F.broadcast(opt), key == F.col("__opt"), "left_semi")
+    return df.where(key.isin(vals))
 
 
 def in_locations(df: DataFrame, values, roles: ColumnRoles | None = None) -> DataFrame:
@@ -192,7 +195,9 @@ def as_of_key(df: DataFrame, as_of=None, roles: ColumnRoles | None = None) -> Co
 def year_to_date(df: DataFrame, as_of=None, roles: ColumnRoles | None = None) -> DataFrame:
     """FLT-8: same month/day window as ``as_of`` (default: latest date) in every year."""
     r = roles_of(df, roles, "date")
-    return df.where(ytd_mask(r.date, as_of_key(df, as_of, r)))
+    key = as_of_key(df, as_of, r)
+    rows = df.where(F.month(K.MONTH) * 100 <= key) if K.MONTH in df.columns else df
+    return rows.where(ytd_mask(r.date, key))
 
 
 def ytd_window(df: DataFrame, roles: ColumnRoles | None = None) -> DataFrame:

@@ -38,7 +38,9 @@ def build_session(
         b = b.config(k, v)
     spark = b.getOrCreate()
     launched = spark.sparkContext.getConf()
-    wanted = dict(SESSION_DEFAULTS, **{"spark.sql.shuffle.partitions": str(shuffle_partitions)})
+    wanted = dict(SESSION_DEFAULTS)
+    if master:  # on a cluster the launch (or Spark's own default) sizes the shuffles
+        wanted["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     for k, v in wanted.items():
         if not launched.contains(k):
             spark.conf.set(k, v)

@@ -24,10 +24,13 @@ recomputing joins.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
+from .readers import _FS
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -95,27 +98,12 @@ def with_null_keys(df: DataFrame) -> DataFrame:
 MATERIALIZE_CONF = "storelens.purchases.materialize"
 # Caps file size (~1-2 GB of these rows) however large a write partition is.
 MAX_RECORDS_PER_FILE = 20_000_000
+# Writing tasks that share a month, so that a busy month is not one task's work.
+MONTH_FILES = 4
 _INPUTS = ("lineitem", "orders", "customer", "nation", "part", "supplier")
 
 
-# Input identities already computed in this session: the listing behind one
-# can be slow on an object store, so it runs once per session and source
-# (``refresh=True`` re-checks).
-_KEYS: dict[str, tuple[SparkSession, str]] = {}
-
-
-def _input_key(spark: SparkSession, sf_dir: str, refresh: bool = False) -> str:
-    """Identity of the input tables: path, length and modification time of
-    every input file (driver-side listing only), hashed."""
-    hit = _KEYS.get(sf_dir)
-    if not refresh and hit is not None and hit[0] is spark:
-        return hit[1]
-    key = _list_key(spark, sf_dir)
-    _KEYS[sf_dir] = (spark, key)
-    return key
-
-
-def _list_key(spark: SparkSession, sf_dir: str) -> str:
+def _input_key(spark: SparkSession, sf_dir: str) -> str:
     """Path, length and modification time of every input file, reduced to
     one row on the executors: the ``binaryFile`` source lists the files in
     parallel and, with ``content`` not selected, reads none of them."""
@@ -132,41 +120,55 @@ def _list_key(spark: SparkSession, sf_dir: str) -> str:
     return hashlib.sha256(f"{sf_dir}|{tuple(row)}".encode()).hexdigest()[:20]
 
 
-# Opened fact tables per table path (checked against the calling session):
-# the path embeds the input identity, so an entry never describes stale data.
+# Opened fact tables by folder (checked against the calling session).  A
+# folder lies under the identity of its inputs, so it never describes other ones.
 _OPENED: dict[str, DataFrame] = {}
 
 
-def purchases_table(spark: SparkSession, sf_dir: str, nulls: bool = False, refresh: bool = False) -> DataFrame:
+def _complete(spark: SparkSession, base: str) -> str | None:
+    """The first finished folder under ``base``; all of them hold the same rows."""
+    fs = _FS(spark, base)
+    if not fs.exists():
+        return None
+    done = [path for name, path, is_dir in fs.children() if is_dir and name.startswith("data-") and _FS(spark, f"{path}/_SUCCESS").exists()]
+    return min(done, default=None)
+
+
+def purchases_table(spark: SparkSession, sf_dir: str, nulls: bool = False, months: bool = False) -> DataFrame:
     """The purchases fact, written once per input snapshot to the shared
     folder and read back (see module doc).  Requires ``spark.checkpoint.dir``.
-    ``refresh=True`` re-lists the inputs to pick up changed tables."""
+
+    The inputs are listed on every call, so a changed table is never missed.
+    Each build writes a folder of its own; one that a lost job left unfinished
+    is not read.  ``months=True`` keeps the partition column, by which date
+    filters skip folders."""
     from ..session import shared_dir
 
-    base = shared_dir(spark).rstrip("/")
-    target = f"{base}/storelens/purchases/{_input_key(spark, sf_dir, refresh)}"
+    base = f"{shared_dir(spark).rstrip('/')}/storelens/purchases/{_input_key(spark, sf_dir)}"
+    target = _complete(spark, base)
+    if target is None:
+        target = f"{base}/data-{uuid.uuid4().hex}"
+        rows = purchases(spark, sf_dir).withColumn(K.MONTH, F.trunc("purchase_date", "MM"))
+        (
+            rows.repartition(K.MONTH, F.pmod(F.xxhash64(K.INVOICE), F.lit(MONTH_FILES)))
+            .sortWithinPartitions(K.MONTH, "purchase_date")
+            .write.partitionBy(K.MONTH)
+            .option("maxRecordsPerFile", MAX_RECORDS_PER_FILE)
+            .parquet(target)
+        )
     fact = _OPENED.get(target)
     if fact is None or fact.sparkSession is not spark:
-        jvm = spark.sparkContext._jvm
-        marker = jvm.org.apache.hadoop.fs.Path(f"{target}/_SUCCESS")
-        if not marker.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(marker):
-            (
-                purchases(spark, sf_dir)
-                .sortWithinPartitions("purchase_date")
-                .write.mode("overwrite")
-                .option("maxRecordsPerFile", MAX_RECORDS_PER_FILE)
-                .parquet(target)
-            )
         fact = _OPENED[target] = spark.read.parquet(target)
+    fact = fact if months else fact.drop(K.MONTH)
     return with_null_keys(fact) if nulls else fact
 
 
-def fact(spark: SparkSession, sf_dir: str, nulls: bool = False) -> DataFrame:
+def fact(spark: SparkSession, sf_dir: str, nulls: bool = False, months: bool = True) -> DataFrame:
     """The fact the registered queries read: the materialized table when the
     session opts in (``storelens.purchases.materialize=true``), else the
-    lazy star-schema view."""
+    lazy star-schema view.  ``months=False``: the fact's own columns only."""
     if spark.conf.get(MATERIALIZE_CONF, "false").lower() == "true":
-        return purchases_table(spark, sf_dir, nulls)
+        return purchases_table(spark, sf_dir, nulls, months)
     return purchases(spark, sf_dir, nulls)
 
 
