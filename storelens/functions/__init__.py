@@ -11,13 +11,16 @@ from .exprs import (
     money_sum,
     money_text,
     month_day_key,
+    month_label,
     parse_money,
     pct_change,
     percent,
     percent_or_zero,
+    quarter_label,
     ratio,
     truncate_label,
     week_ending,
+    weekday_label,
     year_month,
     year_quarter,
     ytd_mask,
@@ -39,13 +42,16 @@ __all__ = [
     "money_sum",
     "money_text",
     "month_day_key",
+    "month_label",
     "parse_money",
     "pct_change",
     "percent",
     "percent_or_zero",
+    "quarter_label",
     "ratio",
     "truncate_label",
     "week_ending",
+    "weekday_label",
     "year_month",
     "year_quarter",
     "ytd_mask",

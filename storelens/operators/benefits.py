@@ -24,7 +24,7 @@ from ..functions.exprs import (
     money_sum,
     percent_or_zero,
     ratio,
-    year_month,
+    month_label,
     ytd_mask,
 )
 from ..functions.roles import ColumnRoles, roles_of
@@ -88,8 +88,9 @@ def benefit_monthly(df: DataFrame, pattern: str = K.BENEFIT_PATTERN, roles: Colu
     d = F.col(r.date)
     return (
         df.where(d.isNotNull() & is_benefit(r.subcategory, pattern))
-        .groupBy(F.year(d).alias("year"), F.month(d).alias("month"), year_month(d).alias("year_month"))
+        .groupBy(F.year(d).alias("year"), F.month(d).alias("month"))
         .agg(money_sum(r.price).alias("bennies_value"))
+        .select("year", "month", month_label("year", "month").alias("year_month"), "bennies_value")
     )
 
 

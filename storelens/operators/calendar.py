@@ -23,11 +23,12 @@ from ..functions.exprs import (
     half_even,
     is_benefit,
     month_day_key,
+    month_label,
     percent,
+    quarter_label,
     ratio,
     week_ending,
-    year_month,
-    year_quarter,
+    weekday_label,
 )
 from ..functions.roles import ColumnRoles, roles_of
 from . import benefits as ben
@@ -107,19 +108,21 @@ def _profit_cols(*keys: str):
 
 
 def monthly_profit_from_cube(cube: DataFrame) -> DataFrame:
-    keys = [F.year("day").alias("year"), F.month("day").alias("month"), year_month("day").alias("year_month")]
+    keys = [F.year("day").alias("year"), F.month("day").alias("month")]
     return (
         _period(cube, keys)
         .where(F.col("rev") > 0)
+        .withColumn("year_month", month_label("year", "month"))
         .select(*_profit_cols("year", "month", "year_month"))
         .withColumn("profit_margin", percent("profit", "revenue", 2))
     )
 
 
 def quarterly_profit_from_cube(cube: DataFrame) -> DataFrame:
-    keys = [F.year("day").alias("year"), F.quarter("day").alias("quarter"), year_quarter("day").alias("year_quarter")]
+    keys = [F.year("day").alias("year"), F.quarter("day").alias("quarter")]
     return (
         _period(cube, keys)
+        .withColumn("year_quarter", quarter_label("year", "quarter"))
         .select(*_profit_cols("year", "quarter", "year_quarter"))
         .withColumn("profit_margin", percent("profit", "revenue", 2))
     )
@@ -151,8 +154,9 @@ def daypart_sales_from_cube(cube: DataFrame) -> DataFrame:
 def weekday_sales_from_cube(cube: DataFrame) -> DataFrame:
     out = (
         _dated(cube)
-        .groupBy(F.date_format("day", "EEEE").alias("day_of_week"), F.weekday("day").alias("day_num"))
+        .groupBy(F.weekday("day").alias("day_num"))
         .agg(_zsum("ps").cast("double").alias("total_sales"), _zsum("pn").alias("transaction_count"))
+        .select(weekday_label("day_num").alias("day_of_week"), "day_num", "total_sales", "transaction_count")
     )
     return ru._sorted_few(out, "day_num")
 
@@ -220,13 +224,12 @@ def benefit_year_summary_from_cube(cube: DataFrame, as_of=None) -> DataFrame:
 
 def benefit_monthly_from_cube(cube: DataFrame) -> DataFrame:
     """BEN-2: benefit value per month (all dates), months with benefit lines."""
-    keys = [F.year("day").alias("year"), F.month("day").alias("month"), year_month("day").alias("year_month")]
     return (
         _dated(cube)
-        .groupBy(*keys)
+        .groupBy(F.year("day").alias("year"), F.month("day").alias("month"))
         .agg(_zsum("bl").alias("lines"), _zsum("bs").cast("double").alias("bennies_value"))
         .where(F.col("lines") > 0)
-        .drop("lines")
+        .select("year", "month", month_label("year", "month").alias("year_month"), "bennies_value")
     )
 
 

@@ -100,13 +100,15 @@ def benefit_insights(
     value_threshold: float = 1000.0,
     count_threshold: float = 100.0,
     roles: ColumnRoles | None = None,
+    category: str = K.FOCUS_CATEGORY,
+    home_category: str = K.BENEFIT_HOME_CATEGORY,
 ) -> DataFrame:
     """INS-2 (+ INS-6): benefit usage rules, given only when the latest year's
     revenue is > 0; with no benefit line at all, one status row explains it
     (naming the benefit's home category when the selection lacks it)."""
     r = roles_of(df, roles, "date", "subcategory", "price")
     out = benefit_rules(benefit_changes_with_revenue(df, pattern, as_of, r), value_threshold, count_threshold)
-    return out.unionByName(benefit_status(df, original, pattern, r))
+    return out.unionByName(benefit_status(df, original, pattern, r, category, home_category))
 
 
 def benefit_rules(
@@ -129,9 +131,15 @@ def benefit_rules(
 
 
 def benefit_status(
-    df: DataFrame, original: DataFrame | None = None, pattern: str = K.BENEFIT_PATTERN, roles: ColumnRoles | None = None
+    df: DataFrame,
+    original: DataFrame | None = None,
+    pattern: str = K.BENEFIT_PATTERN,
+    roles: ColumnRoles | None = None,
+    category: str = K.FOCUS_CATEGORY,
+    home_category: str = K.BENEFIT_HOME_CATEGORY,
 ) -> DataFrame:
-    """INS-6: one row when the input has no benefit line, else none."""
+    """INS-6: one row when the input has no benefit line, else none; it names
+    the benefit's home category when the selection holds ``category`` alone."""
     r = roles_of(df, roles, "subcategory")
     aggs = [F.count(F.when(is_benefit(r.subcategory, pattern), F.lit(1))).alias("n")]
     rules = [
@@ -142,8 +150,8 @@ def benefit_status(
         cat = F.col(r.category).cast("string")
         aggs += [
             F.count_distinct(cat).alias("k"),
-            F.coalesce(F.max((cat == F.lit(K.FOCUS_CATEGORY)).cast("int")), F.lit(0)).alias("has_focus"),
-            F.coalesce(F.max((cat == F.lit(K.BENEFIT_HOME_CATEGORY)).cast("int")), F.lit(0)).alias("has_home"),
+            F.coalesce(F.max((cat == F.lit(category)).cast("int")), F.lit(0)).alias("has_focus"),
+            F.coalesce(F.max((cat == F.lit(home_category)).cast("int")), F.lit(0)).alias("has_home"),
         ]
     one = df.agg(*aggs)  # one pass over the input for every flag
     if with_scope:
@@ -152,7 +160,7 @@ def benefit_status(
         hint = c_eq0() & F.col("subset") & (F.col("has_focus") == 1) & (F.col("has_home") == 0)
         rules = [
             Rule(hint, "benefit_home_category_missing", "info",
-                 f"Benefit lines exist only in {K.BENEFIT_HOME_CATEGORY}; it is not selected", F.lit(None)),
+                 f"Benefit lines exist only in {home_category}; it is not selected", F.lit(None)),
             Rule(c_eq0() & ~hint, "no_benefit_data", "info", "No benefit lines in the current data", F.lit(None)),
         ]
     return apply_rules(one, "benefits", rules)
@@ -190,7 +198,8 @@ def penetration_rules(
 ) -> DataFrame:
     """INS-3 / INS-4 over a YOY-7 change row and the YOY-5 value change
     (a scalar column; null when there is none)."""
-    ch = changes.withColumn("value_change", value_change)
+    # Without a benefit invoice in either year there is nothing to tell.
+    ch = changes.where((F.col("current_rate") > 0) | (F.col("rate_change") != 0)).withColumn("value_change", value_change)
     c = F.col
     rules = [
         Rule(c("rate_change") > change_pp, "higher_engagement", "info",

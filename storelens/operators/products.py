@@ -29,31 +29,28 @@ def product_stats(df: DataFrame, roles: ColumnRoles | None = None, approx: bool
     return _product_stats(df, r, approx=approx)
 
 
-def _product_stats(df: DataFrame, r: ColumnRoles, carry: tuple[str, ...] = (), approx: bool = False) -> DataFrame:
-    """``product_stats`` plus ``carry`` columns that depend on the
-    subcategory alone (kept with ``first``)."""
+def _sums(r: ColumnRoles) -> list:
+    """Quantity, sales and mean price of a group of lines."""
+    return [
+        half_even(F.coalesce(F.sum(r.quantity), F.lit(0.0)), 2).alias("total_quantity"),
+        half_even(F.coalesce(F.sum(r.price), F.lit(0)).cast("double"), 2).alias("total_sales"),
+        half_even(F.try_divide(F.sum(r.price).cast("double"), F.count(r.price).cast("double")), 2).alias("avg_price"),
+    ]
+
+
+def _product_stats(df: DataFrame, r: ColumnRoles, approx: bool = False) -> DataFrame:
     sub, prod = r.subcategory, r.product
-    kept = [F.first(c).alias(c) for c in carry]
     lines = df.where(F.col(sub).isNotNull() & F.col(prod).isNotNull())
     if approx:
-        return lines.groupBy(sub, prod).agg(
-            half_even(F.coalesce(F.sum(r.quantity), F.lit(0.0)), 2).alias("total_quantity"),
-            half_even(F.coalesce(F.sum(r.price), F.lit(0)).cast("double"), 2).alias("total_sales"),
-            half_even(F.try_divide(F.sum(r.price).cast("double"), F.count(r.price).cast("double")), 2).alias(
-                "avg_price"
-            ),
-            F.approx_count_distinct(r.invoice).alias("unique_transactions"),
-            *kept,
-        )
+        return lines.groupBy(sub, prod).agg(*_sums(r), F.approx_count_distinct(r.invoice).alias("unique_transactions"))
     per_invoice = lines.groupBy(sub, prod, F.col(r.invoice).alias("inv")).agg(
-        F.sum(r.quantity).alias("q"), F.sum(r.price).alias("s"), F.count(r.price).alias("c"), *kept
+        F.sum(r.quantity).alias("q"), F.sum(r.price).alias("s"), F.count(r.price).alias("c")
     )
     return per_invoice.groupBy(sub, prod).agg(
         half_even(F.coalesce(F.sum("q"), F.lit(0.0)), 2).alias("total_quantity"),
         half_even(F.coalesce(F.sum("s"), F.lit(0)).cast("double"), 2).alias("total_sales"),
         half_even(F.try_divide(F.sum("s").cast("double"), F.sum("c").cast("double")), 2).alias("avg_price"),
         F.count("inv").alias("unique_transactions"),
-        *kept,
     )
 
 
@@ -82,27 +79,24 @@ def _highlights(
         .select(F.col(sub).alias("__cat"), F.col("total_sales").alias("category_sales"))
         .withColumn("rank", F.row_number().over(Window.orderBy(F.desc("category_sales"), F.asc("__cat"))))
     )
-    # Inner join with the n-row list: keeps only those subcategories' lines
-    # and carries their sales and rank along, so the list is built once.
-    lines = df.join(F.broadcast(top), F.col(sub) == F.col("__cat")).drop("__cat")
-    best = (
-        _product_stats(lines, r, carry=("category_sales", "rank"))
-        .groupBy(F.col(sub).alias("category"))
-        .agg(
-            F.min(
-                F.struct(
-                    (-F.col("total_quantity")).alias("k"),
-                    F.col(r.product).alias("product"),
-                    F.col("total_quantity"),
-                    F.col("total_sales"),
-                    F.col("avg_price"),
-                    F.col("unique_transactions"),
-                )
-            ).alias("b"),
-            F.first("category_sales").alias("category_sales"),
-            F.first("rank").alias("rank"),
-        )
+    # Inner join with the n-row list: keeps only those subcategories' lines.
+    lines = df.join(F.broadcast(top), F.col(sub) == F.col("__cat")).where(F.col(r.product).isNotNull())
+    sums = lines.groupBy(F.col("__cat").alias("category"), F.col(r.product).alias("product")).agg(
+        F.first("category_sales").alias("category_sales"),
+        F.first("rank").alias("rank"),
+        *_sums(r),
+    )
+    best = sums.groupBy("category").agg(
+        F.min(F.struct((-F.col("total_quantity")).alias("k"), "product", "total_quantity", "total_sales", "avg_price")).alias("b"),
+        F.first("category_sales").alias("category_sales"),
+        F.first("rank").alias("rank"),
     )
+    # Invoices are counted for the at most n winners only.
+    won = best.select(F.col("category").alias("__wcat"), F.col("b.product").alias("__wprod"))
+    theirs = df.join(F.broadcast(won), (F.col(sub) == F.col("__wcat")) & (F.col(r.product) == F.col("__wprod")))
+    invoices = theirs.groupBy("__wcat", F.col(r.invoice).alias("__inv")).agg(F.lit(1).alias("__one"))
+    invoices = invoices.groupBy("__wcat").agg(F.count("__inv").alias("unique_transactions"))
+    best = best.join(invoices, F.col("category") == F.col("__wcat"))
     return best.select(
         "rank",
         "category",
@@ -112,7 +106,7 @@ def _highlights(
         money_text("b.total_sales", 0).alias("total_sales_text"),
         F.col("b.avg_price").alias("avg_price"),
         F.format_string("$%.2f", F.col("b.avg_price")).alias("avg_price_text"),
-        F.col("b.unique_transactions").alias("transactions"),
+        F.col("unique_transactions").alias("transactions"),
         F.col("category_sales"),
         money_text("category_sales", 0).alias("category_sales_text"),
     )

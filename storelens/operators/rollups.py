@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import constants as K
 from ..functions.exprs import (
@@ -20,11 +21,12 @@ from ..functions.exprs import (
     is_benefit,
     mean,
     money_sum,
+    month_label,
     percent,
+    quarter_label,
     ratio,
     week_ending,
-    year_month,
-    year_quarter,
+    weekday_label,
 )
 from ..functions.roles import ColumnRoles, resolve_roles, roles_of
 
@@ -116,12 +118,14 @@ def weekly_sales(df: DataFrame, by_location: bool = False, roles: ColumnRoles |
 
 def fill_weeks(weekly: DataFrame) -> DataFrame:
     """Every week from the first to the last of ``(week_ending, sales)``, 0 where missing."""
-    calendar = weekly.agg(F.min("week_ending").alias("lo"), F.max("week_ending").alias("hi")).select(
-        F.explode(F.sequence("lo", "hi", F.expr("INTERVAL 7 DAYS"))).alias("week_ending")
-    )
-    return calendar.join(weekly, "week_ending", "left").select(
-        "week_ending", F.coalesce("sales", F.lit(0.0)).alias("sales")
+    # One pass: the weeks (a calendar's worth of rows) become one map.
+    one = weekly.agg(
+        F.min("week_ending").alias("lo"),
+        F.max("week_ending").alias("hi"),
+        F.map_from_entries(F.collect_list(F.struct("week_ending", "sales"))).alias("s"),
     )
+    weeks = one.where(F.col("lo").isNotNull()).select(F.explode(F.sequence("lo", "hi", F.expr("INTERVAL 7 DAYS"))).alias("week_ending"), "s")
+    return weeks.select("week_ending", F.coalesce(F.try_element_at("s", F.col("week_ending")), F.lit(0.0)).alias("sales"))
 
 
 def top_locations(df: DataFrame, n: int = 10, roles: ColumnRoles | None = None) -> DataFrame:
@@ -163,13 +167,13 @@ def monthly_profit(df: DataFrame, roles: ColumnRoles | None = None) -> DataFrame
     d = F.col(r.date)
     return (
         df.where(d.isNotNull())
-        .groupBy(F.year(d).alias("year"), F.month(d).alias("month"), year_month(d).alias("year_month"))
+        .groupBy(F.year(d).alias("year"), F.month(d).alias("month"))
         .agg(F.coalesce(F.sum(r.price), F.lit(0)).alias("rev"), F.coalesce(F.sum(r.cost), F.lit(0)).alias("cst"))
         .where(F.col("rev") > 0)
         .select(
             "year",
             "month",
-            "year_month",
+            month_label("year", "month").alias("year_month"),
             F.col("rev").cast("double").alias("revenue"),
             F.col("cst").cast("double").alias("cost"),
             (F.col("rev") - F.col("cst")).cast("double").alias("profit"),
@@ -184,12 +188,12 @@ def quarterly_profit(df: DataFrame, roles: ColumnRoles | None = None) -> DataFra
     d = F.col(r.date)
     return (
         df.where(d.isNotNull())
-        .groupBy(F.year(d).alias("year"), F.quarter(d).alias("quarter"), year_quarter(d).alias("year_quarter"))
+        .groupBy(F.year(d).alias("year"), F.quarter(d).alias("quarter"))
         .agg(F.coalesce(F.sum(r.price), F.lit(0)).alias("rev"), F.coalesce(F.sum(r.cost), F.lit(0)).alias("cst"))
         .select(
             "year",
             "quarter",
-            "year_quarter",
+            quarter_label("year", "quarter").alias("year_quarter"),
             F.col("rev").cast("double").alias("revenue"),
             F.col("cst").cast("double").alias("cost"),
             (F.col("rev") - F.col("cst")).cast("double").alias("profit"),
@@ -266,8 +270,9 @@ def weekday_sales(df: DataFrame, roles: ColumnRoles | None = None) -> DataFrame:
     d = F.col(r.date)
     out = (
         df.where(d.isNotNull())
-        .groupBy(F.date_format(d, "EEEE").alias("day_of_week"), F.weekday(d).alias("day_num"))
+        .groupBy(F.weekday(d).alias("day_num"))
         .agg(money_sum(r.price).alias("total_sales"), F.count(r.price).alias("transaction_count"))
+        .select(weekday_label("day_num").alias("day_of_week"), "day_num", "total_sales", "transaction_count")
     )
     return _sorted_few(out, "day_num")
 
@@ -275,12 +280,11 @@ def weekday_sales(df: DataFrame, roles: ColumnRoles | None = None) -> DataFrame:
 def peak_time(df: DataFrame, roles: ColumnRoles | None = None) -> DataFrame:
     """TOP-11: best hour (first on ties) with its count and mean, and the best day-part.
 
-    Arg-max over the (at most 24 / 4 row) rollups with ``min(struct)``: a
-    plain aggregate, no sort of the data.  No rows when there is no data.
+    No rows when there is no data.
     """
     r = roles_of(df, roles, "date", "price")
-    # One scan: exact (decimal) sums per hour; the day-part sums are sums of
-    # those, so both arg-maxes compare the same exact values.
+    # Exact (decimal) sums per hour; the day-part sums are sums of those, so
+    # both arg-maxes compare the same exact values.
     hours = _with_hour(df, r).groupBy("hour").agg(
         F.coalesce(F.sum(r.price), F.lit(0)).alias("s"), F.count(r.price).alias("n")
     )
@@ -288,20 +292,26 @@ def peak_time(df: DataFrame, roles: ColumnRoles | None = None) -> DataFrame:
 
 
 def peak_from_hours(hours: DataFrame) -> DataFrame:
-    """TOP-11 from ``(hour, s, n)`` rows: exact sales sum and count per hour."""
-    best_period = (
-        hours.groupBy(daypart("hour").alias("time_period"))
-        .agg(F.sum("s").alias("s"))
-        .agg(F.min(F.struct((-F.col("s")).alias("k"), F.col("time_period"))).alias("p"))
-        .select(first_word(F.col("p.time_period")))
-        .scalar()
+    """TOP-11 from ``(hour, s, n)`` rows: exact sales sum and count per hour.
+    The 24 rows become one array, from which both arg-maxes are taken."""
+    kind = hours.schema["s"].dataType
+    exact = f"decimal(38,{kind.scale})" if isinstance(kind, T.DecimalType) else "double"
+    rows = hours.select(F.struct((-F.col("s")).cast(exact).alias("k"), "hour", "s", "n", daypart("hour").alias("p")).alias("r"))
+    one = rows.agg(F.collect_list("r").alias("h")).where(F.size("h") > 0)
+    zero = F.lit(0).cast(exact)
+    periods = F.transform(
+        F.array_distinct(F.transform("h", lambda x: x["p"])),
+        lambda p: F.struct(
+            F.aggregate(F.filter("h", lambda x: x["p"] == p), zero, lambda a, x: (a + x["k"]).cast(exact)).alias("k"),
+            p.alias("p"),
+        ),
     )
-    best = hours.agg(F.min(F.struct((-F.col("s")).alias("k"), "hour", "s", "n")).alias("b"))
-    return best.where(F.col("b.hour").isNotNull()).select(
+    best = one.select(F.array_min("h").alias("b"), F.array_min(periods).alias("q"))
+    return best.select(
         F.col("b.hour").alias("best_hour"),
         F.format_string("%d:00", "b.hour").alias("best_hour_label"),
         F.col("b.s").cast("double").alias("best_hour_sales"),
         F.col("b.n").alias("peak_hour_transactions"),
         F.try_divide(F.col("b.s").cast("double"), F.col("b.n").cast("double")).alias("avg_per_transaction"),
-        best_period.alias("best_period"),
+        first_word(F.col("q.p")).alias("best_period"),
     )

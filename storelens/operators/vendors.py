@@ -72,15 +72,16 @@ def vendor_concentration(df: DataFrame, k: int = 5, roles: ColumnRoles | None =
     """
     r = roles_of(df, roles, "vendor", "price")
     v = r.vendor
-    # One aggregation serves everything: the null-vendor group only feeds
-    # the all-sales denominator.
+    # Both uses below read the same columns of this one aggregate, so its
+    # shuffled result is reused: one scan.  The null-vendor group only feeds
+    # the all-sales denominator; it sorts last and is left out of the sum
+    # (a filter would be pushed into one of the two uses and part them).
     per_vendor = df.groupBy(v).agg(F.coalesce(F.sum(r.price), F.lit(0)).alias("s"))
     named = F.col(v).isNotNull()
     top_k = (
-        per_vendor.where(named)
-        .orderBy(F.desc("s"), F.asc(v))
+        per_vendor.orderBy(F.desc(named), F.desc("s"), F.asc(v))
         .limit(k)
-        .agg(F.coalesce(F.sum("s"), F.lit(0)).cast("double").alias("t"))
+        .agg(F.coalesce(F.sum(F.when(named, F.col("s"))), F.lit(0)).cast("double").alias("t"))
         .select("t")
         .scalar()
     )

@@ -8,7 +8,7 @@ The two latest years are found with a top-2 sort of those aggregated rows
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import half_even, mean, money_sum, pct_change, percent
@@ -80,12 +80,18 @@ def quarter_year_pivot(
 ) -> DataFrame:
     """PIV-1: quarter x year table of ``profit`` or ``profit_margin``; missing -> 0.
 
-    Pass ``years`` to skip the extra distinct-years job Spark runs otherwise.
+    With ``years`` the columns are those years and nothing runs until the
+    result is used; without, the years present are read first (one row each).
     """
-    q = quarterly_profit(df, roles)
-    piv = q.groupBy("quarter").pivot("year", years).agg(F.first(value))
-    year_cols = [c for c in piv.columns if c != "quarter"]
-    return piv.fillna(0.0, subset=year_cols)
+    return pivot_quarters(quarterly_profit(df, roles), value, years)
+
+
+def pivot_quarters(quarters: DataFrame, value: str = "profit", years: list[int] | None = None) -> DataFrame:
+    """PIV-1 from QTR-1 rows."""
+    if years is None:
+        years = sorted(r[0] for r in quarters.select("year").distinct().collect())
+    cells = [F.coalesce(F.max(F.when(F.col("year") == y, F.col(value))), F.lit(0.0)).alias(str(y)) for y in years]
+    return quarters.groupBy("quarter").agg(*cells) if cells else quarters.select("quarter").distinct()
 
 
 def yoy_quarterly(df: DataFrame, roles: ColumnRoles | None = None) -> DataFrame:
@@ -96,36 +102,34 @@ def yoy_quarterly(df: DataFrame, roles: ColumnRoles | None = None) -> DataFrame:
     0.  A margin cell over zero revenue is 0; if it stood for +/-inf (profit
     not 0) the margin change is 0 too, as in the reference.
     """
-    q = quarterly_profit(df, roles).withColumn("inf_margin", (F.col("revenue") == 0) & (F.col("profit") != 0))
-    # q holds one row per (year, quarter): an unpartitioned window over it is
-    # bounded by the calendar, not by the data.
-    top = q.withColumn("yr", F.dense_rank().over(Window.orderBy(F.desc("year")))).where(F.col("yr") <= 2)
-
-    def pick(rank: int, c: str):
-        return F.max(F.when(F.col("yr") == rank, F.col(c)))
-
-    per_q = top.groupBy("quarter").agg(
-        pick(2, "profit").alias("p_profit"),
-        pick(1, "profit").alias("c_profit"),
-        pick(2, "profit_margin").alias("p_margin"),
-        pick(1, "profit_margin").alias("c_margin"),
-        F.coalesce(pick(2, "inf_margin"), F.lit(False)).alias("p_inf"),
-        F.coalesce(pick(1, "inf_margin"), F.lit(False)).alias("c_inf"),
+    return yoy_quarterly_from(quarterly_profit(df, roles))
+
+
+def yoy_quarterly_from(quarters: DataFrame) -> DataFrame:
+    """YOY-2 from QTR-1 rows, used once: the rows (four a year) become one
+    array, from which the two latest years' cells are taken."""
+    cell = F.struct("year", "quarter", "profit", "profit_margin", ((F.col("revenue") == 0) & (F.col("profit") != 0)).alias("inf"))
+    one = quarters.select(cell.alias("c")).agg(F.collect_list("c").alias("cells"))
+    one = one.withColumn("years", F.sort_array(F.array_distinct(F.transform("cells", lambda c: c["year"])), asc=False))
+    grid = one.where(F.size("years") >= 2).select(
+        F.element_at("years", 2).alias("prev_year"),
+        F.element_at("years", 1).alias("cur_year"),
+        "cells",
+        F.explode(F.array(*[F.lit(i) for i in (1, 2, 3, 4)])).alias("quarter"),
     )
-    grid = (
-        top.agg(F.max("year").alias("cur_year"), F.min("year").alias("prev_year"))
-        .where(F.col("cur_year") != F.col("prev_year"))
-        .select("prev_year", "cur_year", F.explode(F.array(*[F.lit(i) for i in (1, 2, 3, 4)])).alias("quarter"))
+    at = lambda y: F.try_element_at(
+        F.filter("cells", lambda c: (c["year"] == F.col(y)) & (c["quarter"] == F.col("quarter"))), F.lit(1)
     )
-    t = grid.join(per_q, "quarter", "left").select(
+    both = grid.select("quarter", "prev_year", "cur_year", at("prev_year").alias("p"), at("cur_year").alias("c"))
+    t = both.select(
         F.concat(F.lit("Q"), F.col("quarter").cast("string")).alias("quarter"),
         "prev_year",
         "cur_year",
-        F.coalesce("p_profit", F.lit(0.0)).alias("prev_profit"),
-        F.coalesce("c_profit", F.lit(0.0)).alias("cur_profit"),
-        F.coalesce("p_margin", F.lit(0.0)).alias("prev_margin"),
-        F.coalesce("c_margin", F.lit(0.0)).alias("cur_margin"),
-        (F.coalesce("p_inf", F.lit(False)) | F.coalesce("c_inf", F.lit(False))).alias("_inf"),
+        F.coalesce("p.profit", F.lit(0.0)).alias("prev_profit"),
+        F.coalesce("c.profit", F.lit(0.0)).alias("cur_profit"),
+        F.coalesce("p.profit_margin", F.lit(0.0)).alias("prev_margin"),
+        F.coalesce("c.profit_margin", F.lit(0.0)).alias("cur_margin"),
+        (F.coalesce("p.inf", F.lit(False)) | F.coalesce("c.inf", F.lit(False))).alias("_inf"),
     )
     return t.select(
         "quarter",
@@ -145,7 +149,11 @@ def yoy_quarterly_long(df: DataFrame, metric: str = "profit", roles: ColumnRoles
     """YOY-3: long form of YOY-2 for grouped bars: (quarter, year, value) x 8."""
     if metric not in ("profit", "margin"):
         raise ValueError("metric must be 'profit' or 'margin'")
-    w = yoy_quarterly(df, roles)
+    return yoy_long_from(yoy_quarterly(df, roles), metric)
+
+
+def yoy_long_from(w: DataFrame, metric: str = "profit") -> DataFrame:
+    """YOY-3 from YOY-2 rows."""
     pairs = F.array(
         F.struct(F.col("prev_year").cast("string").alias("year"), F.col(f"prev_{metric}").alias("value")),
         F.struct(F.col("cur_year").cast("string").alias("year"), F.col(f"cur_{metric}").alias("value")),
