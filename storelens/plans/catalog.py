@@ -10,8 +10,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ..functions.exprs import is_benefit
+from ..functions.exprs import is_benefit, money_text, parse_money
 from ..operators import benefits as ben
 from ..operators import calendar as cal
 from ..operators import filters as flt
@@ -21,7 +22,7 @@ from ..operators import rollups as ru
 from ..operators import vendors as ven
 from ..operators import yoy
 from ..functions import constants as K
-from ..sources import clean, publish
+from ..sources import clean, publish, readers
 from . import dashboard
 from ..sources.star import checkins, fact
 
@@ -35,6 +36,7 @@ FIXTURE_LOCATIONS = ["NATION_3", "NATION_7", "NATION_11"]
 FIXTURE_CATEGORIES = ["STANDARD", "SMALL"]
 FIXTURE_SUBCATEGORIES = ["Brand#1", "Brand#2", "Brand#25"]
 FIXTURE_RANGE = ("1997-01-01", "1998-12-31")
+FIXTURE_YEARS = list(range(1995, 2002))
 
 
 def _p(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,8 +102,6 @@ def _benefit_status_scoped(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _text_purchases(df: DataFrame) -> DataFrame:
     """The fact as an exported sheet would hold it: padded names, dates and
     prices as text (cost too, which the name rule must leave alone)."""
-    from pyspark.sql import functions as F
-
     return df.select(
         F.date_format("purchase_date", "yyyy-MM-dd HH:mm:ss").alias(" purchase_date "),
         F.col(K.INVOICE).alias(f"{K.INVOICE} "),
@@ -110,16 +110,80 @@ def _text_purchases(df: DataFrame) -> DataFrame:
     )
 
 
+def _plain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fact's own columns, for queries that return or hash all of them."""
+    return fact(spark, sf_dir, months=False)
+
+
+def _dirty_text(df: DataFrame) -> DataFrame:
+    """The fact as text in the date forms that exports hold, some of it bad."""
+    d, k = F.col("purchase_date"), F.col(K.INVOICE) % 8
+    form = lambda pattern: F.date_format(d, pattern)
+    dates = [
+        form("yyyy-MM-dd HH:mm:ss"), form("M/d/yyyy"), form("M/d/yyyy H:mm"), form("yyyy-MM-dd'T'HH:mm:ss'Z'"),
+        form("yyyy/MM/dd"), form("yyyy-MM-dd HH:mm:ss.SSS"), F.lit("no date"), form("yyyy-MM-dd HH:mm"),
+    ]
+    price = F.col(K.PRICE).cast("string")
+    prices = [price, F.lit("nan"), F.concat(F.lit("$"), price), F.lit("2d"), F.concat(F.lit(" "), price, F.lit(" ")), F.lit("Infinity"), F.lit("")]
+    pick = lambda values, key: F.element_at(F.array(*values), (key + 1).cast("int"))
+    return df.select(
+        F.col(K.INVOICE), pick(dates, k).alias(" purchase_date"), pick(prices, F.col(K.INVOICE) % 7).alias(f"{K.PRICE} ")
+    )
+
+
+def _dirty_purchases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cleaned dirty text, by date form: rows, parsed dates and their extent, parsed prices and their sum."""
+    c = clean.preprocess(_dirty_text(_plain(spark, sf_dir)))
+    return c.groupBy((F.col(K.INVOICE) % 8).alias("form")).agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.count("purchase_date").alias("dates"),
+        F.min("purchase_date").alias("first_date"),
+        F.max("purchase_date").alias("last_date"),
+        F.count(K.PRICE).alias("prices"),
+        F.sum(F.round(F.col(K.PRICE) * 100).cast("bigint")).alias("cents"),
+    )
+
+
+def _dirty_losses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clean.parse_losses(_dirty_text(_plain(spark, sf_dir)))
+
+
+def _publish_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows that a later version of the fact adds and removes."""
+    old = _plain(spark, sf_dir)
+    raised = F.when(F.col(K.INVOICE) % 60 == 1, F.col(K.QUANTITY) + 1).otherwise(F.col(K.QUANTITY))
+    new = old.where(F.col(K.INVOICE) % 50 != 0).withColumn(K.QUANTITY, raised)
+    return publish.diff(old, new)
+
+
+def _first_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC-1..4 on the test folder itself: no table is named like purchases, so the first one is read."""
+    return readers.read_sales(spark, [f"{sf_dir}/absent", sf_dir])[0]
+
+
+def _money_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PRJ-14 and PRJ-15: sales as dollar text, and the text read back."""
+    t = ru.subcategory_sales(_p(spark, sf_dir)).select(K.SUBCATEGORY, money_text("total_sales", 0).alias("sales_text"))
+    return t.withColumn("sales", parse_money("sales_text"))
+
+
+def _benefit_hint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """INS-6 where the selection holds the focus category but not the benefit's home."""
+    p = _p(spark, sf_dir)
+    one = flt.in_categories(p, [FIXTURE_CATEGORY])
+    return ins.benefit_status(
+        one.where(~is_benefit("revenue_subcategory", FIXTURE_PATTERN)), p, FIXTURE_PATTERN, category=FIXTURE_CATEGORY, home_category="SMALL"
+    )
+
+
 def _preprocess_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return clean.preprocess(_text_purchases(_p(spark, sf_dir)))
+    return clean.preprocess(_text_purchases(_plain(spark, sf_dir)))
 
 
 def _canonical_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole fact as an all-text export, cleaned and cast back to the
     canonical role schema: must equal the fact itself."""
-    from pyspark.sql import functions as F
-
-    p = _p(spark, sf_dir)
+    p = _plain(spark, sf_dir)
     text = p.select([F.col(c).cast("string").alias(c) for c in p.columns])
     return clean.canonical(clean.preprocess(text))
 
@@ -146,8 +210,13 @@ QUERIES: dict[str, Query] = {
     "preprocess_roundtrip": _preprocess_roundtrip,
     "canonical_roundtrip": _canonical_roundtrip,
     "checkins_clean": _checkins_clean,
-    "sample_rows": _on(_p, publish.sample_rows, n=100),
-    "fingerprint": _on(_p, publish.fingerprint),
+    "sample_rows": _on(_plain, publish.sample_rows, n=100),
+    "fingerprint": _on(_plain, publish.fingerprint),
+    "dirty_purchases": _dirty_purchases,
+    "dirty_losses": _dirty_losses,
+    "publish_diff": _publish_diff,
+    "source_first_table": _first_table,
+    "money_labels": _money_labels,
     # KPIs and extents
     "sales_kpis": _on(_p, ru.sales_kpis),
     "sales_kpis_nulls": _on(_pn, ru.sales_kpis),
@@ -197,8 +266,8 @@ QUERIES: dict[str, Query] = {
     # year to date, pivot, year over year
     "ytd_metrics": _on(_p, yoy.ytd_metrics),
     "ytd_changes": _on(_p, yoy.ytd_changes),
-    "quarter_year_pivot_profit": _on(_p, yoy.quarter_year_pivot, value="profit"),
-    "quarter_year_pivot_margin": _on(_p, yoy.quarter_year_pivot, value="profit_margin"),
+    "quarter_year_pivot_profit": _on(_p, yoy.quarter_year_pivot, value="profit", years=FIXTURE_YEARS),
+    "quarter_year_pivot_margin": _on(_p, yoy.quarter_year_pivot, value="profit_margin", years=FIXTURE_YEARS),
     "yoy_quarterly": _on(_p, yoy.yoy_quarterly),
     "yoy_quarterly_long_profit": _on(_p, yoy.yoy_quarterly_long, metric="profit"),
     "yoy_quarterly_long_margin": _on(_p, yoy.yoy_quarterly_long, metric="margin"),
@@ -210,6 +279,7 @@ QUERIES: dict[str, Query] = {
     "benefit_revenue_share": _on(_p, ben.benefit_revenue_share, **B),
     "benefit_insights": _benefit_insights,
     "benefit_status_scoped": _benefit_status_scoped,
+    "benefit_status_hint": _benefit_hint,
     "benefit_penetration": _on(_p, ben.benefit_penetration, **B),
     "benefit_penetration_nulls": _on(_pn, ben.benefit_penetration, **B),
     "penetration_changes": _on(_p, ben.penetration_changes, **B),

@@ -293,12 +293,8 @@ FROM (SELECT cast(year(purchase_date) AS INTEGER) AS year, cast(quarter(purchase
       FROM purchases WHERE purchase_date IS NOT NULL GROUP BY 1, 2, 3)"""
 
 for _v, _name in (("profit", "quarter_year_pivot_profit"), ("profit_margin", "quarter_year_pivot_margin")):
-    _reg(
-        _name,
-        f"""WITH q AS ({QUARTERLY})
-SELECT quarter, coalesce(COLUMNS(* EXCLUDE (quarter)), 0.0)
-FROM (PIVOT (SELECT quarter, year, {_v} FROM q) ON year USING first({_v}) GROUP BY quarter)""",
-    )
+    _cells = ", ".join(f"coalesce(max(CASE WHEN year = {y} THEN {_v} END), 0.0) AS \"{y}\"" for y in range(1995, 2002))
+    _reg(_name, f"WITH q AS ({QUARTERLY}) SELECT quarter, {_cells} FROM q GROUP BY quarter")
 
 YOY_QUARTERLY = f"""WITH q AS (SELECT *, revenue = 0 AND profit <> 0 AS inf_margin FROM ({QUARTERLY})),
 yrs AS (SELECT max(year) AS cur_year, min(year) AS prev_year, count(*) AS n
@@ -425,21 +421,25 @@ x AS (SELECT * FROM ch WHERE cur_year IN (SELECT cur_year FROM sh))
 UNION ALL SELECT 'benefits', 'no_benefit_data', 'info', 'No benefit lines in the current data', cast(NULL AS DOUBLE)
 FROM (SELECT count(*) AS n FROM purchases WHERE {ISBEN}) WHERE n = 0""",
 )
-_reg(
-    "benefit_status_scoped",
-    f"""WITH s AS (SELECT * FROM purchases WHERE cast(disp_category AS VARCHAR) IN ('STANDARD', 'SMALL') AND NOT {ISBEN}),
+for _name, _cats, _focus, _home in (
+    ("benefit_status_scoped", "'STANDARD', 'SMALL'", "Food", "ProShop"),
+    ("benefit_status_hint", "'STANDARD'", "STANDARD", "SMALL"),
+):
+    _reg(
+        _name,
+        f"""WITH s AS (SELECT * FROM purchases WHERE cast(disp_category AS VARCHAR) IN ({_cats}) AND NOT {ISBEN}),
 st AS (SELECT (SELECT count(*) FROM s WHERE {ISBEN}) AS n,
               (SELECT count(DISTINCT disp_category) FROM s) < (SELECT count(DISTINCT disp_category) FROM purchases) AS subset,
-              (SELECT coalesce(max(CASE WHEN cast(disp_category AS VARCHAR) = 'Food' THEN 1 ELSE 0 END), 0) FROM s) AS has_focus,
-              (SELECT coalesce(max(CASE WHEN cast(disp_category AS VARCHAR) = 'ProShop' THEN 1 ELSE 0 END), 0) FROM s) AS has_home)
+              (SELECT coalesce(max(CASE WHEN cast(disp_category AS VARCHAR) = '{_focus}' THEN 1 ELSE 0 END), 0) FROM s) AS has_focus,
+              (SELECT coalesce(max(CASE WHEN cast(disp_category AS VARCHAR) = '{_home}' THEN 1 ELSE 0 END), 0) FROM s) AS has_home)
 SELECT 'benefits' AS section,
        CASE WHEN subset AND has_focus = 1 AND has_home = 0 THEN 'benefit_home_category_missing' ELSE 'no_benefit_data' END AS code,
        'info' AS severity,
-       CASE WHEN subset AND has_focus = 1 AND has_home = 0 THEN 'Benefit lines exist only in ProShop; it is not selected'
+       CASE WHEN subset AND has_focus = 1 AND has_home = 0 THEN 'Benefit lines exist only in {_home}; it is not selected'
             ELSE 'No benefit lines in the current data' END AS message,
        cast(NULL AS DOUBLE) AS value
 FROM st WHERE n = 0""",
-)
+    )
 PEN = f"""SELECT {YEAR} AS year, count(DISTINCT invoice_id) AS total_invoices,
        count(DISTINCT CASE WHEN {ISBEN} THEN invoice_id END) AS bennies_invoices,
        CASE WHEN count(DISTINCT invoice_id) > 0
@@ -623,3 +623,26 @@ CUBE_TWINS = (
 )
 for _name in CUBE_TWINS:
     ORACLES[_name + "_via_cube"] = ORACLES[_name]
+
+# Dirty text: what each date form keeps (whole day, minute or second), and the prices that are plain numbers.
+_reg("dirty_purchases", """SELECT invoice_id % 8 AS form, count(*) AS rows, count(d) AS dates, min(d) AS first_date, max(d) AS last_date,
+       count(p) AS prices, cast(sum(cast(p * 100 AS BIGINT)) AS BIGINT) AS cents
+FROM (SELECT invoice_id,
+             CASE WHEN invoice_id % 8 IN (1, 4) THEN cast(date_trunc('day', purchase_date) AS TIMESTAMP)
+                  WHEN invoice_id % 8 IN (2, 7) THEN date_trunc('minute', purchase_date)
+                  WHEN invoice_id % 8 = 6 THEN NULL ELSE purchase_date END AS d,
+             CASE WHEN invoice_id % 7 IN (0, 4) THEN purchase_price_w_discount END AS p
+      FROM purchases) GROUP BY 1""")
+_reg("dirty_losses", """SELECT 'purchase_date' AS "column", count(*) AS texts, count(*) FILTER (invoice_id % 8 <> 6) AS parsed,
+       count(*) FILTER (invoice_id % 8 = 6) AS lost FROM purchases
+UNION ALL
+SELECT 'purchase_price_w_discount', count(*) FILTER (invoice_id % 7 <> 6), count(*) FILTER (invoice_id % 7 IN (0, 4)),
+       count(*) FILTER (invoice_id % 7 IN (1, 2, 3, 5)) FROM purchases""")
+_reg("publish_diff", """WITH o AS (SELECT * FROM purchases),
+n AS (SELECT * REPLACE (CASE WHEN invoice_id % 60 = 1 THEN quantity + 1 ELSE quantity END AS quantity) FROM purchases WHERE invoice_id % 50 <> 0)
+SELECT * EXCLUDE (w), cast(sum(w) AS BIGINT) AS change FROM (SELECT *, 1 AS w FROM n UNION ALL SELECT *, -1 FROM o)
+GROUP BY ALL HAVING sum(w) <> 0""")
+ORACLES["source_first_table"] = "SELECT * FROM benchmark"
+_reg("money_labels", """SELECT revenue_subcategory, t AS sales_text, cast(replace(replace(t, '$', ''), ',', '') AS DOUBLE) AS sales
+FROM (SELECT revenue_subcategory, '$' || format('{:,.0f}', cast(sum(purchase_price_w_discount) AS DOUBLE)) AS t
+      FROM purchases WHERE revenue_subcategory IS NOT NULL GROUP BY 1)""")
