@@ -30,10 +30,10 @@ from pyspark.sql import functions as F
 
 from .common import ship
 from .encode import Places, alnum_cuts
-from .textbatch import U, Words, mix, slices
+from .textbatch import SLICE_BYTES, U, Words, mix, slices
 
-SAMPLE_DOCS = 6_000
-SAMPLE_CHARS = 50_000
+SAMPLE_DOCS = 4_000
+SAMPLE_CHARS = 20_000
 VOCABULARY = 40_000
 DIMENSIONS = 64
 NONZERO = 4
@@ -79,6 +79,16 @@ def _pieces(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
 N_SHAPES = 4 * 4 * 2 * 8
 
 
+def _runs(texts: list[str], limit: int = SLICE_BYTES) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Bytes and offsets of runs of texts, about ``limit`` bytes each."""
+    held: list[bytes] = []
+    for i, t in enumerate(texts):
+        held.append(t.encode())
+        if sum(map(len, held)) >= limit or i == len(texts) - 1:
+            yield np.frombuffer(b"".join(held), np.uint8), np.concatenate(([0], np.cumsum([len(h) for h in held], dtype=np.int64)))
+            held = []
+
+
 def index_vectors(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(position, sign) of the ``NONZERO`` entries of each key's index vector."""
     h = mix(key[:, None] + np.arange(NONZERO, dtype=U)[None, :] * U(0xA0761D6478BD642F))
@@ -126,9 +136,13 @@ class Model:
 
 def _word_vectors(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(vocabulary keys, vectors): random indexing over the training texts."""
-    raw = [t.encode() for t in texts]
-    offsets = np.concatenate(([0], np.cumsum([len(r) for r in raw], dtype=np.int64)))
-    doc, key, shape = _pieces(np.frombuffer(b"".join(raw), np.uint8), offsets)
+    parts, n = [], 0
+    for data, offsets in _runs(texts):
+        d, k, s = _pieces(data, offsets)
+        parts.append(((d + n).astype(np.int32), k, s.astype(np.int16)))
+        n += len(offsets) - 1
+    doc, key, shape = (np.concatenate(c) for c in zip(*parts, strict=True))
+    del parts
     unique, code, count = np.unique(key, return_inverse=True, return_counts=True)
     often = np.argsort(-count, kind="stable")[: min(VOCABULARY, int((count >= 5).sum()))]
     row = np.full(len(unique), -1)
@@ -148,7 +162,7 @@ def _word_vectors(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         for j in range(NONZERO):
             p = np.where(rare[there], shape_position[shape[there], j], position[code[there], j])
             s = np.where(rare[there], shape_sign[shape[there], j], sign[code[there], j])
-            total += np.bincount(shape[here] * DIMENSIONS + p, s, len(total))
+            total += np.bincount(shape[here].astype(np.int64) * DIMENSIONS + p, s, len(total))
             own = ~rare[here]
             total += np.bincount(at[here][own] * DIMENSIONS + p[own], s[own], len(total))
     vectors = total.reshape(rows, DIMENSIONS)
@@ -196,9 +210,8 @@ def fit(texts: list[str], y: np.ndarray) -> Model:
         return Model(np.zeros(0, U), np.zeros((N_SHAPES, DIMENSIONS), np.float32), np.zeros(FEATURES), np.ones(FEATURES), zero)
     keys, vectors = _word_vectors(texts)
     model = Model(keys, vectors, np.zeros(FEATURES), np.ones(FEATURES), [])
-    raw = [t.encode() for t in texts]
-    offsets = np.concatenate(([0], np.cumsum([len(r) for r in raw], dtype=np.int64)))
-    x = model.pooled(np.frombuffer(b"".join(raw), np.uint8), offsets, model.places()).astype(float)
+    places = model.places()
+    x = np.concatenate([model.pooled(data, offsets, places) for data, offsets in _runs(texts)]).astype(float)
     model.mean, model.scale = x.mean(0), x.std(0) + 1e-6
     z = (x - model.mean) / model.scale
     rest = np.arange(len(x)) % _FOLDS == _FOLDS - 1
