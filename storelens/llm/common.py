@@ -7,13 +7,15 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import shared_dir
 
 # A side of a join is broadcast only when its counted rows stay under this.
 BROADCAST_ROWS = 2_000_000
+ARROW_ROWS = 1_000
+_ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,8 +24,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def ship(spark: SparkSession) -> None:
     """Hands this package to the executors' Python workers, once per context
-    (a launch with ``--py-files`` or an installed package works as well)."""
+    (a launch with ``--py-files`` or an installed package works as well), and
+    unless the session says otherwise lets Arrow carry ``ARROW_ROWS`` rows at
+    a time: rows here are whole documents."""
     sc = spark.sparkContext
+    if spark.conf.get(_ARROW_ROWS, "10000") == "10000":
+        spark.conf.set(_ARROW_ROWS, str(ARROW_ROWS))
     if getattr(sc, "_storelens_shipped", False):
         return
     root = Path(__file__).resolve().parents[1]
@@ -65,7 +71,23 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
-def text_key(df: DataFrame, text: str = "text") -> DataFrame:
-    """Adds ``_th``, a 64-bit hash of the text: with doc_id it names a row's
+def text_hash(text) -> Column:
+    """A 64-bit hash of the text (null as empty): with doc_id it names a row's
     content, so repeated ids with other texts stay apart."""
-    return df.withColumn("_th", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
+    return F.xxhash64(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")))
+
+
+def text_key(df: DataFrame) -> DataFrame:
+    """doc_id, text and their ``_th``."""
+    return df.select("doc_id", "text", text_hash("text").alias("_th"))
+
+
+def whole_rows(df: DataFrame) -> DataFrame:
+    """``_row`` (all columns, so that none clashes with an operator's own),
+    ``_id`` and ``_th``."""
+    return df.select(F.struct("*").alias("_row")).select("_row", F.col("_row.doc_id").alias("_id"), text_hash(F.col("_row.text")).alias("_th"))
+
+
+def unpacked(df: DataFrame, columns: list[str], text: Column | None = None) -> DataFrame:
+    """The columns of ``_row`` again, with another text if given."""
+    return df.select(*[text.alias(c) if c == "text" and text is not None else F.col(f"_row.`{c}`").alias(c) for c in columns])

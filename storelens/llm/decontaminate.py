@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small, text_key, written
+from .common import small, text_key, unpacked, whole_rows, written
 
 WINDOW = 10
 #: Windows that are broadcast at most (about 16 bytes each in the hash set, plus their words).
@@ -50,7 +50,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, broadcast_
     first word and end, from 1), items (sorted ids as strings)."""
     grams = written(benchmark_windows(benchmark, window), "windows")
     lengths = [r.k for r in grams.select("k").distinct().orderBy("k").collect()] or [window]  # at most ``window`` values
-    d = text_key(docs.select("doc_id", "text")).withColumn("ws", _words(F.col("text"))).drop("text")
+    d = text_key(docs).withColumn("ws", _words(F.col("text"))).drop("text")
     d = d.withColumn("n_words", F.size("ws")).withColumn("hs", F.transform("ws", lambda x: F.xxhash64(x)))
     # Position 0 is the document's own row; it never matches.
     d = d.withColumn("p", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.col("n_words") - lengths[0] + 1))))
@@ -103,23 +103,24 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
 def remove_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """The documents without a benchmark window, columns unchanged."""
     bad = written(hits(docs, benchmark, window).where(F.size("spans") > 0).select("doc_id", "_th"), "contaminated")
-    bad = small(bad.select(F.col("doc_id").alias("_id"), F.col("_th").alias("_h")))
-    keyed = text_key(docs)
-    same = (keyed["_th"] == bad["_h"]) & keyed["doc_id"].eqNullSafe(bad["_id"])
-    return keyed.join(bad, same, "left_anti").drop("_th")
+    bad = small(bad.select(F.col("doc_id").alias("_bad"), F.col("_th").alias("_h")))
+    rows = whole_rows(docs)
+    return unpacked(rows.join(bad, (rows["_th"] == bad["_h"]) & rows["_id"].eqNullSafe(bad["_bad"]), "left_anti"), docs.columns)
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """All documents, without the hit words and what separates each from the next word."""
     bad = written(hits(docs, benchmark, window).where(F.size("spans") > 0).select("doc_id", "_th", "spans"), "hit-spans")
-    bad = small(bad.select(F.col("doc_id").alias("_id"), F.col("_th").alias("_h"), F.col("spans").alias("_spans")))
-    keyed = text_key(docs)
-    same = (keyed["_th"] == bad["_h"]) & keyed["doc_id"].eqNullSafe(bad["_id"])
-    j = keyed.join(bad, same, "left")
-    words = F.regexp_extract_all("text", F.lit(_WORD_ANY_CASE), F.lit(0))
-    gaps = F.split("text", _WORD_ANY_CASE, -1)
-    after = F.transform(F.arrays_zip(words.alias("w"), F.slice(gaps, 2, F.size(words)).alias("g")), lambda x, i: F.struct(F.concat(x["w"], x["g"]).alias("t"), (i + 1).alias("i")))
+    bad = small(bad.select(F.col("doc_id").alias("_bad"), F.col("_th").alias("_h"), F.col("spans").alias("_spans")))
+    rows = whole_rows(docs)
+    j = rows.join(bad, (rows["_th"] == bad["_h"]) & rows["_id"].eqNullSafe(bad["_bad"]), "left")
+    text = F.col("_row.text")
+    words = F.regexp_extract_all(text, F.lit(_WORD_ANY_CASE), F.lit(0))
+    gaps = F.split(text, _WORD_ANY_CASE, -1)
+    after = F.transform(
+        F.arrays_zip(words.alias("w"), F.slice(gaps, F.lit(2), F.size(words)).alias("g")),
+        lambda x, i: F.struct(F.concat(x["w"], x["g"]).alias("t"), (i + 1).alias("i")),
+    )
     kept = F.filter(after, lambda x: ~F.exists(F.col("_spans"), lambda s: (s["p"] <= x["i"]) & (x["i"] < s["e"])))
     rest = F.concat(F.element_at(gaps, 1), F.array_join(F.transform(kept, lambda x: x["t"]), ""))
-    text = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(rest)
-    return j.select(*[text.alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns])
+    return unpacked(j, docs.columns, F.when(F.col("_spans").isNull(), text).otherwise(rest))

@@ -21,6 +21,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import unpacked
+
 ASSIGN = r"((?i:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
 ACCESS = r"AKIA[A-Z0-9]{12,}"  # maximal runs of 16 characters or more
 HEX = r"(?<![0-9a-f])[0-9a-f]{32,}"  # maximal runs of 32 or more
@@ -31,6 +33,7 @@ ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 TOKEN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}"
 #: Mean log-likelihood ratio per character pair from which a token is a secret (nats).
 MARGIN = 0.5
+PRIOR = 20
 #: Labelled samples: about so many documents, chosen by the hash of their id.
 SAMPLE_DOCS = 2_000
 _ANY_BASE = f"(?:{ASSIGN})|(?:{ACCESS})|(?:{HEX})"
@@ -84,7 +87,8 @@ def labelled_samples(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFra
 
 def train(samples: DataFrame) -> list[float]:
     """Log-likelihood ratio (random against ordinary) of each pair of alphabet
-    characters, row by row; add-one smoothing.  The counts are a Spark
+    characters, row by row.  A pair's probability leans on its second
+character's share among all, as if ``PRIOR`` such pairs had been seen.  The counts are a Spark
     aggregate of at most 2 x 67 x 67 rows."""
     size = len(ALPHABET)
     pairs = samples.where(F.length("value") > 1).select("random", "value", F.explode(F.sequence(F.lit(1), F.length("value") - 1)).alias("i"))
@@ -96,11 +100,12 @@ def train(samples: DataFrame) -> list[float]:
     counts = {(r.random, r.a, r.b): r["count"] for r in pairs.groupBy("random", "a", "b").count().collect()}
 
     def log_p(random: bool) -> list[float]:
+        after = [1 + sum(counts.get((random, a, b), 0) for a in range(1, size + 1)) for b in range(1, size + 1)]
+        share = [n / sum(after) for n in after]
         out = []
         for a in range(1, size + 1):
-            row = [counts.get((random, a, b), 0) + 1 for b in range(1, size + 1)]
-            total = math.log(sum(row))
-            out += [math.log(c) - total for c in row]
+            row = [counts.get((random, a, b), 0) for b in range(1, size + 1)]
+            out += [math.log((c + PRIOR * s) / (sum(row) + PRIOR)) for c, s in zip(row, share, strict=True)]
         return out
 
     return [round(r - o, 4) for r, o in zip(log_p(True), log_p(False), strict=True)]
@@ -120,8 +125,8 @@ def markov_spans(text: Column, model: list[float], margin: float = MARGIN) -> Co
     return _spans(text, TOKEN, 3, good)
 
 
-def _scanned(docs: DataFrame, model: list[float], margin: float) -> DataFrame:
-    d = docs.withColumn("_text", F.coalesce(F.col("text"), F.lit("")))
+def _scanned(docs: DataFrame, text: str, model: list[float], margin: float) -> DataFrame:
+    d = docs.withColumn("_text", F.coalesce(F.col(text), F.lit("")))
     d = d.withColumn("_base", base_spans(F.col("_text")))
     d = d.withColumn("_markov", markov_spans(F.col("_text"), model, margin))
     added = F.filter("_markov", lambda m: ~F.exists("_base", lambda b: (m["s"] < b["e"]) & (b["s"] < m["e"])))
@@ -136,7 +141,7 @@ def _listed(spans: str) -> Column:
 def secrets(docs: DataFrame, samples: DataFrame | None = None, margin: float = MARGIN) -> DataFrame:
     """One row per document: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_markov."""
     model = train(labelled_samples(docs) if samples is None else samples)
-    d = _scanned(docs.select("doc_id", "text"), model, margin)
+    d = _scanned(docs.select("doc_id", "text"), "text", model, margin)
     count = lambda k: F.size(F.filter("_all", lambda x: x["k"] == k)).cast("long")
     return d.select(
         "doc_id",
@@ -149,7 +154,7 @@ def secrets(docs: DataFrame, samples: DataFrame | None = None, margin: float = M
 def redact(docs: DataFrame, samples: DataFrame | None = None, mask: str = "[secret]", margin: float = MARGIN) -> DataFrame:
     """All documents; every span (overlapping ones merged) replaced by ``mask``."""
     model = train(labelled_samples(docs) if samples is None else samples)
-    d = _scanned(docs, model, margin)
+    d = _scanned(docs.select(F.struct("*").alias("_row")), "_row.text", model, margin)
     walked = F.aggregate(
         "_all",
         F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
@@ -162,5 +167,4 @@ def redact(docs: DataFrame, samples: DataFrame | None = None, mask: str = "[secr
     )
     d = d.withColumn("_walked", walked)
     rest = F.concat(F.col("_walked.out"), F.substr(F.col("_text"), F.col("_walked.at") + 1, F.length("_text")))
-    text = F.when(F.size("_all") == 0, F.col("text")).otherwise(rest)
-    return d.select(*[text.alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns])
+    return unpacked(d, docs.columns, F.when(F.size("_all") == 0, F.col("_row.text")).otherwise(rest))
