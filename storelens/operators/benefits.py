@@ -57,12 +57,12 @@ def benefit_year_summary(
         .agg(
             half_even(money_sum(r.price), 2).alias("total_revenue"),
             F.count(F.when(b, F.lit(1))).alias("benefit_lines"),
-            half_even(money_sum(value), 2).alias("total_bennies_value"),
-            F.count(value).alias("bennies_count"),
-            half_even(mean(value), 2).alias("avg_bennie_value"),
-            cost.alias("total_bennies_cost"),
+            half_even(money_sum(value), 2).alias("total_benefit_value"),
+            F.count(value).alias("benefit_count"),
+            half_even(mean(value), 2).alias("avg_benefit_value"),
+            cost.alias("total_benefit_cost"),
         )
-        .withColumn("bennies_profit_impact", F.col("total_bennies_value") - F.col("total_bennies_cost"))
+        .withColumn("benefit_profit_impact", F.col("total_benefit_value") - F.col("total_benefit_cost"))
     )
 
 
@@ -77,8 +77,8 @@ def benefit_ytd(
 def benefit_ytd_from(summary: DataFrame) -> DataFrame:
     """BEN-1 from a benefit year summary."""
     return summary.where(F.col("benefit_lines") > 0).select(
-        "year", "total_bennies_value", "bennies_count", "avg_bennie_value", "total_bennies_cost",
-        "bennies_profit_impact",
+        "year", "total_benefit_value", "benefit_count", "avg_benefit_value", "total_benefit_cost",
+        "benefit_profit_impact",
     )
 
 
@@ -89,8 +89,8 @@ def benefit_monthly(df: DataFrame, pattern: str = K.BENEFIT_PATTERN, roles: Colu
     return (
         df.where(d.isNotNull() & is_benefit(r.subcategory, pattern))
         .groupBy(F.year(d).alias("year"), F.month(d).alias("month"))
-        .agg(money_sum(r.price).alias("bennies_value"))
-        .select("year", "month", month_label("year", "month").alias("year_month"), "bennies_value")
+        .agg(money_sum(r.price).alias("benefit_value"))
+        .select("year", "month", month_label("year", "month").alias("year_month"), "benefit_value")
     )
 
 
@@ -102,7 +102,7 @@ def _two_from(summary: DataFrame) -> DataFrame:
     """Latest and previous benefit year of the YTD summary, one row."""
     years = summary.where(F.col("benefit_lines") > 0)
     return latest_two_years(
-        years, ["total_bennies_value", "bennies_count", "bennies_profit_impact", "total_revenue"]
+        years, ["total_benefit_value", "benefit_count", "benefit_profit_impact", "total_revenue"]
     )
 
 
@@ -110,9 +110,9 @@ def _changes(two: DataFrame) -> DataFrame:
     return two.select(
         "prev_year",
         "cur_year",
-        (F.col("cur_total_bennies_value") - F.col("prev_total_bennies_value")).alias("value_change"),
-        (F.col("cur_bennies_count") - F.col("prev_bennies_count")).alias("count_change"),
-        (F.col("cur_bennies_profit_impact") - F.col("prev_bennies_profit_impact")).alias("profit_impact_change"),
+        (F.col("cur_total_benefit_value") - F.col("prev_total_benefit_value")).alias("value_change"),
+        (F.col("cur_benefit_count") - F.col("prev_benefit_count")).alias("count_change"),
+        (F.col("cur_benefit_profit_impact") - F.col("prev_benefit_profit_impact")).alias("profit_impact_change"),
         F.col("cur_total_revenue"),
     ).select(
         "*",
@@ -166,8 +166,8 @@ def benefit_revenue_share_from(summary: DataFrame) -> DataFrame:
         "cur_year",
         F.col("prev_total_revenue").alias("total_revenue_previous"),
         F.col("cur_total_revenue").alias("total_revenue_current"),
-        percent_or_zero("prev_total_bennies_value", "prev_total_revenue").alias("share_previous"),
-        (ratio("cur_total_bennies_value", "cur_total_revenue") * 100.0).alias("share_current"),
+        percent_or_zero("prev_total_benefit_value", "prev_total_revenue").alias("share_previous"),
+        (ratio("cur_total_benefit_value", "cur_total_revenue") * 100.0).alias("share_current"),
     )
 
 
@@ -190,9 +190,9 @@ def benefit_penetration(
         b = is_benefit(r.subcategory, pattern)
         out = ytd.groupBy(F.year(r.date).alias("year")).agg(
             F.approx_count_distinct(r.invoice).alias("total_invoices"),
-            F.approx_count_distinct(F.when(b, F.col(r.invoice))).alias("bennies_invoices"),
+            F.approx_count_distinct(F.when(b, F.col(r.invoice))).alias("benefit_invoices"),
         )
-        return out.withColumn("penetration_rate", percent_or_zero("bennies_invoices", "total_invoices"))
+        return out.withColumn("penetration_rate", percent_or_zero("benefit_invoices", "total_invoices"))
     per_invoice = ytd.groupBy(F.year(r.date).alias("year"), F.col(r.invoice).alias("inv")).agg(
         F.max(is_benefit(r.subcategory, pattern).cast("int")).alias("b")
     )
@@ -201,10 +201,10 @@ def benefit_penetration(
         .agg(
             F.count("inv").alias("total_invoices"),
             F.coalesce(F.sum(F.when(F.col("inv").isNotNull(), F.col("b"))), F.lit(0)).cast("bigint").alias(
-                "bennies_invoices"
+                "benefit_invoices"
             ),
         )
-        .withColumn("penetration_rate", percent_or_zero("bennies_invoices", "total_invoices"))
+        .withColumn("penetration_rate", percent_or_zero("benefit_invoices", "total_invoices"))
     )
 
 
@@ -212,15 +212,15 @@ def penetration_changes(
     df: DataFrame, pattern: str = K.BENEFIT_PATTERN, as_of=None, roles: ColumnRoles | None = None
 ) -> DataFrame:
     """YOY-7: penetration rate change (pp) and benefit-invoice change."""
-    two = latest_two_years(benefit_penetration(df, pattern, as_of, roles), ["penetration_rate", "bennies_invoices"])
+    two = latest_two_years(benefit_penetration(df, pattern, as_of, roles), ["penetration_rate", "benefit_invoices"])
     return two.select(
         "prev_year",
         "cur_year",
         F.col("cur_penetration_rate").alias("current_rate"),
         F.col("prev_penetration_rate").alias("previous_rate"),
         (F.col("cur_penetration_rate") - F.col("prev_penetration_rate")).alias("rate_change"),
-        F.col("cur_bennies_invoices").alias("current_bennies_invoices"),
-        (F.col("cur_bennies_invoices") - F.col("prev_bennies_invoices")).alias("invoices_change"),
+        F.col("cur_benefit_invoices").alias("current_benefit_invoices"),
+        (F.col("cur_benefit_invoices") - F.col("prev_benefit_invoices")).alias("invoices_change"),
     )
 
 
@@ -259,10 +259,10 @@ def category_with_benefit(
     )
     hit = per_invoice.join(benefit_invoices(df, pattern, r), F.col("inv") == F.col("__inv"), "left_semi")
     return hit.groupBy("year").agg(
-        half_even(money_sum("s"), 2).alias("food_value_with_bennies"),
-        F.coalesce(F.sum("c"), F.lit(0)).cast("bigint").alias("food_items_count"),
-        half_even(F.try_divide(F.sum("s").cast("double"), F.sum("c").cast("double")), 2).alias("avg_food_item_value"),
-        F.count("inv").alias("food_invoices_with_bennies"),
+        half_even(money_sum("s"), 2).alias("category_value_with_benefit"),
+        F.coalesce(F.sum("c"), F.lit(0)).cast("bigint").alias("category_items_count"),
+        half_even(F.try_divide(F.sum("s").cast("double"), F.sum("c").cast("double")), 2).alias("avg_category_item_value"),
+        F.count("inv").alias("category_invoices_with_benefit"),
     )
 
 
@@ -276,7 +276,7 @@ def category_ytd(
         F.sum(r.price).alias("s")
     )
     return per_invoice.groupBy("year").agg(
-        F.count("inv").alias("total_food_invoices"), money_sum("s").alias("total_food_sales")
+        F.count("inv").alias("total_category_invoices"), money_sum("s").alias("total_category_sales")
     )
 
 
@@ -304,13 +304,13 @@ def category_benefit_penetration(
     return (
         flagged.groupBy("year")
         .agg(
-            F.count("inv").alias("total_food_invoices"),
+            F.count("inv").alias("total_category_invoices"),
             F.coalesce(F.sum(F.when(F.col("inv").isNotNull(), F.col("hb"))), F.lit(0)).cast("bigint").alias(
-                "food_invoices_with_bennies"
+                "category_invoices_with_benefit"
             ),
         )
-        .where(F.col("food_invoices_with_bennies") > 0)
-        .withColumn("food_penetration", percent_or_zero("food_invoices_with_bennies", "total_food_invoices"))
+        .where(F.col("category_invoices_with_benefit") > 0)
+        .withColumn("category_penetration", percent_or_zero("category_invoices_with_benefit", "total_category_invoices"))
     )
 
 
@@ -322,11 +322,11 @@ def category_penetration_change(
     roles: ColumnRoles | None = None,
 ) -> DataFrame:
     """YOY-8: change (pp) of the category benefit penetration, latest vs. previous year."""
-    two = latest_two_years(category_benefit_penetration(df, category, pattern, as_of, roles), ["food_penetration"])
+    two = latest_two_years(category_benefit_penetration(df, category, pattern, as_of, roles), ["category_penetration"])
     return two.select(
         "prev_year",
         "cur_year",
-        F.col("cur_food_penetration").alias("current_rate"),
-        F.col("prev_food_penetration").alias("previous_rate"),
-        (F.col("cur_food_penetration") - F.col("prev_food_penetration")).alias("penetration_change"),
+        F.col("cur_category_penetration").alias("current_rate"),
+        F.col("prev_category_penetration").alias("previous_rate"),
+        (F.col("cur_category_penetration") - F.col("prev_category_penetration")).alias("penetration_change"),
     )

@@ -213,12 +213,12 @@ def benefit_year_summary_from_cube(cube: DataFrame, as_of=None) -> DataFrame:
         .agg(
             half_even(_zsum("ps").cast("double"), 2).alias("total_revenue"),
             _zsum("bl").alias("benefit_lines"),
-            half_even(_zsum("bs").cast("double"), 2).alias("total_bennies_value"),
-            _zsum("bn").alias("bennies_count"),
-            half_even(_mean("bs", "bn"), 2).alias("avg_bennie_value"),
-            half_even(_zsum("bc").cast("double"), 2).alias("total_bennies_cost"),
+            half_even(_zsum("bs").cast("double"), 2).alias("total_benefit_value"),
+            _zsum("bn").alias("benefit_count"),
+            half_even(_mean("bs", "bn"), 2).alias("avg_benefit_value"),
+            half_even(_zsum("bc").cast("double"), 2).alias("total_benefit_cost"),
         )
-        .withColumn("bennies_profit_impact", F.col("total_bennies_value") - F.col("total_bennies_cost"))
+        .withColumn("benefit_profit_impact", F.col("total_benefit_value") - F.col("total_benefit_cost"))
     )
 
 
@@ -227,9 +227,9 @@ def benefit_monthly_from_cube(cube: DataFrame) -> DataFrame:
     return (
         _dated(cube)
         .groupBy(F.year("day").alias("year"), F.month("day").alias("month"))
-        .agg(_zsum("bl").alias("lines"), _zsum("bs").cast("double").alias("bennies_value"))
+        .agg(_zsum("bl").alias("lines"), _zsum("bs").cast("double").alias("benefit_value"))
         .where(F.col("lines") > 0)
-        .select("year", "month", month_label("year", "month").alias("year_month"), "bennies_value")
+        .select("year", "month", month_label("year", "month").alias("year_month"), "benefit_value")
     )
 
 

@@ -366,32 +366,32 @@ _reg(
 
 # ---------------------------------------------------------------------------
 # member benefits
-BEN_YTD = f"""SELECT year, tbv AS total_bennies_value, bennies_count, avg_bennie_value,
-       tbc AS total_bennies_cost, tbv - tbc AS bennies_profit_impact
-FROM (SELECT {YEAR} AS year, round_even({MSUM}, 2) AS tbv, count({PRICE}) AS bennies_count,
-             round_even({MEAN}, 2) AS avg_bennie_value, round_even({CSUM}, 2) AS tbc
+BEN_YTD = f"""SELECT year, tbv AS total_benefit_value, benefit_count, avg_benefit_value,
+       tbc AS total_benefit_cost, tbv - tbc AS benefit_profit_impact
+FROM (SELECT {YEAR} AS year, round_even({MSUM}, 2) AS tbv, count({PRICE}) AS benefit_count,
+             round_even({MEAN}, 2) AS avg_benefit_value, round_even({CSUM}, 2) AS tbc
       FROM purchases WHERE {YTD} AND {ISBEN} GROUP BY 1)"""
 _reg("benefit_ytd", BEN_YTD)
 _reg(
     "benefit_monthly",
     f"""SELECT {YEAR} AS year, cast(month(purchase_date) AS INTEGER) AS month,
-       strftime(purchase_date, '%Y-%m') AS year_month, {MSUM} AS bennies_value
+       strftime(purchase_date, '%Y-%m') AS year_month, {MSUM} AS benefit_value
 FROM purchases WHERE purchase_date IS NOT NULL AND {ISBEN} GROUP BY 1, 2, 3""",
 )
 BEN_CHANGES = f"""WITH b AS ({BEN_YTD})
 SELECT two.prev_year, two.cur_year,
-       c.total_bennies_value - p.total_bennies_value AS value_change,
-       c.bennies_count - p.bennies_count AS count_change,
-       c.bennies_profit_impact - p.bennies_profit_impact AS profit_impact_change,
-       abs(c.total_bennies_value - p.total_bennies_value) AS abs_value_change,
-       CASE WHEN c.total_bennies_value - p.total_bennies_value < 0 THEN 'more' ELSE 'less' END AS direction
+       c.total_benefit_value - p.total_benefit_value AS value_change,
+       c.benefit_count - p.benefit_count AS count_change,
+       c.benefit_profit_impact - p.benefit_profit_impact AS profit_impact_change,
+       abs(c.total_benefit_value - p.total_benefit_value) AS abs_value_change,
+       CASE WHEN c.total_benefit_value - p.total_benefit_value < 0 THEN 'more' ELSE 'less' END AS direction
 FROM {latest_two('b')}"""
 _reg("benefit_changes", BEN_CHANGES)
 BEN_SHARE = f"""WITH b AS ({BEN_YTD}), ym AS ({YTD_METRICS}),
 two AS (SELECT max(year) AS cur_year, min(year) AS prev_year, count(*) AS n FROM (SELECT year FROM b ORDER BY year DESC LIMIT 2)),
 s AS (SELECT two.prev_year, two.cur_year, coalesce(yp.total_revenue, 0.0) AS total_revenue_previous,
              coalesce(yc.total_revenue, 0.0) AS total_revenue_current,
-             bp.total_bennies_value AS pv, bc.total_bennies_value AS cv
+             bp.total_benefit_value AS pv, bc.total_benefit_value AS cv
       FROM two JOIN b bc ON bc.year = two.cur_year JOIN b bp ON bp.year = two.prev_year
       LEFT JOIN ym yc ON yc.year = two.cur_year LEFT JOIN ym yp ON yp.year = two.prev_year
       WHERE two.n = 2)
@@ -441,7 +441,7 @@ SELECT 'benefits' AS section,
 FROM st WHERE n = 0""",
     )
 PEN = f"""SELECT {YEAR} AS year, count(DISTINCT invoice_id) AS total_invoices,
-       count(DISTINCT CASE WHEN {ISBEN} THEN invoice_id END) AS bennies_invoices,
+       count(DISTINCT CASE WHEN {ISBEN} THEN invoice_id END) AS benefit_invoices,
        CASE WHEN count(DISTINCT invoice_id) > 0
             THEN cast(count(DISTINCT CASE WHEN {ISBEN} THEN invoice_id END) AS DOUBLE) / count(DISTINCT invoice_id) * 100.0
             ELSE 0.0 END AS penetration_rate
@@ -450,8 +450,8 @@ _reg("benefit_penetration", PEN)
 _reg("benefit_penetration_nulls", PEN, nulls=True)
 PEN_CHANGES = f"""WITH pe AS ({PEN})
 SELECT two.prev_year, two.cur_year, c.penetration_rate AS current_rate, p.penetration_rate AS previous_rate,
-       c.penetration_rate - p.penetration_rate AS rate_change, c.bennies_invoices AS current_bennies_invoices,
-       c.bennies_invoices - p.bennies_invoices AS invoices_change
+       c.penetration_rate - p.penetration_rate AS rate_change, c.benefit_invoices AS current_benefit_invoices,
+       c.benefit_invoices - p.benefit_invoices AS invoices_change
 FROM {latest_two('pe')}"""
 _reg("penetration_changes", PEN_CHANGES)
 _reg(
@@ -476,26 +476,26 @@ CAT_LINES = f"{YTD} AND disp_category = 'STANDARD'"
 BEN_INV = f"(SELECT invoice_id FROM purchases WHERE {ISBEN} AND invoice_id IS NOT NULL)"
 _reg(
     "category_with_benefit",
-    f"""SELECT {YEAR} AS year, round_even({MSUM}, 2) AS food_value_with_bennies, count({PRICE}) AS food_items_count,
-       round_even({MEAN}, 2) AS avg_food_item_value, count(DISTINCT invoice_id) AS food_invoices_with_bennies
+    f"""SELECT {YEAR} AS year, round_even({MSUM}, 2) AS category_value_with_benefit, count({PRICE}) AS category_items_count,
+       round_even({MEAN}, 2) AS avg_category_item_value, count(DISTINCT invoice_id) AS category_invoices_with_benefit
 FROM purchases WHERE {CAT_LINES} AND invoice_id IN {BEN_INV} GROUP BY 1""",
 )
 _reg(
     "category_ytd",
-    f"""SELECT {YEAR} AS year, count(DISTINCT invoice_id) AS total_food_invoices, {MSUM} AS total_food_sales
+    f"""SELECT {YEAR} AS year, count(DISTINCT invoice_id) AS total_category_invoices, {MSUM} AS total_category_sales
 FROM purchases WHERE {CAT_LINES} GROUP BY 1""",
 )
-CAT_PEN = f"""SELECT {YEAR} AS year, count(DISTINCT invoice_id) AS total_food_invoices,
-       count(DISTINCT CASE WHEN invoice_id IN {BEN_INV} THEN invoice_id END) AS food_invoices_with_bennies,
+CAT_PEN = f"""SELECT {YEAR} AS year, count(DISTINCT invoice_id) AS total_category_invoices,
+       count(DISTINCT CASE WHEN invoice_id IN {BEN_INV} THEN invoice_id END) AS category_invoices_with_benefit,
        CASE WHEN count(DISTINCT invoice_id) > 0
             THEN cast(count(DISTINCT CASE WHEN invoice_id IN {BEN_INV} THEN invoice_id END) AS DOUBLE) / count(DISTINCT invoice_id) * 100.0
-            ELSE 0.0 END AS food_penetration
+            ELSE 0.0 END AS category_penetration
 FROM purchases WHERE {CAT_LINES} GROUP BY 1
 HAVING count(DISTINCT CASE WHEN invoice_id IN {BEN_INV} THEN invoice_id END) > 0"""
 _reg("category_benefit_penetration", CAT_PEN)
 CAT_PEN_CHANGE = f"""WITH cp AS ({CAT_PEN})
-SELECT two.prev_year, two.cur_year, c.food_penetration AS current_rate, p.food_penetration AS previous_rate,
-       c.food_penetration - p.food_penetration AS penetration_change
+SELECT two.prev_year, two.cur_year, c.category_penetration AS current_rate, p.category_penetration AS previous_rate,
+       c.category_penetration - p.category_penetration AS penetration_change
 FROM {latest_two('cp')}"""
 _reg("category_penetration_change", CAT_PEN_CHANGE)
 _reg(

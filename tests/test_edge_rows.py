@@ -134,7 +134,7 @@ def test_single_year(spark):
     assert yoy.yoy_quarterly(df).count() == 0
     assert ben.benefit_changes(df).count() == 0
     b = ben.benefit_ytd(df).collect()
-    assert len(b) == 1 and b[0]["total_bennies_value"] == -5.0
+    assert len(b) == 1 and b[0]["total_benefit_value"] == -5.0
 
 
 def test_leap_day_as_of(spark):

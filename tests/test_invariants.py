@@ -30,7 +30,7 @@ def test_rollup_sums_equal_total(p):
 def test_penetration_bounded(p):
     for r in ben.benefit_penetration(p, PAT).collect():
         assert 0 <= r["penetration_rate"] <= 100
-        assert r["bennies_invoices"] <= r["total_invoices"]
+        assert r["benefit_invoices"] <= r["total_invoices"]
 
 
 def test_filters_commute(p):
@@ -57,8 +57,8 @@ def test_category_penetration_consistent(p):
     tot = {r["year"]: r for r in ben.category_ytd(p, CAT).collect()}
     assert set(pen) == set(withb)
     for y, r in pen.items():
-        assert r["food_invoices_with_bennies"] == withb[y]["food_invoices_with_bennies"]
-        assert r["total_food_invoices"] == tot[y]["total_food_invoices"]
+        assert r["category_invoices_with_benefit"] == withb[y]["category_invoices_with_benefit"]
+        assert r["total_category_invoices"] == tot[y]["total_category_invoices"]
 
 
 def test_approx_modes_close_to_exact(p):
