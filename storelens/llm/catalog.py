@@ -55,7 +55,7 @@ def op6_edit_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_vertical_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+    return jaccard_components(table(spark, sf_dir, "documents"), words=4, percent=85).select("doc_id", "n_shingles", "component_id")
 
 
 def op8_nnls_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
