@@ -61,10 +61,15 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, broadcast_
     own = F.col("p") == 0
     d = d.withColumn("wh", F.when(own, F.col("_th")).otherwise(F.xxhash64(F.slice("hs", F.greatest(F.col("p"), F.lit(1)), F.col("k")))))
     d = d.withColumn("k", F.when(own, 0).otherwise(F.col("k")))
-    g = small(grams.select("wh", F.col("k").alias("k"), "gram", "items"), broadcast_windows)
-    found = d.select("doc_id", "_th", "n_words", "p", "k", "wh", "ws").join(g, ["wh", "k"], "left")
-    real = F.col("gram").isNotNull() & (F.slice("ws", F.greatest(F.col("p"), F.lit(1)), F.col("k")) == F.col("gram"))
-    found = found.where((F.col("p") == 0) | real)
+    g, words = grams.select("wh", "k", "gram", "items"), F.slice("ws", F.greatest(F.col("p"), F.lit(1)), F.col("k"))
+    if grams.count() <= broadcast_windows:
+        # The set goes to the documents; only hits have their words cut out.
+        found = d.select("doc_id", "_th", "n_words", "p", "k", "wh", "ws").join(F.broadcast(g), ["wh", "k"], "left")
+    else:
+        # Windows go to the set, each with its own words instead of the document's.
+        found = d.select("doc_id", "_th", "n_words", "p", "k", "wh", words.alias("dw")).join(g, ["wh", "k"], "left")
+        words = F.col("dw")
+    found = found.where((F.col("p") == 0) | (F.col("gram").isNotNull() & (words == F.col("gram"))))
     return found.groupBy("doc_id", "_th").agg(
         F.max("n_words").alias("n_words"),
         F.count(F.when(F.col("p") == 0, 1)).alias("copies"),
