@@ -24,8 +24,6 @@ from ..functions.exprs import (
     is_benefit,
     month_day_key,
     month_label,
-    percent,
-    quarter_label,
     ratio,
     week_ending,
     weekday_label,
@@ -98,34 +96,14 @@ def _period(cube: DataFrame, keys) -> DataFrame:
     )
 
 
-def _profit_cols(*keys: str):
-    return [
-        *keys,
-        F.col("rev").cast("double").alias("revenue"),
-        F.col("cst").cast("double").alias("cost"),
-        (F.col("rev") - F.col("cst")).cast("double").alias("profit"),
-    ]
-
-
 def monthly_profit_from_cube(cube: DataFrame) -> DataFrame:
-    keys = [F.year("day").alias("year"), F.month("day").alias("month")]
-    return (
-        _period(cube, keys)
-        .where(F.col("rev") > 0)
-        .withColumn("year_month", month_label("year", "month"))
-        .select(*_profit_cols("year", "month", "year_month"))
-        .withColumn("profit_margin", percent("profit", "revenue", 2))
-    )
+    months = _period(cube, [F.year("day").alias("year"), F.month("day").alias("month")])
+    return ru.month_rows(months)
 
 
 def quarterly_profit_from_cube(cube: DataFrame) -> DataFrame:
-    keys = [F.year("day").alias("year"), F.quarter("day").alias("quarter")]
-    return (
-        _period(cube, keys)
-        .withColumn("year_quarter", quarter_label("year", "quarter"))
-        .select(*_profit_cols("year", "quarter", "year_quarter"))
-        .withColumn("profit_margin", percent("profit", "revenue", 2))
-    )
+    quarters = _period(cube, [F.year("day").alias("year"), F.quarter("day").alias("quarter")])
+    return ru.quarter_rows(quarters)
 
 
 def _hours(cube: DataFrame) -> DataFrame:
@@ -194,11 +172,7 @@ def ytd_metrics_from_cube(cube: DataFrame, as_of=None) -> DataFrame:
             half_even(_zsum("cs").cast("double"), 2).alias("total_cost"),
             half_even(_mean("cs", "cn"), 2).alias("avg_unit_cost"),
         )
-        .withColumn("total_profit", F.col("total_revenue") - F.col("total_cost"))
-        .withColumn("profit_margin", percent("total_profit", "total_revenue", 2))
-        .withColumn(
-            "avg_profit_per_sale", half_even(F.try_divide("total_profit", F.col("transaction_count").cast("double")), 2)
-        )
+        .transform(yoy.with_ytd_profit)
     )
 
 

@@ -161,45 +161,44 @@ def profit_by_subcategory(df: DataFrame, n: int | None = None, roles: ColumnRole
     return out.limit(n) if n is not None else out
 
 
-def monthly_profit(df: DataFrame, roles: ColumnRoles | None = None) -> DataFrame:
-    """MON-1: revenue, cost, profit, margin (2 digits) per month; months with revenue > 0."""
-    r = roles_of(df, roles, "date", "price", "cost")
-    d = F.col(r.date)
+def _by_period(df: DataFrame, r: ColumnRoles, *keys) -> DataFrame:
     return (
-        df.where(d.isNotNull())
-        .groupBy(F.year(d).alias("year"), F.month(d).alias("month"))
+        df.where(F.col(r.date).isNotNull())
+        .groupBy(*keys)
         .agg(F.coalesce(F.sum(r.price), F.lit(0)).alias("rev"), F.coalesce(F.sum(r.cost), F.lit(0)).alias("cst"))
-        .where(F.col("rev") > 0)
-        .select(
-            "year",
-            "month",
-            month_label("year", "month").alias("year_month"),
-            F.col("rev").cast("double").alias("revenue"),
-            F.col("cst").cast("double").alias("cost"),
-            (F.col("rev") - F.col("cst")).cast("double").alias("profit"),
-        )
-        .withColumn("profit_margin", percent("profit", "revenue", 2))
     )
 
 
+def _profit_rows(sums: DataFrame, *keys) -> DataFrame:
+    """Revenue, cost, profit and margin (2 digits) of ``(keys, rev, cst)`` rows."""
+    return sums.select(
+        *keys,
+        F.col("rev").cast("double").alias("revenue"),
+        F.col("cst").cast("double").alias("cost"),
+        (F.col("rev") - F.col("cst")).cast("double").alias("profit"),
+    ).withColumn("profit_margin", percent("profit", "revenue", 2))
+
+
+def month_rows(sums: DataFrame) -> DataFrame:
+    """MON-1 from ``(year, month, rev, cst)`` rows."""
+    return _profit_rows(sums.where(F.col("rev") > 0), "year", "month", month_label("year", "month").alias("year_month"))
+
+
+def quarter_rows(sums: DataFrame) -> DataFrame:
+    """QTR-1 from ``(year, quarter, rev, cst)`` rows."""
+    return _profit_rows(sums, "year", "quarter", quarter_label("year", "quarter").alias("year_quarter"))
+
+
+def monthly_profit(df: DataFrame, roles: ColumnRoles | None = None) -> DataFrame:
+    """MON-1: revenue, cost, profit, margin (2 digits) per month; months with revenue > 0."""
+    r = roles_of(df, roles, "date", "price", "cost")
+    return month_rows(_by_period(df, r, F.year(r.date).alias("year"), F.month(r.date).alias("month")))
+
+
 def quarterly_profit(df: DataFrame, roles: ColumnRoles | None = None) -> DataFrame:
     """QTR-1: the same per quarter, without the revenue filter."""
     r = roles_of(df, roles, "date", "price", "cost")
-    d = F.col(r.date)
-    return (
-        df.where(d.isNotNull())
-        .groupBy(F.year(d).alias("year"), F.quarter(d).alias("quarter"))
-        .agg(F.coalesce(F.sum(r.price), F.lit(0)).alias("rev"), F.coalesce(F.sum(r.cost), F.lit(0)).alias("cst"))
-        .select(
-            "year",
-            "quarter",
-            quarter_label("year", "quarter").alias("year_quarter"),
-            F.col("rev").cast("double").alias("revenue"),
-            F.col("cst").cast("double").alias("cost"),
-            (F.col("rev") - F.col("cst")).cast("double").alias("profit"),
-        )
-        .withColumn("profit_margin", percent("profit", "revenue", 2))
-    )
+    return quarter_rows(_by_period(df, r, F.year(r.date).alias("year"), F.quarter(r.date).alias("quarter")))
 
 
 def subcategory_sales(

@@ -45,7 +45,14 @@ def ytd_metrics(df: DataFrame, as_of=None, roles: ColumnRoles | None = None) ->
             half_even(money_sum(r.cost), 2).alias("total_cost"),
             half_even(mean(r.cost), 2).alias("avg_unit_cost"),
         )
-        .withColumn("total_profit", F.col("total_revenue") - F.col("total_cost"))
+        .transform(with_ytd_profit)
+    )
+
+
+def with_ytd_profit(metrics: DataFrame) -> DataFrame:
+    """Profit, margin and profit per sale from the rounded YTD totals."""
+    return (
+        metrics.withColumn("total_profit", F.col("total_revenue") - F.col("total_cost"))
         .withColumn("profit_margin", percent("total_profit", "total_revenue", 2))
         .withColumn(
             "avg_profit_per_sale", half_even(F.try_divide("total_profit", F.col("transaction_count").cast("double")), 2)
