@@ -8,6 +8,7 @@ of words roll the same way over the word hashes.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -111,6 +112,17 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iter
         hi = max(lo + 1, int(np.searchsorted(off, off[lo] + limit, side="right")) - 1)
         yield lo, hi, data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]
         lo = hi
+    give_back()
+
+
+def give_back() -> None:
+    """Returns a worker's freed memory to the system; it may idle while the
+    executor's JVM works on a join of its output."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not on this platform
+        pass
 
 
 def per_doc(flags: np.ndarray, offsets: np.ndarray) -> np.ndarray:

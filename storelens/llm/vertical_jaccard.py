@@ -251,7 +251,8 @@ def class_links(docs: DataFrame, sets: DataFrame, common: Broadcast, words: int
     classes = written(sets.where(F.col("n") >= _least_size(percent)).groupBy("cid").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("counts").alias("counts")), "classes")
     entries = classes.select("cid", "n", F.posexplode("prefix").alias("pos", "token"))
     counts = entries.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
-    entries = written(entries.join(counts, "token").select("token", "cid", "n", "pos", "c"), "shared-prefixes")
+    # The counts are the smaller side and already dealt by token: hashing them spares sorting the entries.
+    entries = written(entries.join(counts.hint("shuffle_hash"), "token").select("token", "cid", "n", "pos", "c"), "shared-prefixes")
     large = written(entries.where(F.col("c") > SMALL).select("cid").distinct().withColumn("hot", F.lit(True)), "classes-of-large-groups")
 
     few = entries.where(F.col("c") <= SMALL).join(small(large), "cid", "left")
