@@ -102,9 +102,12 @@ class _Document:
         hi = lo + len(self.text[p:q].encode())
         self.text = self.text[:p] + insert + self.text[q:]
         self.raw = self.raw[:lo] + new + self.raw[hi:]
-        last = self.n_leaves() - 1
-        i, j = max(0, _leaf_at(self.bytes, lo)[0] - 1), min(last, _leaf_at(self.bytes, hi)[0] + 1)
         size = len(self.bytes) // 2
+        # A large deletion leaves empty leaves, which are no context: the nearest that hold bytes are.
+        i, first = _leaf_at(self.bytes, lo)
+        i = _leaf_at(self.bytes, first - 1)[0] if first else i
+        j, first = _leaf_at(self.bytes, hi)
+        j = _leaf_at(self.bytes, first + int(self.bytes[size + j]))[0]
         self._from, self._leaves = i, j - i + 1
         self._start = int(self.bytes[size : size + i].sum())
         end = self._start + int(self.bytes[size + i : size + j + 1].sum()) + len(new) - (hi - lo)

@@ -94,6 +94,20 @@ def test_edits_keep_exact_counts():
             assert d.text == want and d.tokens[1] == count(want) and d.bytes[1] == len(want.encode())
 
 
+def test_inserts_beside_a_large_deletion_keep_exact_counts():
+    enc, count = Encoder(Vocabulary.load(tokenizer_path("word_bpe_49k.json"), WORD_PIECES)), count_all()
+    text = "hous, " * 2_000  # two pieces each; "house" is one token
+    raw = np.frombuffer(text.encode(), np.uint8)
+    (a, b), = ec._build(enc, raw, np.array([0, len(raw)]))
+    left = text[:3000] + text[9000:]
+    starts = [p for p in range(2800, 3200) if left[p] in "h,"]
+    docs = [ec._Document(text, a.copy(), b.copy()) for _ in starts]
+    ec._apply(enc, docs, [[{"pos": 3000, "del": 6000, "ins": ""}, {"pos": p, "del": 0, "ins": "e"}] for p in starts])
+    want = [left[:p] + "e" + left[p:] for p in starts]
+    assert [d.text for d in docs] == want
+    assert [int(d.tokens[1]) for d in docs] == [count(t) for t in want]
+
+
 def test_a_small_edit_of_a_long_text_encodes_little():
     enc = Encoder(Vocabulary.load(tokenizer_path("word_bpe_49k.json"), WORD_PIECES))
     raw = ec.np.frombuffer(("some words of a text " * 20_000).encode(), np.uint8)
