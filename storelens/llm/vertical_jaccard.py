@@ -10,11 +10,11 @@ threshold.
 Candidates, none lost:
 
 * equal sets are one class; only classes are paired.
-* linked sets share ``SHARED`` n-grams within the first n - ceil(t n) + SHARED
-  ones of each, and the position of the first n-gram they share bounds their
+* linked sets share ``SHARED`` n-grams (or their least possible overlap, if that
+  is less) within the first n - ceil(t n) + SHARED ones of each, and the position of the first n-gram they share bounds their
   overlap, which rules most others out.
 * n-grams in at most ``SMALL`` prefixes give their pairs directly, counted per
-  pair; a pair that shares fewer than ``SHARED`` of those stays a candidate only
+  pair; a pair that shares fewer of those stays a candidate only
   if both classes also have an n-gram of a larger group.
 * every pair is held against counts of each set's n-grams in ``COUNTS`` narrower
   fragments: the summed differences bound the overlap from above, exactly, so
@@ -51,7 +51,7 @@ WORDS = 5
 PERCENT = 80
 FRAGMENTS = 4
 COUNTS = 256
-#: N-grams that a pair shares within its prefixes at least.
+#: N-grams that a pair shares within its prefixes at least (small sets: see _shared).
 SHARED = 3
 #: Groups up to this size are paired directly.
 SMALL = 32
@@ -123,9 +123,14 @@ def _needed(n, percent: int):
     return (percent * n + 99) // 100
 
 
+def _shared(na: Column, nb: Column, percent: int) -> Column:
+    """N-grams that linked sets of these sizes share within their prefixes at least."""
+    return F.least(F.lit(SHARED), F.ceil(F.greatest(na, nb) * percent / 100).cast("int"))
+
+
 def _least_size(percent: int) -> int:
     """Smaller sets differ by too much from any other set."""
-    return max(SHARED, -(-percent // (100 - percent)))
+    return max(1, -(-percent // (100 - percent)))
 
 
 def _lists(values: np.ndarray, start: np.ndarray, size: np.ndarray) -> pa.Array:
@@ -198,11 +203,12 @@ def _pair(a: Column, b: Column) -> list[Column]:
 
 def _group_pairs(entries: DataFrame, percent: int) -> DataFrame:
     """Pairs within the (small) groups of each token, with repeats: a, b, hot
-    (both belong to a large group too), fit (sizes and positions allow a link)."""
+    (both belong to a large group too), fit (sizes and positions allow a link),
+    least (n-grams that they have to share)."""
     groups = entries.groupBy("token").agg(F.collect_list(F.struct("cid", "n", "pos", F.coalesce("hot", F.lit(False)).alias("hot"))).alias("m"))
     one = groups.select("m", F.explode("m").alias("x")).select("x", F.explode(F.filter("m", lambda y: (y["cid"] > F.col("x.cid")) & _sizes_fit(F.col("x.n"), y["n"], percent))).alias("y"))
     fit = _can_reach(F.col("x.n"), F.col("x.pos"), F.col("y.n"), F.col("y.pos"), percent)
-    return one.select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b"), (F.col("x.hot") & F.col("y.hot")).alias("hot"), fit.alias("fit"))
+    return one.select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b"), (F.col("x.hot") & F.col("y.hot")).alias("hot"), fit.alias("fit"), _shared(F.col("x.n"), F.col("y.n"), percent).alias("least"))
 
 
 def _possible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -258,8 +264,8 @@ def class_links(docs: DataFrame, sets: DataFrame, common: Broadcast, words: int
     few = entries.where(F.col("c") <= SMALL).join(small(large), "cid", "left")
     # Later shared n-grams count too: they may stand SHARED - 1 places behind the first.
     few = _group_pairs(few, percent)
-    few = few.groupBy("a", "b").agg(F.count(F.lit(1)).alias("k"), F.max("hot").alias("hot"), F.max("fit").alias("fit"))
-    few = few.where(F.col("fit") & ((F.col("k") >= SHARED) | F.col("hot"))).select("a", "b")
+    few = few.groupBy("a", "b").agg(F.count(F.lit(1)).alias("k"), F.max("hot").alias("hot"), F.max("fit").alias("fit"), F.max("least").alias("least"))
+    few = few.where(F.col("fit") & ((F.col("k") >= F.col("least")) | F.col("hot"))).select("a", "b")
     big = entries.where(F.col("c") > SMALL).drop("c")
     best = big.groupBy("token").agg(F.min(F.struct("pos", "cid", "n")).alias("best"))
     fits = _sizes_fit(F.col("best.n"), F.col("n"), percent) & _can_reach(F.col("best.n"), F.col("best.pos"), F.col("n"), F.col("pos"), percent)

@@ -68,6 +68,16 @@ def test_planted_families(spark, seed, words, percent):
     check(spark.createDataFrame(family(seed), "doc_id bigint, text string").repartition(4), words, percent)
 
 
+@pytest.mark.parametrize("percent", [40, 50, 60, 66, 67])
+def test_small_sets_at_low_thresholds(spark, percent):
+    r = random.Random(percent)
+    rows = []
+    for group in range(40):  # texts of one to six words, of the group's own
+        words = [f"{w}{group}" for w in "abcdef"]
+        rows += [(len(rows) + k, " ".join(words[: r.randint(1, 6)])) for k in range(2)]
+    check(spark.createDataFrame(rows, "doc_id bigint, text string"), 1, percent)
+
+
 def test_documents(docs):
     check(docs, 4, 85)
 
