@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import SF_SMALL
+from storelens.plans.catalog import QUERIES
 from storelens.sources import publish, readers
 from storelens.sources.star import purchases
 
@@ -159,3 +160,14 @@ def test_diff(spark):
     a = spark.createDataFrame([(1, "x"), (1, "x"), (2, "y")], "k int, v string")
     b = spark.createDataFrame([("x", 1), ("z", 3)], "v string, k int")
     assert {tuple(r) for r in publish.diff(a, b).collect()} == {("x", 1, -1), ("y", 2, -1), ("z", 3, 1)}
+
+
+def test_registered_pivots_keep_every_year_of_the_fact(spark, scratch):
+    for t in ("lineitem", "customer", "nation", "part", "supplier"):
+        os.symlink(f"{SF_SMALL}/{t}.parquet", f"{scratch}/{t}.parquet")
+    orders = spark.read.parquet(f"{SF_SMALL}/orders.parquet")
+    later = F.when(F.year("o_orderdate") == 1996, F.add_months("o_orderdate", 120)).otherwise(F.col("o_orderdate"))
+    _write(orders.withColumn("o_orderdate", later.cast(orders.schema["o_orderdate"].dataType)), f"{scratch}/orders.parquet")
+    for value in ("profit", "margin"):
+        got = QUERIES[f"quarter_year_pivot_{value}"](spark, scratch)
+        assert sorted(got.columns) == sorted(["quarter", "1995", *map(str, range(1997, 2002)), "2006"])
