@@ -34,7 +34,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Linked at five-word shingles and a similarity of 0.85 or more."""
+    """Linked at five-word shingles and a similarity of 0.8 or more (``WORDS``, ``PERCENT``)."""
     return keep_one(docs)
 
 

@@ -6,6 +6,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from storelens.llm.catalog import tokenizer_path
+from storelens.llm.vertical_jaccard import PERCENT
 from llm.test_ids import check_packing
 from llm.test_near_duplicates import brute as components
 from llm.test_repetition import brute as repetition
@@ -55,3 +56,7 @@ def test_stage_columns_and_odd_rows(spark, odd, empty):
             d = stage(spark, d, SF)
             assert d.columns == df.columns
         corpus_pipeline.STAGES[-1][1](spark, d, SF).collect()
+
+
+def test_near_duplicates_states_its_threshold():
+    assert f"similarity of {PERCENT / 100} or more" in corpus_pipeline.near_duplicates.__doc__
