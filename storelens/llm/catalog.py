@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table
 from .decontaminate import contamination
 from .edit_counts import edited_counts
+from .language_id import languages
+from .lcp_runs import run_report
+from .merkle_manifest import tampering_drill
 from .packing import packed
 from .pii_bilstm import personal_data
 from .quality_ri import quality_scores
@@ -70,6 +73,18 @@ def op10_markov_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets(table(spark, sf_dir, "documents"))
 
 
+def op11_hierarchical_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return languages(table(spark, sf_dir, "documents"))
+
+
+def op12_lcp_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_report(table(spark, sf_dir, "documents"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tampering_drill(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_warc_merkle_audit": op1_warc_merkle_audit,
     "op2_repetition_coverage": op2_repetition_coverage,
@@ -81,6 +96,9 @@ QUERIES: dict[str, Query] = {
     "op8_nnls_packing": op8_nnls_packing,
     "op9_benchmark_windows": op9_benchmark_windows,
     "op10_markov_secrets": op10_markov_secrets,
+    "op11_hierarchical_language": op11_hierarchical_language,
+    "op12_lcp_runs": op12_lcp_runs,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 
 # Words, lines and windows of whole texts; positions count from 1.
@@ -224,9 +242,67 @@ SELECT file::BIGINT AS file, pos AS offset, (pos // 262144)::BIGINT AS range_idx
 FROM q WHERE copy IS DISTINCT FROM record
 """
 
+# Leaves, then level by level: of all sources at once, and of the sources' subroots.
+_MANIFEST_SQL = r"""
+WITH RECURSIVE f AS (
+  SELECT doc_id, source, CASE WHEN source IS NULL THEN '-' ELSE concat('=', source) END AS grp,
+         concat(__doc_id__, __source__, __lang__, __n_chars__) AS head, __text__ AS body,
+         text, doc_id::VARCHAR AS id FROM documents
+), crc AS (
+  SELECT *, xor(list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(range(1, len(id) + 1),
+                lambda i: [ascii(substr(id, i, 1))::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+              lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END), 4294967295) AS c FROM f
+), l AS (
+  SELECT doc_id, grp, sha256(concat(head, body)) AS leaf,
+         CASE WHEN c % 2 = 0 AND text IS NOT NULL
+              THEN sha256(concat(head, strlen(replace(text, chr(10), ''))::VARCHAR, ':', replace(text, chr(10), ''))) END AS changed
+  FROM crc
+), p AS (
+  SELECT *, row_number() OVER (PARTITION BY grp ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx, count(*) OVER (PARTITION BY grp) AS n FROM l
+), t AS (
+  SELECT 0 AS level, grp, idx, n, leaf AS sha FROM p
+  UNION ALL
+  SELECT level + 1, grp, idx // 3, ((n + 2) // 3)::BIGINT, sha256(string_agg(sha, '' ORDER BY idx)) FROM t WHERE n > 1 GROUP BY level, grp, n, idx // 3
+), s AS (
+  SELECT grp, sha AS subroot, level AS h, row_number() OVER (ORDER BY grp) - 1 AS idx, count(*) OVER () AS n FROM t WHERE n = 1
+), u AS (
+  SELECT 0 AS level, idx, n, subroot AS sha FROM s
+  UNION ALL
+  SELECT level + 1, idx // 3, ((n + 2) // 3)::BIGINT, sha256(string_agg(sha, '' ORDER BY idx)) FROM u WHERE n > 1 GROUP BY level, n, idx // 3
+), tree AS (
+  SELECT grp, level, idx, sha FROM t WHERE n > 1
+  UNION ALL SELECT NULL, level, idx, sha FROM u WHERE n > 1
+), sib AS (
+  SELECT a.grp, a.level, a.idx, coalesce(string_agg(b.sha, '' ORDER BY b.idx) FILTER (b.idx < a.idx), '') AS l,
+         coalesce(string_agg(b.sha, '' ORDER BY b.idx) FILTER (b.idx > a.idx), '') AS r
+  FROM tree a JOIN tree b ON a.grp IS NOT DISTINCT FROM b.grp AND a.level = b.level AND a.idx // 3 = b.idx // 3 GROUP BY a.grp, a.level, a.idx
+), step AS (
+  SELECT p.doc_id, p.leaf, p.changed, s.grp, s.subroot, s.h, p.idx AS idx, s.idx AS top, 0 AS lvl, '' AS proof, coalesce(p.changed, p.leaf) AS sha
+  FROM p JOIN s ON s.grp = p.grp
+  UNION ALL
+  SELECT step.doc_id, step.leaf, step.changed, step.grp, step.subroot, step.h, CASE WHEN lvl < h THEN step.idx // 3 ELSE step.idx END,
+         CASE WHEN lvl >= h THEN top // 3 ELSE top END, lvl + 1, concat(proof, l, r), sha256(concat(l, sha, r))
+  FROM step JOIN sib ON CASE WHEN lvl < h THEN sib.grp = step.grp AND sib.level = lvl AND sib.idx = step.idx
+                             ELSE sib.grp IS NULL AND sib.level = lvl - h AND sib.idx = top END
+), r AS (
+  SELECT sha AS root, level AS h2 FROM u WHERE n = 1
+)
+SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, sha AS folded_root, sha = root AS verified
+FROM step, r WHERE lvl = h + h2
+"""
+
+
+def _manifest_sql() -> str:
+    sql = _MANIFEST_SQL
+    for c in ("doc_id", "source", "lang", "n_chars", "text"):
+        sql = sql.replace(f"__{c}__", f"CASE WHEN {c} IS NULL THEN '-' ELSE concat(strlen({c}::VARCHAR)::VARCHAR, ':', {c}::VARCHAR) END")
+    return sql
+
+
 ORACLES: dict[str, str] = {
     "op1_warc_merkle_audit": _MERKLE_SQL,
     "op2_repetition_coverage": _repetition_sql(),
     "op7_vertical_jaccard": _JACCARD_SQL,
     "op9_benchmark_windows": _DECONTAMINATION_SQL,
+    "op13_merkle_manifest": _manifest_sql(),
 }
