@@ -11,6 +11,7 @@ from __future__ import annotations
 import datetime as _dt
 from collections.abc import Iterable, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +19,11 @@ from ..functions import constants as K
 from ..functions.exprs import month_day_key, ytd_mask
 from ..functions.roles import ColumnRoles, roles_of
 
+# Selections longer than this are joined instead of written into the plan.
+LITERAL_VALUES = 10_000
+# Joined selections up to this length are broadcast (text of an option or two dozen bytes each).
+BROADCAST_VALUES = 1_000_000
+
 _ROLE_ATTR = {"location": "location", "category": "category", "subcategory": "subcategory"}
 
 
@@ -110,9 +116,13 @@ def all_time(df: DataFrame, roles: ColumnRoles | None = None) -> DataFrame:
 def in_values(df: DataFrame, column: str, values: Iterable | DataFrame | None) -> DataFrame:
     """Membership on the string form of ``column``; empty selection = no filter.
 
-    ``values`` may be a Python list (an IN list, which reaches the scan) or a
-    one-column DataFrame of selected options, which is semi-joined without a
-    hint: the planner knows a bounded selection's size.
+    ``values`` may be a Python list or a one-column DataFrame of selected
+    options.  A list of up to ``LITERAL_VALUES`` is an IN list, which reaches
+    the scan; a longer one becomes a local table, semi-joined, so the plan
+    holds no giant literal, and broadcast if it has at most
+    ``BROADCAST_VALUES`` (it is counted here: it came from the driver).  A
+    DataFrame is semi-joined without a hint: the planner knows a bounded
+    selection's size.
     """
     key = F.col(column).cast("string")
     if values is None:
@@ -123,7 +133,12 @@ def in_values(df: DataFrame, column: str, values: Iterable | DataFrame | None) -
     vals = [str(v) for v in values]
     if not vals:
         return df
-    return df.where(key.isin(vals))
+    if len(vals) <= LITERAL_VALUES:
+        return df.where(key.isin(vals))
+    distinct = sorted(set(vals))
+    side = df.sparkSession.createDataFrame(pa.table({"__opt": pa.array(distinct, pa.string())}))
+    side = F.broadcast(side) if len(distinct) <= BROADCAST_VALUES else side
+    return df.join(side, key == F.col("__opt"), "left_semi")
 
 
 def in_locations(df: DataFrame, values, roles: ColumnRoles | None = None) -> DataFrame:

@@ -201,6 +201,26 @@ def quarterly_profit(df: DataFrame, roles: ColumnRoles | None = None) -> DataFra
     return quarter_rows(_by_period(df, r, F.year(r.date).alias("year"), F.quarter(r.date).alias("quarter")))
 
 
+def period_profit(df: DataFrame, roles: ColumnRoles | None = None) -> DataFrame:
+    """MON-1 and QTR-1 in one pass over the data: rows of grain ``month``
+    (revenue > 0) and ``quarter``.  The data is aggregated to months once;
+    the grouping sets run over those few rows, so no line is expanded."""
+    r = roles_of(df, roles, "date", "price", "cost")
+    d = F.col(r.date)
+    months = _by_period(df, r, F.year(d).alias("year"), F.quarter(d).alias("quarter"), F.month(d).alias("month"))
+    both = months.groupingSets([[F.col("year"), F.col("quarter"), F.col("month")], [F.col("year"), F.col("quarter")]], "year", "quarter", "month")
+    both = both.agg(F.sum("rev").alias("rev"), F.sum("cst").alias("cst"), F.grouping("month").alias("whole"))
+    quarter = F.col("whole") == 1
+    rows = both.where(quarter | (F.col("rev") > 0))
+    return _profit_rows(
+        rows,
+        F.when(quarter, F.lit("quarter")).otherwise(F.lit("month")).alias("grain"),
+        "year",
+        F.when(quarter, F.col("quarter")).otherwise(F.col("month")).alias("period"),
+        F.when(quarter, quarter_label("year", "quarter")).otherwise(month_label("year", "month")).alias("label"),
+    )
+
+
 def subcategory_sales(
     df: DataFrame,
     n: int | None = None,

@@ -87,8 +87,9 @@ def quarter_year_pivot(
 ) -> DataFrame:
     """PIV-1: quarter x year table of ``profit`` or ``profit_margin``; missing -> 0.
 
-    With ``years`` the columns are those years and nothing runs until the
-    result is used; without, the years present are read first (one row each).
+    With ``years`` the columns are those years.  Without, they are not known
+    before the data is read: the cells come as a map from year to value, one
+    for each quarter (``pivot_cells``).  Nothing runs until the result is used.
     """
     return pivot_quarters(quarterly_profit(df, roles), value, years)
 
@@ -96,11 +97,25 @@ def quarter_year_pivot(
 def pivot_quarters(quarters: DataFrame, value: str = "profit", years: list[int] | None = None) -> DataFrame:
     """PIV-1 from QTR-1 rows."""
     if years is None:
-        years = sorted(r[0] for r in quarters.select("year").distinct().collect())
+        cells = pivot_cells(quarters, value)
+        return cells.groupBy("quarter").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("year", "value")))).alias("by_year"))
     cells = [F.coalesce(F.max(F.when(F.col("year") == y, F.col(value))), F.lit(0.0)).alias(str(y)) for y in years]
     return quarters.groupBy("quarter").agg(*cells) if cells else quarters.select("quarter").distinct()
 
 
+def pivot_cells(quarters: DataFrame, value: str = "profit") -> DataFrame:
+    """PIV-1 in long form from QTR-1 rows, used once: (quarter, year, value) of
+    every quarter present and every year present, missing -> 0.  The rows,
+    four a year, become one array, from which the grid is filled."""
+    one = quarters.agg(F.collect_list(F.struct("quarter", "year", F.col(value).alias("value"))).alias("cells"))
+    several = lambda c: F.array_distinct(F.transform("cells", lambda x: x[c]))
+    grid = one.select("cells", several("year").alias("years"), F.explode(several("quarter")).alias("quarter"))
+    grid = grid.select("cells", "quarter", F.explode("years").alias("year"))
+    here = F.filter("cells", lambda x: (x["quarter"] == F.col("quarter")) & (x["year"] == F.col("year")))
+    found = F.try_element_at(F.transform(here, lambda x: x["value"]), F.lit(1))
+    return grid.select("quarter", "year", F.coalesce(found, F.lit(0.0)).alias("value"))
+
+
 def yoy_quarterly(df: DataFrame, roles: ColumnRoles | None = None) -> DataFrame:
     """YOY-2: Q1..Q4 profit and margin of the two latest years, with changes.
 

@@ -19,10 +19,12 @@ from ..operators import filters as flt
 from ..operators import insights as ins
 from ..operators import products as prd
 from ..operators import rollups as ru
+from ..operators import sketches as sk
 from ..operators import vendors as ven
 from ..operators import yoy
 from ..functions import constants as K
-from ..sources import clean, publish, readers
+from ..session import scratch
+from ..sources import cache, clean, publish, readers
 from . import dashboard
 from ..sources.star import checkins, fact
 
@@ -160,6 +162,134 @@ def _first_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.read_sales(spark, [f"{sf_dir}/absent", sf_dir])[0]
 
 
+def _publish_cycle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SNK-1: the fact published three times to one place: first, again in
+    another order, and changed; what each step wrote, read back from there."""
+    target = scratch(spark, "published")
+    p = _plain(spark, sf_dir)
+    raised = F.when(F.col(K.INVOICE) % 60 == 1, F.col(K.QUANTITY) + 1).otherwise(F.col(K.QUANTITY))
+    changed = p.where(F.col(K.INVOICE) % 50 != 0).withColumn(K.QUANTITY, raised)
+    steps = []
+    for step, rows in (("first", p), ("same rows", p.repartition(F.col(K.PRODUCT))), ("changed", changed)):
+        new = publish.publish_if_changed(rows, target)
+        version, path = publish.versions(spark, target)[-1]
+        read = spark.read.parquet(path).agg(
+            F.count(F.lit(1)).alias("rows"), F.sum(K.QUANTITY).alias("quantity"), F.sum(K.PRICE).cast("double").alias("sales")
+        )
+        steps.append(read.select(F.lit(step).alias("step"), F.lit(new).alias("written"), F.lit(version).alias("version"), "rows", "quantity", "sales"))
+    return steps[0].unionByName(steps[1]).unionByName(steps[2])
+
+
+def _sheets(spark: SparkSession, sf_dir: str, purchases_readable: bool = True) -> str:
+    """A folder of exported sheets: one of all lines, a check-in sheet and a
+    purchases sheet (without being readable: text under a table's name)."""
+    folder = scratch(spark, "sheets")
+    p = _plain(spark, sf_dir)
+    if purchases_readable:
+        spark.read.parquet(f"{sf_dir}/nation.parquet").write.parquet(f"{folder}/A summary")
+        p.write.parquet(f"{folder}/Purchases 2024")
+    else:
+        p.write.parquet(f"{folder}/All lines")
+        spark.range(3).select(F.col("id").cast("string")).write.text(f"{folder}/Purchases 2024")
+    checkins(spark, sf_dir).write.parquet(f"{folder}/Checkins")
+    return folder
+
+
+def _sheet_purchases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC-1..3: the first folder that exists, the sheet named like purchases."""
+    folder = _sheets(spark, sf_dir)
+    return readers.read_source(spark, [f"{folder}/absent", folder, sf_dir]).purchases
+
+
+def _sheet_checkins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC-2, SRC-6: the check-in sheet of the same folder, cleaned."""
+    return clean.preprocess(readers.read_source(spark, _sheets(spark, sf_dir)).checkins)
+
+
+def _sheet_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC-4: the sheet named like purchases cannot be read, so the first one is."""
+    return readers.read_source(spark, _sheets(spark, sf_dir, purchases_readable=False)).purchases
+
+
+def _catalog_purchases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC-2 over a database of the session's catalog: its tables are the sheets of a folder."""
+    folder = _sheets(spark, sf_dir)
+    database = "sales_" + folder.rsplit("-", 1)[-1]
+    spark.sql(f"CREATE DATABASE {database} LOCATION '{folder}-database'")
+    for t in readers.list_tables(spark, folder):
+        spark.catalog.createTable(f"{database}.{t.name.lower().replace(' ', '_')}", path=t.path, source="parquet")
+    return readers.read_source(spark, ["catalog:no_such_database", f"{readers.CATALOG}{database}"]).purchases
+
+
+def _snapshot_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC-5: orders per year kept as a snapshot of a folder: built, read again
+    as it was, and built anew after a file was added to the folder."""
+    folder = scratch(spark, "orders")
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    orders.write.parquet(folder)
+
+    def per_year(target: str) -> None:
+        rows = spark.read.parquet(folder).groupBy(F.year("o_orderdate").alias("year"))
+        rows.agg(F.count(F.lit(1)).alias("orders")).write.parquet(target)
+
+    calls = []
+    for call in (1, 2, 3):
+        if call == 3:
+            orders.where(F.col("o_orderkey") % 10 == 0).write.mode("append").parquet(folder)
+        kept = cache.snapshot(spark, "orders-per-year", cache.inputs(spark, [folder]).key, per_year)
+        calls.append(kept.df.select(F.lit(call).alias("call"), F.lit(kept.built).alias("built"), "year", "orders"))
+    return calls[0].unionByName(calls[1]).unionByName(calls[2])
+
+
+def _long_list_kpis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """FLT-3 with a selection of 100,003 values."""
+    values = [*FIXTURE_LOCATIONS, *(f"STORE_{i}" for i in range(100_000))]
+    return ru.sales_kpis(flt.in_locations(_p(spark, sf_dir), values))
+
+
+def _sketched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PEN-1 from day sketches beside the exact counts, with the errors in percent."""
+    p = _p(spark, sf_dir)
+    est = sk.penetration_from_sketches(sk.day_sketches(p, FIXTURE_PATTERN))
+    exact = ben.benefit_penetration(p, FIXTURE_PATTERN)
+    both = est.alias("e").join(exact.alias("x"), "year")
+    error = lambda c: F.abs(F.try_divide(F.col(f"e.{c}").cast("double"), F.col(f"x.{c}").cast("double")) - 1) * 100
+    return both.select(
+        "year", "e.total_invoices", "e.benefit_invoices", "e.penetration_rate",
+        error("total_invoices").alias("total_error_pct"), error("benefit_invoices").alias("benefit_error_pct"),
+    )
+
+
+def _sketch_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PEN-1: exact counts, and whether the sketches' lie within four standard errors of them."""
+    p = _p(spark, sf_dir)
+    est = sk.penetration_from_sketches(sk.day_sketches(p, FIXTURE_PATTERN)).select(
+        "year", F.col("total_invoices").alias("et"), F.col("benefit_invoices").alias("eb")
+    )
+    both = ben.benefit_penetration(p, FIXTURE_PATTERN).join(est, "year")
+    return both.select("year", "total_invoices", "benefit_invoices", sk.within("et", "total_invoices").alias("total_within"), sk.within("eb", "benefit_invoices").alias("benefit_within"))
+
+
+def _product_sketch_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PRD-2 from month sketches: exact sums and invoices, and whether the sketches' count lies within four standard errors."""
+    p = _p(spark, sf_dir)
+    keys = [K.SUBCATEGORY, K.PRODUCT]
+    est = sk.product_stats_from_sketches(sk.product_sketches(p)).withColumnRenamed("unique_transactions", "estimate")
+    exact = prd.product_stats(p).select(*keys, "unique_transactions")
+    return est.join(exact, keys).select(*keys, "total_quantity", "total_sales", "avg_price", "unique_transactions", sk.within("estimate", "unique_transactions").alias("within"))
+
+
+def _wide_pivot(spark: SparkSession, sf_dir: str, value: str) -> DataFrame:
+    return dashboard.wide_pivot(ru.quarterly_profit(_p(spark, sf_dir)), value)
+
+
+def _pivot_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PIV-1 as a map from year to value, its entries listed as text."""
+    t = yoy.quarter_year_pivot(_p(spark, sf_dir), "profit")
+    entries = F.transform(F.map_entries("by_year"), lambda e: F.concat(e["key"].cast("string"), F.lit("="), F.round(e["value"] * 100).cast("bigint").cast("string")))
+    return t.select("quarter", F.array_join(entries, ",").alias("cents_by_year"))
+
+
 def _money_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """PRJ-14 and PRJ-15: sales as dollar text, and the text read back."""
     t = ru.subcategory_sales(_p(spark, sf_dir)).select(K.SUBCATEGORY, money_text("total_sales", 0).alias("sales_text"))
@@ -215,6 +345,12 @@ QUERIES: dict[str, Query] = {
     "dirty_losses": _dirty_losses,
     "publish_diff": _publish_diff,
     "source_first_table": _first_table,
+    "publish_cycle": _publish_cycle,
+    "sheet_purchases": _sheet_purchases,
+    "sheet_checkins": _sheet_checkins,
+    "sheet_fallback": _sheet_fallback,
+    "catalog_purchases": _catalog_purchases,
+    "snapshot_reuse": _snapshot_reuse,
     "money_labels": _money_labels,
     # KPIs and extents
     "sales_kpis": _on(_p, ru.sales_kpis),
@@ -237,6 +373,7 @@ QUERIES: dict[str, Query] = {
     "last_30_days_kpis": _filtered(_p, flt.last_n_days, n=30),
     "last_90_days_kpis": _filtered(_p, flt.last_n_days, n=90),
     "location_filter_kpis": _filtered(_p, flt.in_locations, values=FIXTURE_LOCATIONS),
+    "location_long_list_kpis": _long_list_kpis,
     "category_filter_kpis": _filtered(_p, flt.in_categories, values=FIXTURE_CATEGORIES),
     "subcategory_filter_kpis": _filtered(_p, _subcategory_filter),
     "default_view_kpis": _filtered(_p, _default_view),
@@ -254,6 +391,7 @@ QUERIES: dict[str, Query] = {
     "monthly_profit": _on(_p, ru.monthly_profit),
     "monthly_profit_nulls": _on(_pn, ru.monthly_profit),
     "quarterly_profit": _on(_p, ru.quarterly_profit),
+    "period_profit": _on(_p, ru.period_profit),
     "subcategory_sales": _on(_p, ru.subcategory_sales),
     "subcategory_sales_top10": _on(_p, ru.subcategory_sales, n=10),
     "subcategory_sales_nulls": _on(_pn, ru.subcategory_sales),
@@ -265,8 +403,10 @@ QUERIES: dict[str, Query] = {
     # year to date, pivot, year over year
     "ytd_metrics": _on(_p, yoy.ytd_metrics),
     "ytd_changes": _on(_p, yoy.ytd_changes),
-    "quarter_year_pivot_profit": _on(_p, yoy.quarter_year_pivot, value="profit"),
-    "quarter_year_pivot_margin": _on(_p, yoy.quarter_year_pivot, value="profit_margin"),
+    "quarter_year_pivot_profit": lambda s, d: _wide_pivot(s, d, "profit"),
+    "quarter_year_pivot_margin": lambda s, d: _wide_pivot(s, d, "profit_margin"),
+    "quarter_year_cells": lambda s, d: yoy.pivot_cells(ru.quarterly_profit(_p(s, d)), "profit_margin"),
+    "quarter_year_map": _pivot_map,
     "yoy_quarterly": _on(_p, yoy.yoy_quarterly),
     "yoy_quarterly_long_profit": _on(_p, yoy.yoy_quarterly_long, metric="profit"),
     "yoy_quarterly_long_margin": _on(_p, yoy.yoy_quarterly_long, metric="margin"),
@@ -281,6 +421,8 @@ QUERIES: dict[str, Query] = {
     "benefit_status_hint": _benefit_hint,
     "benefit_penetration": _on(_p, ben.benefit_penetration, **B),
     "benefit_penetration_nulls": _on(_pn, ben.benefit_penetration, **B),
+    "benefit_penetration_sketched": _sketched,
+    "penetration_sketch_bounds": _sketch_bounds,
     "penetration_changes": _on(_p, ben.penetration_changes, **B),
     "penetration_insights": _on(_p, ins.penetration_insights, **B),
     "category_with_benefit": _on(_p, ben.category_with_benefit, **BC),
@@ -290,6 +432,7 @@ QUERIES: dict[str, Query] = {
     "category_insights": _on(_p, ins.category_insights, **BC),
     # products
     "product_stats": _on(_p, prd.product_stats),
+    "product_sketch_bounds": _product_sketch_bounds,
     "product_highlights": _on(_p, prd.product_highlights, **B),
     "product_highlights_nulls": _on(_pn, prd.product_highlights, **B),
     "highlight_leaders": _on(_p, prd.highlight_leaders, **B),

@@ -22,6 +22,7 @@ from ..functions.roles import ColumnRoles, resolve_roles
 from ..operators import benefits, filters, insights, products, rollups, vendors, yoy
 from ..operators import calendar as cal
 from ..sources import publish
+from ..sources.cache import cached
 
 Preset = Literal["all", "last_30", "last_90"]
 
@@ -139,6 +140,14 @@ OPEN_ENDED = (
 )
 
 
+def wide_pivot(quarters: DataFrame, value: str = "profit") -> DataFrame:
+    """PIV-1 with a column for each year present: they are read first, a row
+    each, from the kept QTR-1 rows, so the data is scanned once."""
+    kept = cached(quarters)
+    years = sorted(r[0] for r in kept.select("year").distinct().collect())
+    return yoy.pivot_quarters(kept, value, years)
+
+
 class Dashboard:
     """Every section of the page as a lazy DataFrame over one filter state."""
 
@@ -230,7 +239,7 @@ class Dashboard:
             "quarterly_profit": lambda: rollups.quarterly_profit(d),
             "yoy_quarterly": lambda: yoy.yoy_quarterly(d),
             "yoy_quarterly_long": lambda: yoy.yoy_quarterly_long(d),
-            "quarter_year_pivot": lambda: yoy.quarter_year_pivot(d),
+            "quarter_year_pivot": lambda: wide_pivot(rollups.quarterly_profit(d)),
             "ytd_metrics": lambda: yoy.ytd_metrics(d, a),
             "ytd_changes": lambda: yoy.ytd_changes(d, a),
             "profitability_insights": lambda: insights.profitability_insights(d, a),
@@ -267,7 +276,7 @@ class Dashboard:
             "quarterly_profit": lambda: quarters,
             "yoy_quarterly": lambda: yoy.yoy_quarterly_from(quarters),
             "yoy_quarterly_long": lambda: yoy.yoy_long_from(yoy.yoy_quarterly_from(quarters)),
-            "quarter_year_pivot": lambda: yoy.pivot_quarters(quarters),
+            "quarter_year_pivot": lambda: wide_pivot(quarters),
             "ytd_metrics": lambda: cal.ytd_metrics_from_cube(q, a),
             "ytd_changes": lambda: cal.ytd_changes_from_cube(q, a),
             "profitability_insights": lambda: insights.profitability_rules(cal.ytd_changes_from_cube(q, a)),

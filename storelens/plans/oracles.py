@@ -646,3 +646,29 @@ ORACLES["source_first_table"] = "SELECT * FROM benchmark"
 _reg("money_labels", """SELECT revenue_subcategory, t AS sales_text, cast(replace(replace(t, '$', ''), ',', '') AS DOUBLE) AS sales
 FROM (SELECT revenue_subcategory, '$' || format('{:,.0f}', cast(sum(purchase_price_w_discount) AS DOUBLE)) AS t
       FROM purchases WHERE revenue_subcategory IS NOT NULL GROUP BY 1)""")
+
+# Sources and sinks over the sales tables: the fact's own SQL.
+for _name in ("sheet_purchases", "sheet_fallback", "catalog_purchases"):
+    _reg(_name, "SELECT * FROM purchases")
+ORACLES["sheet_checkins"] = "SELECT * FROM events"
+_reg("publish_cycle", """WITH s AS (SELECT 'first' AS step, true AS written, 1 AS version, * FROM purchases
+UNION ALL SELECT 'same rows', false, 1, * FROM purchases
+UNION ALL SELECT 'changed', true, 2, * REPLACE (CASE WHEN invoice_id % 60 = 1 THEN quantity + 1 ELSE quantity END AS quantity)
+FROM purchases WHERE invoice_id % 50 <> 0)
+SELECT step, written, version, count(*) AS rows, sum(quantity) AS quantity, cast(sum(purchase_price_w_discount) AS DOUBLE) AS sales
+FROM s GROUP BY 1, 2, 3""")
+ORACLES["snapshot_reuse"] = """SELECT call, call <> 2 AS built, cast(year(o_orderdate) AS INTEGER) AS year, count(*) AS orders
+FROM (SELECT unnest([1, 2, 3]) AS call, o_orderdate FROM orders
+      UNION ALL SELECT 3, o_orderdate FROM orders WHERE o_orderkey % 10 = 0) GROUP BY 1, 3"""
+ORACLES["location_long_list_kpis"] = ORACLES["location_filter_kpis"]
+_reg("period_profit", f"""SELECT 'month' AS grain, year, month AS period, year_month AS label, revenue, cost, profit, profit_margin FROM ({_MONTHLY})
+UNION ALL SELECT 'quarter', year, quarter, year_quarter, revenue, cost, profit, profit_margin FROM ({QUARTERLY})""")
+_reg("quarter_year_cells", f"""WITH q AS ({QUARTERLY}),
+g AS (SELECT * FROM (SELECT DISTINCT quarter FROM q) CROSS JOIN (SELECT DISTINCT year FROM q))
+SELECT g.quarter, g.year, coalesce(q.profit_margin, 0.0) AS value FROM g LEFT JOIN q ON q.quarter = g.quarter AND q.year = g.year""")
+_reg("quarter_year_map", f"""WITH q AS ({QUARTERLY}),
+g AS (SELECT * FROM (SELECT DISTINCT quarter FROM q) CROSS JOIN (SELECT DISTINCT year FROM q))
+SELECT g.quarter, string_agg(g.year || '=' || cast(round(coalesce(q.profit, 0.0) * 100) AS BIGINT), ',' ORDER BY g.year) AS cents_by_year
+FROM g LEFT JOIN q ON q.quarter = g.quarter AND q.year = g.year GROUP BY 1""")
+_reg("penetration_sketch_bounds", f"SELECT year, total_invoices, benefit_invoices, true AS total_within, true AS benefit_within FROM ({PEN})")
+_reg("product_sketch_bounds", f"SELECT *, true AS within FROM ({PRODUCT_STATS})")

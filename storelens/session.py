@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -54,7 +56,8 @@ def shared_dir(spark: SparkSession, fallback: str | None = None) -> str:
     """The cluster-shared folder named by ``spark.checkpoint.dir``.
 
     Only when the session has none (local tests) is ``fallback`` installed
-    as the checkpoint dir; it is never a machine-local default on a cluster.
+    as the context's checkpoint dir, and a folder of this context's own in it
+    returned; it is never a machine-local default on a cluster.
     """
     sc = spark.sparkContext
     d = (
@@ -65,8 +68,22 @@ def shared_dir(spark: SparkSession, fallback: str | None = None) -> str:
     if not d:
         if fallback is None:
             raise RuntimeError("spark.checkpoint.dir is not set and no fallback was given")
-        d = fallback
-        os.makedirs(d, exist_ok=True) if "://" not in d else None
-        spark.conf.set("spark.checkpoint.dir", d)
-        spark.sparkContext.setCheckpointDir(d)
+        if "://" not in fallback:
+            os.makedirs(fallback, exist_ok=True)
+        # The setting itself cannot be changed in a running session.
+        sc.setCheckpointDir(fallback)
+        d = sc.getCheckpointDir()
     return d
+
+
+def scratch(spark: SparkSession, tag: str) -> str:
+    """A fresh path in the shared folder; a local session that names no such
+    folder gets a temporary one of its own."""
+    master = spark.sparkContext.master
+    try:
+        base = shared_dir(spark)
+    except RuntimeError:
+        if not master.startswith("local") or "cluster" in master:
+            raise
+        base = shared_dir(spark, tempfile.mkdtemp(prefix="storelens-"))
+    return f"{base.rstrip('/')}/storelens/{tag}-{uuid.uuid4().hex}"

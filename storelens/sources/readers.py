@@ -5,6 +5,7 @@ tables, one per sub-directory or per ``<name>.<format>`` file, i.e. the
 workbook's sheets exported to Parquet or CSV.  File-system access goes
 through Hadoop's FileSystem API of the session, so every URI Spark can read
 works; only listings run on the driver, the data is read by the executors.
+``catalog:<database>`` names a database of the session's catalog instead.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ from ..functions import constants as K
 
 log = logging.getLogger(__name__)
 
+# A source that starts so is a database of the session's catalog.
+CATALOG = "catalog:"
 # Names that Spark gives to the files of one table, and to its partition folders.
 _PART_FILE = re.compile(r"^part-\d{5}-[0-9a-f]{8}-")
 _PARTITION = re.compile(r"^[^=]+=.*$")
@@ -47,6 +50,20 @@ class _FS:
     def is_dir(self) -> bool:
         return bool(self.fs.getFileStatus(self.path).isDirectory())
 
+    def count_files(self) -> int:
+        """Files at or under the path (0 if there is none)."""
+        return int(self.fs.getContentSummary(self.path).getFileCount()) if self.exists() else 0
+
+    def files(self) -> list[tuple[str, int, int]]:
+        """(path, length, modification time) of the files at or under the path."""
+        if not self.exists():
+            return []
+        out, it = [], self.fs.listFiles(self.path, True)
+        while it.hasNext():
+            st = it.next()
+            out.append((st.getPath().toString(), int(st.getLen()), int(st.getModificationTime())))
+        return out
+
     def children(self) -> list[tuple[str, str, bool]]:
         out = []
         for st in self.fs.listStatus(self.path):
@@ -56,6 +73,8 @@ class _FS:
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
+    if path.startswith(CATALOG):
+        return bool(spark.catalog.databaseExists(path[len(CATALOG) :]))
     return _FS(spark, path).exists()
 
 
@@ -70,8 +89,15 @@ def _is_single_table(children: list[tuple[str, str, bool]]) -> bool:
 
 
 def list_tables(spark: SparkSession, source: str, fmt: str = "parquet") -> list[TableRef]:
-    """Tables of a source directory, in name order.  A directory that is
-    itself one table (Spark output with part files) yields one entry."""
+    """Tables of a source directory, or of a catalog database named as
+    ``catalog:<database>``, in name order.  A directory that is itself one
+    table (Spark output with part files) yields one entry."""
+    if source.startswith(CATALOG):
+        database = source[len(CATALOG) :]
+        if not spark.catalog.databaseExists(database):
+            raise FileNotFoundError(f"data source not found: {source}")
+        names = sorted(t.name for t in spark.catalog.listTables(database) if not t.isTemporary)
+        return [TableRef(name, f"{CATALOG}{database}.`{name}`") for name in names]
     fs = _FS(spark, source)
     if not fs.exists():
         raise FileNotFoundError(f"data source not found: {source}")
@@ -115,6 +141,12 @@ def _reader(spark: SparkSession, fmt: str, options: dict | None):
     return r
 
 
+def _load(spark: SparkSession, ref: TableRef, fmt: str, options: dict | None) -> DataFrame:
+    if ref.path.startswith(CATALOG):
+        return spark.table(ref.path[len(CATALOG) :])
+    return _reader(spark, fmt, options).load(ref.path)
+
+
 def resolve_source(spark: SparkSession, candidates: str | Sequence[str]) -> str:
     """SRC-1: the first candidate that exists (explicit URL/path first, then
     the default master location, then the synced copy)."""
@@ -159,17 +191,16 @@ def read_source(
     names = [t.name for t in tables]
     p_name = select_table(names, K.PURCHASES_NEEDLE) or names[0]
     c_name = select_table(names, K.CHECKINS_NEEDLE)
-    reader = _reader(spark, fmt, options)
     try:
-        purchases = reader.load(by_name[p_name].path)
-        checkins = reader.load(by_name[c_name].path) if c_name else empty_frame(spark)
+        purchases = _load(spark, by_name[p_name], fmt, options)
+        checkins = _load(spark, by_name[c_name], fmt, options) if c_name else empty_frame(spark)
         purchases.head()
         if c_name:
             checkins.head()
         return SalesSource(purchases, checkins, p_name, c_name)
     except Exception as e:  # noqa: BLE001 - any read failure takes the fallback path
         log.warning("reading %s failed (%s); falling back to the first table", source, e)
-        return SalesSource(reader.load(tables[0].path), empty_frame(spark), names[0], None, str(e))
+        return SalesSource(_load(spark, tables[0], fmt, options), empty_frame(spark), names[0], None, str(e))
 
 
 def read_sales(

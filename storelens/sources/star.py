@@ -24,13 +24,11 @@ recomputing joins.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
-from .readers import _FS
+from .cache import Inputs, inputs, snapshot
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -98,40 +96,21 @@ def with_null_keys(df: DataFrame) -> DataFrame:
 MATERIALIZE_CONF = "storelens.purchases.materialize"
 # Caps file size (~1-2 GB of these rows) however large a write partition is.
 MAX_RECORDS_PER_FILE = 20_000_000
+# Inputs of this many bytes or more are written in a folder a month.
+MONTH_BYTES_CONF = "storelens.purchases.month_bytes"
+MONTH_BYTES = 64 << 30
 # Writing tasks that share a month, so that a busy month is not one task's work.
 MONTH_FILES = 4
 _INPUTS = ("lineitem", "orders", "customer", "nation", "part", "supplier")
 
 
-def _input_key(spark: SparkSession, sf_dir: str) -> str:
-    """Path, length and modification time of every input file, reduced to
-    one row on the executors: the ``binaryFile`` source lists the files in
-    parallel and, with ``content`` not selected, reads none of them."""
-    import hashlib
-
-    paths = [f"{sf_dir.rstrip('/')}/{name}.parquet" for name in _INPUTS]
-    files = spark.read.format("binaryFile").load(paths).select("path", "length", "modificationTime")
-    row = files.agg(
-        F.count(F.lit(1)).alias("n"),
-        F.sum("length").alias("bytes"),
-        F.max("modificationTime").alias("newest"),
-        F.sum(F.xxhash64("path", "length", "modificationTime").cast("decimal(38,0)")).alias("digest"),
-    ).first()
-    return hashlib.sha256(f"{sf_dir}|{tuple(row)}".encode()).hexdigest()[:20]
-
-
-# Opened fact tables by folder (checked against the calling session).  A
-# folder lies under the identity of its inputs, so it never describes other ones.
-_OPENED: dict[str, DataFrame] = {}
+def _inputs(spark: SparkSession, sf_dir: str) -> Inputs:
+    return inputs(spark, [f"{sf_dir.rstrip('/')}/{name}.parquet" for name in _INPUTS])
 
 
-def _complete(spark: SparkSession, base: str) -> str | None:
-    """The first finished folder under ``base``; all of them hold the same rows."""
-    fs = _FS(spark, base)
-    if not fs.exists():
-        return None
-    done = [path for name, path, is_dir in fs.children() if is_dir and name.startswith("data-") and _FS(spark, f"{path}/_SUCCESS").exists()]
-    return min(done, default=None)
+def _input_key(spark: SparkSession, sf_dir: str) -> str:
+    """Identity of the input files as they are now."""
+    return _inputs(spark, sf_dir).key
 
 
 def purchases_table(spark: SparkSession, sf_dir: str, nulls: bool = False, months: bool = False) -> DataFrame:
@@ -139,28 +118,26 @@ def purchases_table(spark: SparkSession, sf_dir: str, nulls: bool = False, month
     folder and read back (see module doc).  Requires ``spark.checkpoint.dir``.
 
     The inputs are listed on every call, so a changed table is never missed.
-    Each build writes a folder of its own; one that a lost job left unfinished
-    is not read.  ``months=True`` keeps the partition column, by which date
-    filters skip folders."""
-    from ..session import shared_dir
-
-    base = f"{shared_dir(spark).rstrip('/')}/storelens/purchases/{_input_key(spark, sf_dir)}"
-    target = _complete(spark, base)
-    if target is None:
-        target = f"{base}/data-{uuid.uuid4().hex}"
-        rows = purchases(spark, sf_dir).withColumn(K.MONTH, F.trunc("purchase_date", "MM"))
-        (
-            rows.repartition(K.MONTH, F.pmod(F.xxhash64(K.INVOICE), F.lit(MONTH_FILES)))
-            .sortWithinPartitions(K.MONTH, "purchase_date")
-            .write.partitionBy(K.MONTH)
-            .option("maxRecordsPerFile", MAX_RECORDS_PER_FILE)
-            .parquet(target)
-        )
-    fact = _OPENED.get(target)
-    if fact is None or fact.sparkSession is not spark:
-        fact = _OPENED[target] = spark.read.parquet(target)
-    fact = fact if months else fact.drop(K.MONTH)
-    return with_null_keys(fact) if nulls else fact
+    Large inputs (``MONTH_BYTES_CONF``) are written in a folder a month; with
+    ``months=True`` that column is kept, by which date filters skip folders.
+    Below that size a month would be a few small files: rows are written by
+    date within each file."""
+    now = _inputs(spark, sf_dir)
+    by_month = now.bytes >= int(spark.conf.get(MONTH_BYTES_CONF, str(MONTH_BYTES)))
+
+    def write(target: str) -> None:
+        rows = purchases(spark, sf_dir)
+        if by_month:
+            rows = rows.withColumn(K.MONTH, F.trunc("purchase_date", "MM"))
+            rows = rows.repartition(K.MONTH, F.pmod(F.xxhash64(K.INVOICE), F.lit(MONTH_FILES)))
+            w = rows.sortWithinPartitions(K.MONTH, "purchase_date").write.partitionBy(K.MONTH)
+        else:
+            w = rows.sortWithinPartitions("purchase_date").write
+        w.option("maxRecordsPerFile", MAX_RECORDS_PER_FILE).parquet(target)
+
+    found = snapshot(spark, "purchases", f"{now.key}-{'months' if by_month else 'files'}", write).df
+    found = found if months or not by_month else found.drop(K.MONTH)
+    return with_null_keys(found) if nulls else found
 
 
 def fact(spark: SparkSession, sf_dir: str, nulls: bool = False, months: bool = True) -> DataFrame:

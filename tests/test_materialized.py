@@ -76,7 +76,17 @@ def test_unfinished_build_is_not_read(spark, scratch):
     assert publish.multiset_equal(purchases_table(spark, src), purchases(spark, src))
 
 
-def test_date_windows_skip_months(spark):
+@pytest.fixture
+def in_months(spark):
+    """Facts of any size are written in a folder a month."""
+    from storelens.sources.star import MONTH_BYTES_CONF
+
+    spark.conf.set(MONTH_BYTES_CONF, "0")
+    yield
+    spark.conf.unset(MONTH_BYTES_CONF)
+
+
+def test_date_windows_skip_months(spark, in_months):
     from storelens.operators import filters as flt
 
     t = purchases_table(spark, SF_SMALL, months=True)

@@ -30,8 +30,8 @@ def con():
 
 def test_every_query_has_an_oracle_or_is_exempt():
     exempt = set(QUERIES) - set(ORACLES)
-    # fingerprint uses xxhash64, which DuckDB does not have.
-    assert exempt == {"fingerprint"}
+    # fingerprint uses xxhash64, which DuckDB does not have; sketched counts are estimates.
+    assert exempt == {"fingerprint", "benefit_penetration_sketched"}
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
