@@ -18,7 +18,7 @@ from .quality_ri import quality_scores
 from .repetition import repetition_coverage
 from .secrets_markov import secrets
 from .vertical_jaccard import jaccard_components
-from .warc_merkle import archive, aged_replica, audit
+from .warc_merkle import scrub_drill
 from .zdict import compressed_ids
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,8 +32,7 @@ def tokenizer_path(name: str) -> str:
 
 
 def op1_warc_merkle_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    records = archive(table(spark, sf_dir, "pages"))
-    found = audit(records, aged_replica(records))
+    found = scrub_drill(table(spark, sf_dir, "pages"))
     return found.fillna(0, ["length", "replica_length"]).fillna("", ["sha", "replica_sha"])
 
 

@@ -3,12 +3,15 @@
 Each document keeps a segment tree over its pre-tokens: leaves of about
 ``LEAF`` consecutive pieces (the tokenizer always cuts between pieces), and above
 them sums of bytes and of tokens.  An edit descends by bytes to the leaves it
-touches; those and one leaf to each side, the boundary context, are encoded
-again, and the sums above the replaced leaves are updated.  The rest of the
-text is never encoded twice.
+touches; those and the nearest with text to each side, the boundary context,
+are encoded again, and the sums above the replaced leaves are updated.  The
+rest of the text is neither encoded nor copied again: an edit costs what the
+leaves it touches hold, and the way down to them.
 
-A tree is two arrays in heap order (node i has children 2i and 2i + 1; the
-leaves are the last half, as many as the least power of two that holds them).
+A tree is an array in heap order for each sum (node i has children 2i and
+2i + 1; the leaves are the last half, as many as the least power of two that
+holds them).  Sums of code points, by which edits are placed, are made from
+the text when it is taken up.
 
 Defined cases: null text is empty and has one empty leaf; edits apply in the
 order given, each to the text that the ones before left; positions count code
@@ -31,6 +34,8 @@ from .encode import WORD_PIECES, Encoder, Vocabulary
 from .textbatch import slices
 
 LEAF = 16
+#: Bytes of context to each side of an edit at least, where the text has them.
+CONTEXT = 32
 
 
 def _heap(leaves: np.ndarray) -> np.ndarray:
@@ -82,37 +87,60 @@ def _build(enc: Encoder, data: np.ndarray, offsets: np.ndarray) -> list[tuple[np
     return out
 
 
+def _pieces_of(raw: bytes, sizes: np.ndarray) -> list[bytes]:
+    ends = np.cumsum(sizes).tolist()
+    return [raw[e - n : e] for e, n in zip(ends, sizes.tolist(), strict=True)]
+
+
+def _points(raw: bytes, sizes: np.ndarray) -> np.ndarray:
+    """Code points of consecutive byte ranges."""
+    first = (np.frombuffer(raw, np.uint8) & 0xC0) != 0x80
+    total = np.concatenate(([0], np.cumsum(first)))
+    ends = np.cumsum(sizes)
+    return total[ends] - total[ends - sizes]
+
+
 class _Document:
+    """A text as the bytes of its leaves, and trees of their bytes, code points
+    and tokens.  An edit reads and writes the leaves it touches, and the sums
+    above them; the whole text is only put together when it is asked for."""
+
     def __init__(self, text: str, bytes_: np.ndarray, tokens: np.ndarray):
-        self.text = text
-        self.raw = text.encode()
+        raw, size = text.encode(), len(bytes_) // 2
         self.bytes, self.tokens = bytes_, tokens
+        self.points = _heap(_points(raw, bytes_[size:]))
+        self._leaf = _pieces_of(raw, bytes_[size:])
         self.reencoded = 0
 
-    def n_leaves(self) -> int:
-        size = len(self.bytes) // 2
-        used = np.flatnonzero(self.bytes[size:])
-        return int(used[-1]) + 1 if len(used) else 1
+    @property
+    def text(self) -> str:
+        return b"".join(self._leaf).decode()
 
     def begin(self, position: int, delete: int, insert: str) -> bytes:
-        """Applies an edit to the text; the bytes that have to be encoded again."""
-        p = min(max(position, 0), len(self.text))
-        q = min(p + max(delete, 0), len(self.text))
-        lo, new = len(self.text[:p].encode()), insert.encode()
-        hi = lo + len(self.text[p:q].encode())
-        self.text = self.text[:p] + insert + self.text[q:]
-        self.raw = self.raw[:lo] + new + self.raw[hi:]
-        size = len(self.bytes) // 2
-        # A large deletion leaves empty leaves, which are no context: the nearest that hold bytes are.
-        i, first = _leaf_at(self.bytes, lo)
-        i = _leaf_at(self.bytes, first - 1)[0] if first else i
-        j, first = _leaf_at(self.bytes, hi)
-        j = _leaf_at(self.bytes, first + int(self.bytes[size + j]))[0]
-        self._from, self._leaves = i, j - i + 1
-        self._start = int(self.bytes[size : size + i].sum())
-        end = self._start + int(self.bytes[size + i : size + j + 1].sum()) + len(new) - (hi - lo)
-        self.reencoded += end - self._start
-        return self.raw[self._start : end]
+        """Takes an edit up; the bytes that have to be encoded again."""
+        n = int(self.points[1])
+        p = min(max(position, 0), n)
+        q = min(p + max(delete, 0), n)
+        i, before = _leaf_at(self.points, p)
+        j, at = _leaf_at(self.points, q)
+        left = self._leaf[i].decode()[: p - before].encode()
+        right = self._leaf[j].decode()[q - at :].encode()
+        size = len(self.points) // 2
+        # Context: the nearest leaves that hold bytes (a large deletion leaves empty ones), as many as any token's string needs.
+        first, last, end = i, j, at + int(self.points[size + j])
+        context = 0
+        while before and (first == i or context < CONTEXT):
+            first, before = _leaf_at(self.points, before - 1)
+            context += len(self._leaf[first])
+        context = 0
+        while end < n and (last == j or context < CONTEXT):
+            last, start = _leaf_at(self.points, end)
+            end = start + int(self.points[size + last])
+            context += len(self._leaf[last])
+        self._from, self._leaves = first, last - first + 1
+        self._region = b"".join((*self._leaf[first:i], left, insert.encode(), right, *self._leaf[j + 1 : last + 1]))
+        self.reencoded += len(self._region)
+        return self._region
 
     def finish(self, start: np.ndarray, tokens: np.ndarray, length: int) -> None:
         """Puts the re-encoded region's pieces (first bytes, token counts) into the touched leaves."""
@@ -125,14 +153,21 @@ class _Document:
         at[0] = 0
         total = np.concatenate(([0], np.cumsum(tokens)))
         leaves, counts = np.diff(np.append(at, length)), np.diff(total[np.append(cut, len(start))])
+        changed = {"bytes": leaves, "points": _points(self._region, leaves), "tokens": counts}
+        size = len(self.bytes) // 2
+        self._leaf[self._from : self._from + self._leaves] = _pieces_of(self._region, leaves)
         if k == self._leaves:
-            _set_leaves(self.bytes, self._from, leaves)
-            _set_leaves(self.tokens, self._from, counts)
+            for name, new in changed.items():
+                _set_leaves(getattr(self, name), self._from, new)
             return
-        size, last = len(self.bytes) // 2, self.n_leaves()
-        for name, new in (("bytes", leaves), ("tokens", counts)):  # more leaves: the sums are laid out anew
-            t = getattr(self, name)[size : size + max(last, self._from + self._leaves)]
+        # More leaves: the sums are laid out anew, without the empty places at the end.
+        used = np.flatnonzero(self.bytes[size:])
+        last = max(int(used[-1]) + 1 if len(used) else 1, self._from + self._leaves)
+        for name, new in changed.items():
+            t = getattr(self, name)[size : size + last]
             setattr(self, name, _heap(np.concatenate((t[: self._from], new, t[self._from + self._leaves :]))))
+        del self._leaf[last + k - self._leaves :]
+        self._leaf += [b""] * (len(self.bytes) // 2 - len(self._leaf))
 
 
 def _apply(enc: Encoder, docs: list[_Document], edits: list[list[dict] | None]) -> None:

@@ -5,8 +5,9 @@ and what follows it, and between ASCII (or Latin-1) letters or digits and ASCII
 punctuation other than the apostrophe.  Each distinct piece is encoded once and
 the texts' ids are gathered from those; pieces are told apart by 64-bit hashes
 of their bytes, a numpy pass over the Arrow buffer.  The result equals encoding
-whole texts (tests compare both).  Strings of special tokens count as ordinary
-text.
+whole texts (tests compare both).  The string of an added token, such as the end mark,
+in a text gives that token's id, as in the library's plain call: the text is
+cut around it.
 """
 
 from __future__ import annotations
@@ -129,6 +130,8 @@ class Encoder:
 
         self._tok = Tokenizer.from_str(vocabulary.json)
         self._spaced = vocabulary.pieces == BYTE_PIECES
+        self._added = {t.content.encode(): i for i, t in self._tok.get_added_tokens_decoder().items()}
+        self._added_in = re.compile(b"|".join(re.escape(t) for t in sorted(self._added, key=len, reverse=True)))
         self._mark = next(t.content for t in self._tok.get_added_tokens_decoder().values() if t.special)
         self._mark_id = self._tok.token_to_id(self._mark)
         self.dtype = np.dtype("<u2" if self._tok.get_vocab_size() <= 1 << 16 else "<u4")
@@ -139,7 +142,12 @@ class Encoder:
         self._ids = np.zeros(1 << 16, self.dtype)
         self._at = np.zeros(1 << 16, np.int64)
         self._len = np.zeros(1 << 16, np.int64)
-        self._used = 0
+        self._used = len(self._added)
+        for i, (text, token) in enumerate(self._added.items()):
+            raw = np.frombuffer(text, np.uint8)
+            w = Words(raw, np.array([0, len(raw)]))
+            self._known.add(np.maximum(w.bytes(np.zeros(1, np.int64), np.array([len(raw)])), U(1)))
+            self._ids[i], self._at[i], self._len[i] = token, i, 1
 
     def _room(self, name: str, need: int) -> np.ndarray:
         old = getattr(self, name)
@@ -151,7 +159,7 @@ class Encoder:
 
     def _learn(self, keys: np.ndarray, pieces: list[bytes]) -> None:
         """Encodes new pieces, many in one call, a special token between them
-        (no piece holds its string: letters and punctuation are cut apart)."""
+        (no new piece holds its string: texts are cut around those)."""
         mark = self._mark.encode()
         base = self._known.size
         self._known.add(keys)
@@ -192,12 +200,26 @@ class Encoder:
         order = np.argsort(start, kind="stable")
         return start[order], end[order]
 
+    def _added_places(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Byte ranges of added tokens' strings inside texts."""
+        found = [m.span() for m in self._added_in.finditer(data)] if len(data) else []
+        start, end = np.array(found, np.int64).reshape(-1, 2).T
+        inside = np.searchsorted(offsets, start, side="right") == np.searchsorted(offsets, end - 1, side="right")
+        return start[inside], end[inside]
+
     def pieces(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(start, end, place): byte ranges of a slice's pieces and their places in the memory."""
         if self._known.size > REMEMBERED:
             self._forget()
-        w = Words(data, offsets)
+        first, last = self._added_places(data, offsets)
+        w = Words(data, np.union1d(offsets, np.concatenate((first, last))) if len(first) else offsets)
         start, end = self._bounds(w)
+        if len(first):
+            at = np.searchsorted(first, start, side="right") - 1
+            other = (at < 0) | (start >= last[at])
+            start, end = np.concatenate((start[other], first)), np.concatenate((end[other], last))
+            order = np.argsort(start)
+            start, end = start[order], end[order]
         key = np.maximum(w.bytes(start, end), U(1))
         place = self._known.find(key)
         new = np.flatnonzero(place < 0)
@@ -214,11 +236,9 @@ class Encoder:
 
     def _whole(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Whole texts at once, for texts with white space outside ASCII."""
-        self._tok.encode_special_tokens = True
         raw = data.tobytes()
         texts = [raw[a:b].decode("utf-8", "replace") for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
         found = [e.ids for e in self._tok.encode_batch_fast(texts, add_special_tokens=False)]
-        self._tok.encode_special_tokens = False
         ids = np.concatenate([np.zeros(0, self.dtype), *(np.array(f, self.dtype) for f in found)])
         return ids, np.concatenate(([0], np.cumsum([len(f) for f in found], dtype=np.int64)))
 

@@ -14,15 +14,21 @@ Candidates, none lost:
   is less) within the first n - ceil(t n) + SHARED ones of each, and the position of the first n-gram they share bounds their
   overlap, which rules most others out.
 * n-grams in at most ``SMALL`` prefixes give their pairs directly, counted per
-  pair; a pair that shares fewer of those stays a candidate only
-  if both classes also have an n-gram of a larger group.
+  pair; of those a linked pair shares enough, or it shares an n-gram of a larger
+  group.
+* classes with an n-gram of a larger group, as templates and common passages
+  make them, are paired by signatures instead.  Their sets are cut, by a hash
+  of the n-gram, into more parts than linked sets of such sizes can differ in
+  n-grams, so some part that is not empty is equal in both: its content's hash
+  is the signature.  Sets made of the same few passages in another mixture
+  share n-grams, but hardly a signature.
 * every pair is held against counts of each set's n-grams in ``COUNTS`` narrower
   fragments: the summed differences bound the overlap from above, exactly, so
   pairs that share n-grams by chance end there.
-* a larger group is first joined as a star (all with its best member).  After
-  those links are known, only members of different components are paired, and
-  only where sizes and positions allow a link.  No group is ever expanded into
-  all its pairs, and none is cut.
+* a signature with more than ``SMALL`` classes is first joined as a star (all
+  with its first member).  After those links are known, only members of
+  different components are paired, and only where sizes allow a link.  No group
+  is cut.
 
 Which shingles count as common only shapes the order, not the result, so they
 may be counted where they meet: within a task, then summed.
@@ -44,7 +50,7 @@ from pyspark.sql import functions as F
 
 from .common import ship, small, text_key, unpacked, whole_rows, written
 from .components import components
-from .textbatch import RangeHash, U, Words, slices
+from .textbatch import RangeHash, U, Words, mix, slices
 
 #: Near-duplicate stages: five-word shingles, similarity of 0.8 or more.
 WORDS = 5
@@ -179,12 +185,79 @@ def fragments(docs: DataFrame, sets: DataFrame, wanted: DataFrame, common: Broad
                 cols = [pa.array(np.repeat(cid.view(np.int64), FRAGMENTS)), pa.array(np.tile(np.arange(FRAGMENTS, dtype=np.int32), len(n))), pa.array(np.repeat(n, FRAGMENTS)), _lists(h, start, size)]
                 yield pa.RecordBatch.from_arrays(cols, names=["cid", "frag", "n", "tokens"])
 
+    out = _texts(docs, sets, wanted).mapInArrow(run, "cid bigint, frag int, n bigint, tokens array<bigint>")
+    return written(out, "fragments")
+
+
+def size_classes(largest: int, percent: int) -> list[int]:
+    """First sizes of ranges such that linked sets lie in one range or in two neighbours."""
+    first = [1]
+    while first[-1] <= largest:
+        first.append(100 * first[-1] // percent + 1)
+    return first
+
+
+def parts(first: list[int], k: int, percent: int) -> tuple[int, int]:
+    """(most n-grams in which linked sets differ, parts to cut them into), for
+    sets of the k-th range against that and the next."""
+    top = first[k + 1] - 1
+    apart = (100 - percent) * (top + 100 * top // percent) // (100 + percent)
+    return apart, apart + 2 + apart // 4
+
+
+def set_signatures(h: np.ndarray, n: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """(set, signature) of sets given as their n-grams in a row and their sizes:
+    for its own size range and the one below, the hash of each part that is not
+    empty.  A set with so few of those that they could all differ from a linked
+    set's has its empty parts as well."""
+    first = np.array(size_classes(int(n.max()) if len(n) else 1, percent))
+    own = np.searchsorted(first, n, side="right") - 1
+    bounds = [parts(first.tolist(), k, percent) for k in range(len(first) - 1)]
+    apart, cut = (np.array(x) for x in zip(*bounds, strict=True))
+    doc = np.repeat(np.arange(len(n)), n)
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    for k in (own, own - 1):
+        size = np.where((n > 0) & (k >= 0), cut[np.maximum(k, 0)], 0)
+        base = np.cumsum(size) - size
+        some = size[doc] > 0
+        value = mix(h[some] + (k[doc[some]] + 1).astype(U) * U(0xA0761D6478BD642F))
+        cell = base[doc[some]] + (value % np.maximum(size[doc[some]], 1).astype(U)).astype(np.int64)
+        total = int(size.sum())
+        order = np.argsort(cell, kind="stable")
+        content, filled = np.zeros(total, U), np.zeros(total, bool)
+        if len(order):
+            sorted_cell = cell[order]
+            head = np.flatnonzero(np.concatenate(([True], sorted_cell[1:] != sorted_cell[:-1])))
+            content[sorted_cell[head]] = np.add.reduceat(mix(value[order]), head)
+            filled[sorted_cell[head]] = True
+        owner = np.repeat(np.arange(len(n)), size)
+        few = np.bincount(owner[filled], minlength=len(n)) <= apart[np.maximum(k, 0)]
+        keep = np.flatnonzero(filled | few[owner])
+        place = (keep - base[owner[keep]]).astype(U) + (k[owner[keep]] + 1).astype(U) * U(0x9FB21C651E98DF25)
+        found.append((owner[keep], mix(content[keep] + mix(place))))
+    return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+
+
+def signatures(docs: DataFrame, sets: DataFrame, wanted: DataFrame, common: Broadcast, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """token, cid, n: the signatures of the wanted classes (cid); written once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for _, _, data, offsets in slices(b, "text"):
+                h, at, cid = shingle_sets(data, offsets, common.value, words)
+                n = np.diff(at)
+                owner, signature = set_signatures(h, n, percent)
+                yield pa.RecordBatch.from_pydict({"token": signature.view(np.int64), "cid": cid.view(np.int64)[owner], "n": n[owner]})
+
+    return written(_texts(docs, sets, wanted).mapInArrow(run, "token bigint, cid bigint, n bigint"), "signatures")
+
+
+def _texts(docs: DataFrame, sets: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The text of one document of each of the wanted classes (cid)."""
     place = sets.join(small(wanted), "cid", "left_semi").groupBy("cid").agg(F.min(F.struct("doc_id", "_th")).alias("p"))
     key = small(written(place.select(F.col("p.doc_id").alias("_id"), F.col("p._th").alias("_h")).distinct(), "wanted"))
     rows = text_key(docs)
-    rows = rows.join(key, (rows["_th"] == key["_h"]) & rows["doc_id"].eqNullSafe(key["_id"]), "left_semi").select("text")
-    out = rows.mapInArrow(run, "cid bigint, frag int, n bigint, tokens array<bigint>")
-    return written(out, "fragments")
+    return rows.join(key, (rows["_th"] == key["_h"]) & rows["doc_id"].eqNullSafe(key["_id"]), "left_semi").select("text")
 
 
 def _sizes_fit(a: Column, b: Column, percent: int) -> Column:
@@ -202,13 +275,12 @@ def _pair(a: Column, b: Column) -> list[Column]:
 
 
 def _group_pairs(entries: DataFrame, percent: int) -> DataFrame:
-    """Pairs within the (small) groups of each token, with repeats: a, b, hot
-    (both belong to a large group too), fit (sizes and positions allow a link),
-    least (n-grams that they have to share)."""
-    groups = entries.groupBy("token").agg(F.collect_list(F.struct("cid", "n", "pos", F.coalesce("hot", F.lit(False)).alias("hot"))).alias("m"))
+    """Pairs within the (small) groups of each token, with repeats: a, b, fit
+    (sizes and positions allow a link), least (n-grams that they have to share)."""
+    groups = entries.groupBy("token").agg(F.collect_list(F.struct("cid", "n", "pos")).alias("m"))
     one = groups.select("m", F.explode("m").alias("x")).select("x", F.explode(F.filter("m", lambda y: (y["cid"] > F.col("x.cid")) & _sizes_fit(F.col("x.n"), y["n"], percent))).alias("y"))
     fit = _can_reach(F.col("x.n"), F.col("x.pos"), F.col("y.n"), F.col("y.pos"), percent)
-    return one.select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b"), (F.col("x.hot") & F.col("y.hot")).alias("hot"), fit.alias("fit"), _shared(F.col("x.n"), F.col("y.n"), percent).alias("least"))
+    return one.select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b"), fit.alias("fit"), _shared(F.col("x.n"), F.col("y.n"), percent).alias("least"))
 
 
 def _possible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -259,19 +331,21 @@ def class_links(docs: DataFrame, sets: DataFrame, common: Broadcast, words: int
     counts = entries.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
     # The counts are the smaller side and already dealt by token: hashing them spares sorting the entries.
     entries = written(entries.join(counts.hint("shuffle_hash"), "token").select("token", "cid", "n", "pos", "c"), "shared-prefixes")
-    large = written(entries.where(F.col("c") > SMALL).select("cid").distinct().withColumn("hot", F.lit(True)), "classes-of-large-groups")
-
-    few = entries.where(F.col("c") <= SMALL).join(small(large), "cid", "left")
+    few = _group_pairs(entries.where(F.col("c") <= SMALL), percent)
     # Later shared n-grams count too: they may stand SHARED - 1 places behind the first.
-    few = _group_pairs(few, percent)
-    few = few.groupBy("a", "b").agg(F.count(F.lit(1)).alias("k"), F.max("hot").alias("hot"), F.max("fit").alias("fit"), F.max("least").alias("least"))
-    few = few.where(F.col("fit") & ((F.col("k") >= F.col("least")) | F.col("hot"))).select("a", "b")
-    big = entries.where(F.col("c") > SMALL).drop("c")
-    best = big.groupBy("token").agg(F.min(F.struct("pos", "cid", "n")).alias("best"))
-    fits = _sizes_fit(F.col("best.n"), F.col("n"), percent) & _can_reach(F.col("best.n"), F.col("best.pos"), F.col("n"), F.col("pos"), percent)
-    star = big.join(best, "token").where((F.col("cid") != F.col("best.cid")) & fits)
+    few = few.groupBy("a", "b").agg(F.count(F.lit(1)).alias("k"), F.max("fit").alias("fit"), F.max("least").alias("least"))
+    few = few.where(F.col("fit") & (F.col("k") >= F.col("least"))).select("a", "b")
+
+    large = written(entries.where(F.col("c") > SMALL).select("cid").distinct(), "classes-of-large-groups")
+    signed = signatures(docs, sets, large, common, words, percent).withColumn("pos", F.lit(0))
+    counts = signed.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    signed = written(signed.join(counts.hint("shuffle_hash"), "token").select("token", "cid", "n", "pos", "c"), "shared-signatures")
+    alike = _group_pairs(signed.where(F.col("c") <= SMALL), percent).select("a", "b")
+    big = signed.where(F.col("c") > SMALL).drop("c")
+    best = big.groupBy("token").agg(F.min(F.struct("cid", "n")).alias("best"))
+    star = big.join(best, "token").where((F.col("cid") != F.col("best.cid")) & _sizes_fit(F.col("best.n"), F.col("n"), percent))
     star = star.select(*_pair(F.col("cid"), F.col("best.cid")))
-    pairs = written(_possible(few.unionByName(star).distinct(), classes, percent), "pairs")
+    pairs = written(_possible(few.unionByName(alike).unionByName(star).distinct(), classes, percent), "pairs")
 
     links = written(linked(pairs, fragments(docs, sets, _members(pairs), common, words), percent), "links")
     roots = components(links)

@@ -7,6 +7,10 @@ children's positions and hashes in order.  Two replicas are compared from the
 roots down: at each level only the children of nodes that differ are joined,
 and only the records of differing leaf ranges are looked at.
 
+Records are hashed and measured where they are read; what is laid out, compared
+and shuffled are hashes (``laid_out``, ``audit_hashes``).  ``archive`` and
+``audit`` do the same for records that are at hand with their offsets.
+
 Ranges are byte ranges of a file, so a node has a bounded number of children
 whatever the size of a file, and no step gathers a whole file.
 
@@ -22,10 +26,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import scratch, written
+from .merkle_manifest import positions
 
 SPAN = 1 << 18
 FANOUT = 16
 PAGES_PER_FILE = 512
+#: Records whose lengths are summed one after the other.
+BLOCK = 4096
 
 
 def warc_record(url: Column, html: Column) -> Column:
@@ -55,6 +62,39 @@ def archive(pages: DataFrame, per_file: int = PAGES_PER_FILE) -> DataFrame:
     return rows.select("file", F.coalesce(F.sum(size).over(before), F.lit(0)).alias("offset"), "record", "page_id")
 
 
+def measured(records: DataFrame, copies: list[str]) -> DataFrame:
+    """page_id, ``_n`` (a number per row) and, for each named column of record
+    texts, a struct(length, sha), null where the record is missing; written, so
+    that every use sees one numbering."""
+    thin = [F.when(F.col(c).isNotNull(), F.struct(F.octet_length(c).cast("long").alias("length"), F.sha2(c, 256).alias("sha"))).alias(c) for c in copies]
+    return written(records.select("page_id", F.monotonically_increasing_id().alias("_n"), *thin), "measured-records")
+
+
+def laid_out(thin: DataFrame, by: str, per_file: int = PAGES_PER_FILE) -> DataFrame:
+    """``thin`` with file and offset: files of ``per_file`` consecutive ids,
+    records in the order of id and hash; lengths are those of column ``by``
+    (a missing record has none).  Rows without an id are dealt out over as many
+    files of their own as they fill.  A file may hold any number of rows (of a
+    repeated id): lengths are summed in blocks of rows."""
+    lone = thin.where(F.col("page_id").isNull()).count()
+    dealt = F.lit(-1) - F.pmod(F.xxhash64("_n"), F.lit(max(1, lone // per_file)))
+    rows = thin.withColumn("file", F.coalesce(F.expr(f"page_id div {per_file}"), dealt).cast("long"))
+    rows = rows.withColumn("_sha", F.col(f"{by}.sha")).withColumn("_size", F.coalesce(F.col(f"{by}.length"), F.lit(0).cast("long")))
+    rows = positions(rows, "file", ["page_id", "_sha", "_n"]).withColumn("_block", F.expr(f"idx div {BLOCK}"))
+    rows = written(rows, "placed-records")
+    ends = W.partitionBy("file").orderBy("_block")
+    sums = rows.groupBy("file", "_block").agg(F.sum("_size").alias("_sum"))
+    sums = sums.select("file", "_block", (F.sum("_sum").over(ends) - F.col("_sum")).alias("_before"))
+    inside = W.partitionBy("file", "_block").orderBy("idx")
+    rows = rows.withColumn("_inside", F.sum("_size").over(inside) - F.col("_size")).join(sums, ["file", "_block"])
+    return rows.select(*thin.columns, "file", (F.col("_before") + F.col("_inside")).alias("offset"))
+
+
+def hashes_of(laid: DataFrame, copy: str) -> DataFrame:
+    """file, offset, length, sha of one of the measured columns."""
+    return laid.where(F.col(copy).isNotNull()).select("file", "offset", f"{copy}.length", f"{copy}.sha")
+
+
 def record_hashes(records: DataFrame) -> DataFrame:
     """file, offset, length, sha: one row per offset."""
     record = F.coalesce(F.col("record"), F.lit(""))
@@ -105,7 +145,12 @@ def audit(primary: DataFrame, replica: DataFrame, span: int = SPAN, fanout: int
     """Damaged records of two archives (file, offset, record): file, offset,
     range_idx, kind (changed, missing or extra in the replica), length, sha,
     replica_length, replica_sha."""
-    a, b = (written(record_hashes(r), "record-hashes") for r in (primary, replica))
+    return audit_hashes(record_hashes(primary), record_hashes(replica), span, fanout)
+
+
+def audit_hashes(primary: DataFrame, replica: DataFrame, span: int = SPAN, fanout: int = FANOUT) -> DataFrame:
+    """``audit`` of two archives given as hashes: file, offset (once each), length, sha."""
+    a, b = (written(r, "record-hashes") for r in (primary, replica))
     most = a.select("offset").unionByName(b.select("offset")).agg(F.max("offset")).first()[0]
     height = levels(most or 0, span, fanout)
     ta, tb = tree(a, height, span, fanout), tree(b, height, span, fanout)
@@ -132,12 +177,25 @@ def roots(records: DataFrame, span: int = SPAN, fanout: int = FANOUT) -> DataFra
     return tree(h, height, span, fanout).where(F.col("level") == height).select("file", F.col("sha").alias("root"))
 
 
+def aged(page_id: Column, record: Column) -> Column:
+    """A record's copy with damage at known places, for a scrub drill: by page_id
+    some are gone (null), some have one character changed, some are cut short."""
+    changed = F.overlay(record, F.lit("\u0000"), F.lit(25))
+    cut = F.substring(record, F.lit(1), F.length(record) - 3)
+    copy = F.when(F.pmod(page_id, F.lit(499)) == 7, changed).when(F.pmod(page_id, F.lit(1009)) == 11, cut).otherwise(record)
+    return F.when(F.coalesce(F.pmod(page_id, F.lit(997)) != 5, F.lit(True)), copy)
+
+
 def aged_replica(records: DataFrame) -> DataFrame:
-    """A second copy with damage at known places, for a scrub drill: by page_id
-    some records are gone, some have one character changed, some are cut short."""
-    p = F.col("page_id")
-    kept = records.where(F.coalesce(F.pmod(p, F.lit(997)) != 5, F.lit(True)))
-    changed = F.overlay("record", F.lit("\u0000"), F.lit(25))
-    cut = F.substring("record", F.lit(1), F.length("record") - 3)
-    record = F.when(F.pmod(p, F.lit(499)) == 7, changed).when(F.pmod(p, F.lit(1009)) == 11, cut).otherwise(F.col("record"))
-    return kept.select("file", "offset", record.alias("record"), "page_id")
+    """The damaged copy of an archive (file, offset, record, page_id)."""
+    copy = records.select("file", "offset", aged(F.col("page_id"), F.coalesce(F.col("record"), F.lit(""))).alias("record"), "page_id")
+    return copy.where(F.col("record").isNotNull())
+
+
+def scrub_drill(pages: DataFrame) -> DataFrame:
+    """``audit`` of the archive of pages against its aged copy.  The records are
+    read once, hashed with their copies there, and never shuffled."""
+    record = warc_record(F.col("url"), F.col("html"))
+    both = pages.select("page_id", record.alias("record")).withColumn("copy", aged(F.col("page_id"), F.col("record")))
+    laid = written(laid_out(measured(both, ["record", "copy"]), "record"), "laid-out")
+    return audit_hashes(hashes_of(laid, "record"), hashes_of(laid, "copy"))

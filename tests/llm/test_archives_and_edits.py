@@ -67,7 +67,6 @@ def test_archive_odd_rows(spark):
 
 def count_all():
     t = Tokenizer.from_file(tokenizer_path("word_bpe_49k.json"))
-    t.encode_special_tokens = True
     return lambda s: len(t.encode(s or "", add_special_tokens=False).ids)
 
 

@@ -18,7 +18,6 @@ FILES = {"word": ("word_bpe_49k.json", WORD_PIECES), "byte": ("byte_bpe_50k.json
 
 def reference(kind):
     t = Tokenizer.from_file(tokenizer_path(FILES[kind][0]))
-    t.encode_special_tokens = True
     return lambda texts: [e.ids for e in t.encode_batch([x or "" for x in texts], add_special_tokens=False)]
 
 
