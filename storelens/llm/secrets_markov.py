@@ -239,7 +239,7 @@ def _masked(text: Column, spans: Column, mask: str) -> Column:
     def pieces(chunks: Column, starts: Column, ends: Column) -> Column:
         before = F.concat(F.array(F.lit(0)), ends)  # ends so far, before each span and at last
         kept = F.filter(F.zip_with(F.slice(before, F.lit(1), F.size(starts)), starts, lambda e, s: F.struct(e.alias("e"), s.alias("s"))), lambda x: x["s"] >= x["e"])
-        return F.concat(F.transform(kept, lambda x: _cut(chunks, x["e"], x["s"])), F.array(_cut(chunks, F.element_at(ends, -1), F.length(text))))
+        return F.concat(F.transform(kept, lambda x: _cut(chunks, x["e"], x["s"])), F.array(_cut(chunks, F.coalesce(F.get(ends, F.size(ends) - 1), F.lit(0)), F.length(text))))
 
     latest = _running(F.transform(spans, lambda x: x["e"]), lambda a, b: F.greatest(a, b), F.lit(0))
     chunks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{_CHUNK}}}"), F.lit(0))

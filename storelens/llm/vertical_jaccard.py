@@ -202,7 +202,7 @@ def parts(first: list[int], k: int, percent: int) -> tuple[int, int]:
     sets of the k-th range against that and the next."""
     top = first[k + 1] - 1
     apart = (100 - percent) * (top + 100 * top // percent) // (100 + percent)
-    return apart, apart + 2 + apart // 4
+    return apart, apart + 2
 
 
 def set_signatures(h: np.ndarray, n: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:

@@ -50,7 +50,8 @@ def test_random_keys_are_found_at_a_stated_recall(spark, model):
     for i, k in enumerate(kinds):
         found[k] += [(x["s"], x["e"]) for x in got[i]["_all"]] == [(7, 7 + k[1])]
     floor = {(k, n): 0.95 if (k, n) != ("lower case", 18) else 0.82 for k, n in found}
-    assert {k: v / 200 for k, v in found.items() if v / 200 < floor[k]} == {}
+    low = {k: v / 200 for k, v in found.items() if v / 200 < floor[k]}
+    assert not low, low
 
 
 def test_documents_have_no_false_finds(spark, model):
@@ -87,12 +88,9 @@ def test_masks_across_chunks_and_overlaps(spark, model):
         texts.append("é " * (at // 2) + "." * (at % 2) + key + " tail")
     for _ in range(20):
         texts.append("".join(r.choice(["password: ", key, "AKIA" + "Z9" * 8, " ", "é", "plain words ", "\n"]) for _ in range(r.randint(1, 400))))
-    got = scanned(spark, model, texts)
+    got = scanned(spark, [0.0] * len(model), texts)  # no token scores above 0: plain spans alone
     for i, t in enumerate(texts):
-        plain = [x for x in got[i]["_all"] if x["k"] < 3]
-        if len(plain) == len(got[i]["_all"]):
-            assert got[i].masked == masked(t), t[:80]
-    assert sum(all(x["k"] < 3 for x in got[i]["_all"]) for i in range(len(texts))) >= len(texts) - 4
+        assert got[i].masked == masked(t), t[:80]
 
 
 # ---- strings of added tokens ----
@@ -204,8 +202,8 @@ def candidate_pairs(spark, monkeypatch, n):
 
 
 def test_templated_texts_do_not_give_all_pairs(spark, monkeypatch):
-    few, many = candidate_pairs(spark, monkeypatch, 500), candidate_pairs(spark, monkeypatch, 2000)
-    assert few < 0.05 * 500 * 499 / 2 and many < 0.05 * 2000 * 1999 / 2, (few, many)
+    few, many = candidate_pairs(spark, monkeypatch, 500), candidate_pairs(spark, monkeypatch, 4000)
+    assert few < 10 * 500 and many < 30 * 4000, (few, many)  # of 124,750 and 7,998,000 pairs
 
 
 def test_templated_texts_keep_every_link(spark):
