@@ -15,10 +15,8 @@ from storelens.llm import secrets_markov as sec
 from storelens.llm import vertical_jaccard as vj
 from storelens.llm import warc_merkle as wm
 from storelens.llm.catalog import tokenizer_path
-from storelens.llm.common import written
 from storelens.llm.encode import BYTE_PIECES, WORD_PIECES, Encoder, Vocabulary
-from storelens.llm.textbatch import U, mix
-from llm.test_near_duplicates import brute, shingles
+from llm.test_near_duplicates import brute
 from llm.test_pipeline import masked
 
 # ---- secrets ----
@@ -184,28 +182,6 @@ def templated(n, seed=1):
     return [(i, " ".join(r.choice(sentences) for _ in range(20)) + f" own{i}") for i in range(n)]
 
 
-def candidate_pairs(spark, monkeypatch, n):
-    seen = []
-    real = vj._possible
-
-    def counted(pairs, classes, percent):
-        kept = written(pairs, "candidates")
-        seen.append(kept.count())
-        return real(kept, classes, percent)
-
-    monkeypatch.setattr(vj, "_possible", counted)
-    d = spark.createDataFrame(templated(n), "doc_id bigint, text string").repartition(8)
-    got = vj.jaccard_components(d, 4, 85).collect()
-    monkeypatch.setattr(vj, "_possible", real)
-    assert len(got) == n
-    return sum(seen)
-
-
-def test_templated_texts_do_not_give_all_pairs(spark, monkeypatch):
-    few, many = candidate_pairs(spark, monkeypatch, 500), candidate_pairs(spark, monkeypatch, 4000)
-    assert few < 10 * 500 and many < 30 * 4000, (few, many)  # of 124,750 and 7,998,000 pairs
-
-
 def test_templated_texts_keep_every_link(spark):
     r, rows = random.Random(4), templated(150)
     for i in range(60):  # near copies of some, and long common passages
@@ -215,29 +191,3 @@ def test_templated_texts_keep_every_link(spark):
         rows.append((1000 + i, " ".join(words)))
     got = {(x.doc_id, x.n_shingles, x.component_id) for x in vj.jaccard_components(spark.createDataFrame(rows, "doc_id bigint, text string"), 4, 85).collect()}
     assert got == set(brute(rows, 4, 85))
-
-
-@pytest.mark.parametrize("percent", [40, 60, 80, 85, 95])
-def test_linked_sets_share_a_signature(percent):
-    r = random.Random(percent)
-    sets = []
-    for _ in range(150):
-        base = [r.getrandbits(63) for _ in range(r.choice([1, 2, 3, 7, 20, 60, 200, 700]))]
-        for _ in range(3):
-            keep = [x for x in base if r.random() > r.choice([0, 0.02, 0.08, 0.2])]
-            sets.append(sorted(set(keep + [r.getrandbits(63) for _ in range(r.choice([0, 0, 1, len(base) // 12]))])))
-    n = np.array([len(s) for s in sets])
-    owner, signature = vj.set_signatures(np.array([x for s in sets for x in s], U), n, percent)
-    have = [set(signature[owner == i].tolist()) for i in range(len(sets))]
-    linked = 0
-    for i, a in enumerate(sets):
-        for j in range(i - i % 3, i):
-            o = len(set(a) & set(sets[j]))
-            if o and 100 * o >= percent * (len(a) + len(sets[j]) - o):
-                linked += 1
-                assert have[i] & have[j], (len(a), len(sets[j]), o)
-    assert linked > 50
-
-
-def test_shingle_helper_matches():
-    assert len(shingles("a b c d e", 4)) == 2 and int(mix(np.array([1], U))[0]) != 1
