@@ -7,8 +7,14 @@ the rest untagged.  A region is cut into overlapping windows; their emission
 scores are averaged, middle of a window before its edge, and the whole region
 is decoded once with the transitions, so windows never disagree.
 
+A region longer than ``BLOCK`` is decoded in blocks that overlap by ``LAP``
+characters to each side and are joined in the middle, many in one batch, so a
+long table of numbers costs in proportion to its length.
+
 The labelled spans are the plain matches in a bounded sample of documents
-(``SAMPLE_DOCS``, ``SAMPLE_WINDOWS``).  Every document is scanned whole.  A span
+(``SAMPLE_DOCS``, ``SAMPLE_CHARS`` characters each at most, ``SAMPLE_WINDOWS``),
+and the same spans written in forms that the expressions miss (``odd_form``):
+those are what the model is there to add.  Every document is scanned whole.  A span
 of the model is added if its least tag probability is ``CONFIDENCE``, it fits its
 kind's plainest form and overlaps no plain match.
 
@@ -42,6 +48,8 @@ STRIDE = 32
 HIDDEN = 16
 EPOCHS = 20
 CONFIDENCE = 0.9
+BLOCK = 512
+LAP = 64
 TAGS = 1 + 2 * len(KINDS)  # O, then first and further characters of each kind
 _CHARS = 130  # ASCII, other letters, everything else
 
@@ -244,6 +252,20 @@ class Tagger:
 
     def tag_regions(self, texts: list[np.ndarray], batch: int = 512) -> list[tuple[np.ndarray, np.ndarray]]:
         """(tags, probability of each) of every region (character codes)."""
+        starts = [range(0, max(1, len(t)), BLOCK) if len(t) > BLOCK + LAP else (0,) for t in texts]
+        blocks = [t[max(0, s - LAP) : s + BLOCK + LAP] if len(at) > 1 else t for t, at in zip(texts, starts, strict=True) for s in at]
+        found = iter(self._tag_blocks(blocks, batch))
+        out = []
+        for t, at in zip(texts, starts, strict=True):
+            some = [next(found) for _ in at]
+            if len(at) > 1:
+                lo = [min(s, LAP) for s in at]
+                some = [(tags[a : a + BLOCK], prob[a : a + BLOCK]) for (tags, prob), a in zip(some, lo, strict=True)]
+                some = [(np.concatenate([x[0] for x in some]), np.concatenate([x[1] for x in some]))]
+            out.append(some[0])
+        return out
+
+    def _tag_blocks(self, texts: list[np.ndarray], batch: int) -> list[tuple[np.ndarray, np.ndarray]]:
         out: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0))] * len(texts)
         order = sorted(range(len(texts)), key=lambda i: len(texts[i]))
         lo = 0
@@ -282,10 +304,45 @@ def _tagged(text: str, spans: list[tuple[int, int, int]]) -> np.ndarray:
     return y
 
 
+def odd_form(kind: int, span: str, how: int) -> str:
+    """A span in a form that the plain expressions miss or cut short."""
+    if kind == 0:
+        return span.replace("@", " @ ") if how % 2 else span.replace("@", " @").replace(".", " . ")
+    if kind == 1:
+        return span.replace(".", ". ") if how % 2 else span.replace(".", " . ")
+    digits = [c for c in span if c in "0123456789"]
+    if kind == 2:
+        return (". " if how % 2 else ".").join("".join(digits[i : i + 4]) for i in range(0, len(digits), 4))
+    return "+" + ("/" if how % 2 else "_").join("".join(digits[max(0, i) : i + 3]) for i in range(len(digits) % 3 - 3 if len(digits) % 3 else 0, len(digits), 3))
+
+
+def rewritten(text: str, spans: list[tuple[int, int, int]], seed: int) -> tuple[str, list[tuple[int, int, int]]]:
+    """A text with its spans in odd forms, and where they are then."""
+    out, at, size, moved = [], 0, 0, []
+    for i, (s, k, e) in enumerate(spans):
+        if s < at:
+            continue
+        new = odd_form(k, text[s:e], seed + i)
+        out += [text[at:s], new]
+        size += s - at
+        moved.append((size, k, size + len(new)))
+        size += len(new)
+        at = e
+    return "".join([*out, text[at:]]), moved
+
+
+def _labelled(texts: list[str]) -> Iterator[tuple[str, list[tuple[int, int, int]]]]:
+    for i, text in enumerate(texts):
+        spans = base_spans(text)
+        yield text, spans
+        if spans:
+            yield rewritten(text, spans, i)
+
+
 def training_windows(texts: list[str], limit: int = SAMPLE_WINDOWS) -> tuple[np.ndarray, np.ndarray]:
     xs, ys = [], []
-    for text in texts:
-        c, y = codes(text), _tagged(text, base_spans(text))
+    for text, spans in _labelled(texts):
+        c, y = codes(text), _tagged(text, spans)
         for lo, hi in regions(text):
             for s in _windows(hi - lo):
                 a = max(0, min(lo + s, len(text) - WINDOW))
