@@ -3,8 +3,8 @@
 The benchmark's normalised 10-word windows become a hash set that is broadcast
 to the scan of the training documents; every window of every document is
 looked up, hits are verified word by word, and documents or the hit spans can
-be removed.  The set is broadcast only when its counted rows stay under a
-limit; beyond it the same join shuffles (windows are spread by their hash, and
+be removed.  The set is broadcast only when its counted rows and their size
+(words and item ids: a window may lie in very many items) stay under limits; beyond them the same join shuffles (windows are spread by their hash, and
 each document's own row by its key, so no key gathers the documents).
 
 Words: A-Z lowered, ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+``.  A benchmark item
@@ -23,8 +23,9 @@ from pyspark.sql import functions as F
 from .common import small, text_key, unpacked, whole_rows, written
 
 WINDOW = 10
-#: Windows that are broadcast at most (about 16 bytes each in the hash set, plus their words).
+#: Windows that are broadcast at most, and bytes of their words and item ids (with 16 bytes for each of these).
 BROADCAST_WINDOWS = 500_000
+BROADCAST_BYTES = 128 << 20
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _WORD_ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -45,11 +46,24 @@ def benchmark_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     return hashed.groupBy("k", "wh", "gram").agg(F.sort_array(F.collect_set("item")).alias("items"))
 
 
-def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
+def _size(parts: str) -> Column:
+    """Bytes of an array of strings as it is held in a row."""
+    return F.octet_length(F.array_join(parts, "")).cast("long") + 16 * F.size(parts)
+
+
+def hits(
+    docs: DataFrame,
+    benchmark: DataFrame,
+    window: int = WINDOW,
+    broadcast_windows: int = BROADCAST_WINDOWS,
+    broadcast_bytes: int = BROADCAST_BYTES,
+) -> DataFrame:
     """Per distinct (doc_id, text): _th, copies, n_words, spans (sorted array of
     first word and end, from 1), items (sorted ids as strings)."""
     grams = written(benchmark_windows(benchmark, window), "windows")
-    lengths = [r.k for r in grams.select("k").distinct().orderBy("k").collect()] or [window]  # at most ``window`` values
+    # One row: at most ``window`` lengths, and what the set weighs.
+    held = grams.agg(F.sort_array(F.collect_set("k")).alias("ks"), F.count(F.lit(1)).alias("n"), F.sum(_size("gram") + _size("items")).alias("size")).first()
+    lengths = held["ks"] or [window]
     d = text_key(docs).withColumn("ws", _words(F.col("text"))).drop("text")
     d = d.withColumn("n_words", F.size("ws")).withColumn("hs", F.transform("ws", lambda x: F.xxhash64(x)))
     # Position 0 is the document's own row; it never matches.
@@ -62,7 +76,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, broadcast_
     d = d.withColumn("wh", F.when(own, F.col("_th")).otherwise(F.xxhash64(F.slice("hs", F.greatest(F.col("p"), F.lit(1)), F.col("k")))))
     d = d.withColumn("k", F.when(own, 0).otherwise(F.col("k")))
     g, words = grams.select("wh", "k", "gram", "items"), F.slice("ws", F.greatest(F.col("p"), F.lit(1)), F.col("k"))
-    if grams.count() <= broadcast_windows:
+    if held["n"] <= broadcast_windows and (held["size"] or 0) <= broadcast_bytes:
         # The set goes to the documents; only hits have their words cut out.
         found = d.select("doc_id", "_th", "n_words", "p", "k", "wh", "ws").join(F.broadcast(g), ["wh", "k"], "left")
     else:

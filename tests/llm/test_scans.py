@@ -55,6 +55,18 @@ def test_contamination_is_exact(spark, bench):
     assert one == two
 
 
+def test_a_window_of_many_items(spark):
+    """One window lies in every item: its row is heavy, so the set goes by its size, not by its rows."""
+    many = spark.range(3_000).selectExpr("id AS item_id", "'one two three four five six seven eight nine ten' AS text")
+    df = spark.createDataFrame([(1, "zero one two three four five six seven eight nine ten"), (2, "one two"), (3, None)], "doc_id bigint, text string")
+    ids = sorted(str(i) for i in range(3_000))
+    for size in (1 << 30, 10_000):
+        got = {r.doc_id: (r.n_words, [tuple(s) for s in r.spans], list(r["items"])) for r in hits(df, many, broadcast_bytes=size).collect()}
+        assert got == {1: (11, [(2, 12)], ids), 2: (2, [], []), 3: (0, [], [])}
+    plans = [hits(df, many, broadcast_bytes=n)._jdf.queryExecution().optimizedPlan().toString() for n in (1 << 30, 10_000)]
+    assert ["broadcast" in p for p in plans] == [True, False]
+
+
 def test_removal(spark, bench):
     df = spark.createDataFrame([(d, t, "h") for d, t in PLANTED], "doc_id bigint, text string, _th string")
     kept = remove_documents(df, bench)
