@@ -123,15 +123,6 @@ def _windows(length: int) -> list[int]:
     return [*range(0, length - WINDOW, STRIDE), length - WINDOW]
 
 
-def _lse(x: np.ndarray, axis: int) -> np.ndarray:
-    m = x.max(axis, keepdims=True)
-    return np.squeeze(m, axis) + np.log(np.exp(x - m).sum(axis))
-
-
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
-
-
 @dataclass
 class Tagger:
     """Parameters by name; ``f`` and ``b`` are the two reading directions."""
@@ -152,59 +143,89 @@ class Tagger:
         p["t"] = np.zeros((TAGS, TAGS))
         return Tagger(p)
 
-    def _read(self, x: np.ndarray, d: str, keep: bool) -> tuple[np.ndarray, list]:
-        """Hidden states of one direction over windows x (batch, time)."""
+    def _both(self, name: str) -> np.ndarray:
+        """A parameter of the two directions, as one array."""
+        return np.stack([self.p[name + d] for d in "fb"]).astype(np.float32)
+
+    def _read(self, x: np.ndarray, keep: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Hidden states of both directions over windows x (batch, time); with
+        ``keep`` also what the gradient needs: (quantity, step, direction, batch, unit)."""
         n, steps = x.shape
-        h, c = np.zeros((n, HIDDEN), np.float32), np.zeros((n, HIDDEN), np.float32)
-        table, u, k = self.p[f"x{d}"].astype(np.float32), self.p[f"u{d}"].astype(np.float32), HIDDEN
-        out, saved = np.zeros((n, steps, HIDDEN), np.float32), []
-        for t in range(steps) if d == "f" else range(steps - 1, -1, -1):
-            z = table[x[:, t]] + h @ u
-            s = _sigmoid(z[:, : 3 * k])
-            i, f, o, g = s[:, :k], s[:, k : 2 * k], s[:, 2 * k :], np.tanh(z[:, 3 * k :])
+        k = HIDDEN
+        gate = np.repeat(np.float32([0.5, 1]), [3 * k, k])  # sigmoid(z) is (1 + tanh(z / 2)) / 2
+        table, u = self._both("x") * gate, self._both("u") * gate
+        at, direction = np.stack([x, x[:, ::-1]]), np.arange(2)[:, None]
+        h, c = np.zeros((2, n, k), np.float32), np.zeros((2, n, k), np.float32)
+        out = np.zeros((2, n, steps, k), np.float32)
+        saved = np.empty((7, steps if keep else 0, 2, n, k), np.float32)
+        for t in range(steps):
+            z = np.tanh(table[direction, at[:, :, t]] + h @ u)
+            s = 0.5 * z[..., : 3 * k] + 0.5
+            i, f, o, g = s[..., :k], s[..., k : 2 * k], s[..., 2 * k :], z[..., 3 * k :]
             new = f * c + i * g
             tc = np.tanh(new)
             if keep:
-                saved.append((t, h, c, i, f, o, g, tc))
+                for q, value in enumerate((h, c, i, f, o, g, tc)):
+                    saved[q, t] = value
             c, h = new, o * tc
-            out[:, t] = h
-        return out, saved
+            out[:, :, t] = h
+        return np.concatenate([out[0], out[1][:, ::-1]], axis=2), saved
 
     def emissions(self, x: np.ndarray) -> np.ndarray:
-        h = np.concatenate([self._read(x, d, False)[0] for d in "fb"], axis=2)
-        return h @ self.p["w"] + self.p["o"]
-
-    def _unread(self, x: np.ndarray, d: str, grad: np.ndarray, saved: list, g_out: dict[str, np.ndarray]) -> None:
-        u = self.p[f"u{d}"]
-        dh, dc = np.zeros_like(grad[:, 0]), np.zeros_like(grad[:, 0])
-        for t, h, c, i, f, o, g, tc in reversed(saved):
-            dh = dh + grad[:, t]
-            dc = dc + dh * o * (1 - tc * tc)
-            dz = np.concatenate([dc * g * i * (1 - i), dc * c * f * (1 - f), dh * tc * o * (1 - o), dc * i * (1 - g * g)], axis=1)
-            np.add.at(g_out[f"x{d}"], x[:, t], dz)
-            g_out[f"u{d}"] += h.T @ dz
-            dh, dc = dz @ u.T, dc * f
+        return self._read(x, False)[0] @ self.p["w"] + self.p["o"]
+
+    def _unread(self, x: np.ndarray, grad: np.ndarray, saved: np.ndarray) -> dict[str, np.ndarray]:
+        """Gradients of the two directions' parameters from that of the states."""
+        k, (n, steps) = HIDDEN, x.shape
+        grad = np.stack([grad[:, :, :k], grad[:, ::-1, k:]]).astype(np.float32)
+        back = self._both("u").transpose(0, 2, 1)
+        before, c, i, f, o, g, tc = saved
+        # Each gate's slope; the third is met by the states' gradient, the others by the cells'.
+        slope = np.empty((steps, 2, n, 4, k), np.float32)
+        slope[..., 0, :], slope[..., 1, :], slope[..., 2, :], slope[..., 3, :] = g * i * (1 - i), c * f * (1 - f), tc * o * (1 - o), i * (1 - g * g)
+        cell = o * (1 - tc * tc)
+        dz, met = np.zeros_like(slope), np.zeros_like(slope[0])
+        dh, dc = np.zeros_like(cell[0]), np.zeros_like(cell[0])
+        for t in range(steps - 1, -1, -1):
+            dh = dh + grad[:, :, t]
+            dc = dc + dh * cell[t]
+            met[:] = dc[:, :, None]
+            met[:, :, 2] = dh
+            np.multiply(slope[t], met, out=dz[t])
+            dh, dc = dz[t].reshape(2, n, 4 * k) @ back, dc * f[t]
+        out = {}
+        # Small products a step: large ones would have BLAS threads wait for each other.
+        for j, d in enumerate("fb"):
+            flat = dz[:, j].reshape(steps, n, 4 * k)
+            read = (x if d == "f" else x[:, ::-1]).T.ravel()
+            order = np.argsort(read, kind="stable")
+            first = np.flatnonzero(np.diff(read[order], prepend=-1))
+            out[f"x{d}"] = np.zeros((_CHARS, 4 * k), np.float32)
+            out[f"x{d}"][read[order[first]]] = np.add.reduceat(flat.reshape(-1, 4 * k)[order], first)
+            out[f"u{d}"] = (before[:, j].transpose(0, 2, 1) @ flat).sum(0)
+        return out
 
     def marginals(self, e: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Tag probabilities of emissions (batch, time, tag) of the given
-        lengths, and the expected transitions, by the forward and backward sums."""
-        t = self.p["t"]
+        """Tag probabilities of emissions (batch, time, tag) of the given lengths,
+        and the expected transitions, by forward and backward sums that are
+        scaled to 1 at each step."""
+        move = np.exp(self.p["t"] - self.p["t"].max())
+        here = np.exp(e - e.max(2, keepdims=True))
         steps = e.shape[1]
-        fwd, bwd = np.zeros_like(e), np.zeros_like(e)
-        fwd[:, 0] = e[:, 0]
+        fwd, bwd = np.empty_like(here), np.ones_like(here)
+        fwd[:, 0] = here[:, 0] / here[:, 0].sum(1, keepdims=True)
         for i in range(1, steps):
-            fwd[:, i] = _lse(fwd[:, i - 1][:, :, None] + t, 1) + e[:, i]
+            a = fwd[:, i - 1] @ move * here[:, i]
+            fwd[:, i] = a / a.sum(1, keepdims=True)
         for i in range(steps - 2, -1, -1):
-            step = _lse(t[None] + (e[:, i + 1] + bwd[:, i + 1])[:, None, :], 2)
-            bwd[:, i] = np.where((i + 1 < n)[:, None], step, 0)
-        z = _lse(fwd[np.arange(len(n)), n - 1], 1)
-        live = np.arange(steps)[None] < n[:, None]
-        prob = np.exp(np.minimum(fwd + bwd - z[:, None, None], 0)) * live[:, :, None]
-        pairs = np.zeros_like(t)
-        for i in range(steps - 1):
-            q = fwd[:, i][:, :, None] + t + (e[:, i + 1] + bwd[:, i + 1])[:, None, :] - z[:, None, None]
-            pairs += (np.exp(np.minimum(q, 0)) * live[:, i + 1][:, None, None]).sum(0)
-        return prob, pairs
+            b = (here[:, i + 1] * bwd[:, i + 1]) @ move.T
+            bwd[:, i] = np.where((i + 1 < n)[:, None], b / b.sum(1, keepdims=True), 1)
+        live = (np.arange(steps)[None] < n[:, None])[:, :, None]
+        prob = fwd * bwd
+        prob = prob / prob.sum(2, keepdims=True) * live
+        before, after = fwd[:, :-1], here[:, 1:] * bwd[:, 1:]
+        before = before * live[:, 1:] / (before @ move * after).sum(2, keepdims=True)
+        return prob, move * (before.reshape(-1, TAGS).T @ after.reshape(-1, TAGS))
 
     def decode(self, e: np.ndarray, n: np.ndarray) -> np.ndarray:
         """The likeliest tags of each row."""
@@ -231,18 +252,14 @@ class Tagger:
             order = rng.permutation(len(x))
             for lo in range(0, len(x), batch):
                 bx, by = x[order[lo : lo + batch]], y[order[lo : lo + batch]]
-                (hf, sf), (hb, sb) = self._read(bx, "f", True), self._read(bx, "b", True)
-                h = np.concatenate([hf, hb], axis=2)
+                h, saved = self._read(bx, True)
                 prob, pairs = self.marginals(h @ self.p["w"] + self.p["o"], np.full(len(bx), bx.shape[1]))
-                g = {k: np.zeros_like(a) for k, a in self.p.items()}
                 d = prob - np.eye(TAGS)[by]
+                g = self._unread(bx, d @ self.p["w"].T, saved)
                 g["t"] = pairs
                 np.add.at(g["t"], (by[:, :-1].ravel(), by[:, 1:].ravel()), -1)
-                g["w"] = np.einsum("bth,btk->hk", h, d)
+                g["w"] = (h.transpose(0, 2, 1) @ d).sum(0)
                 g["o"] = d.sum((0, 1))
-                dh = d @ self.p["w"].T
-                self._unread(bx, "f", dh[:, :, :HIDDEN], sf, g)
-                self._unread(bx, "b", dh[:, :, HIDDEN:], sb, g)
                 step += 1
                 for k in self.p:
                     q = g[k] / len(bx)
