@@ -341,6 +341,7 @@ QUERIES: dict[str, Query] = {
     "checkins_clean": _checkins_clean,
     "sample_rows": _on(_plain, publish.sample_rows, n=100),
     "fingerprint": _on(_plain, publish.fingerprint),
+    "fingerprint_columns": _on(_plain, publish.column_digests),
     "dirty_purchases": _dirty_purchases,
     "dirty_losses": _dirty_losses,
     "publish_diff": _publish_diff,

@@ -642,6 +642,13 @@ _reg("publish_diff", """WITH o AS (SELECT * FROM purchases),
 n AS (SELECT * REPLACE (CASE WHEN invoice_id % 60 = 1 THEN quantity + 1 ELSE quantity END AS quantity) FROM purchases WHERE invoice_id % 50 <> 0)
 SELECT * EXCLUDE (w), cast(sum(w) AS BIGINT) AS change FROM (SELECT *, 1 AS w FROM n UNION ALL SELECT *, -1 FROM o)
 GROUP BY ALL HAVING sum(w) <> 0""")
+_COLUMNS = ["purchase_date", "invoice_id", "store_location", "disp_category", "revenue_subcategory", "product_name", "vendor_name",
+            "quantity", "purchase_price_w_discount", "unit_cost"]
+_DIGEST = "count({0}) AS filled, cast(coalesce(sum(cast('0x' || substr(md5({0}), 1, 15) AS BIGINT)), 0) AS VARCHAR) AS digest"
+_MARKED = " || ".join(f"coalesce(length({c}) || ':' || {c}, '-')" for c in _COLUMNS)
+_reg("fingerprint_columns", "WITH t AS (SELECT " + ", ".join(f"cast({c} AS VARCHAR) AS {c}" for c in _COLUMNS) + " FROM purchases) "
+     + " UNION ALL ".join(f"SELECT {name} AS \"column\", {_DIGEST.format(v)} FROM t" for name, v in
+                          [("cast(NULL AS VARCHAR)", f"({_MARKED})"), *((f"'{c}'", c) for c in _COLUMNS)]))
 ORACLES["source_first_table"] = "SELECT * FROM benchmark"
 _reg("money_labels", """SELECT revenue_subcategory, t AS sales_text, cast(replace(replace(t, '$', ''), ',', '') AS DOUBLE) AS sales
 FROM (SELECT revenue_subcategory, '$' || format('{:,.0f}', cast(sum(purchase_price_w_discount) AS DOUBLE)) AS t

@@ -29,6 +29,28 @@ def fingerprint(df: DataFrame) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(h), F.lit(0)).cast("decimal(38,0)").alias("digest"))
 
 
+def column_digests(df: DataFrame) -> DataFrame:
+    """What a table holds, in a form that another engine can compute as well: one
+    row per column and one for whole rows (``column`` null), with the non-null
+    values (whole rows: all) and the sum of the first 60 bits of each value's
+    md5 as text.  Order-free; equal values count each time.  Values are hashed
+    as text, whole rows as ``length:value`` or ``-`` for null, joined.
+
+    One aggregate, whose result is one row however large the table; where two
+    versions differ, the columns with other digests are those that changed."""
+    text = {c: F.col(f"`{c}`").cast("string") for c in df.columns}
+    row = F.concat(F.lit(""), *[F.coalesce(F.concat(F.length(t).cast("string"), F.lit(":"), t), F.lit("-")) for t in text.values()])
+
+    def digest(value):
+        bits = F.conv(F.substring(F.md5(value.cast("binary")), 1, 15), 16, 10).cast("decimal(28,0)")
+        return F.coalesce(F.sum(bits), F.lit(0).cast("decimal(38,0)")).cast("string")
+
+    parts = [(None, row), *text.items()]
+    one = df.agg(*[f for i, (_, v) in enumerate(parts) for f in (F.count(v).alias(f"n{i}"), digest(v).alias(f"d{i}"))])
+    rows = [F.struct(F.lit(c).cast("string").alias("column"), F.col(f"n{i}").alias("filled"), F.col(f"d{i}").alias("digest")) for i, (c, _) in enumerate(parts)]
+    return one.select(F.inline(F.array(*rows)))
+
+
 def multiset_equal(a: DataFrame, b: DataFrame) -> bool:
     """Exact multiset equality in one aggregation: +1 per row of ``a``, -1 per
     row of ``b``, grouped by the whole row; equal iff every group nets 0.
