@@ -15,7 +15,8 @@ bounded by ``VOCABULARY`` x ``DIMENSIONS``.
 
 Defined cases: null and empty text pool to zero and get the model's score of
 zero; a null doc_id is not held out and is never learned from; of several label
-rows of one id the least quality counts; without labels every score is 0.5.
+rows of one id the least quality counts; without labels every score is 0.5; a
+task holds about 140 to 160 bytes for each byte of its longest text.
 """
 
 from __future__ import annotations
