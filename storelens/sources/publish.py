@@ -37,17 +37,26 @@ def column_digests(df: DataFrame) -> DataFrame:
     as text, whole rows as ``length:value`` or ``-`` for null, joined.
 
     One aggregate, whose result is one row however large the table; where two
-    versions differ, the columns with other digests are those that changed."""
+    versions differ, the columns with other digests are those that changed.
+    Each value is hashed once, in a projection; its bits are summed as three
+    integers of 20 bits (which overflow at 2**43 rows, not before), and only the
+    three totals become one decimal."""
     text = {c: F.col(f"`{c}`").cast("string") for c in df.columns}
     row = F.concat(F.lit(""), *[F.coalesce(F.concat(F.length(t).cast("string"), F.lit(":"), t), F.lit("-")) for t in text.values()])
 
-    def digest(value):
-        bits = F.conv(F.substring(F.md5(value.cast("binary")), 1, 15), 16, 10).cast("decimal(28,0)")
-        return F.coalesce(F.sum(bits), F.lit(0).cast("decimal(38,0)")).cast("string")
+    def bits(value):
+        return F.conv(F.substring(F.md5(value.cast("binary")), 1, 15), 16, 10).cast("bigint")
 
-    parts = [(None, row), *text.items()]
-    one = df.agg(*[f for i, (_, v) in enumerate(parts) for f in (F.count(v).alias(f"n{i}"), digest(v).alias(f"d{i}"))])
-    rows = [F.struct(F.lit(c).cast("string").alias("column"), F.col(f"n{i}").alias("filled"), F.col(f"d{i}").alias("digest")) for i, (c, _) in enumerate(parts)]
+    names = [None, *text]
+    hashed = df.select(*[bits(v).alias(f"b{i}") for i, v in enumerate([row, *text.values()])])
+    sums = [F.sum(F.shiftright(f"b{i}", 20 * k).bitwiseAND(F.lit(0xFFFFF))).alias(f"s{i}_{k}") for i in range(len(names)) for k in range(3)]
+    one = hashed.agg(*[F.count(f"b{i}").alias(f"n{i}") for i in range(len(names))], *sums)
+
+    def digest(i):
+        part = lambda k: F.coalesce(F.col(f"s{i}_{k}"), F.lit(0)).cast("decimal(20,0)") * F.lit(1 << 20 * k).cast("decimal(13,0)")
+        return (part(2) + part(1) + part(0)).cast("decimal(38,0)").cast("string")
+
+    rows = [F.struct(F.lit(c).cast("string").alias("column"), F.col(f"n{i}").alias("filled"), digest(i).alias("digest")) for i, c in enumerate(names)]
     return one.select(F.inline(F.array(*rows)))
 
 

@@ -57,3 +57,17 @@ def test_empty_table(spark):
 def test_a_column_named_like_the_result(spark):
     df = spark.createDataFrame([("a", "b", 1)], "`column` string, digest string, n0 int")
     assert set(_digests(df)) == {None, "column", "digest", "n0"}
+
+
+def test_sums_beyond_a_long(spark):
+    df = spark.range(3000).select((F.col("id") * 7).alias("k"))
+    texts = [str(7 * i) for i in range(3000)]
+    assert int(_bits(*texts)) > 2**63
+    assert _digests(df) == {None: (3000, _bits(*(f"{len(t)}:{t}" for t in texts))), "k": (3000, _bits(*texts))}
+
+
+def test_each_value_is_hashed_once_below_the_aggregate(spark):
+    df = spark.range(10).select("id", F.lit("x").alias("t"))
+    plan = column_digests(df)._jdf.queryExecution().optimizedPlan().toString()
+    hashing = [line for line in plan.splitlines() if "md5(" in line]
+    assert len(hashing) == 1 and "Project" in hashing[0], plan
