@@ -26,7 +26,7 @@ from ..functions import constants as K
 from ..session import scratch
 from ..sources import cache, clean, publish, readers
 from . import dashboard
-from ..sources.star import checkins, fact
+from ..sources.star import checkins, fact, partitions
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -274,6 +274,10 @@ def _sketch_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("year", "total_invoices", "benefit_invoices", sk.within("et", "total_invoices").alias("total_within"), sk.within("eb", "benefit_invoices").alias("benefit_within"))
 
 
+def _product_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prd.product_stats(_p(spark, sf_dir), partitions=partitions(spark, sf_dir))
+
+
 def _product_sketch_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """PRD-2 from month sketches: exact sums and invoices, and whether the sketches' count lies within four standard errors."""
     p = _p(spark, sf_dir)
@@ -436,7 +440,7 @@ QUERIES: dict[str, Query] = {
     "category_penetration_change": _on(_p, ben.category_penetration_change, **BC),
     "category_insights": _on(_p, ins.category_insights, **BC),
     # products
-    "product_stats": _on(_p, prd.product_stats),
+    "product_stats": _product_stats,
     "product_sketch_bounds": _product_sketch_bounds,
     "product_highlights": _on(_p, prd.product_highlights, **B),
     "product_highlights_nulls": _on(_pn, prd.product_highlights, **B),

@@ -101,6 +101,8 @@ MONTH_BYTES_CONF = "storelens.purchases.month_bytes"
 MONTH_BYTES = 64 << 30
 # Writing tasks that share a month, so that a busy month is not one task's work.
 MONTH_FILES = 4
+# Input bytes behind each partition of a shuffle whose tasks hold all their rows (a few 100,000 lines).
+PARTITION_BYTES = 8 << 20
 _INPUTS = ("lineitem", "orders", "customer", "nation", "part", "supplier")
 
 
@@ -113,6 +115,15 @@ def _input_key(spark: SparkSession, sf_dir: str) -> str:
     return _inputs(spark, sf_dir).key
 
 
+def partitions(spark: SparkSession, sf_dir: str) -> int | None:
+    """Shuffle partitions for operators whose tasks hold every line they read:
+    one per ``PARTITION_BYTES`` of input, so that a task's memory stays the same
+    as the tables grow.  None while that is no more than the cores: the
+    planner's partitions are as small then."""
+    n = -(-_inputs(spark, sf_dir).bytes // PARTITION_BYTES)
+    return n if n > spark.sparkContext.defaultParallelism else None
+
+
 def purchases_table(spark: SparkSession, sf_dir: str, nulls: bool = False, months: bool = False) -> DataFrame:
     """The purchases fact, written once per input snapshot to the shared
     folder and read back (see module doc).  Requires ``spark.checkpoint.dir``.

@@ -1,7 +1,9 @@
 """Work and memory of a task as the tables grow: facts derived once, groups dealt out by input size."""
 
-from conftest import SF_SMALL
-from storelens.plans import catalog
+import rows
+from conftest import SF_ORACLE, SF_SMALL
+from storelens.operators import products as prd
+from storelens.plans import catalog, inspect
 from storelens.sources import publish, star
 
 
@@ -19,3 +21,28 @@ def test_publish_cycle_derives_the_fact_once(spark, monkeypatch):
     assert steps["first"] == (True, 1, n) and steps["same rows"] == (False, 1, n)
     assert steps["changed"][:2] == (True, 2) and steps["changed"][2] < n
     assert len(seen) == 3 and not [files for files in seen if "lineitem.parquet" in files]
+
+
+def _purchases(spark):
+    lines = [{"invoice_id": i % 40, "product_name": f"p{i % 7}", "revenue_subcategory": f"s{i % 3}", "quantity": float(i)} for i in range(300)]
+    return rows.make(spark, *lines, {"invoice_id": None}, {"invoice_id": None}, {"product_name": None}, {"revenue_subcategory": None}, {"purchase_price_w_discount": None})
+
+
+def test_product_stats_in_given_partitions(spark):
+    p = _purchases(spark)
+    dealt = prd.product_stats(p, partitions=37)
+    # dealt out by the groups' keys, once, in a number that is not merged
+    assert inspect.plan_text(dealt).count(", 37), REPARTITION_BY_NUM") == 1
+    assert sorted(dealt.collect()) == sorted(prd.product_stats(p).collect())
+    assert "REPARTITION_BY_NUM" not in inspect.plan_text(prd.product_stats(p))
+
+
+def test_partitions_follow_the_input(spark, monkeypatch):
+    size = star._inputs(spark, SF_ORACLE).bytes
+    assert star.partitions(spark, SF_ORACLE) is None
+    cores = spark.sparkContext.defaultParallelism
+    monkeypatch.setattr(star, "PARTITION_BYTES", size // (4 * cores))
+    n = star.partitions(spark, SF_ORACLE)
+    assert 4 * cores <= n <= 4 * cores + 1
+    for name in ("product_stats",):
+        assert f", {n}), REPARTITION_BY_NUM" in inspect.plan_text(catalog.QUERIES[name](spark, SF_ORACLE))
