@@ -283,7 +283,7 @@ def _product_sketch_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = _p(spark, sf_dir)
     keys = [K.SUBCATEGORY, K.PRODUCT]
     est = sk.product_stats_from_sketches(sk.product_sketches(p)).withColumnRenamed("unique_transactions", "estimate")
-    exact = prd.product_stats(p).select(*keys, "unique_transactions")
+    exact = prd.product_stats(p, partitions=partitions(spark, sf_dir)).select(*keys, "unique_transactions")
     return est.join(exact, keys).select(*keys, "total_quantity", "total_sales", "avg_price", "unique_transactions", sk.within("estimate", "unique_transactions").alias("within"))
 
 

@@ -44,5 +44,5 @@ def test_partitions_follow_the_input(spark, monkeypatch):
     monkeypatch.setattr(star, "PARTITION_BYTES", size // (4 * cores))
     n = star.partitions(spark, SF_ORACLE)
     assert 4 * cores <= n <= 4 * cores + 1
-    for name in ("product_stats",):
+    for name in ("product_stats", "product_sketch_bounds"):
         assert f", {n}), REPARTITION_BY_NUM" in inspect.plan_text(catalog.QUERIES[name](spark, SF_ORACLE))
