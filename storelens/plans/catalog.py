@@ -23,10 +23,10 @@ from ..operators import sketches as sk
 from ..operators import vendors as ven
 from ..operators import yoy
 from ..functions import constants as K
-from ..session import scratch
+from ..session import scratch, shuffles_freed
 from ..sources import cache, clean, publish, readers
 from . import dashboard
-from ..sources.star import checkins, fact, partitions
+from ..sources.star import checkins, fact, input_bytes, partitions
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -167,9 +167,14 @@ def _publish_cycle(spark: SparkSession, sf_dir: str) -> DataFrame:
     another order, and changed; what each step wrote, read back from there.
 
     The fact is derived once, into a folder of its own: publishing passes over
-    its rows five times, each of which would repeat the joins."""
+    its rows several times, each of which would repeat the joins.  It is written
+    part by part, so that the joins' shuffles of one part are gone before the
+    next begins, and removed when the last step is published."""
     target, derived = scratch(spark, "published"), scratch(spark, "to-publish")
-    _plain(spark, sf_dir).write.parquet(derived)
+    with shuffles_freed(spark):
+        n = publish.part_count(input_bytes(spark, sf_dir), publish.MOVED_PARTS)
+        for part in publish.parts(_plain(spark, sf_dir), n, [K.INVOICE]):
+            part.write.mode("append").parquet(derived)
     p = spark.read.parquet(derived)
     raised = F.when(F.col(K.INVOICE) % 60 == 1, F.col(K.QUANTITY) + 1).otherwise(F.col(K.QUANTITY))
     changed = p.where(F.col(K.INVOICE) % 50 != 0).withColumn(K.QUANTITY, raised)
@@ -181,6 +186,7 @@ def _publish_cycle(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.count(F.lit(1)).alias("rows"), F.sum(K.QUANTITY).alias("quantity"), F.sum(K.PRICE).cast("double").alias("sales")
         )
         steps.append(read.select(F.lit(step).alias("step"), F.lit(new).alias("written"), F.lit(version).alias("version"), "rows", "quantity", "sales"))
+    readers._FS(spark, derived).delete()
     return steps[0].unionByName(steps[1]).unionByName(steps[2])
 
 

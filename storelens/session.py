@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -76,6 +78,26 @@ def shared_dir(spark: SparkSession, fallback: str | None = None) -> str:
     return d
 
 
+FREE_SHUFFLES_CONF = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def shuffles_freed(spark: SparkSession) -> Iterator[None]:
+    """Within the block, the shuffle files of a query go when the query ends.
+    Otherwise they stay until the driver's garbage collection meets them, and
+    a job of several passes holds the shuffles of all of them on disk at once.
+    A version of Spark without the setting ignores it."""
+    was = spark.conf.get(FREE_SHUFFLES_CONF, None)
+    spark.conf.set(FREE_SHUFFLES_CONF, "true")
+    try:
+        yield
+    finally:
+        if was is None:
+            spark.conf.unset(FREE_SHUFFLES_CONF)
+        else:
+            spark.conf.set(FREE_SHUFFLES_CONF, was)
+
+
 def scratch(spark: SparkSession, tag: str) -> str:
     """A fresh path in the shared folder; a local session that names no such
     folder gets a temporary one of its own."""

@@ -7,28 +7,67 @@ directory only when it changed.  Versions are immutable; readers take the
 newest complete one (Spark's commit protocol writes ``_SUCCESS`` last).  A job
 lost half-way leaves a folder without that marker; the next version takes a
 higher number.
+
+Comparing shuffles whole rows, several times what they take as a written
+table.  Large versions are compared part by part, equal rows in the same part,
+and the shuffle files of a part are gone before the next one begins.
 """
 
 from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import shuffles_freed
 from .readers import _FS
 
 _VERSION = re.compile(r"^version=(\d+)$")
+# Written bytes behind each part that is shuffled on its own.
+PART_BYTES = 64 << 20
+# Every part reads all rows again, so parts are as few as keep the shuffle files of one below about twice
+# the table: moving its rows once takes two to three times the table, comparing two versions seven.
+MOVED_PARTS = 2
+COMPARED_PARTS = 5
+
+
+def part_count(size: int, most: int) -> int:
+    """Parts for a table of ``size`` bytes."""
+    return max(1, min(most, -(-size // PART_BYTES)))
+
+
+def _hash(columns: list[str]) -> Column:
+    return F.xxhash64(*[F.col(f"`{c}`") for c in columns])
+
+
+def parts(df: DataFrame, n: int, by: list[str] | None = None) -> list[DataFrame]:
+    """The rows of ``df`` in ``n`` parts that together hold each row once, equal
+    rows in the same part, dealt out by the values of ``by`` (null is a value as
+    well).  By default these are the numbers and dates, whose hash is cheap and
+    leaves the text of other parts unread, or all columns where there are none;
+    few distinct values make uneven parts, not wrong ones."""
+    if n == 1:
+        return [df]
+    fixed = [f.name for f in df.schema.fields if isinstance(f.dataType, (T.NumericType, T.DatetimeType))]
+    part = F.pmod(_hash(by or fixed or df.columns), F.lit(n))
+    return [df.where(part == i) for i in range(n)]
 
 
 def fingerprint(df: DataFrame) -> DataFrame:
     """Order-free multiset fingerprint: row count and the sum of a 64-bit
     row hash, summed as decimal(38,0) so it cannot overflow."""
-    h = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]).cast("decimal(38,0)")
+    h = _hash(df.columns).cast("decimal(38,0)")
     return df.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(h), F.lit(0)).cast("decimal(38,0)").alias("digest"))
 
 
+def _fingerprint_of(found: list[DataFrame]) -> tuple[int, int]:
+    """The fingerprint of the rows of all parts: both its numbers add up."""
+    rows = [fingerprint(p).first() for p in found]
+    return sum(r["rows"] for r in rows), sum(int(r["digest"]) for r in rows)
+
+
 def column_digests(df: DataFrame) -> DataFrame:
     """What a table holds, in a form that another engine can compute as well: one
     row per column and one for whole rows (``column`` null), with the non-null
@@ -109,8 +148,14 @@ def publish_if_changed(
     latest version.  Returns whether a new version was written.
 
     Fingerprints decide a change cheaply; when they agree and ``exact`` is
-    set, a one-pass multiset comparison confirms equality.
+    set, a multiset comparison confirms equality.  Both go part by part, by the
+    size of the latest version.
     """
+    with shuffles_freed(df.sparkSession):
+        return _publish(df, target, fmt, exact, partition_by)
+
+
+def _publish(df: DataFrame, target: str, fmt: str, exact: bool, partition_by: list[str] | None) -> bool:
     spark = df.sparkSession
     options = {"header": "true"} if fmt == "csv" else {}
     all_v = versions(spark, target)
@@ -123,8 +168,11 @@ def publish_if_changed(
             old = spark.read.format(fmt).options(**options).schema(by_name).load(all_v[-1][1]).select(*[f"`{c}`" for c in df.columns])
             same_types = fmt in _TEXT_FORMATS or _types(spark.read.format(fmt).load(all_v[-1][1])) == _types(df)
             if same_types:
-                f_old, f_new = fingerprint(old).first(), fingerprint(df).first()
-                if tuple(f_old) == tuple(f_new) and (not exact or multiset_equal(old, df)):
+                size = _FS(spark, all_v[-1][1]).bytes()
+                moved, compared = part_count(size, MOVED_PARTS), part_count(size, COMPARED_PARTS)
+                alike = _fingerprint_of([old]) == _fingerprint_of(parts(df, moved))
+                pairs = zip(parts(old, compared), parts(df, compared), strict=True)
+                if alike and (not exact or all(multiset_equal(o, d) for o, d in pairs)):
                     return False
     n = max(_version_numbers(spark, target), default=0) + 1
     w = df.write.format(fmt).options(**options).mode("errorifexists")

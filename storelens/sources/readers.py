@@ -54,6 +54,13 @@ class _FS:
         """Files at or under the path (0 if there is none)."""
         return int(self.fs.getContentSummary(self.path).getFileCount()) if self.exists() else 0
 
+    def bytes(self) -> int:
+        """Length of the files at or under the path (0 if there is none)."""
+        return int(self.fs.getContentSummary(self.path).getLength()) if self.exists() else 0
+
+    def delete(self) -> None:
+        self.fs.delete(self.path, True)
+
     def files(self) -> list[tuple[str, int, int]]:
         """(path, length, modification time) of the files at or under the path."""
         if not self.exists():

@@ -115,12 +115,17 @@ def _input_key(spark: SparkSession, sf_dir: str) -> str:
     return _inputs(spark, sf_dir).key
 
 
+def input_bytes(spark: SparkSession, sf_dir: str) -> int:
+    """Size of the input files as they are now."""
+    return _inputs(spark, sf_dir).bytes
+
+
 def partitions(spark: SparkSession, sf_dir: str) -> int | None:
     """Shuffle partitions for operators whose tasks hold every line they read:
     one per ``PARTITION_BYTES`` of input, so that a task's memory stays the same
     as the tables grow.  None while that is no more than the cores: the
     planner's partitions are as small then."""
-    n = -(-_inputs(spark, sf_dir).bytes // PARTITION_BYTES)
+    n = -(-input_bytes(spark, sf_dir) // PARTITION_BYTES)
     return n if n > spark.sparkContext.defaultParallelism else None
 
 
